@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifmill.llm import mixing, substring_dedup, tokens
+from motifmill.llm import licences, mixing, substring_dedup, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,9 +31,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op8_substring_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op3_licences, op4_token_counts, op8_substring_dedup, op9_mixing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.MIX_SQL}
+    return {"op9_mixing": mixing.MIX_SQL, "op10_url_filter": url_filter.URL_SQL}
