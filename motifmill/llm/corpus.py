@@ -25,8 +25,8 @@ U64 = np.uint64
 PART_BYTES = 8 << 20
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
-    """uid, doc_id, text and, if asked for, the row itself as columns c0, c1, ....
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> tuple[DataFrame, bool]:
+    """(uid, doc_id, text and, if asked for, the row itself as columns c0, c1, ...; is uid the id?).
 
     uid is a unique bigint that sorts as the id. Unique integer ids serve as they
     are. Otherwise (null, repeated or other ids) rows are numbered in the order of
@@ -38,9 +38,9 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     if isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         n, different = docs.select(F.col(id_col).alias("i")).agg(F.count(F.lit(1)), F.count_distinct("i")).first()
         if n == different:
-            return base.withColumn("uid", F.col("doc_id").cast("long"))
+            return base.withColumn("uid", F.col("doc_id").cast("long")), True
     ordered = base.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return materialize(ordered.withColumn("uid", F.monotonically_increasing_id()), "uids")
+    return materialize(ordered.withColumn("uid", F.monotonically_increasing_id()), "uids"), False
 
 
 def part_count(docs: DataFrame) -> int:

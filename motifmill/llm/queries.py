@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifmill.llm import licences, mixing, substring_dedup, tokens, url_filter
+from motifmill.llm import licences, mixing, near_dedup, substring_dedup, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup_near(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=20)
 
@@ -36,7 +40,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_licences, op4_token_counts, op8_substring_dedup, op9_mixing, op10_url_filter)}
+    return {f.__name__: f for f in (op3_licences, op4_token_counts, op7_near_dedup, op8_substring_dedup, op9_mixing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

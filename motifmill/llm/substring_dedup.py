@@ -86,7 +86,6 @@ def _probes(parts: int, block: int):
 
 def _anchors(parts: int):
     """All blocks of a hash bucket -> the grid blocks that were probed from elsewhere too, by part."""
-    p = parts.bit_length() - 1
 
     def run(table: pa.Table) -> pa.Table:
         own = co.unpack(co.payloads(table, 1), {"h": "<u8", **_ANCHOR})
@@ -100,7 +99,6 @@ def _anchors(parts: int):
         out = [(i, 0, co.pack(x)) for i, x in co.split_by(co.part_of(uid, parts), parts, {"uid": uid, "block": block})] if len(uid) else []
         return pa.Table.from_batches([co.blocks(out)])
 
-    _ = p
     return run
 
 
@@ -220,7 +218,7 @@ def blanked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.nda
     return np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, np.uint8(32), data)
 
 
-def _digest(window: int, id_type: pa.DataType):
+def _digest(window: int):
     def run(texts: pa.Table, places: pa.Table) -> pa.Table:
         n_words, n_removed, kept = [], [], []
         for lo, hi, data, offsets, (starts, ends, first), gone in _cut(texts, places, window):
@@ -276,17 +274,17 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     none, are documents of their own, in the order of ``corpus.keyed``. Other
     columns are not read.
     """
-    held = co.keyed(docs, id_col, text_col)
+    held, _ = co.keyed(docs, id_col, text_col)
     parts = co.part_count(docs)
     held = co.in_parts(held, parts)
     places = repeated_places(held, parts, window)
     ids = docs.schema[id_col].dataType.simpleString()
-    return held.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_digest(window, None), f"doc_id {ids}, n_words long, n_removed long, kept_sha256 string")
+    return held.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_digest(window), f"doc_id {ids}, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """``docs`` with the same columns and rows, repeated words cut out of the text column."""
-    held = co.keyed(docs, id_col, text_col, rows=True)
+    held, _ = co.keyed(docs, id_col, text_col, rows=True)
     parts = co.part_count(docs)
     held = co.in_parts(held, parts)
     places = repeated_places(held, parts, window)
