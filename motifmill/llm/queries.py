@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifmill.llm import licences, mixing, near_dedup, substring_dedup, tokens, url_filter
+from motifmill.llm import ann, licences, mixing, near_dedup, substring_dedup, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_licences, op4_token_counts, op7_near_dedup, op8_substring_dedup, op9_mixing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op3_licences, op4_token_counts, op7_near_dedup, op8_substring_dedup, op9_mixing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
