@@ -200,3 +200,48 @@ def xxhash64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
     h *= p3
     h ^= h >> U64(32)
     return h.view(np.int64)
+
+
+_GRAM_BLOCK = 1 << 17
+_gram: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def gram_hash(data: np.ndarray, q: int) -> np.ndarray:
+    """64-bit hash of every run of q bytes, block by block with the blocks overlapping by q - 1."""
+    n = len(data) - q + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    size = max(_GRAM_BLOCK, 4 * q)
+    if size not in _gram:
+        at = np.arange(size + q + 1)
+        _gram[size] = (powers(_MULT)(at), powers(inverse(_MULT))(at))
+    grow, shrink = _gram[size]
+    if len(grow) < size + q:
+        at = np.arange(size + q + 1)
+        grow, shrink = _gram[size] = (powers(_MULT)(at), powers(inverse(_MULT))(at))
+    table, out = _byte_table(0), np.empty(n, U64)
+    for b in range(0, n, size):
+        part = table[data[b : min(b + size, n) + q - 1]]
+        part *= grow[: len(part)]
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum(part, out=sums[1:])
+        own = sums[q:] - sums[: len(sums) - q]
+        own *= shrink[: len(own)]
+        out[b : b + len(own)] = own
+    return out
+
+
+def squeezed(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with each run of ASCII white space as one blank and none in front; bytes mapped by ``fold``."""
+    if not len(data):
+        return data, offsets
+    gap = SPACE[data]
+    before = np.empty(len(data), bool)
+    before[0] = True
+    before[1:] = gap[:-1]
+    cut = offsets[:-1]
+    before[cut[cut < len(data)]] = True
+    keep = ~(gap & before)
+    put = np.concatenate(([0], np.cumsum(keep)))
+    data = np.where(gap, np.uint8(32), data if fold is None else fold[data])
+    return data[keep], put[offsets]
