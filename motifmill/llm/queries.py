@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifmill.llm import ann, decontaminate, licences, mixing, near_dedup, substring_dedup, tokens, url_filter
+from motifmill.llm import ann, decontaminate, licences, mixing, near_dedup, quality, substring_dedup, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup_near(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -48,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op3_licences, op4_token_counts, op5_decontamination, op7_near_dedup, op8_substring_dedup, op9_mixing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op3_licences, op4_token_counts, op5_decontamination, op6_quality, op7_near_dedup, op8_substring_dedup, op9_mixing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
