@@ -11,8 +11,9 @@
    the posterior probability that its similarity reaches the threshold is below
    ``miss``. What is left is verified on the full sets.
 4. What the leaders did not connect: pairs of one bucket that lie in different
-   components are compared too, block against block, and verified alike. No other
-   pair can change a component.
+   components are compared too, block against block, and verified alike, by the
+   executor that holds the bucket. No other pair can change a component, and only
+   links that join components leave the bucket.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from motifmill.plans.storage import discard, materialize, small_side
 
 U64 = np.uint64
 ROWS, BANDS, BATCH = 4, 24, 16
-#: Members of a bucket that are compared in one block.
-BLOCK = 4096
+#: Members of a bucket, and shingles in their sets, that make one block of it.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 MISS = 1e-9
 
 
@@ -109,15 +110,21 @@ def _prune(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float, width:
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Links: the pairs (a, b) whose full sets reach the threshold. Sets are built again for the documents in pairs only."""
+def _shingles(docs: DataFrame, words: int) -> DataFrame:
+    """uid and the set as packed 64-bit hashes, of every row."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in ts.slices(batch.column(1)):
                 h, at = mh.shingle_sets(data, offsets, words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["uid", "shingles"])
 
+    return docs.select("uid", "text").mapInArrow(run, "uid long, shingles binary")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links: the pairs (a, b) whose full sets reach the threshold. Sets are built again for the documents in pairs only."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stay = []
@@ -133,49 +140,93 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Data
 
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "pair-ends")
     texts = docs.select("uid", "text").join(small_side(needed), "uid", "left_semi")
-    held = materialize(texts.mapInArrow(sets, "uid long, shingles binary"), "pair-sets")
+    held = materialize(_shingles(texts, words), "pair-sets")
     joined = pairs.join(held.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
     links = materialize(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "pair-links")
     discard(held)
     return links
 
 
-def _rest(members: DataFrame, sigs: DataFrame, comps: DataFrame, percent: int, miss: float, width: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components and are not ruled out by signatures; those with the leader are done."""
+class _Joined:
+    """Components of one block's members as links are found."""
+
+    def __init__(self, comp: np.ndarray, leader: np.ndarray):
+        _, self.of = np.unique(comp, return_inverse=True)
+        #: The leader's component, else the largest one, keeps its number.
+        self.big = int(self.of[leader][0]) if leader.any() else int(np.bincount(self.of).argmax())
+
+    def join(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Link x with ys; returns those of ys that were not yet connected with each other or x."""
+        new, first = np.unique(self.of[ys], return_index=True)
+        first = first[new != self.of[x]]
+        if len(first):
+            both = np.append(new, self.of[x])
+            self.of[np.isin(self.of, both)] = self.big if self.big in both else self.of[x]
+        return ys[first]
+
+
+def _rest_of_block(percent: int, miss: float, width: int, rows: int):
+    """Arrow function: one block of a bucket, with signatures and sets -> links that join components."""
 
     def run(table: pa.Table) -> pa.Table:
-        uid, comp, side, lead = (table.column(c).to_numpy() for c in ("uid", "comp", "side", "lead"))
+        uid, comp, side, lead, band = (table.column(c).to_numpy() for c in ("uid", "comp", "side", "lead", "band"))
         i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
         sig = _matrix(table.column("sig"), np.uint32, width)
-        order = np.lexsort((uid, comp))
-        uid, comp, side, sig = uid[order], comp[order], side[order], sig[order]
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        a, b = [], []
+        sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        begin = np.cumsum(size) - size
+        kinds, token = np.unique(np.concatenate(sets), return_inverse=True)
+        mine = np.zeros(len(kinds), bool)
         leader = uid == lead[0]
-        big = comp[leader][0] if leader.any() else _mode(comp)
+        joined = _Joined(comp, leader)
+        big = joined.big
+        earlier = int(band[0]) * rows  # a pair that shares an earlier band is compared there
+        a, b = [], []
         # members outside the leader's (or largest) component ask the members of every other component
-        for one, other in ((left, right), (right, left)) if i != j else ((left, left),):
-            for x in one[(comp[one] != big) & ~leader[one]]:
-                # pairs between two outsiders are met twice: the smaller place asks
-                ask = other[(comp[other] != comp[x]) & ~leader[other] & ((comp[other] == big) | (other > x))]
-                got = ask[similar_enough(np.broadcast_to(sig[x], (len(ask), width)), sig[ask], percent, miss)]
-                a.append(np.full(len(got), uid[x]))
-                b.append(uid[got])
+        for one, other in ((i, j), (j, i)) if i != j else ((i, i),):
+            there = np.flatnonzero((side == other) & ~leader)
+            for x in np.flatnonzero((side == one) & (joined.of != big) & ~leader):
+                was_big = joined.of[there] == big
+                ask = there[(joined.of[there] != joined.of[x]) & (was_big | (there > x))] if joined.of[x] != big else there[joined.of[there] != big]
+                ask = ask[(100 * np.minimum(size[ask], size[x]) >= percent * np.maximum(size[ask], size[x]))]
+                if earlier and len(ask):
+                    ask = ask[~(sig[ask, :earlier] == sig[x, :earlier]).reshape(len(ask), -1, rows).all(axis=2).any(axis=1)]
+                ask = ask[similar_enough(np.broadcast_to(sig[x], (len(ask), width)), sig[ask], percent, miss)]
+                if not len(ask):
+                    continue
+                mine[token[begin[x] : begin[x] + size[x]]] = True
+                n = size[ask]
+                at = np.repeat(begin[ask] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                common = np.add.reduceat(mine[token[at]].astype(np.int64), np.cumsum(n) - n)
+                mine[token[begin[x] : begin[x] + size[x]]] = False
+                new = joined.join(x, ask[100 * common >= percent * (size[x] + n - common)])
+                a.append(np.full(len(new), uid[x]))
+                b.append(uid[new])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    held = members.join(comps, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    open_ = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most and size > 2").select("key", "size")
-    held = held.join(open_, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    held = held.withColumn("side", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    held = held.join(sigs.select("uid", "sig"), "uid").withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    found = held.select("key", "i", "j", "uid", "comp", "side", "lead", "sig").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
-    return found.distinct()
+    return run
+
 
+def _rest(members: DataFrame, reps: DataFrame, docs: DataFrame, comps: DataFrame, percent: int, words: int, miss: float, width: int, rows: int) -> DataFrame:
+    """Links that join components, among the pairs of one bucket that lie in different components and have not been compared with its leader.
 
-def _mode(x: np.ndarray) -> int:
-    kinds, counts = np.unique(x, return_counts=True)
-    return int(kinds[counts.argmax()]) if len(kinds) else -1
+    A bucket is cut into blocks of bounded members and shingles, and every two blocks
+    meet in one group.
+    """
+    held = members.join(comps, "uid", "left").withColumn("comp", F.coalesce("comp", "uid")).join(reps.select("uid", "n_shingles"), "uid")
+    open_ = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles")).where("least < most and size > 2")
+    open_ = open_.select("key", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    held = materialize(held.join(open_, "key"), "open-buckets")
+    needed = materialize(held.select("uid").distinct(), "open-members")
+    texts = docs.select("uid", "text").join(small_side(needed), "uid", "left_semi")
+    sets = materialize(_shingles(texts, words).join(reps.select("uid", "sig"), "uid"), "open-sets")
+    dealt = held.withColumn("side", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).join(sets, "uid")
+    columns = dealt.select("key", "i", "j", "uid", "comp", "side", "lead", "band", "sig", "shingles")
+    found = materialize(columns.groupBy("key", "i", "j").applyInArrow(_rest_of_block(percent, miss, width, rows), "a long, b long"), "open-links")
+    discard(sets)
+    return found
 
 
 def near_groups(docs: DataFrame, *, percent: int, words: int = 5, miss: float = MISS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -186,23 +237,22 @@ def near_groups(docs: DataFrame, *, percent: int, words: int = 5, miss: float =
     copies = materialize(sized.groupBy(*whole).agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
     classed = materialize(sized.select("uid", *whole).join(small_side(copies), whole, "left").select("uid", F.coalesce("rep", "uid").alias("rep")), "classes")
     reps = sized.join(materialize(classed.where("uid = rep").select("uid"), "class-heads"), "uid", "left_semi")
-    entries = reps.select("uid", F.explode("keys").alias("key"))
+    entries = reps.select("uid", F.posexplode("keys").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(entries.join(shared, "key"), "bucket-members")
     company = members.groupBy("uid").agg(F.sum("size").alias("company"))
     ranked = members.join(company, "uid")
     leaders = ranked.groupBy("key").agg(F.max_by("uid", F.struct("company", -F.col("uid"))).alias("lead"))
-    led = materialize(members.join(leaders, "key").select("key", "uid", "lead"), "bucket-leaders")
+    led = materialize(members.join(leaders, "key").select("key", "band", "uid", "lead"), "bucket-leaders")
     discard(members)
     sigs = reps.select("uid", "sig")
     pairs = led.where("uid <> lead").select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
     pairs = materialize(_prune(pairs, sigs, percent, miss, rows * bands), "led-pairs")
     links = _verify(pairs, docs, percent, words)
     first = materialize(components(links), "led-components")
-    more = materialize(_rest(led, sigs, first, percent, miss, rows * bands), "other-pairs")
+    more = _rest(led, reps, docs, first, percent, words, miss, rows * bands, rows)
     if not more.isEmpty():
-        links = links.unionByName(_verify(more, docs, percent, words))
-        first = materialize(components(links), "all-components")
+        first = materialize(components(links.unionByName(more)), "all-components")
     comp = classed.join(first.withColumnRenamed("uid", "rep"), "rep", "left").select("uid", F.coalesce("comp", "rep").alias("comp"))
     return sketch.select("uid", "doc_id", "n_shingles").join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 
