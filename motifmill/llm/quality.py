@@ -103,6 +103,7 @@ def votes(s: Slice) -> np.ndarray:
     n = np.maximum(s.n_words, 1)
     visible = np.maximum(s.bytes_in(~ts.SPACE), 1)
     letters = s.bytes_in(_LETTER)
+    plain = s.bytes_in(_LETTER | _DIGIT)
     capitals = s.bytes_in(_UPPER)
     marks = np.zeros(256, bool)
     marks[ord("!")] = True
@@ -120,7 +121,7 @@ def votes(s: Slice) -> np.ndarray:
     top = np.zeros(len(n), np.int64)
     np.maximum.at(top, s.doc[order][begins], size)
     bad_from = {
-        "letters": (1 - letters / visible, 0.15, 0.08),
+        "letters": (1 - plain / visible, 0.15, 0.08),
         "wordless": (s.words_that(s.with_bytes(_LETTER | _DIGIT) == 0) / n, 0.08, 0.02),
         "symbols": (s.bytes_in(_SYMBOL) / visible, 0.02, 0.004),
         "capitals": (capitals / np.maximum(letters, 1), 0.3, 0.12),
