@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifmill.llm import ann, decontaminate, licences, mixing, near_dedup, quality, substring_dedup, tokens, url_filter
+from motifmill.llm import ann, decontaminate, licences, mixing, near_dedup, quality, substring_dedup, suffix_dedup, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_suffixes(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op3_licences, op4_token_counts, op5_decontamination, op6_quality, op7_near_dedup, op8_substring_dedup, op9_mixing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_suffix_dedup, op3_licences, op4_token_counts, op5_decontamination, op6_quality, op7_near_dedup, op8_substring_dedup, op9_mixing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
