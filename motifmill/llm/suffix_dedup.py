@@ -7,15 +7,16 @@
    segments of one class, that of the anchor's hash. Segments are described by 30
    bytes; equal ones are counted as one, and a class without a second segment has
    no repeats. Where all segments of a class are alike, all are repeats.
-2. Suffixes. Classes with different segments get their bytes, and the suffixes of
-   all segments are sorted with their common prefixes column by column: in every
-   round each segment inserts one more symbol, from its end to its front, into the
-   collection's Burrows-Wheeler transform. A window whose suffix shares 200 bytes
-   with a neighbour in that order is a repeat.
+2. Suffixes. Classes with different segments get their bytes. Their segments are a
+   collection of documents with the anchors in line, whose suffixes are sorted with
+   their common prefixes column by column: in every round each segment inserts one
+   more symbol, from its end to its front, into the collection's Burrows-Wheeler
+   transform. A window whose suffix shares 200 bytes with a neighbour is a repeat.
 3. Cut. The windows' bytes are removed from the texts.
 
-The collections are small, so transform and prefixes are arrays in memory that a
-round reads and writes in order, not files.
+A round reads one column, the order and the common prefixes from front to back and
+writes the next; as a bucket's collection is small, these are arrays in memory, not
+files.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ from motifmill.plans.storage import discard, materialize
 U64 = np.uint64
 FLUSH, BLOCK = 1 << 17, 1 << 20
 #: Symbols of a collection that is built at once; a class that holds more is built alone.
-COLLECTION = 2 << 20
-_SEGMENT = {"h": "<u8", "g": "<u8", "uid": "<i8", "start": "<u4", "n": "<u4"}
+COLLECTION = 4 << 20
+_SEGMENT = {"h": "<u8", "g": "<u8", "uid": "<i8", "start": "<u4", "n": "<u2", "a": "u1"}
 _RANGE = {"uid": "<i8", "start": "<u4", "n": "<u4"}
-_WANTED = {**_RANGE, "h": "<u8", "known": "u1"}
+_WANTED = {"uid": "<i8", "start": "<u4", "n": "<u2", "h": "<u8", "a": "u1", "known": "u1"}
 
 
 def window_minima(key: np.ndarray, w: int) -> np.ndarray:
@@ -87,73 +88,49 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return first[begin], last[np.append(begin[1:], len(first)) - 1], anchor[begin]
 
 
-def suffix_order(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All non-empty suffixes of the strings in order: (string, length of the suffix, bytes shared with the one before, at most ``cap``).
+def repeated_windows(strings: list[bytes], anchor: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each string the places whose ``length`` bytes also stand in another string, the same distance before its anchor.
 
-    ``last`` holds, in the order of the suffixes so far, the symbol before each (0: it
-    is a whole string), that is the transform. A round sorts those symbols stably:
-    the k-th of them, put before its own suffix, is the k-th suffix of the next
-    order. Old suffixes keep their order, the round's new ones fall between. Two
-    neighbours with one first symbol share one byte more than the suffixes behind
-    it, whose common prefix is the least on the way from one to the other.
-    Symbols are bytes plus one. Ends of strings are alike and before every symbol.
+    Strings are laid out in columns with their anchors in line; columns run from
+    ``length // 2`` before to as many bytes behind. From the last column to the first
+    every string inserts one symbol. ``order`` is the order of the suffixes of the
+    column before and ``last`` their symbols in this one, that is a column of the
+    transform: sorting them stably gives the new order. Two neighbours with one first
+    symbol share one byte more than the suffixes behind it, whose common prefix is
+    the least on the way from one to the other. A symbol of 0 is no text: it shares
+    nothing. Suffixes of other columns cannot share ``length`` bytes with these:
+    equal windows have equal anchors.
     """
-    m = len(strings)
-    size = np.array([len(s) for s in strings])
-    text = np.append(np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1, np.uint16(0))
-    end = np.cumsum(size)
-    last = np.where(size > 0, text[end - 1], 0).astype(np.uint16)
-    owner, done = np.arange(m), np.zeros(m, np.int64)  # of each row: its string and its suffix's length
-    shared = np.zeros(m, np.int16)
-    fresh = np.ones(m, bool)
-    for j in range(1, int(size.max(initial=0)) + 1):
-        order = np.argsort(last, kind="stable")
-        order = order[np.searchsorted(last[order], 1) :]
-        new = fresh[order]
-        put = np.flatnonzero(new) + m
-        total = m + len(order)
-        d = owner[order[new]]
-        kept = np.ones(total, bool)
-        kept[put] = False
-        first = last[order]
-
-        def grown(old: np.ndarray, values: np.ndarray, total=total, kept=kept, put=put) -> np.ndarray:
-            out = np.empty(total, old.dtype)
-            out[kept] = old
-            out[put] = values
-            return out
-
-        # rows on both sides of every new one whose first symbol is the same
-        k = put - m
-        left = k[(k > 0) & (first[k] == first[np.maximum(k - 1, 0)])]
-        right = k[(k + 1 < len(order)) & (first[k] == first[np.minimum(k + 1, len(order) - 1)])] + 1
-        asked = np.unique(np.concatenate([left, right]))
-        nearest = np.zeros(len(order), np.int16)
-        if len(asked):
-            edges = np.stack([order[asked - 1] + 1, order[asked] + 1], 1).ravel()
-            padded = np.append(shared, np.int16(0))
-            nearest[asked] = np.minimum(np.minimum.reduceat(padded, edges)[::2], cap - 1) + 1
-        after = grown(shared, np.zeros(len(put), np.int16))
-        touched = np.unique(np.concatenate([k, k[k + 1 < len(order)] + 1]))
-        after[touched + m] = nearest[touched]
-        at = end[d] - j - 1
-        before = np.where(size[d] > j, text[np.maximum(at, 0)], 0).astype(np.uint16)
-        last = grown(last, before)
-        owner, done, shared = grown(owner, d), grown(done, np.full(len(put), j)), after
-        fresh = np.zeros(total, bool)
-        fresh[put] = before > 0
-    return owner[m:], done[m:], shared[m:]
-
-
-def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string the places whose ``length`` bytes also start at another place of these strings."""
-    owner, size, shared = suffix_order(strings, length)
-    hit = shared >= length
-    hit[:-1] |= hit[1:]
-    owner, at = owner[hit], np.array([len(s) for s in strings])[owner[hit]] - size[hit]
-    order = np.lexsort((at, owner))
-    cuts = np.searchsorted(owner[order], np.arange(len(strings) + 1))
-    return [at[order][cuts[i] : cuts[i + 1]] for i in range(len(strings))]
+    m, half = len(strings), length // 2
+    w = length - half
+    width = w + length
+    size = np.array([len(x) for x in strings], np.int64)
+    begin = w - anchor.astype(np.int64)
+    layout = np.zeros((width, m), np.uint8)  # a column of the collection after the other
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    row = np.repeat(np.arange(m), size)
+    layout[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(text)), row] = text + 1  # no byte of UTF-8 is 255
+    order, shared = np.arange(m), np.zeros(m + 1, np.int16)
+    hits_row, hits_at = [], []
+    for column in range(width - 1, -1, -1):
+        last = layout[column][order]
+        perm = np.argsort(last, kind="stable")
+        first = last[perm]
+        same = np.flatnonzero((first[1:] == first[:-1]) & (first[1:] > 0)) + 1
+        grown = np.zeros(m + 1, np.int16)
+        if len(same):
+            edges = np.stack([perm[same - 1] + 1, perm[same] + 1], 1).ravel()
+            grown[same] = np.minimum.reduceat(shared, edges)[::2] + 1
+        order, shared = order[perm], grown
+        if column <= w:
+            hit = order[np.maximum(shared[:-1], shared[1:]) >= length]
+            hit = hit[begin[hit] <= column]
+            hits_row.append(hit)
+            hits_at.append(column - begin[hit])
+    hits_row, hits_at = np.concatenate(hits_row), np.concatenate(hits_at)
+    turn = np.lexsort((hits_at, hits_row))
+    cuts = np.searchsorted(hits_row[turn], np.arange(m + 1))
+    return [hits_at[turn][cuts[i] : cuts[i + 1]] for i in range(m)]
 
 
 def _describe(parts: int, length: int):
@@ -161,8 +138,8 @@ def _describe(parts: int, length: int):
     shift = U64(64 - (parts.bit_length() - 1))
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, g, uid, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        rows = co.split_by((h >> shift).astype(np.int64), parts, {"h": h, "g": g, "uid": uid, "start": start.astype(np.uint32), "n": n.astype(np.uint32)})
+        h, g, uid, start, n, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows = co.split_by((h >> shift).astype(np.int64), parts, {"h": h, "g": g, "uid": uid, "start": start.astype(np.uint32), "n": n.astype(np.uint16), "a": a.astype(np.uint8)})
         return co.blocks([(i, 0, co.pack({k: x[k] for k in _SEGMENT})) for i, x in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +153,7 @@ def _describe(parts: int, length: int):
                 doc = np.searchsorted(offsets, first, "right") - 1
                 h = ts.span_hash(data, anchor, anchor + length // 2)
                 g = ts.span_hash(data, first, last + length, 1)
-                held.append((h, g, uids[lo:hi][doc], first - offsets[doc], last - first + length))
+                held.append((h, g, uids[lo:hi][doc], first - offsets[doc], last - first + length, anchor - first))
                 count += len(first)
                 if count >= FLUSH:
                     yield flush(held)
@@ -206,8 +183,8 @@ def _classes(parts: int):
         again = copies[kind] > 1
         wanted = head[(kinds_in[of_class] > 1) & (once_in[of_class] > 0)]
         out = []
-        ranges = {k: x[k][again] for k in _RANGE}
-        asks = {k: x[k][wanted] for k in ("uid", "start", "n", "h")} | {"known": (copies[kind[wanted]] > 1).astype(np.uint8)}
+        ranges = {k: x[k][again].astype(kind) for k, kind in _RANGE.items()}
+        asks = {k: x[k][wanted] for k in ("uid", "start", "n", "h", "a")} | {"known": (copies[kind[wanted]] > 1).astype(np.uint8)}
         for number, fields in enumerate((ranges, asks)):
             if len(fields["uid"]):
                 out += [(i, number, co.pack(f)) for i, f in co.split_by(co.part_of(fields["uid"], parts), parts, fields)]
@@ -269,7 +246,7 @@ def _build(parts: int, length: int):
             e = max(c + 1, int(np.searchsorted(weight[heads], weight[heads[c]] + COLLECTION, "right")) - 1)
             lo, hi = int(heads[c]), int(heads[min(e, len(heads) - 1)])
             c = e
-            for i, at in enumerate(repeated_windows(pieces[lo:hi], length), lo):
+            for i, at in enumerate(repeated_windows(pieces[lo:hi], x["a"][lo:hi], length), lo):
                 if x["known"][i] or not len(at):
                     continue
                 begins = np.flatnonzero(np.append(True, np.diff(at) > 1))
@@ -347,6 +324,8 @@ def _spans():
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
     """Texts in parts, and blocks by part with the byte ranges of repeats."""
+    if not 2 <= length <= 510:
+        raise ValueError("length must be from 2 to 510 bytes")
     held, _ = co.keyed(docs, id_col, text_col)
     parts = co.part_count(docs)
     held = co.in_parts(held, parts)
