@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Frees the shuffle files of a write as soon as that write has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch on its way to a Python worker, whose memory it multiplies.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 #: Rows up to which a dimension side may be broadcast; larger sides are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -26,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small: rows may hold very long texts."""
+    if int(str(spark.conf.get(BATCH[0])).rstrip("b")) > BATCH[1]:
+        spark.conf.set(*BATCH)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
