@@ -10,21 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifmill.llm import decontaminate, mixing, near_dedup, quality, substring_dedup
-from motifmill.plans.storage import materialize
+from motifmill.plans.storage import bounded_batches, materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
+    bounded_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group that shares 80 % of its five-word shingles."""
+    bounded_batches(spark)
     return near_dedup.keep_one_of_each(docs, percent=80, words=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 and more words stay where they occur first and are cut elsewhere."""
+    bounded_batches(spark)
     cut = substring_dedup.cut_repeats(docs, window=20)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(cut.schema["n_chars"].dataType))
@@ -33,6 +36,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, within its budget of edits, go."""
+    bounded_batches(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

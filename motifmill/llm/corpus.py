@@ -9,6 +9,7 @@ sent once. Answers go back to the documents in the same way, by part.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from motifmill.plans.storage import bucket_count, materialize
 
 U64 = np.uint64
 #: Stored input that one part or bucket stands for.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> tuple[DataFrame, bool]:
@@ -57,10 +58,20 @@ def part_of(uid: np.ndarray, parts: int) -> np.ndarray:
 
 
 BLOCKS = "at int, kind int, payload binary"
-_SCHEMA = pa.schema([("at", pa.int32()), ("kind", pa.int32()), ("payload", pa.large_binary())])
+
+
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give the memory of the group just done back to the system; a worker lives on with many others beside it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def blocks(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    release()
     at, kind, payload = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["at", "kind", "payload"])
 

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from motifmill.llm import ann, decontaminate, licences, mixing, near_dedup, quality, substring_dedup, suffix_dedup, tokens, url_filter
+from motifmill.plans.storage import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
