@@ -129,8 +129,9 @@ def repeated_windows(strings: list[bytes], anchor: np.ndarray, length: int) -> l
             hits_at.append(column - begin[hit])
     hits_row, hits_at = np.concatenate(hits_row), np.concatenate(hits_at)
     turn = np.lexsort((hits_at, hits_row))
-    cuts = np.searchsorted(hits_row[turn], np.arange(m + 1))
-    return [hits_at[turn][cuts[i] : cuts[i + 1]] for i in range(m)]
+    hits_row, hits_at = hits_row[turn], hits_at[turn]
+    cuts = np.searchsorted(hits_row, np.arange(m + 1))
+    return [hits_at[cuts[i] : cuts[i + 1]] for i in range(m)]
 
 
 def _describe(parts: int, length: int):
@@ -218,7 +219,7 @@ def _fetch(parts: int):
         key = (x["h"] >> shift).astype(np.int64)
         out = []
         for i, f in co.split_by(key, parts, x | {"at": np.arange(len(key))}):
-            out += [(i, 0, co.pack({k: f[k] for k in _WANTED})), (i, 1, b"".join(pieces[a] for a in f["at"]))]
+            out.append((i, 0, co.pack({k: f[k] for k in _WANTED}) + b"".join(pieces[a] for a in f["at"])))
         return pa.Table.from_batches([co.blocks(out)])
 
     return run
@@ -228,12 +229,11 @@ def _build(parts: int, length: int):
     """All wanted segments of a bucket -> ranges of repeated windows in segments that are there once, by part."""
 
     def run(table: pa.Table) -> pa.Table:
-        raws, texts = co.payloads(table, 0), co.payloads(table, 1)  # in pairs, as they were sent
         fields, pieces = [], []
-        for raw, text in zip(raws, texts, strict=True):
+        for raw in co.payloads(table, 0):  # the bytes stand behind the fields
             f = co.unpack([raw], _WANTED)
-            ends = np.cumsum(f["n"].astype(np.int64)).tolist()
-            pieces += [text[e - n : e] for e, n in zip(ends, f["n"].tolist(), strict=True)]
+            ends = (len(raw) - int(f["n"].sum(dtype=np.int64)) + np.cumsum(f["n"].astype(np.int64))).tolist()
+            pieces += [raw[e - n : e] for e, n in zip(ends, f["n"].tolist(), strict=True)]
             fields.append(f)
         x = {k: np.concatenate([f[k] for f in fields]) for k in _WANTED}
         order = np.argsort(x["h"], kind="stable")
