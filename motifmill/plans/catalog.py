@@ -20,7 +20,7 @@ _SQL: dict[str, str] = {}
 
 #: The derived tables: contigs are the texts' letters A, C, G and T; a read is a piece of its contig.
 _BASE = """genome AS (SELECT doc_id AS contig_id, regexp_replace(translate(coalesce(text, ''), 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM documents),
-reads AS (SELECT contig_id AS read_id, substr(seq, 1 + (contig_id * 7919) % length(seq), 7 + contig_id % 14) AS q FROM genome WHERE length(seq) > 0)"""
+reads AS (SELECT contig_id AS read_id, substr(seq, 1 + (contig_id * 7919) % greatest(length(seq), 1), 7 + contig_id % 14) AS q FROM genome WHERE length(seq) > 0)"""
 _SA = """pos AS (SELECT contig_id, seq || '$' AS t, unnest(range(0, length(seq) + 1)) AS pos FROM genome),
 sa AS (SELECT contig_id, t, pos, row_number() OVER (PARTITION BY contig_id ORDER BY substr(t, pos + 1)) - 1 AS i FROM pos)"""
 _BWT = """bwt0 AS (SELECT contig_id, i, pos,

@@ -60,7 +60,7 @@ def genome_of(documents: DataFrame) -> DataFrame:
 
 def reads_of(genome: DataFrame) -> DataFrame:
     """read_id, q: a substring of 7 to 20 symbols, fewer at a contig's end, of every contig that is not empty."""
-    start = 1 + F.col("contig_id") * 7919 % F.length("seq")
+    start = 1 + F.col("contig_id") * 7919 % F.greatest(F.length("seq"), F.lit(1))
     return genome.where(F.length("seq") > 0).select(F.col("contig_id").alias("read_id"), F.substring("seq", start.cast("int"), (7 + F.col("contig_id") % 14).cast("int")).alias("q"))
 
 
