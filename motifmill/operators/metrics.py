@@ -22,8 +22,8 @@ def run_metrics(runs: DataFrame, *, group: str, order: list[str], run: str, secs
         F.min(secs).alias("least"),
         F.avg(secs).alias("mean"),
         F.max(secs).alias("most"),
-        F.min(F.struct(secs, *order, F.col(run).alias("run")))["run"].alias("least_run"),
-        F.min(F.struct((-F.col(secs)).alias("s"), *order, F.col(run).alias("run")))["run"].alias("most_run"),
+        F.min(F.struct(secs, *order, F.col(run).alias("_which")))["_which"].alias("least_run"),
+        F.min(F.struct((-F.col(secs)).alias("s"), *order, F.col(run).alias("_which")))["_which"].alias("most_run"),
         F.stddev_pop(secs).alias("sd"),
     )
     return out.select(group, "runs", F.round("least", 6).alias("least"), F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"), "least_run", "most_run", F.round(100 * F.col("sd") / F.col("mean"), 4).alias("spread"))
