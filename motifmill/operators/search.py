@@ -8,20 +8,42 @@ from pyspark.sql import functions as F
 from motifmill.operators.index import D, Index, rank_of
 from motifmill.plans.storage import materialize, small_side
 
-CHUNK = 256
+#: Places in a chunk of a text, where patterns are short and where they are long: a substring's cost grows with its distance from the chunk's beginning.
+CHUNKS = (64, 256)
 #: Reads of at least so many symbols are found by seeds of that length; shorter ones by themselves.
 SEEDS = (12, 7)
+#: Reads of at most so many symbols are counted from the texts' k-mers of that length.
+SHORT = 7
 
 
 def _seed(length: int) -> int:
     return next((k for k in SEEDS if length >= k), length)
 
 
+def chunk_size(longest: int) -> int:
+    return CHUNKS[longest > CHUNKS[0]]
+
+
 def chunks(texts: DataFrame, longest: int, id_col: str, text_col: str) -> DataFrame:
     """id, base, part: overlapping pieces; a match belongs to the piece in which it starts."""
-    n = F.greatest(F.ceil(F.length(text_col) / CHUNK).cast("int"), F.lit(1))
+    size = chunk_size(longest)
+    n = F.greatest(F.ceil(F.length(text_col) / size).cast("int"), F.lit(1))
     placed = texts.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("c"))
-    return placed.select("id", (F.col("c") * CHUNK).cast("long").alias("base"), F.substring("t", F.col("c") * CHUNK + 1, F.lit(CHUNK + longest - 1)).alias("part"))
+    return placed.select("id", (F.col("c") * size).cast("long").alias("base"), F.substring("t", F.col("c") * size + 1, F.lit(size + longest - 1)).alias("part"))
+
+
+def _lengths(patterns: DataFrame) -> list[int]:
+    return [r[0] for r in patterns.select(F.length("q").alias("n")).where("n > 0").distinct().collect()]  # a few integers
+
+
+def _short_counts(texts: DataFrame, patterns: DataFrame, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
+    """q, n of patterns of at most SHORT symbols: each place's next symbols are summed up to counted k-mers, whose number the alphabet bounds."""
+    k = max(lengths)
+    parts = chunks(texts, k, id_col, text_col)
+    heads = parts.select("part", F.explode(F.sequence(F.lit(1), F.least(F.lit(chunk_size(k)), F.length("part")))).alias("p")).select(F.substring("part", F.col("p"), F.lit(k)).alias("head"))
+    counted = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    fits = counted.select("n", F.explode(F.array(*[F.when(F.length("head") >= m, F.substring("head", 1, m)) for m in sorted(lengths)])).alias("q")).where("q is not null")
+    return fits.join(small_side(patterns), "q").groupBy("q").agg(F.sum("n").alias("n"))
 
 
 def _matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
@@ -31,7 +53,7 @@ def _matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str)
     beginnings, then the whole pattern is compared. Only as many tiers as there are
     seed lengths in use; patterns are broadcast if their count allows it.
     """
-    lengths = [r[0] for r in patterns.select(F.length("q").alias("n")).where("n > 0").distinct().collect()]  # a few integers
+    lengths = _lengths(patterns)
     if not lengths:
         return None
     parts = materialize(chunks(texts, max(lengths), id_col, text_col), "chunks")
@@ -39,7 +61,7 @@ def _matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str)
     for k in sorted({_seed(n) for n in lengths}):
         tier = [n for n in lengths if _seed(n) == k]
         asked = patterns.where(F.length("q").isin(tier)).select("q", F.substring("q", 1, k).alias("seed"))
-        last = F.least(F.lit(CHUNK), F.length("part") - k + 1)
+        last = F.least(F.lit(chunk_size(max(lengths))), F.length("part") - k + 1)
         windows = parts.where(F.length("part") >= k).select("id", "base", "part", F.explode(F.sequence(F.lit(1), last)).alias("p"))
         windows = windows.withColumn("seed", F.substring("part", F.col("p"), F.lit(k)))
         hit = windows.join(small_side(asked), "seed")
@@ -62,21 +84,24 @@ def locate(texts: DataFrame, reads: DataFrame, *, id_col: str = "contig_id", tex
 def count_matches(texts: DataFrame, reads: DataFrame, *, id_col: str = "contig_id", text_col: str = "seq") -> DataFrame:
     """read_id, q, n: exact overlapping occurrences over all texts. 0 for absent reads, null for null and empty ones."""
     patterns = materialize(reads.select("q").where(F.length("q") > 0).distinct(), "patterns")
-    found = _matches(texts, patterns, id_col, text_col)
     empty = F.when(F.length("q") > 0, F.lit(0).cast("long"))
-    if found is None:
+    short = [n for n in _lengths(patterns) if n <= SHORT]
+    found = _matches(texts, patterns.where(F.length("q") > SHORT), id_col, text_col)
+    counts = [] if found is None else [found.groupBy("q").agg(F.count(F.lit(1)).alias("n"))]
+    if short:
+        counts.append(_short_counts(texts, patterns.where(F.length("q") <= SHORT), short, id_col, text_col))
+    if not counts:
         return reads.select("read_id", "q", empty.alias("n"))
-    counts = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts[0] if len(counts) == 1 else counts[0].unionByName(counts[1])
     return reads.join(counts, "q", "left").select("read_id", "q", F.coalesce("n", empty).alias("n"))
 
 
 def mapped(texts: DataFrame, reads: DataFrame, present: bool = True) -> DataFrame:
-    """Reads that occur (or do not), as a semi (anti) join."""
+    """Reads that occur (or do not), as a semi (anti) join with the patterns found; null and empty reads do not occur."""
     patterns = materialize(reads.select("q").where(F.length("q") > 0).distinct(), "patterns")
-    found = _matches(texts, patterns, "contig_id", "seq")
-    if found is None:
-        return reads.where(F.lit(not present))
-    return reads.join(materialize(found.select("q").distinct(), "found"), "q", "left_semi" if present else "left_anti").select("read_id", "q")
+    counted = count_matches(texts, patterns.withColumn("read_id", F.lit(0)))
+    found = materialize(counted.where("n > 0").select("q"), "found")
+    return reads.join(small_side(found), "q", "left_semi" if present else "left_anti").select("read_id", "q")
 
 
 def backward_search(index: Index, reads: DataFrame, d: int = D) -> DataFrame:
