@@ -85,9 +85,9 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     judged = judged.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     counts = judged.where("found is not null and host <> ''").groupBy("host").agg(F.count_if(F.col("found.verdict") == "allow").alias("allowed"), F.count_if(F.col("found.verdict") == "block").alias("blocked"))
     counts = materialize(counts, "host-seeds")
-    totals = counts.agg(F.coalesce(F.sum("allowed"), F.lit(0)).alias("all_allowed"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("all_blocked"))
-    share = "cast({0} as decimal(19, 0)) * cast({1} as decimal(13, 0)) div cast(greatest({2}, 1) as decimal(19, 0))"
-    seeds = counts.join(F.broadcast(totals)).select("host", F.expr(share.format("allowed", SCALE, "all_allowed")).alias("trust"), F.expr(share.format("blocked", SCALE, "all_blocked")).alias("distrust"))
+    all_allowed, all_blocked = counts.agg(F.sum("allowed"), F.sum("blocked")).first()  # two numbers
+    share = "cast({0} as decimal(19, 0)) * cast({1} as decimal(13, 0)) div cast({2} as decimal(19, 0))"
+    seeds = counts.select("host", F.expr(share.format("allowed", SCALE, all_allowed or 1)).alias("trust"), F.expr(share.format("blocked", SCALE, all_blocked or 1)).alias("distrust"))
     ranks = propagate(materialize(seeds, "host-start"), materialize(host_links(pages, url_col, html_col), "host-pairs"), steps)
     shut = materialize(ranks.where("distrust > trust").select("host", F.lit(True).alias("shut")), "host-shut")
     verdict = F.coalesce("found.verdict", F.when(F.col("shut"), "block").otherwise("allow"))
