@@ -56,17 +56,26 @@ def _matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str)
     lengths = _lengths(patterns)
     if not lengths:
         return None
-    parts = materialize(chunks(texts, max(lengths), id_col, text_col), "chunks")
+    longest = max(lengths)
+    size, far = chunk_size(longest), longest > CHUNKS[0]
+    parts = materialize(chunks(texts, longest, id_col, text_col), "chunks")
     out = None
     for k in sorted({_seed(n) for n in lengths}):
         tier = [n for n in lengths if _seed(n) == k]
         asked = patterns.where(F.length("q").isin(tier)).select("q", F.substring("q", 1, k).alias("seed"))
-        last = F.least(F.lit(chunk_size(max(lengths))), F.length("part") - k + 1)
-        windows = parts.where(F.length("part") >= k).select("id", "base", "part", F.explode(F.sequence(F.lit(1), last)).alias("p"))
+        # where patterns are long, places are made from short chunks, and the few that have a seed meet their long chunk again
+        near = chunks(texts, k, id_col, text_col) if far else parts
+        last = F.least(F.lit(chunk_size(k) if far else size), F.length("part") - k + 1)
+        windows = near.where(F.length("part") >= k).select("id", "base", "part", F.explode(F.sequence(F.lit(1), last)).alias("p"))
         windows = windows.withColumn("seed", F.substring("part", F.col("p"), F.lit(k)))
         hit = windows.join(small_side(asked), "seed")
-        if max(tier) > k:
-            hit = hit.where(F.substring("part", F.col("p"), F.length("q")) == F.col("q"))
+        whole = F.substring("part", F.col("p"), F.length("q")) == F.col("q")
+        if far:
+            placed = hit.select("id", "q", (F.col("base") + F.col("p") - 1).alias("pos"))
+            placed = placed.withColumn("base", F.col("pos") - F.col("pos") % size).withColumn("p", (F.col("pos") - F.col("base") + 1).cast("int"))
+            hit = placed.join(parts, ["id", "base"]).where(whole)
+        elif max(tier) > k:
+            hit = hit.where(whole)
         found = hit.select("id", (F.col("base") + F.col("p") - 1).alias("pos"), "q")
         out = found if out is None else out.unionByName(found)
     return out
