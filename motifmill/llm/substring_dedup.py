@@ -291,3 +291,18 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     run = _rewrite(window, [f"c{i}" for i in range(len(docs.columns))], docs.columns.index(text_col))
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     return held.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(run, schema).toDF(*docs.columns)
+
+
+#: What dedup_substrings gives for windows of 20 words.
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+keyed AS (SELECT doc_id, list_transform(range(1, len(ws) - 18), lambda s: md5(array_to_string(ws[s:s + 19], ' '))) AS keys FROM w WHERE len(ws) >= 20),
+win AS (SELECT doc_id, unnest(keys) AS k, unnest(range(1, len(keys) + 1)) AS s FROM keyed),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, s + j AS i FROM later, range(0, 20) t(j)),
+places AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+cut AS (SELECT p.doc_id, count(g.i) AS n_removed, string_agg(p.word, ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(c.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
+FROM w LEFT JOIN cut c ON c.doc_id = w.doc_id
+"""
