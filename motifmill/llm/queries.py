@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_dedup": near_dedup.NEAR_SQL, "op8_substring_dedup": substring_dedup.SUBSTRING_SQL, "op9_mixing": mixing.MIX_SQL, "op10_url_filter": url_filter.URL_SQL}
+    return {"op2_suffix_dedup": suffix_dedup.SUFFIX_SQL, "op7_near_dedup": near_dedup.NEAR_SQL, "op8_substring_dedup": substring_dedup.SUBSTRING_SQL, "op9_mixing": mixing.MIX_SQL, "op10_url_filter": url_filter.URL_SQL}

@@ -357,3 +357,20 @@ def repeat_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     held, ranges = _repeats(docs, id_col, text_col, length)
     ids = docs.schema[id_col].dataType.simpleString()
     return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_spans(), f"doc_id {ids}, start long, length long")
+
+
+#: What dedup_suffixes gives for strings of 200 bytes, over the texts' bytes in hexadecimal.
+SUFFIX_SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+keyed AS (SELECT doc_id, list_transform(range(0, len(x) // 2 - 199), lambda p: md5(substr(x, 2 * p + 1, 400))) AS keys FROM t WHERE len(x) >= 400),
+win AS (SELECT doc_id, unnest(keys) AS k, unnest(range(0, len(keys))) AS s FROM keyed),
+repeated AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1),
+places AS (SELECT doc_id, unnest(range(0, len(x) // 2)) AS i, unnest(list_transform(range(0, len(x) // 2), lambda p: substr(x, 2 * p + 1, 2))) AS b FROM t),
+flagged AS (SELECT p.doc_id, p.i, p.b, coalesce(p.i - max(r.s) OVER (PARTITION BY p.doc_id ORDER BY p.i) < 200, false) AS gone
+  FROM places p LEFT JOIN repeated r ON r.doc_id = p.doc_id AND r.s = p.i),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM flagged),
+cut AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM runs GROUP BY doc_id)
+SELECT t.doc_id, (len(t.x) // 2)::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(c.kept, ''))) AS kept_sha256
+FROM t LEFT JOIN cut c ON c.doc_id = t.doc_id
+"""
