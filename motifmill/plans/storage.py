@@ -30,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the session's Arrow batches small: rows may hold very long texts."""
-    if int(str(spark.conf.get(BATCH[0])).rstrip("b")) > BATCH[1]:
+    sizes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    now = sizes.byteStringAsBytes(str(spark.conf.get(BATCH[0])))
+    if now <= 0 or now > BATCH[1]:
         spark.conf.set(*BATCH)
 
 
