@@ -54,7 +54,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), steps=None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,6 @@
 """Nearest neighbours, URL filters and the pipeline."""
 
+import functools
 import math
 import random
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from motifmill.llm import ann, decontaminate, quality, url_filter
+from motifmill.llm import ann, decontaminate, quality, queries, url_filter
 
 from . import brute
 
@@ -100,6 +101,63 @@ def test_distrust_goes_to_those_that_link_to_blocked_hosts(spark):
     assert got == {0: ("good.org/", "allow"), 1: ("bad.net/", "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow")}
 
 
+def shut_by_links(spark, tmp_path, monkeypatch, links, rules):
+    """By the registered query: hosts that no rule judges: those blocked, and those that should be, from ranks solved as linear systems. One page a host."""
+    hosts = sorted({h for e in links for h in e})
+    given = {r.rstrip("/"): v for v, r in rules}
+    rows = [(k, f"http://{h}/", "".join(f"<a href=//{b}/>" for a, b in sorted(links) if a == h)) for k, h in enumerate(hosts)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(url_filter, "judge_urls", functools.partial(url_filter.judge_urls, rules=rules))
+    judged = queries.op10_url_filter(spark, str(tmp_path)).collect()
+    assert len(judged) == len(hosts)
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b in links:
+        m[hosts.index(b), hosts.index(a)] = 1
+    rank = []
+    for step, kind in ((m / np.maximum(m.sum(0), 1), "allow"), (m.T / np.maximum(m.sum(1), 1), "block")):
+        seed = np.array([given.get(h) == kind for h in hosts], float)
+        rank.append(np.linalg.solve(np.eye(len(hosts)) - 0.85 * step, 0.15 * seed / max(seed.sum(), 1)))
+    want = {h for h, t, d in zip(hosts, *rank, strict=True) if h not in given and d > t * (1 + 1e-9)}
+    return {r.host for r in judged if r.rule is None and r.verdict == "block"}, want
+
+
+def chain(*hosts):
+    return set(zip(hosts, hosts[1:], strict=False))
+
+
+def test_distrust_reaches_any_distance_and_share(spark, tmp_path, monkeypatch):
+    """13 links to a blocked host, and 7 links through hosts that 100 hosts link to."""
+    far, wide = [f"f{k}.com" for k in range(13)], [f"w{k}.com" for k in range(8)]
+    crowd = {(f"c{k}-{j}.com", w) for k, w in enumerate(wide[1:]) for j in range(99)}
+    got, want = shut_by_links(spark, tmp_path, monkeypatch, chain(*far, "bad.net") | chain(*wide, "bad.net") | crowd, (("allow", "good.org/"), ("block", "bad.net/")))
+    assert got == {*far, *wide, *(c for c, _ in crowd)}
+    assert want <= got
+
+
+def test_settled_ranks_decide(spark, tmp_path, monkeypatch):
+    """Eight links before a blocked host the settled distrust is 0.041, the remainder of eight rounds 0.27, and the trust 0.064."""
+    near = [f"n{k}.com" for k in range(8)]
+    got, want = shut_by_links(spark, tmp_path, monkeypatch, chain(*near, "bad.net") | {("good.org", near[0]), ("good.org", "other.org")}, (("allow", "good.org/"), ("block", "bad.net/")))
+    assert near[0] not in got and got == want
+
+
+def test_ranks_on_cycles(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    hosts = [f"h{k}.com" for k in range(60)]
+    links = {(a, b) for a in hosts for b in rng.sample(hosts, rng.randint(0, 3)) if a != b} | chain("t.com", "h7.com", "t.com")
+    rules = tuple((("allow", "block")[k % 2], f"h{k}.com/") for k in range(6))
+    got, want = shut_by_links(spark, tmp_path, monkeypatch, links, rules)
+    assert got == want and 5 < len(want) < 50
+
+
+def test_equal_ranks_are_allowed(spark, tmp_path, monkeypatch):
+    """A host as far from the trusted host as from the blocked one, on a cycle of links that never ends."""
+    monkeypatch.setattr(url_filter, "EQUAL", 1e-3)  # fewer rounds
+    links = {("good.org", "even.com"), ("even.com", "bad.net"), ("good.org", "bad.net"), ("bad.net", "good.org")}
+    got, want = shut_by_links(spark, tmp_path, monkeypatch, links, (("allow", "good.org/"), ("block", "bad.net/")))
+    assert got == want == set()
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Every stage on what the stage before it kept, against brute force."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("uid", F.lit("extra"))
