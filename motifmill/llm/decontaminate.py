@@ -3,7 +3,8 @@
 A passage within ``budget`` edits of a test item leaves at least one of budget + 1
 pieces of the item untouched. So the items are cut into such pieces, all places of
 a text are hashed at once and looked up among the pieces' beginnings, and around
-every exact piece the item is aligned with Myers' bit-parallel algorithm.
+every exact piece the item is aligned with Myers' bit-parallel algorithm. Short items
+that allow no edits are looked up whole, between the ends of words.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from motifmill.llm import textscan as ts
 from motifmill.llm.minhash import FOLD
 
 U64 = np.uint64
-#: Edits allowed per byte of the item; shortest piece; shortest item that says anything about a text.
+#: Edits allowed per byte of the item; shortest piece; shortest item that counts inside words when it allows no edits.
 RATE, LEAST_PIECE, LEAST_ITEM = 0.08, 11, 32
 #: Bytes of items that one pass over the documents looks for.
 PASS_BYTES = 4 << 20
@@ -115,10 +116,71 @@ class Index:
         return np.unique(found, axis=0)
 
 
-def matches(index: Index, masks: dict[int, dict], column: pa.Array) -> Iterator[tuple[int, int, int]]:
+#: ASCII letters and digits: between two of them no word ends.
+_WORD = np.zeros(256, bool)
+_WORD[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_BLOCK = 1 << 20
+
+
+@dataclass
+class WholeIndex:
+    """Short items that allow no edits, by size and hash; items with equal texts share an entry."""
+
+    ids: list
+    items: list[bytes]
+    budgets: list[int]
+    owners: list[list[int]]
+    sizes: list[tuple[int, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, rows: list[tuple[object, bytes]], rate: float) -> WholeIndex:
+        owners: dict[bytes, list[int]] = {}
+        for i, (_, x) in enumerate(rows):
+            owners.setdefault(x, []).append(i)
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for entry, x in enumerate(owners):
+            by_size.setdefault(len(x), []).append((int(ts.gram_hash(np.frombuffer(x, np.uint8), len(x))[0]), entry))
+        sizes = [(k, np.array([h for h, _ in sorted(v)], U64), np.array([e for _, e in sorted(v)], np.int64)) for k, v in sorted(by_size.items())]
+        return cls([r[0] for r in rows], list(owners), [0] * len(rows), list(owners.values()), sizes)
+
+    def found(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) of every item that stands in a text, its ends not inside a run of ASCII letters and digits; ascending texts."""
+        n, most = len(data), self.sizes[-1][0]
+        inside = np.zeros(n + 1, bool)
+        inside[1:n] = _WORD[data[1:]] & _WORD[data[:-1]]
+        inside[offsets] = False
+        hits: set[tuple[int, int]] = set()
+        for b in range(0, n, _BLOCK):
+            part = data[b : b + _BLOCK + most]
+            starts = np.flatnonzero(~inside[b : min(b + _BLOCK, n)] & (part[:_BLOCK] != 32))
+            text = np.searchsorted(offsets, starts + b, "right") - 1
+            hash_of = ts.run_hash(part)
+            for size, hashes, entries in self.sizes:
+                fits = starts + b + size <= offsets[text + 1]
+                at, of = starts[fits], text[fits]
+                ends = ~inside[at + b + size]
+                at, of = at[ends], of[ends]
+                h = hash_of(at, size)
+                k = np.searchsorted(hashes, h)
+                k[k == len(hashes)] = 0
+                same = hashes[k] == h
+                at, of, k = at[same], of[same], entries[k[same]]
+                for j in np.unique(np.stack([of, k], 1), axis=0, return_index=True)[1].tolist():
+                    if part[at[j] : at[j] + size].tobytes() == self.items[k[j]]:
+                        hits.add((int(of[j]), int(k[j])))
+        for doc, entry in sorted(hits):
+            for i in self.owners[entry]:
+                yield doc, i
+
+
+def matches(index: Index | WholeIndex, masks: dict[int, dict], column: pa.Array) -> Iterator[tuple[int, int, int]]:
     """(row, item's number, least edits) of every row and item within the item's budget."""
     for lo, _, data, offsets in ts.slices(column):
         data, offsets = ts.squeezed(data, offsets, FOLD)
+        if isinstance(index, WholeIndex):
+            for doc, i in index.found(data, offsets):
+                yield lo + doc, i, 0
+            continue
         found = index.places(data, offsets)
         if not len(found):
             continue
@@ -142,27 +204,32 @@ def matches(index: Index, masks: dict[int, dict], column: pa.Array) -> Iterator[
                 yield lo + doc, i, min(got)
 
 
-def item_passes(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, bytes]]]:
-    """The test items in groups of bounded size; the driver holds one group at a time."""
-    group, size = [], 0
+def item_passes(items: DataFrame, id_col: str, text_col: str, rate: float) -> Iterator[Index | WholeIndex]:
+    """The test items in groups of bounded size, short ones that allow no edits apart; the driver holds a group of each kind at a time."""
+    groups: dict[type, list] = {Index: [], WholeIndex: []}
+    sizes = dict.fromkeys(groups, 0)
     for item_id, text in items.select(id_col, text_col).toLocalIterator():
         text = normalised(text)
-        if len(text) < LEAST_ITEM:
+        if not text:
             continue
-        group.append((item_id, text))
-        size += len(text)
-        if size >= PASS_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+        kind = WholeIndex if len(text) < LEAST_ITEM and not edit_budget(len(text), rate) else Index
+        groups[kind].append((item_id, text))
+        sizes[kind] += max(len(text), LEAST_ITEM)
+        if sizes[kind] >= PASS_BYTES:
+            yield kind.of(groups[kind], rate)
+            groups[kind], sizes[kind] = [], 0
+    for kind, group in groups.items():
+        if group:
+            yield kind.of(group, rate)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
     """doc_id, item_id, edits, budget: every document that holds a test item within its budget of edits.
 
     Edits count bytes of the normalised texts (A-Z lowered, white space runs as one
-    blank). Items of fewer than LEAST_ITEM such bytes, null ones too, take no part.
+    blank). Items of fewer than LEAST_ITEM such bytes that allow no edits (at the usual
+    rate those under 22) count as whole words only: where no ASCII letter or digit at
+    their ends runs on into another. Empty items, null ones too, take no part.
     Null and empty texts hold nothing; repeated rows are reported each, as are items
     with equal texts; a null id stays null. Other columns are not read. Test items go
     to the executors in passes of at most PASS_BYTES and one item; with none the
@@ -172,8 +239,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     schema = f"doc_id {ids}, item_id {item_ids}, edits long, budget long"
     spark, out = docs.sparkSession, None
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    for group in item_passes(items, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast(Index.of(group, rate))
+    for index in item_passes(items, item_id_col, item_text_col, rate):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, masks = shared.value, {}
@@ -192,8 +259,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", ite
     """The rows of ``docs``, all columns, that hold no test item. One scan a pass and no shuffle."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for group in item_passes(items, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast(Index.of(group, rate))
+    for index in item_passes(items, item_id_col, item_text_col, rate):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, masks = shared.value, {}

@@ -7,7 +7,7 @@ of its own whose hashes are computed block by block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -231,6 +231,19 @@ def gram_hash(data: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+_run: dict[str, np.ndarray] = {}
+
+
+def run_hash(data: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """A function of (starts, q) that gives gram_hash's values at ``starts``; the sums are made once for all q."""
+    n = len(data) + 1
+    if len(_run.get("grow", ())) < n:
+        _run["grow"], _run["shrink"] = powers(_MULT)(np.arange(n)), powers(inverse(_MULT))(np.arange(n))
+    sums = np.zeros(n, U64)
+    np.cumsum(_byte_table(0)[data] * _run["grow"][: n - 1], out=sums[1:])
+    return lambda starts, q: (sums[starts + q] - sums[starts]) * _run["shrink"][starts]
+
+
 def squeezed(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Texts with each run of ASCII white space as one blank and none in front; bytes mapped by ``fold``."""
     if not len(data):

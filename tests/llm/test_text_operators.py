@@ -1,6 +1,7 @@
 """The operators on documents against brute force, on ordinary and on odd tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +267,30 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(table(spark, docs), none).count() == 0 and decontaminate.drop_leaks(table(spark, docs), none).count() == len(docs)
 
 
+def test_short_items(spark):
+    """Items under 32 bytes: whole words without edits, one edit from 22 bytes on; beside long items and in texts over one block."""
+    exact, one = "what is 6 times 7?", "name the capital of peru"
+    items = [(0, exact), (1, one), (2, "a"), (3, "größe"), (4, "größe "), (5, None), (6, " \n"), (7, "(ii)"), (8, "日本"), (9, "is 6"), (10, "which river flows through the town of " + one)]
+    say = "xx " * 400_000
+    docs = [(0, "So: What  is\n6 times 7? No."), (1, "what is 6 times 77?"), (2, "name the capitol of Peru."), (3, "name thecapital of per u"), (4, "cat"), (5, "A"), (6, "x-a."), (7, "größere Größe, größe"), (8, "größer"), (9, "z(II)z"), (10, "この日本語"), (11, None), (12, ""), (13, say + exact), (14, say[:-1]), (15, "what"), (16, "is 6"), (17, "a" * 50), (18, "xname the capital of perux")]
+    docs += [(19, "x" * ((1 << 20) - 2) + exact), (20, "x" * ((1 << 20) - 9) + " " + exact + " y")]
+    want = []
+    for i, t in docs:
+        t = decontaminate.normalised(t)
+        for k, x in items:
+            x = decontaminate.normalised(x)
+            budget = decontaminate.edit_budget(len(x))
+            if x and (budget and len(t) < 1000 and (e := brute.least_edits(x, t)) <= budget):
+                want.append((i, k, e, budget))
+            elif x and not budget and re.search(rb"(?<![0-9a-z])" * x[:1].isalnum() + re.escape(x) + rb"(?![0-9a-z])" * x[-1:].isalnum(), t):
+                want.append((i, k, 0, 0))
+    assert {(0, 0), (2, 1), (5, 2), (7, 3), (7, 4), (9, 7), (10, 8), (13, 0), (18, 1), (20, 0)} <= {x[:2] for x in want} and not {1, 4, 8, 17, 19} & {x[0] for x in want if x[1] not in (9,)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(table(spark, docs), bench)
+    same([tuple(r) for r in got.collect()], want)
+    same([r.doc_id for r in decontaminate.drop_leaks(table(spark, docs), bench).collect()], [i for i, _ in docs if i not in {x[0] for x in want}])
+
+
 def test_passes_over_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 10)
     test_decontamination(spark)
