@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motifmill.functions.encode import kmer_code
 from motifmill.operators import suffix
 from motifmill.plans.storage import materialize
+from motifmill.sources.sequences import input_key
 
 D = 64
 TABLES = ("meta", "bwt", "c_table", "occ", "lut")
@@ -92,12 +93,12 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
 
 
-_built: dict[tuple[str, str], Index] = {}
+_built: dict[tuple, Index] = {}
 
 
 def index_of(genome: DataFrame, sf_dir: str) -> Index:
-    """The index of a data directory's derived reference, built once a session."""
-    key = (genome.sparkSession.sparkContext.applicationId, sf_dir)
+    """The index of a data directory's derived reference, built once a session and state of its files."""
+    key = input_key(genome.sparkSession, sf_dir)
     if key not in _built:
         _built[key] = Index.build(genome)
     return _built[key]

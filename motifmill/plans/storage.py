@@ -77,6 +77,17 @@ def _clear() -> None:
             continue
 
 
+def file_state(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """Names, sizes and modification times of the files that ``df`` reads, by Spark's file system; no job runs."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a materialised dimension for broadcast if its counted rows allow it; else leave the join to shuffle."""
     return F.broadcast(df) if df.count() <= limit else df

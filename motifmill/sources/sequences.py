@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifmill.plans.storage import materialize
+from motifmill.plans.storage import file_state, materialize
 
 ALPHABET = "ACGT"
 
@@ -64,12 +64,17 @@ def reads_of(genome: DataFrame) -> DataFrame:
     return genome.where(F.length("seq") > 0).select(F.col("contig_id").alias("read_id"), F.substring("seq", start.cast("int"), (7 + F.col("contig_id") % 14).cast("int")).alias("q"))
 
 
-_genomes: dict[tuple[str, str], DataFrame] = {}
+_genomes: dict[tuple, DataFrame] = {}
+
+
+def input_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """Changes with the session and with the files of a data directory's documents."""
+    return spark.sparkContext.applicationId, sf_dir, file_state(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived reference of a data directory, written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The derived reference of a data directory, written once a session and state of its files."""
+    key = input_key(spark, sf_dir)
     if key not in _genomes:
         _genomes[key] = materialize(genome_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), "genome")
     return _genomes[key]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motifmill.operators import index as ix
 from motifmill.operators import metrics, search, suffix
+from motifmill.plans import catalog
 from motifmill.sources import sequences as sq
 
 D1 = "CCGGAGCCCAGC"
@@ -136,3 +137,19 @@ def test_run_metrics(spark):
     got = {r.g: r for r in metrics.run_metrics(runs, group="g", order=["run"], run="run", secs="secs").collect()}
     assert set(got) == {"a"} and (got["a"].least, got["a"].most, got["a"].least_run, got["a"].most_run) == (2.0, 4.0, 1, 2)
     assert got["a"].spread == pytest.approx(35.3553, abs=1e-3)
+
+
+def test_rewritten_documents(spark, tmp_path):
+    """Derived tables follow the documents at a path; while those stay, they are not built again."""
+    queries, path = catalog.queries(), str(tmp_path)
+
+    def write(text):
+        spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/documents.parquet")
+
+    write("GATTACA")
+    first = ix.index_of(sq.genome(spark, path), path)
+    assert queries["bwt_string"](spark, path).first().b0 == "ACTGA$TA"
+    assert ix.index_of(sq.genome(spark, path), path) is first
+    write("AAAA")
+    assert queries["reference_scan"](spark, path).first().seq == "AAAA"
+    assert queries["bwt_string"](spark, path).first().b0 == "AAAA$"
