@@ -5,24 +5,32 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Frees the shuffle files of a write as soon as that write has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an Arrow batch on its way to a Python worker, whose memory it multiplies.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
-#: Rows up to which a dimension side may be broadcast; larger sides are joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Rows, and bytes of their values, up to which a dimension side may be broadcast; larger sides are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
+#: A size estimate from which on Catalyst knows nothing.
+UNKNOWN_BYTES = 1 << 50
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder is set only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder stands in for it only where driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="motifmill-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -62,6 +70,18 @@ def discard(df: DataFrame) -> None:
             _made.remove(made)
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that ``materialize`` makes inside go at the end: for work whose result is written or collected inside."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for made in _made[before:]:
+            _delete(*made)
+        del _made[before:]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -88,17 +108,25 @@ def file_state(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
     return tuple(out)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a materialised dimension for broadcast if its counted rows allow it; else leave the join to shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a materialised dimension for broadcast if its counted rows and bytes allow it; else leave the join to shuffle."""
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's strings and binaries, and 16 for each column."""
+    wide = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    return sum((F.coalesce(c, F.lit(0)) for c in wide), F.lit(16 * len(df.columns)).cast("long"))
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of ``df``, for which no job runs; where it knows nothing (it then says exabytes), the rows' bytes are summed."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
 
 
-def bucket_count(df: DataFrame, bytes_each: int, least: int = 16, most: int = 1 << 16) -> int:
-    """Power of two so that a hash bucket of ``df`` stands for about ``bytes_each`` of the stored input."""
-    need = max(1, input_bytes(df) // bytes_each)
-    return min(most, max(least, 1 << (need - 1).bit_length()))
+def bucket_count(df: DataFrame, bytes_each: int, least: int = 16) -> int:
+    """Power of two so that a hash bucket of ``df`` stands for at most ``bytes_each`` of the stored input, however large that is."""
+    need = max(1, -(-input_bytes(df) // bytes_each))
+    return max(least, 1 << (need - 1).bit_length())
