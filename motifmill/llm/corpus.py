@@ -31,8 +31,9 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
 
     uid is a unique bigint that sorts as the id. Unique integer ids serve as they
     are. Otherwise (null, repeated or other ids) rows are numbered in the order of
-    (id, nulls first; hash of the text): rows that share an id are documents of
-    their own. A null text is empty.
+    (id, nulls first; hash of the text; place in the input, so that a range of equal
+    rows spreads over partitions): rows that share an id are documents of their own.
+    A null text is empty.
     """
     held = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if rows else []
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *held)
@@ -40,7 +41,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
         n, different = docs.select(F.col(id_col).alias("i")).agg(F.count(F.lit(1)), F.count_distinct("i")).first()
         if n == different:
             return base.withColumn("uid", F.col("doc_id").cast("long")), True
-    ordered = base.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    placed = base.withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "place").drop("place")
     return materialize(ordered.withColumn("uid", F.monotonically_increasing_id()), "uids"), False
 
 

@@ -7,7 +7,8 @@ of its own whose hashes are computed block by block.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,6 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
-_BLOCK = 1 << 20
-_MULT = 0x9E3779B97F4A7C15 | 1
-_WORD_MULT = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 
 #: ASCII white space: blank and \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
@@ -72,96 +70,76 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """mult ** e modulo 2**64 for arrays of e, from two tables."""
-
-    def __init__(self, mult: int):
-        self.mult = mult % 2**64
-        self.low = self._table(self.mult, 1 << 16)
-        self.step = pow(self.mult, 1 << 16, 2**64)
-        self.high = self._table(self.step, 16)
-
-    @staticmethod
-    def _table(mult: int, n: int) -> np.ndarray:
-        out = np.full(n, mult, U64)
-        out[0] = 1
-        return np.multiply.accumulate(out, dtype=U64)
-
-    def __call__(self, e: np.ndarray) -> np.ndarray:
-        if not len(e):
-            return np.zeros(0, U64)
-        top = int(e.max()) >> 16
-        if not top:
-            return self.low[e]
-        if top >= len(self.high):
-            self.high = self._table(self.step, 2 * top)
-        return self.low[e & 0xFFFF] * self.high[e >> 16]
-
-
-_powers: dict[int, _Powers] = {}
-
-
-def powers(mult: int) -> _Powers:
-    if mult not in _powers:
-        _powers[mult] = _Powers(mult)
-    return _powers[mult]
-
-
-def inverse(mult: int) -> int:
-    return pow(mult, -1, 2**64)
-
-
-_tables: dict[int, np.ndarray] = {}
-_block: dict[int, np.ndarray] = {}
-
-
-def _byte_table(salt: int) -> np.ndarray:
-    if salt not in _tables:
-        _tables[salt] = mix((np.arange(1, 257, dtype=U64) + U64(salt << 32)) * U64(_MULT)) | U64(1)
-    return _tables[salt]
-
-
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, mixed: bool = True) -> np.ndarray:
-    """64-bit hash of data[start:end] for ascending starts and ascending ends, in linear time, whatever the spans' lengths."""
-    table, n = _byte_table(salt), len(data)
-    if "pow" not in _block:
-        _block["pow"] = powers(_MULT)(np.arange(_BLOCK))
-    grow = _block["pow"]
-    at_start, at_end = np.zeros(len(starts), U64), np.zeros(len(ends), U64)
-    carry, scale = U64(0), 1
-    for b in range(0, n, _BLOCK):
-        part = table[data[b : b + _BLOCK]]
-        part *= grow[: len(part)]
-        sums = np.empty(len(part) + 1, U64)
-        sums[0] = 0
-        np.cumsum(part, out=sums[1:])
-        if scale != 1:
-            sums *= U64(scale)
-        sums += carry
-        i, j = np.searchsorted(starts, (b, b + _BLOCK))
-        at_start[i:j] = sums[starts[i:j] - b]
-        i, j = np.searchsorted(ends, (b + 1, b + _BLOCK + 1))
-        at_end[i:j] = sums[ends[i:j] - b]
-        carry, scale = sums[-1], scale * pow(_MULT, _BLOCK, 2**64) % 2**64
-    at_end -= at_start
-    at_end *= powers(inverse(_MULT))(starts)
-    if mixed:
-        at_end ^= (ends - starts).astype(U64) * U64(0xFF51AFD7ED558CCD)
-        mix(at_end)
-    return at_end
+#: Odd multipliers of the two sides of ``pair`` and of a lane, by salt.
+_LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+_LANE = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
+_SALT = (U64(0x2D358DCCAA6C78A5), U64(0x8BB84B93962EACC9))
+#: Bytes from which a span is hashed by BLAKE2 on its own: the lanes of all spans go in step.
+_LONG = 4096
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 64-bit values that begin at every byte, zeros behind the end; a view on a copy of ``data``."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def _low(size: np.ndarray) -> np.ndarray:
+    """Masks of the low ``size`` bytes of a lane, size from 1 to 8."""
+    return U64(2**64 - 1) >> ((8 - size).astype(U64) << U64(3))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end], in time linear in the spans' bytes.
+
+    Eight bytes a step are multiplied and folded into the state, which mixes it
+    between steps: no sum or polynomial that texts made of two words can balance.
+    """
+    size = np.asarray(ends, np.int64) - starts
+    h = mix(size.astype(U64) * _LANE[salt] + _SALT[salt])
+    if not len(size):
+        return h
+    view = lanes(data)
+    long = np.flatnonzero(size > _LONG)
+    for i in long.tolist():
+        raw = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([salt])).digest()
+        h[i] ^= np.frombuffer(raw, "<u8")[0]
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left, state = np.asarray(starts, np.int64)[live], size[live], h[live]
+    while len(live):
+        lane = view[at] & _low(np.minimum(left, 8))
+        state ^= lane
+        state *= _LANE[salt]
+        state ^= state >> U64(32)
+        state *= _LEFT
+        state ^= state >> U64(29)
+        more = left > 8
+        if not more.all():
+            h[live[~more]] = state[~more]
+            live, at, left, state = live[more], at[more], left[more], state[more]
+        at, left = at + 8, left - 8
+    return mix(h)
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order."""
+    h = a * _LEFT
+    h += (b ^ (b >> U64(31))) * _RIGHT
+    h ^= h >> U64(29)
+    return h
 
 
 def window_hash(items: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hash of each run of k consecutive items (64-bit values)."""
+    """Hash of each run of k consecutive items (64-bit values), from runs of 1, 2, 4, ...; the last two may overlap."""
     n = len(items) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    mult = _WORD_MULT[salt] | 1
-    sums = np.zeros(len(items) + 1, U64)
-    np.cumsum(items * powers(mult)(np.arange(len(items))), out=sums[1:])
-    out = sums[k:] - sums[:n]
-    out *= powers(inverse(mult))(np.arange(n))
-    return mix(out)
+    have, h = 1, items ^ _SALT[salt]
+    while 2 * have <= k:
+        h = pair(h[:-have], h[have:])
+        have *= 2
+    return mix(pair(h[:n], h[k - have : k - have + n]))
 
 
 def window_ok(first: np.ndarray, k: int) -> np.ndarray:
@@ -203,47 +181,28 @@ def xxhash64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
 
 
 _GRAM_BLOCK = 1 << 17
-_gram: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def gram_hash(data: np.ndarray, q: int) -> np.ndarray:
-    """64-bit hash of every run of q bytes, block by block with the blocks overlapping by q - 1."""
+    """64-bit hash of every run of q bytes, block by block with the blocks overlapping by q - 1; from runs of 8, 16, 32, ..., the last two may overlap."""
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, U64)
-    size = max(_GRAM_BLOCK, 4 * q)
-    if size not in _gram:
-        at = np.arange(size + q + 1)
-        _gram[size] = (powers(_MULT)(at), powers(inverse(_MULT))(at))
-    grow, shrink = _gram[size]
-    if len(grow) < size + q:
-        at = np.arange(size + q + 1)
-        grow, shrink = _gram[size] = (powers(_MULT)(at), powers(inverse(_MULT))(at))
-    table, out = _byte_table(0), np.empty(n, U64)
+    size, out = max(_GRAM_BLOCK, 4 * q), np.empty(n, U64)
     for b in range(0, n, size):
-        part = table[data[b : min(b + size, n) + q - 1]]
-        part *= grow[: len(part)]
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum(part, out=sums[1:])
-        own = sums[q:] - sums[: len(sums) - q]
-        own *= shrink[: len(own)]
-        out[b : b + len(own)] = own
+        part = data[b : min(b + size, n) + q - 1]
+        own = len(part) - q + 1
+        if q <= 8:
+            out[b : b + own] = mix(lanes(part)[:own] & _low(np.int64(q)))
+            continue
+        have, h = 8, mix(lanes(part)[: len(part) - 7].copy())
+        while 2 * have <= q:
+            h = pair(h[:-have], h[have:])
+            have *= 2
+        out[b : b + own] = pair(h[:own], h[q - have : q - have + own])
     return out
 
 
-_run: dict[str, np.ndarray] = {}
-
-
-def run_hash(data: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
-    """A function of (starts, q) that gives gram_hash's values at ``starts``; the sums are made once for all q."""
-    n = len(data) + 1
-    if len(_run.get("grow", ())) < n:
-        _run["grow"], _run["shrink"] = powers(_MULT)(np.arange(n)), powers(inverse(_MULT))(np.arange(n))
-    sums = np.zeros(n, U64)
-    np.cumsum(_byte_table(0)[data] * _run["grow"][: n - 1], out=sums[1:])
-    return lambda starts, q: (sums[starts + q] - sums[starts]) * _run["shrink"][starts]
-
-
 def squeezed(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Texts with each run of ASCII white space as one blank and none in front; bytes mapped by ``fold``."""
     if not len(data):
