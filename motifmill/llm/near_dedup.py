@@ -10,17 +10,18 @@
 3. Verification: signatures are compared in batches. After each batch a pair goes if
    the posterior probability that its similarity reaches the threshold is below
    ``miss``. What is left is verified on the full sets.
-4. What the leaders did not connect: pairs of one bucket that lie in different
-   components are compared too, block against block, and verified alike, by the
-   executor that holds the bucket. No other pair can change a component, and only
-   links that join components leave the bucket.
+4. What the leaders did not connect: in a bucket that holds several components, the
+   members outside the largest one are compared with all members of other
+   components, block against block, and verified alike, by the executor that holds
+   the block. No other pair can change a component, members of the largest one do
+   not meet each other, and only links that join components leave a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,30 @@ from motifmill.llm.components import components
 from motifmill.plans.storage import discard, materialize, small_side
 
 U64 = np.uint64
-ROWS, BANDS, BATCH = 4, 24, 16
+#: Signature values, and those compared at a time.
+WIDTH, BATCH = 96, 16
+#: Chance at most that a pair right at the threshold shares no band.
+LOST = 4e-6
 #: Members of a bucket, and shingles in their sets, that make one block of it.
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 MISS = 1e-9
 
 
+def banding(percent: int, width: int = WIDTH, lost: float = LOST) -> tuple[int, int]:
+    """(rows, bands): the longest bands of which a pair at the threshold misses all with probability ``lost`` at most.
+
+    With t = percent / 100 that is (1 - t ** rows) ** bands. Where even bands of one
+    row out of ``width`` would lose more, there are as many as it takes.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    t = percent / 100
+    for rows in range(8, 0, -1):
+        if (1 - t**rows) ** (width // rows) <= lost:
+            return rows, width // rows
+    return 1, ceil(log(lost) / log(1 - t))
+
+
 @lru_cache(maxsize=16)
 def least_matches(n: int, percent: int, miss: float) -> int:
     """Matches out of n from which a pair stays: P(similarity >= threshold | matches) >= miss under a uniform prior.
@@ -69,7 +88,17 @@ def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def sketches(docs: DataFrame, words: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """Bucket keys of every signature (a row each), one a band."""
+    bands = sig.shape[1] // rows
+    values = sig.reshape(len(sig), bands, rows).astype(U64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=U64), (len(sig), bands)).copy()
+    for r in range(rows):
+        key = ts.pair(key, values[:, :, r])
+    return ts.mix(key).view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
     """uid, doc_id, n_shingles, h1, h2 (hash of the set), sig, keys (one bucket key a band); sig and keys are null without shingles. docs: uid, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,20 +107,17 @@ def sketches(docs: DataFrame, words: int, rows: int = ROWS, bands: int = BANDS)
             for lo, hi, data, offsets in ts.slices(batch.column(2)):
                 h, at = mh.shingle_sets(data, offsets, words)
                 again = ts.mix(h * U64(0x9FB21C651E98DF25))
-                for i in range(hi - lo):
-                    own = h[at[i] : at[i + 1]]
-                    size.append(len(own))
-                    h1.append(int(own.sum(dtype=U64).view(np.int64)) if len(own) else 0)
-                    h2.append(int(again[at[i] : at[i + 1]].sum(dtype=U64).view(np.int64)) if len(own) else 0)
-                    if not len(own):
-                        sigs.append(None)
-                        keys.append(None)
-                        continue
-                    sig = mh.signature(own, rows * bands)
-                    sigs.append(sig.tobytes())
-                    folded = ts.span_hash(sig.view(np.uint8), np.arange(bands) * 4 * rows, np.arange(1, bands + 1) * 4 * rows)
-                    keys.append(ts.mix(folded + np.arange(bands, dtype=U64) * U64(0x9E3779B97F4A7C15)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "doc_id", "n_shingles", "h1", "h2", "sig", "keys"])
+                size.append(np.diff(at))
+                total = [np.concatenate((np.zeros(1, U64), np.cumsum(x, dtype=U64))) for x in (h, again)]
+                for out, x in zip((h1, h2), total, strict=True):
+                    out.append((x[at[1:]] - x[at[:-1]]).view(np.int64))
+                some = np.flatnonzero(size[-1])
+                sig = np.stack([mh.signature(h[at[i] : at[i + 1]], rows * bands) for i in some]) if len(some) else np.zeros((0, rows * bands), np.uint32)
+                of, key = dict(zip(some.tolist(), range(len(some)), strict=True)), band_keys(sig, rows)
+                sigs += [sig[of[i]].tobytes() if i in of else None for i in range(hi - lo)]
+                keys += [key[of[i]] if i in of else None for i in range(hi - lo)]
+            size, h1, h2 = (pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (size, h1, h2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, h1, h2, pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "doc_id", "n_shingles", "h1", "h2", "sig", "keys"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {ids}, n_shingles long, h1 long, h2 long, sig binary, keys array<long>")
@@ -150,58 +176,50 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Data
 class _Joined:
     """Components of one block's members as links are found."""
 
-    def __init__(self, comp: np.ndarray, leader: np.ndarray):
+    def __init__(self, comp: np.ndarray):
         _, self.of = np.unique(comp, return_inverse=True)
-        #: The leader's component, else the largest one, keeps its number.
-        self.big = int(self.of[leader][0]) if leader.any() else int(np.bincount(self.of).argmax())
 
     def join(self, x: int, ys: np.ndarray) -> np.ndarray:
         """Link x with ys; returns those of ys that were not yet connected with each other or x."""
         new, first = np.unique(self.of[ys], return_index=True)
         first = first[new != self.of[x]]
         if len(first):
-            both = np.append(new, self.of[x])
-            self.of[np.isin(self.of, both)] = self.big if self.big in both else self.of[x]
+            self.of[np.isin(self.of, new)] = self.of[x]
         return ys[first]
 
 
 def _rest_of_block(percent: int, miss: float, width: int, rows: int):
-    """Arrow function: one block of a bucket, with signatures and sets -> links that join components."""
+    """Arrow function: members that ask and members asked of a bucket, with signatures and sets -> links that join components."""
 
     def run(table: pa.Table) -> pa.Table:
-        uid, comp, side, lead, band = (table.column(c).to_numpy() for c in ("uid", "comp", "side", "lead", "band"))
-        i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
+        uid, comp, lead, band, large, asks = (table.column(c).to_numpy() for c in ("uid", "comp", "lead", "band", "large", "asks"))
         sig = _matrix(table.column("sig"), np.uint32, width)
         sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets])
         begin = np.cumsum(size) - size
         kinds, token = np.unique(np.concatenate(sets), return_inverse=True)
         mine = np.zeros(len(kinds), bool)
-        leader = uid == lead[0]
-        joined = _Joined(comp, leader)
-        big = joined.big
+        joined = _Joined(comp)
         earlier = int(band[0]) * rows  # a pair that shares an earlier band is compared there
         a, b = [], []
-        # members outside the leader's (or largest) component ask the members of every other component
-        for one, other in ((i, j), (j, i)) if i != j else ((i, i),):
-            there = np.flatnonzero((side == other) & ~leader)
-            for x in np.flatnonzero((side == one) & (joined.of != big) & ~leader):
-                was_big = joined.of[there] == big
-                ask = there[(joined.of[there] != joined.of[x]) & (was_big | (there > x))] if joined.of[x] != big else there[joined.of[there] != big]
-                ask = ask[(100 * np.minimum(size[ask], size[x]) >= percent * np.maximum(size[ask], size[x]))]
-                if earlier and len(ask):
-                    ask = ask[~(sig[ask, :earlier] == sig[x, :earlier]).reshape(len(ask), -1, rows).all(axis=2).any(axis=1)]
-                ask = ask[similar_enough(np.broadcast_to(sig[x], (len(ask), width)), sig[ask], percent, miss)]
-                if not len(ask):
-                    continue
-                mine[token[begin[x] : begin[x] + size[x]]] = True
-                n = size[ask]
-                at = np.repeat(begin[ask] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                common = np.add.reduceat(mine[token[at]].astype(np.int64), np.cumsum(n) - n)
-                mine[token[begin[x] : begin[x] + size[x]]] = False
-                new = joined.join(x, ask[100 * common >= percent * (size[x] + n - common)])
-                a.append(np.full(len(new), uid[x]))
-                b.append(uid[new])
+        there = np.flatnonzero(~asks & (uid != lead))  # pairs with the leader have been compared
+        within = comp[there] == large[there]
+        for x in np.flatnonzero(asks & (uid != lead)):
+            ask = there[(joined.of[there] != joined.of[x]) & (within | (uid[there] > uid[x]))]  # of two that ask, the smaller one does
+            ask = ask[100 * np.minimum(size[ask], size[x]) >= percent * np.maximum(size[ask], size[x])]
+            if earlier and len(ask):
+                ask = ask[~(sig[ask, :earlier] == sig[x, :earlier]).reshape(len(ask), -1, rows).all(axis=2).any(axis=1)]
+            ask = ask[similar_enough(np.broadcast_to(sig[x], (len(ask), width)), sig[ask], percent, miss)]
+            if not len(ask):
+                continue
+            mine[token[begin[x] : begin[x] + size[x]]] = True
+            n = size[ask]
+            at = np.repeat(begin[ask] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            common = np.add.reduceat(mine[token[at]].astype(np.int64), np.cumsum(n) - n)
+            mine[token[begin[x] : begin[x] + size[x]]] = False
+            new = joined.join(x, ask[100 * common >= percent * (size[x] + n - common)])
+            a.append(np.full(len(new), uid[x]))
+            b.append(uid[new])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -211,31 +229,44 @@ def _rest_of_block(percent: int, miss: float, width: int, rows: int):
 def _rest(members: DataFrame, reps: DataFrame, docs: DataFrame, comps: DataFrame, percent: int, words: int, miss: float, width: int, rows: int) -> DataFrame:
     """Links that join components, among the pairs of one bucket that lie in different components and have not been compared with its leader.
 
-    A bucket is cut into blocks of bounded members and shingles, and every two blocks
-    meet in one group.
+    The members outside a bucket's largest component ask; all are asked whose sets
+    are not too large or small for any that asks. Both sides are cut into blocks of
+    bounded members and shingles: a member is sent once for each block of the other
+    side, that is once where fewer than BLOCK members are outside.
     """
     held = members.join(comps, "uid", "left").withColumn("comp", F.coalesce("comp", "uid")).join(reps.select("uid", "n_shingles"), "uid")
-    open_ = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles")).where("least < most and size > 2")
-    open_ = open_.select("key", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    held = materialize(held.join(open_, "key"), "open-buckets")
-    needed = materialize(held.select("uid").distinct(), "open-members")
-    texts = docs.select("uid", "text").join(small_side(needed), "uid", "left_semi")
+    held = materialize(held, "bucket-components")
+    by_comp = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    by_key = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("large"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1 and n > 2")
+    outside = by_comp.join(by_key.select("key", "large"), "key").where("comp <> large")
+    outside = outside.groupBy("key", "large").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.min("least").alias("least"), F.max("most").alias("most"))
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    open_ = materialize(outside.select("key", "large", blocks(F.col("n"), F.col("shingles")).alias("asking"), F.expr(f"least * {percent} / 100").alias("from_size"), F.expr(f"most * 100 / {percent}").alias("to_size")), "open-buckets")
+    met = materialize(held.join(open_, "key").where("n_shingles between from_size and to_size"), "open-members")
+    discard(held)
+    asked = met.groupBy("key").agg(blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("asked"))
+    met = met.join(asked, "key")
+    texts = docs.select("uid", "text").join(small_side(materialize(met.select("uid").distinct(), "open-uids")), "uid", "left_semi")
     sets = materialize(_shingles(texts, words).join(reps.select("uid", "sig"), "uid"), "open-sets")
-    dealt = held.withColumn("side", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).join(sets, "uid")
-    columns = dealt.select("key", "i", "j", "uid", "comp", "side", "lead", "band", "sig", "shingles")
+    deal = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    both = met.where("comp <> large").withColumn("i", deal("asking")).withColumn("j", every("asked")).withColumn("asks", F.lit(True))
+    both = both.unionByName(met.withColumn("j", deal("asked")).withColumn("i", every("asking")).withColumn("asks", F.lit(False)))
+    columns = both.join(sets, "uid").select("key", "i", "j", "uid", "comp", "lead", "band", "large", "asks", "sig", "shingles")
     found = materialize(columns.groupBy("key", "i", "j").applyInArrow(_rest_of_block(percent, miss, width, rows), "a long, b long"), "open-links")
     discard(sets)
     return found
 
 
-def near_groups(docs: DataFrame, *, percent: int, words: int = 5, miss: float = MISS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def near_groups(docs: DataFrame, *, percent: int, words: int = 5, miss: float = MISS) -> DataFrame:
     """uid, doc_id, n_shingles, comp (the smallest uid of the group). docs: uid, doc_id, text."""
+    rows, bands = banding(percent)
     sketch = materialize(sketches(docs, words, rows, bands), "sketches")
     sized = sketch.where("n_shingles > 0")
     whole = ["n_shingles", "h1", "h2"]
     copies = materialize(sized.groupBy(*whole).agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
     classed = materialize(sized.select("uid", *whole).join(small_side(copies), whole, "left").select("uid", F.coalesce("rep", "uid").alias("rep")), "classes")
+    discard(copies)
     reps = sized.join(materialize(classed.where("uid = rep").select("uid"), "class-heads"), "uid", "left_semi")
     entries = reps.select("uid", F.posexplode("keys").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -249,8 +280,10 @@ def near_groups(docs: DataFrame, *, percent: int, words: int = 5, miss: float =
     pairs = led.where("uid <> lead").select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
     pairs = materialize(_prune(pairs, sigs, percent, miss, rows * bands), "led-pairs")
     links = _verify(pairs, docs, percent, words)
+    discard(pairs)
     first = materialize(components(links), "led-components")
     more = _rest(led, reps, docs, first, percent, words, miss, rows * bands, rows)
+    discard(led)
     if not more.isEmpty():
         first = materialize(components(links.unionByName(more)), "all-components")
     comp = classed.join(first.withColumnRenamed("uid", "rep"), "rep", "left").select("uid", F.coalesce("comp", "rep").alias("comp"))
@@ -264,7 +297,8 @@ def dedup_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ``words``-word shingles (lower-cased words between ASCII white space; a shorter
     text is one shingle). Null, empty and blank texts have no shingle and no link:
     each is kept. Rows that repeat an id, or have none, are documents of their own, in
-    the order of ``corpus.keyed``: of a group one row is kept. Other columns are not read.
+    the order of ``corpus.keyed``: of a group one row is kept. An empty table gives no
+    rows. Other columns, whatever their names, are not read.
     """
     held, direct = co.keyed(docs, id_col, text_col)
     groups = near_groups(held, percent=percent, words=words, miss=miss)
@@ -276,7 +310,12 @@ def dedup_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5, miss: float = MISS) -> DataFrame:
-    """``docs`` with the same columns, of each group of near-duplicates only the row with the smallest id."""
+    """``docs`` with the same columns, of each group of near-duplicates only the row with the smallest id.
+
+    Rows with null, empty and blank texts have no group and stay; of repeated rows one
+    stays, and of rows that share an id those that are no near-duplicates of others;
+    an empty table stays empty; further columns pass through whatever their names.
+    """
     held, _ = co.keyed(docs, id_col, text_col, rows=True)
     groups = near_groups(held.select("uid", "doc_id", "text"), percent=percent, words=words, miss=miss)
     gone = materialize(groups.where("comp <> uid").select("uid"), "near-copies")
