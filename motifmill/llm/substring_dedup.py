@@ -7,9 +7,12 @@ an indexed block that the other meets with one of its rolling block-sized window
 1. Index and probe: every text sends its grid blocks and the hashes of all its
    rolling block-sized windows to hash buckets. A block is an anchor if its hash
    was probed from anywhere else.
-2. Extend: every window around an anchor is looked up as a whole, by a 102-bit or
-   longer hash of its words. Runs of repeated windows are the maximal exact repeats.
-   A window that is not the first of its kind covers words to remove.
+2. Extend: from every anchor a text goes on to both sides, one word at a time, as
+   far as a window that holds the anchor reaches. What stands there is compared by a
+   128-bit BLAKE2 digest of its very words, not by the scan's hashes: a false anchor
+   ends here, and texts made to collide in a fast hash do not pass for equal. Equal
+   windows in a row are a maximal exact repeat; those that are not the first of
+   their kind cover words to remove.
 3. Cut: the covered words leave the texts.
 
 Rolling hashes are sent as 6 bytes each and at most twice by a producer, so that a
@@ -29,18 +32,22 @@ from pyspark.sql import functions as F
 
 from motifmill.llm import corpus as co
 from motifmill.llm import textscan as ts
-from motifmill.plans.storage import materialize
+from motifmill.plans.storage import discard, materialize
 
 U64 = np.uint64
 FLUSH = 1 << 20
 _ANCHOR = {"uid": "<i8", "block": "<u4"}
-_WINDOW = {"h": "<u8", "g": "<u4", "uid": "<i8", "start": "<u4"}
+_WINDOW = {"h": "<u8", "g": "<u8", "uid": "<i8", "start": "<u4"}
 _PLACE = {"uid": "<i8", "start": "<u4"}
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, first = ts.words(data, offsets)
-    return starts, ends, first, ts.span_hash(data, starts, ends, salt)
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of the BLAKE2 digest of the ``window`` words from each word ``at``, joined by one blank."""
+    put = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+    raw = memoryview(ts.joined(data, starts, ends, np.ones(len(starts), bool), first)[0])
+    made = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(put[at].tolist(), (put[at + window] - 1).tolist(), strict=True)])
+    halves = np.frombuffer(made, "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
 
 
 def _probes(parts: int, block: int):
@@ -65,7 +72,8 @@ def _probes(parts: int, block: int):
         for batch in batches:
             uids = batch.column(0).to_numpy()
             for lo, hi, data, offsets in ts.slices(batch.column(1)):
-                _, _, first, words = _word_hashes(data, offsets)
+                starts, ends, first = ts.words(data, offsets)
+                words = ts.span_hash(data, starts, ends)
                 h, ok = ts.window_hash(words, block), ts.window_ok(first, block)
                 if not ok.any():
                     continue
@@ -125,7 +133,7 @@ def _candidates(parts: int, block: int, window: int):
         block_at, low, high = _sorted_places(anchors, uids)
         found = []
         for lo, hi, data, offsets in ts.slices(co.as_array(texts.column("text"), pa.large_string())):
-            starts, ends, first, words = _word_hashes(data, offsets)
+            starts, ends, first = ts.words(data, offsets)
             ok = ts.window_ok(first, window)
             if not ok.any():
                 continue
@@ -134,14 +142,13 @@ def _candidates(parts: int, block: int, window: int):
             rank = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
             anchor = first[:-1][doc] + block_at[low[lo:hi][doc] + rank] * block
             # a window at s holds the anchor at a if a - (window - block) <= s <= a
-            near = np.zeros(len(words) + 1, np.int32)
+            near = np.zeros(len(starts) + 1, np.int32)
             np.add.at(near, np.maximum(anchor - (window - block), first[:-1][doc]), 1)
             np.add.at(near, anchor + 1, -1)
             at = np.flatnonzero((np.cumsum(near)[: len(ok)] > 0) & ok)
-            second = ts.span_hash(data, starts, ends, 1)
-            h, g = ts.window_hash(words, window)[at], ts.window_hash(second, window, 1)[at]
+            h, g = _digests(data, starts, ends, first, at, window)
             owner = np.repeat(np.arange(hi - lo), np.diff(first))[at]
-            found.append((h, (g >> U64(32)).astype(np.uint32), uids[lo:hi][owner], (at - first[:-1][owner]).astype(np.uint32)))
+            found.append((h, g, uids[lo:hi][owner], (at - first[:-1][owner]).astype(np.uint32)))
         if not found:
             return pa.Table.from_batches([co.blocks([])])
         h, g, uid, start = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -262,7 +269,9 @@ def repeated_places(docs: DataFrame, parts: int, window: int) -> DataFrame:
     anchors = materialize(co.group_in_arrow(probes, _anchors(parts), co.BLOCKS), "anchors")
     anchors = anchors.withColumnRenamed("at", "part")
     windows = docs.select("uid", "text", "part").groupBy("part").cogroup(anchors.groupBy("part")).applyInArrow(_candidates(parts, block, window), co.BLOCKS)
-    return materialize(co.group_in_arrow(windows, _repeats(parts), co.BLOCKS), "repeats").withColumnRenamed("at", "part")
+    places = materialize(co.group_in_arrow(windows, _repeats(parts), co.BLOCKS), "repeats").withColumnRenamed("at", "part")
+    discard(anchors)
+    return places
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -271,8 +280,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A word goes if a run of ``window`` words that covers it also starts earlier, in
     a document with a smaller id or earlier in the same one. Documents with fewer
     words, empty ones and null texts keep all (none). Rows that repeat an id, or have
-    none, are documents of their own, in the order of ``corpus.keyed``. Other
-    columns are not read.
+    none, are documents of their own, in the order of ``corpus.keyed``. An empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
     held, _ = co.keyed(docs, id_col, text_col)
     parts = co.part_count(docs)
@@ -283,7 +292,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """``docs`` with the same columns and rows, repeated words cut out of the text column."""
+    """``docs`` with the same columns and rows, repeated words cut out of the text column.
+
+    Null texts come back empty; empty ones, and texts of fewer words, stay as they are. Repeated
+    rows stay, all but the first without the words that repeat it. An empty table
+    stays empty; further columns pass through whatever their names.
+    """
     held, _ = co.keyed(docs, id_col, text_col, rows=True)
     parts = co.part_count(docs)
     held = co.in_parts(held, parts)
