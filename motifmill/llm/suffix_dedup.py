@@ -1,22 +1,19 @@
 """Suffix-array dedup: strings of ``length`` bytes that start in two places.
 
 1. Segments. Of the 100-byte grams in a 200-byte window the one with the least hash
-   is the window's anchor; consecutive windows with one anchor are a segment of at
-   most 300 bytes. The choice depends on the window's bytes only, so equal windows
-   have equal anchors, wherever they are: all places of a repeated string lie in
-   segments of one class, that of the anchor's hash. Segments are described by 30
-   bytes; equal ones are counted as one, and a class without a second segment has
-   no repeats. Where all segments of a class are alike, all are repeats.
-2. Suffixes. Classes with different segments get their bytes. Their segments are a
-   collection of documents with the anchors in line, whose suffixes are sorted with
-   their common prefixes column by column: in every round each segment inserts one
-   more symbol, from its end to its front, into the collection's Burrows-Wheeler
-   transform. A window whose suffix shares 200 bytes with a neighbour is a repeat.
+   is the window's anchor; consecutive windows with one anchor, as far as it stands
+   in the same half of them, are a segment. All windows of a segment hold its core,
+   the anchor and 50 bytes on that half's side of it. Anchor and half depend on the
+   window's bytes only, so equal windows, wherever they are, lie in segments with
+   equal cores: these are a class. Segments are described by 31 bytes and counted
+   by class: a line that a third of all texts hold in surroundings of their own
+   gives classes of one. Equal segments are one document with a count from here on;
+   a class without a second segment has no repeats.
+2. Suffixes. The documents of the other classes get their bytes and are built into a
+   collection's Burrows-Wheeler transform and common prefixes, column by column
+   (``collection``). A window whose suffix shares 200 bytes with a neighbour is a
+   repeat, and so are all windows of a document that is there twice.
 3. Cut. The windows' bytes are removed from the texts.
-
-A round reads one column, the order and the common prefixes from front to back and
-writes the next; as a bucket's collection is small, these are arrays in memory, not
-files.
 """
 
 from __future__ import annotations
@@ -30,11 +27,12 @@ from pyspark.sql import DataFrame
 
 from motifmill.llm import corpus as co
 from motifmill.llm import textscan as ts
-from motifmill.plans.storage import discard, materialize
+from motifmill.llm.collection import repeated_windows
+from motifmill.plans.storage import discard, materialize, shared_dir
 
 U64 = np.uint64
 FLUSH, BLOCK = 1 << 17, 1 << 20
-#: Symbols of a collection that is built at once; a class that holds more is built alone.
+#: Symbols of the classes that are built as one collection; a class that holds more is one of its own.
 COLLECTION = 4 << 20
 _SEGMENT = {"h": "<u8", "g": "<u8", "uid": "<i8", "start": "<u4", "n": "<u2", "a": "u1"}
 _RANGE = {"uid": "<i8", "start": "<u4", "n": "<u4"}
@@ -52,28 +50,34 @@ def window_minima(key: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def halves(length: int) -> tuple[int, int]:
+    """(bytes of an anchor, least place of an anchor in a window whose core begins in front of it)."""
+    gram = length // 2
+    return gram, (length - gram + 1) // 2
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, anchor) of the segments of all texts in a slice, by place; the least hash and then the leftmost gram is the anchor."""
-    gram = length // 2
+    gram, cut = halves(length)
     w = length - gram + 1
     n = len(data) - length + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3
-    doc_end = offsets[np.searchsorted(offsets, np.arange(0, n, 1), "right")] if n < 1 << 16 else None
     firsts, lasts, anchors = [], [], []
     for b in range(0, n, BLOCK):
         e = min(n, b + BLOCK)
         h = ts.gram_hash(data[b : e + length - 1], gram)
         key = (ts.mix(h) & U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U64)
         at = (window_minima(key, w) & U64(0xFFFFFFFF)).astype(np.int64) + b
-        end = doc_end[b:e] if doc_end is not None else offsets[np.searchsorted(offsets, np.arange(b, e), "right")]
         start = np.arange(b, e)
+        end = offsets[np.searchsorted(offsets, start, "right")]
         ok = start + length <= end
         at, start, end = at[ok], start[ok], end[ok]
         if not len(at):
             continue
+        late = at - start >= cut
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (end[1:] != end[:-1])
+        new[1:] = (at[1:] != at[:-1]) | (end[1:] != end[:-1]) | (late[1:] != late[:-1])
         begin = np.flatnonzero(new)
         firsts.append(start[begin])
         lasts.append(start[np.append(begin[1:], len(at)) - 1])
@@ -82,56 +86,18 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         return (np.zeros(0, np.int64),) * 3
     first, last, anchor = (np.concatenate(x) for x in (firsts, lasts, anchors))
     # a segment that a block's end has cut
+    late = anchor - first >= cut
     whole = np.ones(len(first), bool)
-    whole[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1)
+    whole[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1) | (late[1:] != late[:-1])
     begin = np.flatnonzero(whole)
     return first[begin], last[np.append(begin[1:], len(first)) - 1], anchor[begin]
 
 
-def repeated_windows(strings: list[bytes], anchor: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string the places whose ``length`` bytes also stand in another string, the same distance before its anchor.
-
-    Strings are laid out in columns with their anchors in line; columns run from
-    ``length // 2`` before to as many bytes behind. From the last column to the first
-    every string inserts one symbol. ``order`` is the order of the suffixes of the
-    column before and ``last`` their symbols in this one, that is a column of the
-    transform: sorting them stably gives the new order. Two neighbours with one first
-    symbol share one byte more than the suffixes behind it, whose common prefix is
-    the least on the way from one to the other. A symbol of 0 is no text: it shares
-    nothing. Suffixes of other columns cannot share ``length`` bytes with these:
-    equal windows have equal anchors.
-    """
-    m, half = len(strings), length // 2
-    w = length - half
-    width = w + length
-    size = np.array([len(x) for x in strings], np.int64)
-    begin = w - anchor.astype(np.int64)
-    layout = np.zeros((width, m), np.uint8)  # a column of the collection after the other
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    row = np.repeat(np.arange(m), size)
-    layout[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(text)), row] = text + 1  # no byte of UTF-8 is 255
-    order, shared = np.arange(m), np.zeros(m + 1, np.int16)
-    hits_row, hits_at = [], []
-    for column in range(width - 1, -1, -1):
-        last = layout[column][order]
-        perm = np.argsort(last, kind="stable")
-        first = last[perm]
-        same = np.flatnonzero((first[1:] == first[:-1]) & (first[1:] > 0)) + 1
-        grown = np.zeros(m + 1, np.int16)
-        if len(same):
-            edges = np.stack([perm[same - 1] + 1, perm[same] + 1], 1).ravel()
-            grown[same] = np.minimum.reduceat(shared, edges)[::2] + 1
-        order, shared = order[perm], grown
-        if column <= w:
-            hit = order[np.maximum(shared[:-1], shared[1:]) >= length]
-            hit = hit[begin[hit] <= column]
-            hits_row.append(hit)
-            hits_at.append(column - begin[hit])
-    hits_row, hits_at = np.concatenate(hits_row), np.concatenate(hits_at)
-    turn = np.lexsort((hits_at, hits_row))
-    hits_row, hits_at = hits_row[turn], hits_at[turn]
-    cuts = np.searchsorted(hits_row, np.arange(m + 1))
-    return [hits_at[cuts[i] : cuts[i + 1]] for i in range(m)]
+def cores(first: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the segments' cores: what all windows that have their anchor on that side hold."""
+    gram, cut = halves(length)
+    late = anchor - first >= cut
+    return np.where(late, anchor - cut, anchor), np.where(late, anchor + gram, anchor - cut + 1 + length)
 
 
 def _describe(parts: int, length: int):
@@ -152,7 +118,7 @@ def _describe(parts: int, length: int):
                 if not len(first):
                     continue
                 doc = np.searchsorted(offsets, first, "right") - 1
-                h = ts.span_hash(data, anchor, anchor + length // 2)
+                h = ts.span_hash(data, *cores(first, anchor, length))
                 g = ts.span_hash(data, first, last + length, 1)
                 held.append((h, g, uids[lo:hi][doc], first - offsets[doc], last - first + length, anchor - first))
                 count += len(first)
@@ -225,8 +191,8 @@ def _fetch(parts: int):
     return run
 
 
-def _build(parts: int, length: int):
-    """All wanted segments of a bucket -> ranges of repeated windows in segments that are there once, by part."""
+def _build(parts: int, length: int, folder: str):
+    """All wanted segments of a bucket -> ranges of repeated windows in segments that are there once, by part. folder: for collections' columns."""
 
     def run(table: pa.Table) -> pa.Table:
         fields, pieces = [], []
@@ -246,7 +212,7 @@ def _build(parts: int, length: int):
             e = max(c + 1, int(np.searchsorted(weight[heads], weight[heads[c]] + COLLECTION, "right")) - 1)
             lo, hi = int(heads[c]), int(heads[min(e, len(heads) - 1)])
             c = e
-            for i, at in enumerate(repeated_windows(pieces[lo:hi], x["a"][lo:hi], length), lo):
+            for i, at in enumerate(repeated_windows(pieces[lo:hi], x["a"][lo:hi], length, folder), lo):
                 if x["known"][i] or not len(at):
                     continue
                 begins = np.flatnonzero(np.append(True, np.diff(at) > 1))
@@ -332,7 +298,8 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[
     described = held.select("uid", "text").mapInArrow(_describe(parts, length), co.BLOCKS)
     classes = materialize(co.group_in_arrow(described, _classes(parts), co.BLOCKS), "segment-classes").withColumnRenamed("at", "part")
     fetched = held.select("uid", "text", "part").groupBy("part").cogroup(classes.where("kind = 1").groupBy("part")).applyInArrow(_fetch(parts), co.BLOCKS)
-    built = materialize(co.group_in_arrow(fetched, _build(parts, length), co.BLOCKS), "segment-repeats").withColumnRenamed("at", "part")
+    folder = f"{shared_dir(docs.sparkSession)}/motifmill/columns"
+    built = materialize(co.group_in_arrow(fetched, _build(parts, length, folder), co.BLOCKS), "segment-repeats").withColumnRenamed("at", "part")
     ranges = materialize(classes.where("kind = 0").unionByName(built), "ranges")
     discard(classes)
     return held, ranges
@@ -345,7 +312,8 @@ def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     starts anywhere else, in the same document or another; all occurrences go.
     Shorter, empty and null texts keep all bytes. Repeated rows are documents of their
     own, so they repeat each other; null and repeated ids are numbered as
-    ``corpus.keyed`` has it. Other columns are not read.
+    ``corpus.keyed`` has it. An empty table gives no rows; other columns, whatever
+    their names, are not read.
     """
     held, ranges = _repeats(docs, id_col, text_col, length)
     ids = docs.schema[id_col].dataType.simpleString()
