@@ -29,26 +29,36 @@ MORE_PHRASES = {
     "public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
 }
-#: The tag in front of a licence expression, in words and as it is written.
+#: The tag in front of a licence expression, as words; what stands between it and the expression; a word of the scan.
 TAG_WORDS = "spdx license identifier"
-_TAG = re.compile(rb"(?i)spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
+_COLON, _LINE, _WORD = re.compile(rb"[ \t]*:[ \t]*"), re.compile(rb"[^\r\n]*"), re.compile(rb"[^ ]+")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
+#: Identifiers, and the beginnings of identifiers, that let a reader use the text freely.
+FREE = {"mit", "mit-0", "isc", "zlib", "unlicense", "wtfpl", "0bsd", "bsl-1.0", "ncsa", "postgresql"}
+FREE_FAMILIES = ("apache-", "bsd-", "cc0-", "cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4", "python-", "psf-")
 
 #: What a find adds to the certainty that a text states a licence.
-CERTAIN = {"tag": 0.9, "base": 0.75, "more": 0.5}
+CERTAIN = {"free tag": 0.9, "tag": 0.8, "base": 0.75, "more": 0.5}
 
 #: Bytes to one word alphabet: A-Z lowered; 0-9, a-z and all non-ASCII bytes stay; the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def parse_expression(text: str) -> set[str] | None:
-    """Labels that a licence expression asks for; None if it is not well formed.
+def is_free(identifier: str) -> bool:
+    return identifier in FREE or identifier.startswith(FREE_FAMILIES)
 
-    Shunting-yard over ``or`` < ``and`` < ``with`` and parentheses. An identifier is
-    its own label; ``a with b`` is one label; ``and`` needs both sides; of an ``or``
-    each side is open to the reader, so both sides' labels are reported. What
-    follows the longest well-formed beginning, such as the end of a comment, is left.
+
+def parse_expression(text: str) -> tuple[set[str], bool] | None:
+    """(labels, free?) of a licence expression; None if it is not well formed.
+
+    Shunting-yard over ``or`` < ``and`` < ``with`` and parentheses. An identifier is its
+    own label, and free as ``is_free`` has it. ``and`` binds to both sides: all their
+    labels, free if both are. ``or`` lets the reader choose: of a free side and one
+    that is not, the free one's labels; else both sides'. ``with`` stands between two
+    identifiers, which are one label, as free as the first. What follows the longest
+    well-formed beginning, such as the end of a comment, is left. Labels are at most as
+    many as identifiers.
     """
     queue, stack, operand, tokens = [], [], True, _TOKEN.findall(text)
     for token in tokens:
@@ -77,14 +87,34 @@ def parse_expression(text: str) -> set[str] | None:
             operand = False
     if operand or "(" in stack:
         return None
-    values: list[set[str]] = []
+    values: list[tuple[set[str], bool, bool]] = []  # labels, free?, a lone identifier?
     for item in [*queue, *reversed(stack)]:
         if isinstance(item, tuple):
-            values.append({item[0]})
+            values.append(({item[0]}, is_free(item[0]), True))
             continue
-        right, left = values.pop(), values.pop()
-        values.append({f"{a} with {b}" for a in left for b in right} if item == "with" else left | right)
-    return values[0]
+        (right, right_free, right_lone), (left, left_free, left_lone) = values.pop(), values.pop()
+        if item == "with":
+            if not (left_lone and right_lone):
+                return None
+            values.append(({f"{left.pop()} with {right.pop()}"}, left_free, False))
+        elif item == "or" and left_free != right_free:
+            values.append((left if left_free else right, True, False))
+        else:
+            large, small = (left, right) if len(left) >= len(right) else (right, left)
+            large |= small
+            values.append((large, left_free and right_free, False))
+    return values[0][:2]
+
+
+def tagged_expressions(raw: bytes, folded: bytes, ends: list[int]) -> Iterator[str]:
+    """What stands on the line behind each tag and a colon. ends: number of each tag's last word."""
+    words = _WORD.finditer(folded)
+    at = -1
+    for end in ends:
+        while at < end:
+            word, at = next(words), at + 1
+        if colon := _COLON.match(raw, word.end()):
+            yield _LINE.match(raw, colon.end())[0].decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=1)
@@ -99,9 +129,10 @@ def _automaton():
     return auto
 
 
-def scan_text(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
-    """n_words, n_base, first_word, last_word, base_labels, labels and score of one text."""
-    found = raw.translate(_FOLD).split()
+def scan_text(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float, bool | None]:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score and free of one text."""
+    folded = raw.translate(_FOLD)
+    found = folded.split()
     line = " " + b" ".join(found).decode("latin-1") + " "
     hits = list(_automaton().iter(line)) if found else []
     base = sorted(end + 1 - size for end, (kind, _, size) in hits if kind == "base")
@@ -112,27 +143,36 @@ def scan_text(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, f
     base_labels = {label for _, (kind, label, _) in hits if kind == "base"}
     labels = base_labels | {label for _, (kind, label, _) in hits if kind == "more"}
     kinds = {(kind, label) for _, (kind, label, _) in hits if kind != "tag"}
-    if any(kind == "tag" for _, (kind, _, _) in hits):
-        for m in _TAG.finditer(raw):
-            if got := parse_expression(m[1].decode("utf-8", "replace")):
-                labels |= {x.replace(",", "") for x in got}
-                kinds |= {("tag", x) for x in got}
+    free = None
+    if tags := [end for end, (kind, _, _) in hits if kind == "tag"]:
+        number, before, ends = -1, 0, []
+        for end in tags:  # blanks in front of a word count the words before it
+            number += line.count(" ", before, end)
+            ends.append(number)
+            before = end
+        for expression in tagged_expressions(raw, folded, ends):
+            if got := parse_expression(expression):
+                labels |= {x.replace(",", "") for x in got[0]}
+                kinds |= {("free tag" if got[1] else "tag", x) for x in got[0]}
+                free = got[1] if free is None else free and got[1]
     doubt = 1.0
     for kind, _ in sorted(kinds):
         doubt *= 1 - CERTAIN[kind]
-    return len(found), len(base), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), round(1 - doubt, 6)
+    return len(found), len(base), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), round(1 - doubt, 6), free
 
 
 def scan_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every whole text.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and free of every whole text.
 
-    One scan without a shuffle. Null and empty texts have no words, empty label
-    lists and score 0; repeated rows are scanned each; a null id stays null; other
-    columns are not read.
+    free: may the text be used freely by every expression behind an identifier tag?
+    Null without one. One scan without a shuffle. Null and empty texts have no words,
+    empty label lists and score 0; repeated rows are scanned each; a null id stays
+    null; an empty table gives no rows; other columns, whatever their names, are not
+    read.
     """
     ids = docs.schema[id_col].dataType.simpleString()
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64()]
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.bool_()]
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "free"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,4 +184,4 @@ def scan_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {ids}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return picked.mapInArrow(run, f"doc_id {ids}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, free boolean")
