@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from motifmill.llm import textscan as ts
 from motifmill.llm.minhash import FOLD
 
 U64 = np.uint64
-#: Edits allowed per byte of the item; shortest piece; shortest item that counts inside words when it allows no edits.
-RATE, LEAST_PIECE, LEAST_ITEM = 0.08, 11, 32
+#: Edits allowed per byte of an item; shortest item that allows any; shortest that counts inside words when it allows none.
+RATE, LEAST_EDITED, LEAST_ITEM = 0.08, 22, 32
 #: Bytes of items that one pass over the documents looks for.
 PASS_BYTES = 4 << 20
 _FILTER_BITS = 20
@@ -34,7 +35,7 @@ def normalised(text: str | None) -> bytes:
 
 
 def edit_budget(size: int, rate: float = RATE) -> int:
-    return max(0, min(int(size * rate), size // LEAST_PIECE - 1))
+    return int(size * rate) if size >= LEAST_EDITED else 0
 
 
 def cut_pieces(item: bytes, budget: int) -> list[tuple[int, bytes]]:
@@ -86,6 +87,8 @@ class Index:
     hashes: np.ndarray
     owner: np.ndarray
     offset: np.ndarray
+    length: np.ndarray
+    whole: np.ndarray
     filter: np.ndarray
 
     @classmethod
@@ -94,15 +97,17 @@ class Index:
         budgets = [edit_budget(len(x), rate) for x in items]
         pieces = [(i, at, p) for i, (x, k) in enumerate(zip(items, budgets, strict=True)) for at, p in cut_pieces(x, k)]
         size = min(len(p) for _, _, p in pieces)
-        hashes = np.array([ts.gram_hash(np.frombuffer(p[:size], np.uint8), size)[0] for _, _, p in pieces], U64)
+        length = np.array([len(p) for _, _, p in pieces], np.int64)
+        raw, begin = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8), np.cumsum(length) - length
+        hashes, whole = ts.gram_hash(raw, size)[begin], ts.span_hash(raw, begin, begin + length)
         order = np.argsort(hashes, kind="stable")
         here = np.zeros(1 << _FILTER_BITS, bool)
         here[(hashes >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
         pick = lambda k: np.array([p[k] for p in pieces], np.int64)[order]
-        return cls(ids, items, budgets, size, hashes[order], pick(0), pick(1), here)
+        return cls(ids, items, budgets, size, hashes[order], pick(0), pick(1), length[order], whole[order], here)
 
     def places(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(text, item, where the item would begin in the slice) of every piece found whole beginnings of, ascending and distinct."""
+        """(text, item, where the item would begin in the slice) of every piece that stands in a text, ascending and distinct."""
         h = ts.gram_hash(data, self.size)
         at = np.flatnonzero(self.filter[(h >> U64(64 - _FILTER_BITS)).astype(np.int64)])
         low, high = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], "right")
@@ -112,7 +117,12 @@ class Index:
         at, low, high, doc = at[inside], low[inside], high[inside], doc[inside]
         n = high - low
         entry = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        found = np.stack([np.repeat(doc, n), self.owner[entry], np.repeat(at, n) - self.offset[entry]], 1)
+        at, doc = np.repeat(at, n), np.repeat(doc, n)
+        end = at + self.length[entry]
+        same = end <= offsets[doc + 1]
+        same[same] = ts.span_hash(data, at[same], end[same]) == self.whole[entry[same]]
+        at, doc, entry = at[same], doc[same], entry[same]
+        found = np.stack([doc, self.owner[entry], at - self.offset[entry]], 1)
         return np.unique(found, axis=0)
 
 
@@ -139,7 +149,7 @@ class WholeIndex:
             owners.setdefault(x, []).append(i)
         by_size: dict[int, list[tuple[int, int]]] = {}
         for entry, x in enumerate(owners):
-            by_size.setdefault(len(x), []).append((int(ts.gram_hash(np.frombuffer(x, np.uint8), len(x))[0]), entry))
+            by_size.setdefault(len(x), []).append((int(ts.span_hash(np.frombuffer(x, np.uint8), np.zeros(1, np.int64), np.full(1, len(x)))[0]), entry))
         sizes = [(k, np.array([h for h, _ in sorted(v)], U64), np.array([e for _, e in sorted(v)], np.int64)) for k, v in sorted(by_size.items())]
         return cls([r[0] for r in rows], list(owners), [0] * len(rows), list(owners.values()), sizes)
 
@@ -154,13 +164,12 @@ class WholeIndex:
             part = data[b : b + _BLOCK + most]
             starts = np.flatnonzero(~inside[b : min(b + _BLOCK, n)] & (part[:_BLOCK] != 32))
             text = np.searchsorted(offsets, starts + b, "right") - 1
-            hash_of = ts.run_hash(part)
             for size, hashes, entries in self.sizes:
                 fits = starts + b + size <= offsets[text + 1]
                 at, of = starts[fits], text[fits]
                 ends = ~inside[at + b + size]
                 at, of = at[ends], of[ends]
-                h = hash_of(at, size)
+                h = ts.span_hash(part, at, at + size)
                 k = np.searchsorted(hashes, h)
                 k[k == len(hashes)] = 0
                 same = hashes[k] == h
@@ -227,17 +236,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     """doc_id, item_id, edits, budget: every document that holds a test item within its budget of edits.
 
     Edits count bytes of the normalised texts (A-Z lowered, white space runs as one
-    blank). Items of fewer than LEAST_ITEM such bytes that allow no edits (at the usual
-    rate those under 22) count as whole words only: where no ASCII letter or digit at
-    their ends runs on into another. Empty items, null ones too, take no part.
-    Null and empty texts hold nothing; repeated rows are reported each, as are items
-    with equal texts; a null id stays null. Other columns are not read. Test items go
+    blank); the budget is ``rate`` times the item's bytes, rounded down, and none for
+    items under LEAST_EDITED bytes. Items of fewer than LEAST_ITEM bytes that allow no
+    edits count as whole words only: where no ASCII letter or digit at their ends runs
+    on into another. Empty items, null ones too, take no part. Null and empty texts hold nothing; repeated rows are reported
+    each, as are items with equal texts; a null id stays null; an empty table gives no
+    rows. Other columns of both tables, whatever their names, are not read. Test items go
     to the executors in passes of at most PASS_BYTES and one item; with none the
     result is empty.
     """
     ids, item_ids = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     schema = f"doc_id {ids}, item_id {item_ids}, edits long, budget long"
-    spark, out = docs.sparkSession, None
+    spark, out, item_type = docs.sparkSession, None, to_arrow_type(items.schema[item_id_col].dataType)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     for index in item_passes(items, item_id_col, item_text_col, rate):
         shared = spark.sparkContext.broadcast(index)
@@ -249,14 +259,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                 rows = pa.array([r for r, _, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([index.ids[i] for _, i, _ in found], item_type), pa.array([e for _, _, e in found], pa.int64()), pa.array([index.budgets[i] for _, i, _ in found], pa.int64())], ["doc_id", "item_id", "edits", "budget"])
 
-        item_type = pa.int64() if item_ids == "bigint" else pa.int32() if item_ids == "int" else pa.string()
         part = picked.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no test item. One scan a pass and no shuffle."""
+    """The rows of ``docs``, all columns, that hold no test item as ``find_leaks`` has it. One scan a pass and no shuffle.
+
+    Rows with null and empty texts stay, each of repeated rows stays or goes alike; an
+    empty table stays empty; without test items all rows stay.
+    """
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
     for index in item_passes(items, item_id_col, item_text_col, rate):
