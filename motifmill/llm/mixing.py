@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms, in DataFrame operations only.
 
-Every document has a 36-bit hash of its id. Of a source's documents, those whose
+Every document has a 36-bit hash of its id and text. Of a source's documents, those whose
 hash lies below the source's threshold are taken once more than the others. The
 threshold comes from nested histograms: words by source and the hash's first 12
 bits, then only inside the bucket where the running sum crosses the budget the
@@ -19,9 +19,10 @@ LEVELS, BITS = 3, 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def doc_hash(id_col: Column) -> Column:
-    """36-bit hash of the id's decimal text; null counts as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 9), 16, 10).cast("long")
+def doc_hash(id_col: Column, text: Column) -> Column:
+    """36-bit hash of the id's decimal text and the text; null counts as empty."""
+    both = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 9), 16, 10).cast("long")
 
 
 def word_count(text: Column) -> Column:
@@ -94,10 +95,12 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, size, source_size, target, taken: the words that the mix takes of every document.
 
     Sources in order of code point, null last, have ``weights`` in turn. A null text
-    has size 0; rows with equal ids share a hash and are taken alike (a null id is
-    one such id); an empty table gives no rows; other columns are not read.
+    has size 0; rows with equal ids (null too) and equal texts share a hash and are
+    taken alike, so a source's words miss its target by half the words of such a
+    group at most; an empty table gives no rows; other columns, whatever their names,
+    are not read.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), *_keys(F.col(source_col)), word_count(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("hash"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), *_keys(F.col(source_col)), word_count(F.col(text_col)).alias("size"), doc_hash(F.col(id_col), F.col(text_col)).alias("hash"))
     sized = materialize(sized, "mix-sized")
     plan = mix_plan(sized.select("no_source", "source", "size", "hash"), weights, budget, cap)
     copies = F.col("full") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
@@ -107,13 +110,15 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies_col: str = "mix_copies", weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2) -> DataFrame:
     """The rows of ``docs`` that the mix takes at least once, with the number of times in ``copies_col``.
 
-    All columns stay. The texts are read where they lie: only sums by source and
-    hash bucket are shuffled. Rows without words have nothing to take and go.
+    All columns stay, but one named as ``copies_col``, which is replaced. The texts are
+    read where they lie: only sums by source and hash bucket are shuffled. Rows without
+    words, null texts too, have nothing to take and go; repeated rows are taken alike;
+    a null source is one; an empty table stays empty.
     """
     columns = [F.col(f"row.{F_name(c)}").alias(c) for c in docs.columns if c != copies_col]
-    sized = docs.select(*_keys(F.col(source_col)), word_count(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("hash"))
+    sized = docs.select(*_keys(F.col(source_col)), word_count(F.col(text_col)).alias("size"), doc_hash(F.col(id_col), F.col(text_col)).alias("hash"))
     plan = mix_plan(materialize(sized, "mix-sized"), weights, budget, cap)
-    held = docs.select(*_keys(F.col(source_col)), doc_hash(F.col(id_col)).alias("hash"), word_count(F.col(text_col)).alias("size"), F.struct(*[F.col(F_name(c)) for c in docs.columns]).alias("row"))
+    held = docs.select(*_keys(F.col(source_col)), doc_hash(F.col(id_col), F.col(text_col)).alias("hash"), word_count(F.col(text_col)).alias("size"), F.struct(*[F.col(F_name(c)) for c in docs.columns]).alias("row"))
     copies = (F.col("full") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("long")
     return held.join(small_side(plan.select("no_source", "source", "full", "threshold")), ["no_source", "source"]).where((copies > 0) & (F.col("size") > 0)).select(*columns, copies.alias(copies_col))
 
@@ -126,7 +131,7 @@ def F_name(column: str) -> str:  # noqa: N802
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 9))::BIGINT AS h
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
