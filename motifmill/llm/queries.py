@@ -38,7 +38,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"))
+    return quality.classify(_table(spark, sf_dir, "documents"), labelled=_table(spark, sf_dir, "labels"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
