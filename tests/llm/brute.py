@@ -2,7 +2,9 @@
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+
+import numpy as np
 
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -81,3 +83,107 @@ def licence_scan(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     at = [(i, label) for i in range(len(w)) for p, label in phrases.items() if w[i : i + len(p.split())] == p.split()]
     return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def repeated_windows(strings, anchors, length):
+    """Places whose bytes stand again in the same column or one behind it, a whole number of symbols on."""
+    step = next(k for k in (4, 2, 1) if length % k == 0)
+    at = defaultdict(list)
+    for d, (s, a) in enumerate(zip(strings, anchors, strict=True)):
+        for i in range(len(s) - length + 1):
+            at[s[i : i + length]].append((i - a, d))
+    there = lambda i, a, d, w: any(c >= i - a and (c - i + a) % step == 0 and (c, e) != (i - a, d) for c, e in at[w])
+    return [[i for i in range(len(s) - length + 1) if there(i, a, d, s[i : i + length])] for d, (s, a) in enumerate(zip(strings, anchors, strict=True))]
+
+
+def least_edits_of_all(items, text):
+    """least_edits of every item, all items' columns of the matrix at once, byte by byte of the text."""
+    size = max(map(len, items))
+    wanted = np.array([list(x) + [-1] * (size - len(x)) for x in items])
+    index = np.arange(size + 1)
+    column = np.tile(index, (len(items), 1))
+    ends = (np.arange(len(items)), [len(x) for x in items])
+    best = column[ends].copy()
+    for c in text:
+        new = np.zeros_like(column)
+        new[:, 1:] = np.minimum(column[:, :-1] + (wanted != c), column[:, 1:] + 1)
+        column = np.minimum.accumulate(new - index, axis=1) + index
+        best = np.minimum(best, column[ends])
+    return best.tolist()
+
+
+ABUSE = set("bastard bitch clown disgusting dumb fool idiot idiots imbecile jerk loser losers moron morons pathetic scum stupid trash ugly worthless".split())
+PUNCTUATION = set(map(ord, "!\"'(),-./:;?"))
+SYMBOLS = set(map(ord, "#$%&*+<=>@[\\]^_`{|}~"))
+
+
+def bare(word):
+    """A lower-cased word without the punctuation mark at either end."""
+    last = len(word) - (word[-1] in PUNCTUATION)
+    begin = int(word[0] in PUNCTUATION and last > 1)
+    return word[begin : max(last, begin)].translate(FOLD)
+
+
+def fronts(word):
+    return {("word", word), ("front", word[:5]) if len(word) > 5 else ("word", word)}
+
+
+def lexicon(texts, marks, least=8, ratio=400):
+    """Words and fronts that stand in ``least`` marked texts and 1 / ``ratio`` as often in others."""
+    seen = {True: Counter(), False: Counter()}
+    many = Counter()
+    for t, mark in zip(texts, marks, strict=True):
+        many[mark] += 1
+        seen[mark].update({x for w in (t or "").encode().split() for x in fronts(bare(w))})
+    return {x for x, n in seen[True].items() if n >= least and n * many[False] >= ratio * seen[False][x] * many[True]}
+
+
+def votes(text, known):
+    """Bad (0), none (1) or good (2) of every labeller."""
+    raw = (text or "").encode()
+    w = raw.split()
+    n, seen = max(len(w), 1), [c for c in raw if c not in b" \t\n\v\f\r"]
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    plain = lambda c: letter(c) or 48 <= c <= 57
+    low = [x.translate(FOLD) for x in w]
+    again = sum(a == b for a, b in zip(low, low[1:], strict=False))
+    run = longest = 0
+    for k, x in enumerate(low):
+        run = run + 1 if k and low[k - 1] == x else 1
+        longest = max(longest, run)
+    abuse = sum(bare(x) in {a.encode() for a in ABUSE} for x in w)
+    learnt = sum(bool(fronts(bare(x)) & known) for x in w)
+    visible = max(len(seen), 1)
+    looks = [
+        (1 - sum(map(plain, seen)) / visible, 0.15, 0.08, 20),
+        (sum(not any(map(plain, x)) for x in w) / n, 0.08, 0.02, 5),
+        (sum(c in SYMBOLS for c in seen) / visible, 0.02, 0.004, 5),
+        (sum(65 <= c <= 90 for c in seen) / max(sum(map(letter, seen)), 1), 0.3, 0.12, 20),
+        (raw.count(b"!") / n, 0.25, 0.05, 5),
+        (again / n, 0.15, 0.05, 20),
+        (longest, 5, 4, 20),
+        (max(Counter(low).values(), default=0) / n, 0.25, 0.15, 20),
+        (abuse, 1, 1, 0),
+        (abuse / n, 0.004, 0.001, 0),
+        (learnt, 1, 1, 0 if known else 10**9),
+        (learnt / n, 0.004, 0.001, 0 if known else 10**9),
+    ]
+    return tuple(1 if len(w) < least else 0 if x >= bad else 2 if x < good else 1 for x, bad, good, least in looks)
+
+
+def label_model(rows, rounds=500):
+    """Posterior of good for every row of votes, by expectation-maximisation row by row."""
+    prior = ((0.01, 10.0), (1.0, 1.0), (1.0, 1.0))
+    belief = [[0.1, 0.1, 0.8] if 0 in v[8:] else [0.1, 0.9, 0.001] if 0 in v else [0.9, 0.1, 0.001] for v in rows]
+    for _ in range(rounds):
+        share = [(sum(b[k] for b in belief) + 1) / (len(rows) + 3) for k in range(3)]
+        rate = [[(sum(b[k] for b, v in zip(belief, rows, strict=True) if v[j] == 0) + yes) / (sum(b[k] for b, v in zip(belief, rows, strict=True) if v[j] != 1) + yes + no) for j in range(12)] for k, (yes, no) in enumerate(prior)]
+        new = []
+        for v in rows:
+            like = [share[k] * np.prod([1 if x == 1 else rate[k][j] if x == 0 else 1 - rate[k][j] for j, x in enumerate(v)]) for k in range(3)]
+            new.append([x / sum(like) for x in like])
+        moved = max(abs(x - y) for a, b in zip(belief, new, strict=True) for x, y in zip(a, b, strict=True))
+        belief = new
+        if moved < 1e-9:
+            break
+    return [b[0] for b in belief]

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from motifmill.llm import corpus, decontaminate, licences, mixing, near_dedup, quality, substring_dedup, suffix_dedup, tokens
+from motifmill.llm import collection, corpus, decontaminate, licences, mixing, near_dedup, quality, substring_dedup, suffix_dedup, tokens
 from motifmill.llm import textscan as ts
 
 from . import brute
@@ -91,13 +91,42 @@ def test_long_text_hashes_by_blocks(monkeypatch):
     import numpy as np
 
     data = np.frombuffer(prose(random.Random(1), 2000).encode(), np.uint8)
-    starts, ends, _ = ts.words(data, np.array([0, len(data)]))
-    whole, grams = ts.span_hash(data, starts, ends), ts.gram_hash(data, 16)
-    monkeypatch.setattr(ts, "_BLOCK", 256)
-    monkeypatch.setattr(ts, "_GRAM_BLOCK", 128)
-    ts._block.clear()
-    assert (ts.span_hash(data, starts, ends) == whole).all() and (ts.gram_hash(data, 16) == grams).all()
-    ts._block.clear()
+    for q in (1, 3, 7, 8, 9, 16, 31, 100):
+        grams = ts.gram_hash(data, q)
+        raw = data.tobytes()
+        kinds = {}
+        for i, h in enumerate(grams.tolist()):
+            assert kinds.setdefault(raw[i : i + q], h) == h
+        assert len(set(kinds.values())) == len(kinds) and len(grams) == len(data) - q + 1
+        with monkeypatch.context() as m:
+            m.setattr(ts, "_GRAM_BLOCK", 128)
+            assert (ts.gram_hash(data, q) == grams).all()
+
+
+def thue_morse(n, a, b):
+    word = a
+    while len(word) < n:
+        word += bytes({a[0]: b[0], b[0]: a[0]}[c] for c in word)
+    return word
+
+
+def test_words_that_balance_polynomials_differ(spark):
+    """The Thue-Morse word and its complement: equal under any polynomial modulo 2 ** 64 with an odd multiplier."""
+    import numpy as np
+
+    for a, b in ((b"a", b"b"), (b"x", b"7"), (b"0", b"1")):
+        for n in (512, 1024, 2048, 8192):
+            both = np.frombuffer(thue_morse(n, a, b) + thue_morse(n, b, a), np.uint8)
+            for salt in (0, 1):
+                x, y = ts.span_hash(both, np.array([0, n]), np.array([n, 2 * n]), salt)
+                assert x != y
+            assert len(set(ts.gram_hash(both, n)[[0, n]].tolist())) == 2
+    one, other = thue_morse(1024, b"a", b"b").decode(), thue_morse(1024, b"b", b"a").decode()
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:10], w, *words[10:]])) for i, w in enumerate((one, other))] + [(2, f"{one} a b c d"), (3, f"{other} a b c d")]
+    cut = [tuple(r) for r in substring_dedup.dedup_substrings(table(spark, rows)).collect()]
+    same(cut, [(i, *d) for (i, _), d in zip(rows, brute.substring_digest([t for _, t in rows]), strict=True)])
+    assert {r.doc_id: r.component_id for r in near_dedup.dedup_near(table(spark, rows[2:])).collect()} == {2: 2, 3: 3}
 
 
 def test_parts_agree(spark):
@@ -129,8 +158,8 @@ def test_cut_repeats(spark, rows):
 
 
 def test_suffix_dedup(spark, rows):
-    ordered = [(i, t[:4000] if t else t) for i, t in rows]
-    for length in (200, 30):
+    ordered = rows
+    for length in (200, 30, 37):
         got = [tuple(r) for r in suffix_dedup.dedup_suffixes(table(spark, ordered), length=length).collect()]
         same(got, [(i, *d) for (i, _), d in zip(ordered, brute.suffix_digest([t for _, t in ordered], length), strict=True)])
         spans = {}
@@ -142,6 +171,45 @@ def test_suffix_dedup(spark, rows):
         assert spans == {i: n for i, n in total.items() if n}
 
 
+def test_suffix_dedup_of_a_long_text(spark):
+    """A text of more bytes than a slice with a repeat in itself and one in another document."""
+    rng = random.Random(8)
+    long = prose(rng, 220_000)
+    assert len(long.encode()) > ts.SLICE_BYTES
+    rows = [(0, long + long[1000:1400] + "end"), (1, "head " + long[500_000:500_199]), (2, long[600_000:600_900]), (3, "x")]
+    got = [tuple(r) for r in suffix_dedup.dedup_suffixes(table(spark, rows)).collect()]
+    same(got, [(i, *d) for (i, _), d in zip(rows, brute.suffix_digest([t for _, t in rows], 200), strict=True)])
+
+
+def test_one_string_in_many_surroundings(spark):
+    """A 120-byte string in surroundings of its own in every text, and one of 170 bytes in texts that mostly differ otherwise."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, more = say(120), say(170)
+    ends = [say(60) for _ in range(7)]
+    rows = [(i, say(150) + (line if i % 2 else more + rng.choice(ends)) + say(150)) for i in range(3000)]
+    got = [tuple(r) for r in suffix_dedup.dedup_suffixes(table(spark, rows, False)).collect()]
+    same(got, [(i, *d) for (i, _), d in zip(rows, brute.suffix_digest([t for _, t in rows], 200), strict=True)])
+    assert sum(r[2] > 0 for r in got) > 1400
+
+
+@pytest.mark.parametrize("external", [False, True])
+def test_collections(tmp_path, monkeypatch, external):
+    """Repeated windows of random collections, their columns in pieces of a few suffixes, in memory or in files that are gone afterwards."""
+    import numpy as np
+
+    rng = random.Random(external)
+    for _ in range(120):
+        letters, length = rng.choice([b"a", b"ab", b"abc", bytes(range(97, 123))]), rng.choice([2, 3, 4, 6, 8, 12])
+        strings = [bytes(rng.choice(letters) for _ in range(rng.randint(length, 2 * length + 5))) for _ in range(rng.randint(1, 12))]
+        anchor = np.array([rng.randint(0, len(s) - 1) for s in strings])
+        monkeypatch.setattr(collection, "PIECE", rng.choice([1, 3, 7, 1 << 19]))
+        monkeypatch.setattr(collection, "EXTERNAL", 0)
+        got = collection.repeated_windows(strings, anchor, length, str(tmp_path / "columns") if external else None)
+        assert [x.tolist() for x in got] == brute.repeated_windows(strings, anchor.tolist(), length)
+    assert not external or not list((tmp_path / "columns").iterdir())
+
+
 def test_near_dedup(spark, rows):
     ordered = in_order(spark, rows)
     for percent in (85, 50):
@@ -181,6 +249,20 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     test_near_dedup_chains_and_groups(spark)
 
 
+def test_bands_follow_the_threshold(spark):
+    for percent in (1, 5, 20, 50, 80, 85, 100):
+        rows, bands = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= near_dedup.LOST
+    pairs = []
+    for k in range(100):  # exactly 64 of 128 shingles shared, no word in common with other pairs
+        words = [f"{k}w{i}" for i in range(100)]
+        pairs += [" ".join(words), " ".join([*words[:68], *(f"{k}x{i}" for i in range(32))])]
+    a, b = brute.shingles(pairs[0]), brute.shingles(pairs[1])
+    assert len(a & b) * 2 == len(a | b)
+    got = {r.doc_id: r.component_id for r in near_dedup.dedup_near(table(spark, list(enumerate(pairs)), False), percent=50).collect()}
+    assert all(got[i] == i - i % 2 for i in range(200))
+
+
 def test_bayes_bound():
     n = 96
     assert near_dedup.least_matches(n, 85, 1e-9) < 0.75 * n < near_dedup.least_matches(n, 85, 0.01)
@@ -223,10 +305,22 @@ def test_licences(spark, rows):
     assert tagged.labels == "apache-2.0,gpl-2.0-only with classpath-exception-2.0,mit" and tagged.score > 0.9
 
 
-def test_licence_expressions():
+def test_licence_expressions(spark):
     p = licences.parse_expression
-    assert p("MIT") == {"mit"} and p("A and (b or C)") == {"a", "b", "c"} and p("GPL-2.0+ WITH x OR mit") == {"gpl-2.0+ with x", "mit"}
-    assert p("") is None and p("and") is None and p("(MIT") is None and p("MIT OR") is None and p("MIT */ done") == {"mit"}
+    assert p("MIT") == ({"mit"}, True) and p("A and (b or C)") == ({"a", "b", "c"}, False)
+    assert p("GPL-2.0+ WITH x AND mit") == ({"gpl-2.0+ with x", "mit"}, False)
+    assert p("") is None and p("and") is None and p("(MIT") is None and p("MIT OR") is None and p("MIT */ done") == ({"mit"}, True)
+    # a choice goes to the free side; a demand does not
+    assert p("GPL-2.0 OR MIT") == ({"mit"}, True) and p("GPL-2.0 AND MIT") == ({"gpl-2.0", "mit"}, False)
+    assert p("GPL-2.0 OR MIT AND agpl-3.0") == ({"gpl-2.0", "mit", "agpl-3.0"}, False) and p("(GPL-2.0 OR MIT) AND ISC") == ({"mit", "isc"}, True)
+    assert p("MIT OR ISC") == ({"mit", "isc"}, True) and p("(a or b) with c") is None and p("a with b with c") is None
+    many = " OR ".join(f"(L{i} with e{i})" for i in range(4000))
+    labels, free = p(many)
+    assert len(labels) == 4000 and not free and p("(" * 5000 + "MIT" + ")" * 5000) == ({"mit"}, True)
+    texts = ["x SPDX-License-Identifier: GPL-2.0 OR MIT\nAND gpl", "# spdx-license-identifier:ISC\r\n//SPDX License Identifier : AGPL-3.0 */", "SPDX-License-Identifier MIT", "notspdx-license-identifier: MIT", "é SPDX-License-Identifier: MIT " + many]
+    got = licences.scan_licences(table(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [(r.labels, r.free) for r in got[:4]] == [("mit", True), ("agpl-3.0,isc", False), ("", None), ("", None)]
+    assert got[0].score == 0.9 and got[1].score == pytest.approx(0.98) and got[4].labels == "mit"
 
 
 def test_decontamination(spark):
@@ -291,6 +385,18 @@ def test_short_items(spark):
     same([r.doc_id for r in decontaminate.drop_leaks(table(spark, docs), bench).collect()], [i for i, _ in docs if i not in {x[0] for x in want}])
 
 
+def test_budgets_and_kinds_of_ids(spark):
+    budget = decontaminate.edit_budget
+    assert [budget(n) for n in (1, 21, 22, 25, 32, 43, 100, 1000)] == [0, 0, 1, 2, 2, 3, 8, 80]
+    docs = table(spark, [(0, "so it is said: the quick brown fox jumps over the lazy dog again"), (None, None), (1, "")])
+    for kind, value in (("date", "date'2020-01-01'"), ("decimal(3,2)", "1.50bd"), ("smallint", "7s")):
+        items = spark.sql(f"SELECT {value} AS item_id, 'The quick brown fax jumps ovr the lazy dog' AS text, 'x' AS uid, 1 AS doc_id")
+        got = decontaminate.find_leaks(docs, items)
+        assert dict(got.dtypes)["item_id"] == kind and [(r.doc_id, r.edits, r.budget) for r in got.collect()] == [(0, 2, 3)]
+        assert decontaminate.drop_leaks(docs, items).count() == 2
+    assert decontaminate.find_leaks(docs.limit(0), items).count() == decontaminate.drop_leaks(docs.limit(0), items).count() == 0
+
+
 def test_passes_over_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 10)
     test_decontamination(spark)
@@ -317,6 +423,18 @@ def test_mixing(spark):
     assert sum(r.mix_copies * len(r.text.encode().split()) for r in taken.collect()) == sum(r.taken for r in got)
 
 
+def test_mixing_of_rows_without_ids(spark):
+    """Rows that share an id, or have none, are told apart by their texts."""
+    rng = random.Random(2)
+    rows = [(None if k % 2 else 5, prose(rng, rng.randint(1, 9)) + f" {k}", f"s{k % 3}") for k in range(900)]
+    groups = {}
+    for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        groups.setdefault((r.source_size, r.target), []).append(r)
+    assert len(groups) == 3
+    for (_, target), group in groups.items():
+        assert abs(sum(r.taken for r in group) - target) <= 2 * max(r.size for r in group)
+
+
 def test_mixing_matches_sql(spark):
     import duckdb
     import pandas as pd
@@ -329,25 +447,11 @@ def test_mixing_matches_sql(spark):
     same([tuple(r) for r in mixing.mix_sources(docs).collect()], c.execute(mixing.MIX_SQL).fetchall())
 
 
-def test_quality(spark):
-    rng = random.Random(3)
-    good = [" ".join(rng.choice(WORDS[:13]) for _ in range(rng.randint(30, 120))) + "." for _ in range(400)]
-    bad = [g.upper().replace(" ", "!! ") for g in good[:20]] + [g.replace(" ", "%%% ") for g in good[20:40]] + [" ".join(w for x in g.split()[:6] for w in [x] * 12) for g in good[40:60]] + [g + " you stupid pathetic idiot" for g in good[60:80]]
-    texts = [*good[80:], *bad]
-    rows = list(enumerate(texts)) + [(None, None), (900, ""), (901, " "), (902, "Fine."), (3, texts[3])]
-    model = {r.doc_id: r for r in quality.classify(table(spark, rows)).collect()}
-    n = len(good) - 80
-    assert sum(model[i].keep for i in range(n)) >= 0.99 * n and model[902].keep
-    assert not any(model[i].keep for i in range(n, len(texts))) and not model[900].keep and not model[901].keep and not model[None].keep
-    kept = quality.keep_good(table(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted([i for i, r in model.items() if r.keep] + [3])
-    again = quality.classify(table(spark, rows).repartition(5)).collect()
-    assert {r.doc_id: r.quality for r in again} == {i: r.quality for i, r in model.items()}
-
-
 def test_empty_tables(spark):
     docs = table(spark, corpus_rows(n=12)).limit(0)
     assert substring_dedup.dedup_substrings(docs).count() == suffix_dedup.dedup_suffixes(docs).count() == near_dedup.dedup_near(docs).count() == 0
     assert licences.scan_licences(docs).count() == mixing.mix_sources(docs).count() == quality.classify(docs).count() == 0
+    if public := pytest.importorskip("public_tokenizers"):
+        assert tokens.count_tokens(docs, public.path("piece_bpe_32k.model")).count() == 0
     for f in (substring_dedup.cut_repeats, near_dedup.keep_one_of_each, quality.keep_good, mixing.mix_rows):
         assert f(docs).count() == 0

@@ -9,14 +9,8 @@ import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
-import corpus_pipeline
-from motifmill.llm import ann, decontaminate, quality, queries, url_filter
-
-from . import brute
-
-DATA = "/root/testdata/sf0.001"
+from motifmill.llm import ann, queries, url_filter
 
 
 def vectors(spark, rows):
@@ -56,6 +50,20 @@ def test_ties_and_hot_vectors(spark, monkeypatch):
     assert all(abs(s - 1) < 1e-12 for _, _, s in got[50]) and [r for r, _, _ in got[50]] == [1, 2, 3, 4, 5]
 
 
+def test_blocks_and_depths(spark, monkeypatch):
+    """Small blocks on both sides, deeper tables, and queries and rows that share vectors: exact where every bucket is looked into."""
+    rng = np.random.default_rng(3)
+    base = [rng.normal(size=8).tolist() for _ in range(60)]
+    rows = [(i, base[int(rng.integers(60))]) for i in range(900)]
+    want = ann.exact_nearest(np.array([i for i, _ in rows]), np.array([v for _, v in rows]).astype(np.float32).astype(float))
+    monkeypatch.setattr(ann, "BLOCK", 20)
+    monkeypatch.setattr(ann, "ASKED", 2)
+    for depth, probes in ((1, 16), (2, 256)):
+        got = found(ann.nearest(vectors(spark, rows), depth=depth, probes=probes, tables=2))
+        assert {q: [(v, s) for _, v, s in x] for q, x in got.items()} == want
+    assert ann.depth_for(10**5, 64) == 1 and ann.depth_for(10**8, 64) == 2 and ann.depth_for(10**12, 64) == 3
+
+
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 def test_recall(spark, scale):
     table = pq.read_table(f"/root/testdata/{scale}/embeddings.parquet")
@@ -156,37 +164,3 @@ def test_equal_ranks_are_allowed(spark, tmp_path, monkeypatch):
     links = {("good.org", "even.com"), ("even.com", "bad.net"), ("good.org", "bad.net"), ("bad.net", "good.org")}
     got, want = shut_by_links(spark, tmp_path, monkeypatch, links, (("allow", "good.org/"), ("block", "bad.net/")))
     assert got == want == set()
-
-
-def test_pipeline_stages(spark, tmp_path):
-    """Every stage on what the stage before it kept, against brute force."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("uid", F.lit("extra"))
-    columns, names = docs.columns, [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality_classifier", "near_duplicates", "repeated_passages", "decontamination", "source_mix"]
-    tables = [docs]
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, tables[-1], DATA).write.parquet(str(tmp_path / name))
-        tables.append(spark.read.parquet(str(tmp_path / name)))
-    rows = [sorted((r.doc_id, r.text, r.n_chars) for r in t.collect()) for t in tables]
-    assert all(t.columns == columns for t in tables[:-1]) and tables[-1].columns == [*columns, "mix_copies"]
-
-    good = {r.doc_id for r in quality.classify(docs).where("keep").collect()}
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    assert [r[0] for r in rows[1]] == sorted(good)
-    clean = {i for i, r in labels.items() if r.quality and not r.toxic}
-    assert len(clean & good) >= 0.98 * len(clean) and not any(labels[i].quality == 0 for i in good & set(labels))
-
-    groups = brute.near_groups([t for _, t, _ in rows[1]], 80)
-    assert rows[2] == [r for k, (r, (_, g)) in enumerate(zip(rows[1], groups, strict=True)) if g == k]
-
-    cut = brute.removed_words([t for _, t, _ in rows[2]], 20)
-    assert [(i, t.encode().split(), n) for i, t, n in rows[3]] == [(i, [x for x, g in zip(w, gone, strict=True) if not g], len(rows[3][k][1])) for k, ((i, _, _), (w, gone)) in enumerate(zip(rows[2], cut, strict=True))]
-
-    items = [x for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if len(x := decontaminate.normalised(r.text)) >= decontaminate.LEAST_ITEM]
-    assert {r[0] for r in rows[3] if any(x in decontaminate.normalised(r[1]) for x in items)} <= {r[0] for r in rows[3]} - {r[0] for r in rows[4]}
-    assert len(rows[4]) >= len(rows[3]) - 20
-
-    assert {r[0] for r in rows[5]} <= {r[0] for r in rows[4]}
-    words = {i: len(t.encode().split()) for i, t, _ in rows[4]}
-    taken = sum(r.mix_copies * words[r.doc_id] for r in tables[-1].collect())
-    assert taken == pytest.approx(1.5 * sum(words.values()), rel=0.3)
