@@ -16,7 +16,7 @@ from motifmill.plans.storage import bounded_batches, materialize
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
     bounded_batches(spark)
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, labelled=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
