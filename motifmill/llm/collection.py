@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Suffixes in a piece of the columns, and symbols of a collection from which on its columns lie in files.
-PIECE, EXTERNAL = 1 << 19, 16 << 20
+PIECE, EXTERNAL = 1 << 18, 16 << 20
 _FAR = np.int16(32767)
 Piece = tuple[np.ndarray, np.ndarray]
 
@@ -101,13 +101,9 @@ class _Ranks:
         self._open[come] = -1
         self._so_far = np.minimum(self._so_far, least)
         if len(at):
-            c = symbols[at]
-            k = np.empty(len(at), np.int64)
-            turn = np.argsort(c, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(c[turn]) > 0))
-            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
-                own = c[turn[i]]
-                k[turn[i:j]] = head[own] + np.searchsorted(order[head[own] : head[own] + count[own]], at[turn[i:j]])
+            turned = np.empty(n, np.int32)
+            turned[order] = np.arange(n, dtype=np.int32)
+            c, k = symbols[at], turned[at].astype(np.int64)
             mine = np.arange(lo, lo + len(at))
             self.rank[mine] = self._count[c] + k - head[c]
             inner = k > head[c]
@@ -169,8 +165,16 @@ def _with_end(pieces: Iterator[Piece]) -> Iterator[Piece | None]:
     yield None
 
 
-def _phase(code: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, columns: Columns) -> tuple[np.ndarray, np.ndarray]:
-    """(document, column) of the repeated windows of ``length`` symbols. code: symbols from 1, a column a row; a document has those from ``begin`` to ``end``."""
+def insert_columns(code: np.ndarray, begin: np.ndarray, end: np.ndarray, need: np.ndarray, columns: Columns) -> tuple[np.ndarray, np.ndarray]:
+    """(document, column) of the suffixes that share ``need`` symbols with a neighbour when their round is over.
+
+    code: symbols from 1 on, a column a row; a document has those from ``begin`` to ``end``.
+    From the last column to the first every document that has begun inserts one
+    symbol. In front of all stand the documents' empty suffixes, which share nothing.
+    The place of a new suffix is that of its symbol's block and the symbol's rank at
+    the place of the suffix behind it; what it shares with its neighbours is one more
+    than the least on the way between the two symbols.
+    """
     m, sigma = len(begin), int(code.max(initial=0)) + 1
     layout = np.zeros((len(code) + 1, m), np.uint16)  # row of a column: behind the one in front of the first; 0: no text
     layout[1:] = code
@@ -209,7 +213,7 @@ def _phase(code: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, co
         ahead = np.where(begin[doc] < column, layout[column][doc], 0).astype(np.uint16)
         columns.replace(_merged(columns.read(), place - np.arange(len(place)), ahead, before, behind))
         occurs += np.bincount(ahead, minlength=sigma)
-        hit = np.maximum(before, behind) >= length
+        hit = np.maximum(before, behind) >= need[doc]
         found_doc.append(doc[hit])
         found_at.append(np.full(int(hit.sum()), column))
         go = begin[doc] < column
@@ -218,53 +222,36 @@ def _phase(code: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, co
     return np.concatenate(found_doc), np.concatenate(found_at)
 
 
-def repeated_windows(strings: list[bytes], anchor: np.ndarray, length: int, folder: str | None = None) -> list[np.ndarray]:
-    """For each string the places whose ``length`` bytes also stand in another string, the same distance before its anchor.
+def repeated_windows(strings: list[bytes], core: np.ndarray, size: np.ndarray, length: int, folder: str | None = None) -> list[np.ndarray]:
+    """For each string the places whose ``length`` bytes hold its core and also stand around an equal core in another string.
 
-    The strings are the documents of a collection, lined up at their anchors: a round
-    inserts of each the symbol of one column, so that windows that could be equal are
-    inserted in one round, and a document's first round is the one of its last symbol.
-    In front of all stand the documents' empty suffixes, which share nothing. The
-    place of a new suffix is that of its symbol's block and the symbol's rank at the
-    place of the suffix behind it; what it shares with its neighbours is one more than
-    the least on the way between the two symbols. A window is repeated if its suffix
-    shares ``length`` bytes with a neighbour when its round is over.
-
-    A symbol is four bytes (two or one, if ``length`` is no multiple of that or a
-    collection has more kinds of them than 16 bits tell apart), and the collection is
-    built once for each of the four phases that columns can have: a quarter of the
-    suffixes and rounds each.
+    core, size: where a string's core begins and how long it is; a window that holds it
+    begins at most ``length - size`` bytes before. The strings are the documents of a
+    collection, lined up at their cores. A core is one symbol, the same for equal bytes,
+    and every other byte is one; so a window is ``length - size + 1`` symbols, and
+    windows that could be equal are inserted in one round.
     """
     m = len(strings)
-    size = np.array([len(x) for x in strings], np.int64)
-    begin = int(anchor.max(initial=0)) - anchor.astype(np.int64)
-    end = begin + size
+    core, size = core.astype(np.int64), size.astype(np.int64)
+    symbols: dict[bytes, int] = {}
+    own = [symbols.setdefault(x[c : c + n], 257 + len(symbols)) for x, c, n in zip(strings, core.tolist(), size.tolist(), strict=True)]
+    if len(symbols) > 65_000:
+        raise ValueError("a collection has at most 65000 different cores")
+    total = np.array([len(x) for x in strings], np.int64)
+    middle = int(core.max(initial=0))
+    begin, end = middle - core, middle + 1 + total - core - size
     text = np.frombuffer(b"".join(strings), np.uint8)
-    layout = np.zeros((int(end.max(initial=0)) + 4, m), np.uint8)
-    layout[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(text)), np.repeat(np.arange(m), size)] = text
-    folder = folder if len(text) >= EXTERNAL else None
-    found_doc, found_at = [], []
-    step = next(k for k in (4, 2, 1) if length % k == 0)
-    phase = 0
-    while phase < step:
-        rows = max(0, (len(layout) - 4 - phase) // step)
-        first, last = -((phase - begin) // step), (end - phase) // step  # documents' symbols: whole ones only
-        inside = (np.arange(rows)[:, None] >= first) & (np.arange(rows)[:, None] < last)
-        words = np.zeros((rows, m), np.uint32)
-        for k in range(step):
-            words = words << np.uint32(8) | layout[phase + k : phase + k + rows * step : step][:rows]
-        kinds, code = np.unique(words[inside], return_inverse=True)
-        if len(kinds) >= 1 << 16:
-            step, phase, found_doc, found_at = step // 2, 0, [], []
-            continue
-        codes = np.zeros((rows, m), np.uint16)
-        codes[inside] = code + 1
-        doc, at = _phase(codes, first, np.maximum(last, first), length // step, Columns(folder))
-        found_doc.append(doc)
-        found_at.append(phase + step * at - begin[doc])
-        phase += 1
-    found_doc, found_at = np.concatenate(found_doc), np.concatenate(found_at)
-    turn = np.lexsort((found_at, found_doc))
-    found_doc, found_at = found_doc[turn], found_at[turn]
-    cuts = np.searchsorted(found_doc, np.arange(m + 1))
-    return [found_at[cuts[i] : cuts[i + 1]] for i in range(m)]
+    row = np.repeat(np.arange(m), total)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(total) - total + core, total)
+    side = (at < 0) | (at >= size[row])
+    column = middle + np.where(at < 0, at, at - size[row] + 1)
+    code = np.zeros((int(end.max(initial=0)), m), np.uint16)
+    code[column[side], row[side]] = text[side] + np.uint16(1)
+    code[middle] = own
+    doc, column = insert_columns(code, begin, end, length - size + 1, Columns(folder if len(text) >= EXTERNAL else None))
+    early = column <= middle
+    doc, place = doc[early], column[early] - begin[doc[early]]
+    turn = np.lexsort((place, doc))
+    doc, place = doc[turn], place[turn]
+    cuts = np.searchsorted(doc, np.arange(m + 1))
+    return [place[cuts[i] : cuts[i + 1]] for i in range(m)]

@@ -11,8 +11,9 @@
    a class without a second segment has no repeats.
 2. Suffixes. The documents of the other classes get their bytes and are built into a
    collection's Burrows-Wheeler transform and common prefixes, column by column
-   (``collection``). A window whose suffix shares 200 bytes with a neighbour is a
-   repeat, and so are all windows of a document that is there twice.
+   (``collection``); their cores, compared byte by byte, are one symbol each. A window
+   whose suffix shares 200 bytes with a neighbour is a repeat, and so are all windows
+   of a document that is there twice.
 3. Cut. The windows' bytes are removed from the texts.
 """
 
@@ -212,7 +213,8 @@ def _build(parts: int, length: int, folder: str):
             e = max(c + 1, int(np.searchsorted(weight[heads], weight[heads[c]] + COLLECTION, "right")) - 1)
             lo, hi = int(heads[c]), int(heads[min(e, len(heads) - 1)])
             c = e
-            for i, at in enumerate(repeated_windows(pieces[lo:hi], x["a"][lo:hi], length, folder), lo):
+            core, end = cores(np.zeros(hi - lo, np.int64), x["a"][lo:hi].astype(np.int64), length)
+            for i, at in enumerate(repeated_windows(pieces[lo:hi], core, end - core, length, folder), lo):
                 if x["known"][i] or not len(at):
                     continue
                 begins = np.flatnonzero(np.append(True, np.diff(at) > 1))

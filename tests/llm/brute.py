@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 
@@ -85,15 +85,13 @@ def licence_scan(text):
     return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
 
 
-def repeated_windows(strings, anchors, length):
-    """Places whose bytes stand again in the same column or one behind it, a whole number of symbols on."""
-    step = next(k for k in (4, 2, 1) if length % k == 0)
-    at = defaultdict(list)
-    for d, (s, a) in enumerate(zip(strings, anchors, strict=True)):
-        for i in range(len(s) - length + 1):
-            at[s[i : i + length]].append((i - a, d))
-    there = lambda i, a, d, w: any(c >= i - a and (c - i + a) % step == 0 and (c, e) != (i - a, d) for c, e in at[w])
-    return [[i for i in range(len(s) - length + 1) if there(i, a, d, s[i : i + length])] for d, (s, a) in enumerate(zip(strings, anchors, strict=True))]
+def repeated_windows(strings, cores, sizes, length):
+    """Places whose window holds the core and stands as far before an equal core in another string."""
+    at = Counter()
+    windows = [[(i, (c - i, n, x[i : i + length])) for i in range(max(0, c + n - length), min(c, len(x) - length) + 1)] for x, c, n in zip(strings, cores, sizes, strict=True)]
+    for w in windows:
+        at.update(k for _, k in w)
+    return [[i for i, k in w if at[k] > 1] for w in windows]
 
 
 def least_edits_of_all(items, text):

@@ -201,12 +201,22 @@ def test_collections(tmp_path, monkeypatch, external):
     rng = random.Random(external)
     for _ in range(120):
         letters, length = rng.choice([b"a", b"ab", b"abc", bytes(range(97, 123))]), rng.choice([2, 3, 4, 6, 8, 12])
-        strings = [bytes(rng.choice(letters) for _ in range(rng.randint(length, 2 * length + 5))) for _ in range(rng.randint(1, 12))]
-        anchor = np.array([rng.randint(0, len(s) - 1) for s in strings])
+        base = bytes(rng.choice(letters) for _ in range(3 * length))
+        strings, cores, sizes = [], [], []
+        for _ in range(rng.randint(1, 12)):
+            n = rng.randint(1, length)
+            left, right = rng.randint(0, length - n), rng.randint(0, length - n)
+            right = max(right, length - n - left)
+            string = bytearray(base[length - left : length + n + right])
+            for at in rng.sample(range(len(string)), rng.randint(0, 2)):
+                string[at] = rng.choice(letters)
+            strings.append(bytes(string))
+            cores.append(left)
+            sizes.append(n)
         monkeypatch.setattr(collection, "PIECE", rng.choice([1, 3, 7, 1 << 19]))
         monkeypatch.setattr(collection, "EXTERNAL", 0)
-        got = collection.repeated_windows(strings, anchor, length, str(tmp_path / "columns") if external else None)
-        assert [x.tolist() for x in got] == brute.repeated_windows(strings, anchor.tolist(), length)
+        got = collection.repeated_windows(strings, np.array(cores), np.array(sizes), length, str(tmp_path / "columns") if external else None)
+        assert [x.tolist() for x in got] == brute.repeated_windows(strings, cores, sizes, length)
     assert not external or not list((tmp_path / "columns").iterdir())
 
 
