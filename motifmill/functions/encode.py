@@ -1,4 +1,4 @@
-"""Symbol and k-mer codes as Catalyst expressions."""
+"""Symbol, pair and k-mer codes as Catalyst expressions. What holds a symbol outside the alphabet has no code: null."""
 
 from __future__ import annotations
 
@@ -14,8 +14,19 @@ def symbol_code(symbol: Column, alphabet: str = ALPHABET) -> Column:
     return F.when((F.length(symbol) == 1) & (at > 0), at - 1).cast("int")
 
 
+def pair_code(first: Column, second: Column) -> Column:
+    """0 to 15: four times the first symbol's code and the second one's."""
+    return 4 * symbol_code(first) + symbol_code(second)
+
+
+def is_coded(seq: Column, alphabet: str = ALPHABET) -> Column:
+    """Does a text hold symbols of the alphabet only?"""
+    return F.length(F.translate(seq, alphabet, "")) == 0
+
+
 def code_digits(seq: Column, alphabet: str = ALPHABET) -> Column:
-    return F.translate(seq, alphabet, "".join(map(str, range(len(alphabet)))))
+    """A digit for each symbol."""
+    return F.when(is_coded(seq, alphabet), F.translate(seq, alphabet, "".join(map(str, range(len(alphabet))))))
 
 
 def kmer_code(kmer: Column) -> Column:
@@ -28,6 +39,19 @@ def kmer_text(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", ALPHABET)
 
 
+def packed_symbol(word: Column, place: Column, bits: int = 2, word_bits: int = 32) -> Column:
+    """Code at a place (from 0, the highest bits first) of a packed word."""
+    shift = F.lit(word_bits - bits) - place * bits
+    return F.call_function("shiftrightunsigned", word.cast("long"), shift.cast("int")).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def folded(seq: Column, normalize: str | None = None) -> Column:
+    """``normalize`` = 'upper' makes matching blind to case; None leaves symbols as they are."""
+    if normalize not in (None, "upper"):
+        raise ValueError("normalize must be None or 'upper'")
+    return seq if normalize is None else F.upper(seq)
+
+
 def count_symbol(seq: Column, symbol: str) -> Column:
     """Occurrences of one symbol, without a row for each."""
     return (F.length(seq) - F.length(F.translate(seq, symbol, ""))).cast("long")

@@ -7,31 +7,41 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motifmill.functions.encode import kmer_code
+from motifmill.functions.encode import ALPHABET, is_coded, kmer_code, kmer_text, symbol_code
 from motifmill.operators import suffix
 from motifmill.plans.storage import materialize
 from motifmill.sources.sequences import input_key
 
 D = 64
-TABLES = ("meta", "bwt", "c_table", "occ", "lut")
+TABLES = ("meta", "bwt", "c_table", "firsts", "occ", "lut")
 
 
 def meta_table(genome: DataFrame) -> DataFrame:
-    """contig_id, len (rows of the suffix array), last (code of the last symbol, null if empty)."""
-    return genome.select("contig_id", (F.length("seq") + 1).cast("long").alias("len"), F.when(F.length("seq") > 0, F.instr(F.lit("ACGT"), F.substring("seq", -1, 1)) - 1).cast("int").alias("last"))
+    """contig_id, len (rows of the suffix array), last (code of the last symbol, null if empty or none of ACGT), others (does it hold other symbols?)."""
+    return genome.select("contig_id", (F.length("seq") + 1).cast("long").alias("len"), symbol_code(F.substring("seq", -1, 1)).alias("last"), (~is_coded(F.col("seq"))).alias("others"))
 
 
 def pair_counts(bwt: DataFrame) -> DataFrame:
     return bwt.where("sym2 is not null").groupBy("contig_id", "sym2").agg(F.count(F.lit(1)).alias("n"))
 
 
-def c_table(meta: DataFrame, pairs: DataFrame) -> DataFrame:
-    """contig_id, sym2 (0 to 16), n, c_before: rows before those that begin with the pair, the lone last symbol's row counted with its pairs' first one."""
-    every = meta.select("contig_id", "last", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("sym2"))
-    filled = every.join(pairs, ["contig_id", "sym2"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-    before = Window.partitionBy("contig_id").orderBy("sym2").rowsBetween(Window.unboundedPreceding, -1)
-    lone = F.when(F.col("sym2") >= 4 * F.col("last"), 1).otherwise(0)
-    return filled.select("contig_id", "sym2", "n", (1 + F.coalesce(F.sum("n").over(before), F.lit(0)) + lone).cast("long").alias("c_before"))
+def beginnings(bwt: DataFrame) -> DataFrame:
+    """contig_id, begin, n: how many suffixes of T$ begin with two symbols; at most the square of the alphabet's size a contig."""
+    return bwt.groupBy("contig_id", F.substring("head", 1, 2).alias("begin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def c_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
+    """contig_id, sym2 (0 to 16), n, c_before: suffixes that begin with the pair, and those that come before; symbols outside ACGT have their place among them."""
+    every = meta.select("contig_id", "len", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("sym2")).withColumn("pair", F.when(F.col("sym2") < 16, kmer_text(F.col("sym2"), 2)))
+    met = every.join(begins, "contig_id").groupBy("contig_id", "sym2", "len").agg(F.sum(F.when(F.col("begin") == F.col("pair"), F.col("n"))).alias("n"), F.sum(F.when(F.col("begin") < F.col("pair"), F.col("n"))).alias("c_before"))
+    return met.select("contig_id", "sym2", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("sym2") == 16, F.col("len")).otherwise(F.coalesce("c_before", F.lit(0))).cast("long").alias("c_before"))
+
+
+def firsts_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
+    """contig_id, x, lo, hi: the rows of the suffixes that begin with each symbol of ACGT."""
+    every = meta.select("contig_id", F.explode(F.array(*[F.struct(F.lit(k).alias("x"), F.lit(c).alias("symbol")) for k, c in enumerate(ALPHABET)])).alias("e")).select("contig_id", "e.*")
+    met = every.join(begins, "contig_id").groupBy("contig_id", "x").agg(F.sum(F.when(F.col("begin") < F.col("symbol"), F.col("n"))).alias("lo"), F.sum(F.when(F.col("begin").startswith(F.col("symbol")), F.col("n"))).alias("n"))
+    return met.select("contig_id", "x", F.coalesce("lo", F.lit(0)).cast("long").alias("lo"), (F.coalesce("lo", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("hi"))
 
 
 def occ_blocks(bwt: DataFrame, meta: DataFrame, d: int = D) -> DataFrame:
@@ -54,16 +64,11 @@ def rank_of(before: Column, bitmap: Column, row: Column, d: int = D) -> Column:
     return before + F.when(off == 0, 0).otherwise(F.bit_count(F.call_function("shiftrightunsigned", bitmap, F.lit(d) - off)))
 
 
-def lut(suffixes_with_heads: DataFrame, ks: tuple[int, ...] = (5, 6)) -> DataFrame:
-    """contig_id, k, kmer, code, lo, hi: half-open row interval of every k-mer that occurs. Input: contig_id, i, head."""
-    parts = [
-        suffixes_with_heads.where(F.length(F.regexp_replace("head", r"\$.*$", "")) >= k).groupBy("contig_id", F.lit(k).alias("k"), F.substring("head", 1, k).alias("kmer")).agg(F.min("i").alias("lo"), (F.max("i") + 1).alias("hi"))
-        for k in ks
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("contig_id", "k", "kmer", kmer_code(F.col("kmer")).alias("code"), "lo", "hi")
+def lut(suffixes: DataFrame, ks: tuple[int, ...] = (5, 6)) -> DataFrame:
+    """contig_id, k, kmer, code, lo, hi: half-open row interval of every k-mer over ACGT that occurs, from one pass. Input: contig_id, i, head."""
+    kmers = suffixes.select("contig_id", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.length("head") >= k, F.substring("head", 1, k)).alias("kmer")) for k in ks])).alias("e")).select("contig_id", "i", "e.*")
+    rows = kmers.where(is_coded(F.col("kmer"))).groupBy("contig_id", "k", "kmer").agg(F.min("i").alias("lo"), (F.max("i") + 1).alias("hi"))
+    return rows.select("contig_id", "k", "kmer", kmer_code(F.col("kmer")).alias("code"), "lo", "hi")
 
 
 @dataclass
@@ -73,16 +78,19 @@ class Index:
     meta: DataFrame
     bwt: DataFrame
     c_table: DataFrame
+    firsts: DataFrame
     occ: DataFrame
     lut: DataFrame
 
     @classmethod
     def build(cls, genome: DataFrame, d: int = D, ks: tuple[int, ...] = (5, 6)) -> Index:
+        """The suffixes are sorted once, with the symbols that all tables need at their side. Any symbols may occur; pairs and k-mers are those of ACGT."""
+        if max(ks) > suffix.HEAD:
+            raise ValueError(f"k-mers of at most {suffix.HEAD} symbols")
         meta = materialize(meta_table(genome), "index-meta")
-        suffixes = suffix.suffix_array(genome)
-        bwt = materialize(suffix.bwt(genome, suffixes), "index-bwt")
-        heads = bwt.select("contig_id", "i", "pos").join(suffix.positions(genome, max(ks)), ["contig_id", "pos"])
-        return cls(meta, bwt, materialize(c_table(meta, pair_counts(bwt)), "index-c"), materialize(occ_blocks(bwt, meta, d), "index-occ"), materialize(lut(heads, ks), "index-lut"))
+        bwt = materialize(suffix.bwt(suffix.sorted_suffixes(genome)), "index-bwt")
+        begins = materialize(beginnings(bwt), "index-beginnings")
+        return cls(meta, bwt, materialize(c_table(meta, begins), "index-c"), materialize(firsts_table(meta, begins), "index-firsts"), materialize(occ_blocks(bwt, meta, d), "index-occ"), materialize(lut(bwt, ks), "index-lut"))
 
     def save(self, path: str) -> None:
         for name in TABLES:
@@ -92,6 +100,14 @@ class Index:
     def load(cls, spark: SparkSession, path: str) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
 
+    def summary(self) -> DataFrame:
+        """contig_id, rows, blocks, pairs, kinds, entries: rows of the suffix array, blocks of the rank table, pairs counted in it, pairs that occur and k-mers that have an interval."""
+        blocks = self.occ.groupBy("contig_id").agg(F.count_distinct("blk").alias("blocks"), F.sum(F.bit_count("bitmap")).alias("pairs"))
+        kinds = self.c_table.where("sym2 < 16 and n > 0").groupBy("contig_id").agg(F.count(F.lit(1)).alias("kinds"))
+        entries = self.lut.groupBy("contig_id").agg(F.count(F.lit(1)).alias("entries"))
+        out = self.meta.join(blocks, "contig_id", "left").join(kinds, "contig_id", "left").join(entries, "contig_id", "left")
+        return out.select("contig_id", F.col("len").alias("rows"), "blocks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pairs", "kinds", "entries")])
+
 
 _built: dict[tuple, Index] = {}
 

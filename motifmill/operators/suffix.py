@@ -2,66 +2,74 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifmill.plans.storage import discard, materialize
+from motifmill.functions.encode import pair_code
+from motifmill.operators.cutting import pieces
+from motifmill.plans.storage import discard, materialize, small_side
 
-#: Symbols that the first sort looks at, and those that deal the rows out before it.
-FIRST, DEAL = 32, 6
+#: Symbols that the first sort looks at, those that deal the rows out before it, and those that stay with a sorted suffix.
+FIRST, DEAL, HEAD = 32, 6, 6
 CHUNK = 256
 
 
-def positions(genome: DataFrame, reach: int) -> DataFrame:
-    """contig_id, pos, head: every place of T$ with the ``reach`` symbols from there on.
-
-    Texts are cut to overlapping chunks first: a substring's cost grows with its
-    distance from the beginning.
-    """
-    text = F.concat("seq", F.lit("$"))
-    chunks = genome.select("contig_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / CHUNK).cast("int"))).alias("c"), text.alias("t"))
-    cut = chunks.select("contig_id", (F.col("c") * CHUNK).cast("long").alias("base"), F.substring("t", (F.col("c") * CHUNK + 1), F.lit(CHUNK + reach)).alias("part"))
-    placed = cut.select("contig_id", "base", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(CHUNK)))).alias("p"))
-    return placed.select("contig_id", (F.col("base") + F.col("p") - 1).alias("pos"), F.substring("part", F.col("p"), F.lit(reach)).alias("head"))
+def positions(genome: DataFrame, reach: int, before: int = 0) -> DataFrame:
+    """contig_id, pos, head: every place of T$ with the ``reach`` symbols from there on; with ``before`` = 2 also those two before, cyclically, as front."""
+    end = F.lit("$")
+    text = F.concat("seq", end)
+    if before:  # in front of the first place stands the end marker, and in front of that the last symbol
+        text = F.concat(F.when(F.length("seq") > 0, F.substring("seq", -1, 1)).otherwise(end), end, text)
+    cut = pieces(genome.select("contig_id", text.alias("seq")), "contig_id", "seq", CHUNK, reach + before - 1)
+    # the last ``before`` places of the longer text are none of T$
+    last = F.least(F.lit(CHUNK), F.length("part") - before)
+    placed = cut.where(F.length("part") > before).select(F.col("id").alias("contig_id"), "base", "part", F.explode(F.sequence(F.lit(1), last)).alias("p"))
+    out = placed.select("contig_id", (F.col("base") + F.col("p") - 1).alias("pos"), F.substring("part", F.col("p") + before, F.lit(reach)).alias("head"), F.substring("part", F.col("p"), F.lit(before)).alias("front"))
+    return out if before else out.drop("front")
 
 
-def suffix_array(genome: DataFrame) -> DataFrame:
-    """contig_id, i, pos: rank i of the suffix of T$ from pos, 0-based, by contig.
+def sorted_suffixes(genome: DataFrame) -> DataFrame:
+    """contig_id, i, pos, front, head: rank i of the suffix of T$ from pos, 0-based, by contig, with its first HEAD symbols and the two before it.
 
     Prefix doubling that works only on what is still tied. The first sort is by 32
     symbols, inside groups of one contig and six first symbols whose sizes give the
     ranks' offsets. After that a group of equal ranks is ordered by the ranks one
-    reach further on. All windows are partitioned by such groups, so no contig has
-    to be sorted in one task, and each round is one equi-join.
+    reach further on; only tied suffixes are written again, and only the ranks that
+    they ask for are joined. All windows are partitioned by such groups, so no contig
+    has to be sorted in one task.
     """
-    heads = materialize(positions(genome, FIRST).withColumn("deal", F.substring("head", 1, DEAL)), "suffix-heads")
+    heads = positions(genome, FIRST, 2).withColumn("deal", F.substring("head", 1, DEAL))
+    heads = materialize(heads, "suffix-heads")
     dealt = heads.groupBy("contig_id", "deal").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("contig_id").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.select("contig_id", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("contig_id", "deal").orderBy("head")
     ranked = heads.withColumn("r", F.rank().over(inside) - 1).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("contig_id", "deal", "head")))
-    ranks = materialize(ranked.join(offsets, ["contig_id", "deal"]).select("contig_id", "pos", (F.col("offset") + F.col("r")).alias("i"), "ties"), "suffix-ranks")
+    columns = ["contig_id", "pos", "front", F.substring("head", 1, HEAD).alias("head")]
+    rounds = [materialize(ranked.join(offsets, ["contig_id", "deal"]).select(*columns, (F.col("offset") + F.col("r")).alias("i"), "ties"), "suffix-ranks")]
     discard(heads)
     reach = FIRST
-    while not (tied := ranks.where("ties > 1")).isEmpty():
-        ahead = ranks.select("contig_id", (F.col("pos") - reach).alias("pos"), F.col("i").alias("next"))
+    while not (tied := rounds[-1].where("ties > 1")).isEmpty():
+        asked = materialize(tied.select("contig_id", (F.col("pos") + reach).alias("pos")), "suffix-asked")
+        known = reduce(DataFrame.unionByName, [t.where("ties = 1") for t in rounds[:-1]] + [rounds[-1]]).select("contig_id", "pos", F.col("i").alias("next"))
+        ahead = known.join(small_side(asked), ["contig_id", "pos"], "left_semi").withColumn("pos", F.col("pos") - reach)
         group = Window.partitionBy("contig_id", "i")
         again = tied.join(ahead, ["contig_id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1)))
         again = again.withColumn("r", F.rank().over(group.orderBy("next")) - 1).withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("contig_id", "i", "next")))
-        done = ranks
-        ranks = materialize(ranks.where("ties = 1").unionByName(again.select("contig_id", "pos", (F.col("i") + F.col("r")).alias("i"), F.col("same").alias("ties"))), "suffix-ranks")
-        discard(done)
+        rounds.append(materialize(again.select("contig_id", "pos", "front", "head", (F.col("i") + F.col("r")).alias("i"), F.col("same").alias("ties")), "suffix-ranks"))
+        discard(asked)
         reach *= 2
-    return ranks.select("contig_id", "i", "pos")
+    return reduce(DataFrame.unionByName, [t.where("ties = 1") for t in rounds]).select("contig_id", "i", "pos", "front", "head")
+
+
+def suffix_array(genome: DataFrame) -> DataFrame:
+    """contig_id, i, pos: rank i of the suffix of T$ from pos, 0-based, by contig."""
+    return sorted_suffixes(genome).select("contig_id", "i", "pos")
 
 
-def bwt(genome: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """contig_id, i, pos, b1, b0, sym2: the two symbols before each suffix, cyclically, and their pair code (null at the end marker)."""
-    n = genome.select("contig_id", F.length("seq").alias("n"), F.substring("seq", -1, 1).alias("z"))
-    # a place's two symbols are the heads two before it; the first two places wrap round
-    pairs = positions(genome, 2).select("contig_id", (F.col("pos") + 2).alias("pos"), F.substring("head", 1, 1).alias("b1"), F.substring("head", 2, 1).alias("b0"))
-    first = genome.select("contig_id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.when(F.length("seq") > 0, F.substring("seq", -1, 1)).otherwise("$").alias("b1"), F.lit("$").alias("b0")), F.struct(F.lit(1).cast("long").alias("pos"), F.lit("$").alias("b1"), F.substring("seq", 1, 1).alias("b0")))).alias("e")).select("contig_id", "e.*")
-    all_pairs = pairs.join(n, "contig_id").where(F.col("pos") <= F.col("n")).select("contig_id", "pos", "b1", "b0").unionByName(first.join(n.select("contig_id", "n"), "contig_id").where(F.col("pos") <= F.col("n")).drop("n"))
-    code = lambda c: F.instr(F.lit("ACGT"), F.col(c)) - 1
-    joined = suffixes.join(all_pairs, ["contig_id", "pos"])
-    return joined.select("contig_id", "i", "pos", "b1", "b0", F.when((F.col("b1") != "$") & (F.col("b0") != "$"), 4 * code("b1") + code("b0")).cast("int").alias("sym2"))
+def bwt(suffixes: DataFrame) -> DataFrame:
+    """contig_id, i, pos, b1, b0, sym2, head: the two symbols before each suffix, cyclically, and their pair code (null where either is none of ACGT). suffixes: as sorted."""
+    b1, b0 = F.substring("front", 1, 1), F.substring("front", 2, 1)
+    return suffixes.select("contig_id", "i", "pos", b1.alias("b1"), b0.alias("b0"), pair_code(b1, b0).alias("sym2"), "head")
