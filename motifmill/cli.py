@@ -1,7 +1,7 @@
 """Command line: build an index of reference texts, count reads in them.
 
-    python -m motifmill.cli build REFERENCE INDEX_DIR
-    python -m motifmill.cli count REFERENCE READS.fa [--runs 5] [--out DIR]
+    python -m motifmill.cli build REFERENCE INDEX_DIR [--threads 8]
+    python -m motifmill.cli count REFERENCE READS.fa [--runs 5] [--threads 8] [--search seeds|ranks] [--normalize upper] [--out DIR]
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from motifmill.operators import search
 from motifmill.operators.index import Index
+from motifmill.operators.rank_search import rank_counts
 from motifmill.sources.sequences import read_fasta, read_reference
 
 
@@ -23,6 +24,24 @@ def runs(text: str) -> int:
     return n if 2 <= n <= 128 else 5
 
 
+def threads(text: str) -> int:
+    """At least 1."""
+    n = int(text)
+    if n < 1:
+        raise argparse.ArgumentTypeError("at least one thread")
+    return n
+
+
+def there(spark: SparkSession, path: str) -> str:
+    """The path, if the file system has something there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise SystemExit(f"nothing at {path}")
+    return path
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="motifmill")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -34,17 +53,23 @@ def main(argv: list[str] | None = None) -> int:
     count.add_argument("reads")
     count.add_argument("--runs", type=runs, default=5)
     count.add_argument("--out")
+    count.add_argument("--search", choices=("seeds", "ranks"), default="seeds")
+    for command in (build, count):
+        command.add_argument("--threads", type=threads, help="of a local session; a cluster's own setting holds otherwise")
+        command.add_argument("--normalize", choices=("upper",))
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
-    texts = read_reference(spark, args.reference)
+    builder = SparkSession.builder
+    spark = (builder.master(f"local[{args.threads}]") if args.threads else builder).getOrCreate()
+    texts = read_reference(spark, there(spark, args.reference), normalize=args.normalize)
     if args.command == "build":
         Index.build(texts).save(args.index)
         return 0
-    reads = read_fasta(spark, args.reads).select("read_id", "q")
+    reads = read_fasta(spark, there(spark, args.reads), normalize=args.normalize).select("read_id", "q")
+    find = search.count_matches if args.search == "seeds" else rank_counts
     seconds, totals = [], []
     for _ in range(args.runs):
         began = time.perf_counter()
-        counts = search.count_matches(texts, reads)
+        counts = find(texts, reads)
         totals.append(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         seconds.append(time.perf_counter() - began)
     if len(set(totals)) != 1:

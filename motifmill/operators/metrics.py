@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifmill.plans.storage import small_side
 from motifmill.sources.sequences import global_index
 
 
@@ -16,7 +17,7 @@ def run_metrics(runs: DataFrame, *, group: str, order: list[str], run: str, secs
     """
     key = F.struct(*order)
     first = runs.groupBy(group).agg(F.min(key).alias("warm_up"))
-    rest = runs.join(F.broadcast(first) if first.count() <= 10_000 else first, group).where(key != F.col("warm_up"))
+    rest = runs.join(small_side(first), group).where(key != F.col("warm_up"))
     out = rest.groupBy(group).agg(
         F.count(F.lit(1)).alias("runs"),
         F.min(secs).alias("least"),
@@ -29,6 +30,18 @@ def run_metrics(runs: DataFrame, *, group: str, order: list[str], run: str, secs
     return out.select(group, "runs", F.round("least", 6).alias("least"), F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"), "least_run", "most_run", F.round(100 * F.col("sd") / F.col("mean"), 4).alias("spread"))
 
 
+def throughput(runs: DataFrame, *, group: str, order: list[str], secs: str, ops: str) -> DataFrame:
+    """Per group: agree (did all runs do the same operations?), raw (all operations by all seconds), best and mean (one run's operations by the least and the mean seconds, without the first run).
+
+    In thousands of millions a second. Runs that disagree have no rates: null.
+    """
+    key = F.struct(*order)
+    every = runs.groupBy(group).agg((F.min(ops) == F.max(ops)).alias("agree"), F.min(key).alias("warm_up"), F.max(ops).alias("ops"), (F.sum(ops) / F.sum(secs)).alias("all"))
+    rest = runs.join(small_side(every.select(group, "warm_up")), group).where(key != F.col("warm_up")).groupBy(group).agg(F.min(secs).alias("least"), F.avg(secs).alias("mean_secs"))
+    rate = lambda x: F.when(F.col("agree"), F.round(x / 1e9, 9))
+    return every.join(rest, group, "left").select(group, "agree", rate(F.col("all")).alias("raw"), rate(F.col("ops") / F.col("least")).alias("best"), rate(F.col("ops") / F.col("mean_secs")).alias("mean"))
+
+
 def all_equal(runs: DataFrame, group: str, value: str) -> DataFrame:
     """Does every run of a group give the same value?"""
     return runs.groupBy(group).agg((F.min(value) == F.max(value)).alias("consistent"))
@@ -39,6 +52,12 @@ def counter_means(samples: DataFrame, counter: str, value: str) -> DataFrame:
     return samples.groupBy(counter).agg(F.expr(f"sum({value}) div count({value})").alias("mean"))
 
 
+def per_thousand(samples: DataFrame, counter: str, value: str, part: str, whole: str) -> DataFrame:
+    """ratio: a thousand times the whole-number mean of one counter by that of another, such as branch misses per thousand instructions; null without samples of both."""
+    mean = lambda name: F.expr(f"sum(if({counter} = '{name}', {value}, null)) div count(if({counter} = '{name}', {value}, null))")
+    return samples.agg(F.round(1000 * mean(part) / mean(whole), 6).alias("ratio"))
+
+
 def ntile_blocks(df: DataFrame, order: str, tiles: int) -> DataFrame:
     """NTILE over the whole order from global row numbers: the first rows % tiles blocks get one row more."""
     numbered = global_index(df.select(order), [order], "row")

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifmill.functions.encode import is_coded, pair_code, symbol_code
+from motifmill.operators.cutting import pieces
 from motifmill.operators.index import D, Index, rank_of
 from motifmill.plans.storage import materialize, small_side
 
 #: Places in a chunk of a text, where patterns are short and where they are long: a substring's cost grows with its distance from the chunk's beginning.
 CHUNKS = (64, 256)
+#: Patterns of at least so many symbols, if no shorter one stands beside them, are found by sampled places, with seeds of SAMPLED_SEED symbols.
+SAMPLED, SAMPLED_SEED = 48, 16
 #: Reads of at least so many symbols are found by seeds of that length; shorter ones by themselves.
 SEEDS = (12, 7)
 #: Reads of at most so many symbols are counted from the texts' k-mers of that length.
@@ -26,10 +30,7 @@ def chunk_size(longest: int) -> int:
 
 def chunks(texts: DataFrame, longest: int, id_col: str, text_col: str) -> DataFrame:
     """id, base, part: overlapping pieces; a match belongs to the piece in which it starts."""
-    size = chunk_size(longest)
-    n = F.greatest(F.ceil(F.length(text_col) / size).cast("int"), F.lit(1))
-    placed = texts.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("c"))
-    return placed.select("id", (F.col("c") * size).cast("long").alias("base"), F.substring("t", F.col("c") * size + 1, F.lit(size + longest - 1)).alias("part"))
+    return pieces(texts, id_col, text_col, chunk_size(longest), longest - 1)
 
 
 def _lengths(patterns: DataFrame) -> list[int]:
@@ -46,25 +47,61 @@ def _short_counts(texts: DataFrame, patterns: DataFrame, lengths: list[int], id_
     return fits.join(small_side(patterns), "q").groupBy("q").agg(F.sum("n").alias("n"))
 
 
-def _matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+class Texts:
+    """Reference texts, and their chunks for patterns of up to ``longest`` symbols, cut and written when first asked for."""
+
+    def __init__(self, texts: DataFrame, id_col: str = "contig_id", text_col: str = "seq"):
+        self.texts, self.id_col, self.text_col = texts, id_col, text_col
+        self.longest, self._held = 0, None
+
+    def chunks(self, longest: int) -> tuple[DataFrame, int]:
+        """(chunks, the number of symbols that each holds behind its last place and that place): a wider cut serves shorter patterns."""
+        if longest > self.longest or self._held is None:
+            self.longest = longest
+            self._held = materialize(chunks(self.texts, longest, self.id_col, self.text_col), "chunks")
+        return self._held, self.longest
+
+
+def _sampled(held: Texts, patterns: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """id, pos, q of occurrences of patterns of at least ``shortest`` symbols, from every w-th place of the texts.
+
+    A pattern that occurs covers w = shortest - k + 1 places with k symbols behind each
+    inside it, one of which is sampled. So the k-mers of a pattern's first w places
+    are joined with the sampled ones, and the whole pattern is compared where it would
+    begin: texts give a row for w places, patterns w rows each.
+    """
+    k = SAMPLED_SEED
+    w = shortest - k + 1
+    parts, reach = held.chunks(longest)
+    size = chunk_size(reach)
+    samples = pieces(held.texts, held.id_col, held.text_col, w, k - 1).where(F.length("part") >= k).select("id", F.col("base").alias("s"), F.substring("part", 1, k).alias("seed"))
+    asked = patterns.select("q", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("o")).select("q", "o", F.substring("q", F.col("o") + 1, F.lit(k)).alias("seed"))
+    placed = samples.join(small_side(materialize(asked, "pattern-seeds")), "seed").select("id", "q", (F.col("s") - F.col("o")).alias("pos")).where("pos >= 0")
+    placed = placed.withColumn("base", F.col("pos") - F.col("pos") % size).withColumn("p", (F.col("pos") - F.col("base") + 1).cast("int"))
+    return placed.join(parts, ["id", "base"]).where(F.substring("part", F.col("p"), F.length("q")) == F.col("q")).select("id", "pos", "q")
+
+
+def _matches(held: Texts, patterns: DataFrame) -> DataFrame | None:
     """id, pos (from 0), q for every occurrence of every distinct pattern, overlaps included.
 
     One equi-join a seed length between the windows of the chunks and the patterns'
     beginnings, then the whole pattern is compared. Only as many tiers as there are
-    seed lengths in use; patterns are broadcast if their count allows it.
+    seed lengths in use; patterns are broadcast if their counted rows and bytes allow it.
     """
     lengths = _lengths(patterns)
     if not lengths:
         return None
     longest = max(lengths)
-    size, far = chunk_size(longest), longest > CHUNKS[0]
-    parts = materialize(chunks(texts, longest, id_col, text_col), "chunks")
+    if min(lengths) >= SAMPLED:
+        return _sampled(held, patterns, min(lengths), longest)
+    parts, reach = held.chunks(longest)
+    size, far = chunk_size(reach), longest > CHUNKS[0]
     out = None
     for k in sorted({_seed(n) for n in lengths}):
         tier = [n for n in lengths if _seed(n) == k]
         asked = patterns.where(F.length("q").isin(tier)).select("q", F.substring("q", 1, k).alias("seed"))
         # where patterns are long, places are made from short chunks, and the few that have a seed meet their long chunk again
-        near = chunks(texts, k, id_col, text_col) if far else parts
+        near = chunks(held.texts, k, held.id_col, held.text_col) if far else parts
         last = F.least(F.lit(chunk_size(k) if far else size), F.length("part") - k + 1)
         windows = near.where(F.length("part") >= k).select("id", "base", "part", F.explode(F.sequence(F.lit(1), last)).alias("p"))
         windows = windows.withColumn("seed", F.substring("part", F.col("p"), F.lit(k)))
@@ -81,24 +118,29 @@ def _matches(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str)
     return out
 
 
-def locate(texts: DataFrame, reads: DataFrame, *, id_col: str = "contig_id", text_col: str = "seq") -> DataFrame:
+def _held(texts: DataFrame | Texts, id_col: str, text_col: str) -> Texts:
+    return texts if isinstance(texts, Texts) else Texts(texts, id_col, text_col)
+
+
+def locate(texts: DataFrame | Texts, reads: DataFrame, *, id_col: str = "contig_id", text_col: str = "seq") -> DataFrame:
     """read_id, <id_col>, pos of every occurrence of every read."""
     patterns = materialize(reads.select("q").where(F.length("q") > 0).distinct(), "patterns")
-    found = _matches(texts, patterns, id_col, text_col)
+    found = _matches(_held(texts, id_col, text_col), patterns)
     if found is None:
         return reads.sparkSession.createDataFrame([], f"read_id long, {id_col} long, pos long")
     return reads.select("read_id", "q").join(found, "q").select("read_id", F.col("id").alias(id_col), "pos")
 
 
-def count_matches(texts: DataFrame, reads: DataFrame, *, id_col: str = "contig_id", text_col: str = "seq") -> DataFrame:
+def count_matches(texts: DataFrame | Texts, reads: DataFrame, *, id_col: str = "contig_id", text_col: str = "seq") -> DataFrame:
     """read_id, q, n: exact overlapping occurrences over all texts. 0 for absent reads, null for null and empty ones."""
     patterns = materialize(reads.select("q").where(F.length("q") > 0).distinct(), "patterns")
     empty = F.when(F.length("q") > 0, F.lit(0).cast("long"))
     short = [n for n in _lengths(patterns) if n <= SHORT]
-    found = _matches(texts, patterns.where(F.length("q") > SHORT), id_col, text_col)
+    held = _held(texts, id_col, text_col)
+    found = _matches(held, patterns.where(F.length("q") > SHORT))
     counts = [] if found is None else [found.groupBy("q").agg(F.count(F.lit(1)).alias("n"))]
     if short:
-        counts.append(_short_counts(texts, patterns.where(F.length("q") <= SHORT), short, id_col, text_col))
+        counts.append(_short_counts(held.texts, patterns.where(F.length("q") <= SHORT), short, held.id_col, held.text_col))
     if not counts:
         return reads.select("read_id", "q", empty.alias("n"))
     counts = counts[0] if len(counts) == 1 else counts[0].unionByName(counts[1])
@@ -113,29 +155,45 @@ def mapped(texts: DataFrame, reads: DataFrame, present: bool = True) -> DataFram
     return reads.join(small_side(found), "q", "left_semi" if present else "left_anti").select("read_id", "q")
 
 
+def shortest_unmatched(texts: DataFrame, reads: DataFrame) -> DataFrame:
+    """read_id, q, k: the shortest beginning of every read that occurs nowhere; null where the whole read occurs, or is null or empty.
+
+    A beginning of a beginning that occurs occurs too, so each round asks for the middle
+    one of the lengths that are left: rounds grow with the logarithm of the longest
+    read, and every round is one count of distinct patterns over the same chunks.
+    """
+    held = Texts(texts)
+    known = materialize(reads.where(F.length("q") > 0).select("q").distinct().select("q", F.lit(0).alias("lo"), (F.length("q") + 1).alias("hi")), "prefixes")
+    while not (open_ := known.where("hi - lo > 1")).isEmpty():
+        middle = F.expr("(lo + hi) div 2").cast("int")
+        asked = open_.select("q", "lo", "hi", middle.alias("m")).withColumn("part", F.substring("q", F.lit(1), F.col("m")))
+        counts = count_matches(held, asked.select(F.col("part").alias("q")).distinct().withColumn("read_id", F.lit(0))).select(F.col("q").alias("part"), "n")
+        moved = asked.join(counts, "part").select("q", F.when(F.col("n") > 0, F.col("m")).otherwise(F.col("lo")).alias("lo"), F.when(F.col("n") > 0, F.col("hi")).otherwise(F.col("m")).alias("hi"))
+        known = materialize(known.where("hi - lo <= 1").unionByName(moved), "prefixes")
+    return reads.join(known, "q", "left").select("read_id", "q", F.when(F.col("hi") <= F.length("q"), F.col("hi")).alias("k"))
+
+
 def backward_search(index: Index, reads: DataFrame, d: int = D) -> DataFrame:
     """contig_id, read_id, lo, hi, n of every read in the contig that it names, two symbols a step from the end.
 
-    reads: contig_id, read_id, q. Intervals are exact at the end marker and at block
-    ends. Each step is two equi-joins on (contig, block, pair) and is written out, so
-    the plan stays short; reads whose interval is empty drop out of the joins.
+    reads: contig_id, read_id, q. Intervals are exact at the end marker, at block ends
+    and where the contig holds symbols outside ACGT. A read that holds such a symbol
+    itself has 0 occurrences in a contig of ACGT; in others the index cannot tell: null.
+    Each step is two equi-joins on (contig, block, pair) and is written out, so the
+    plan stays short; reads whose interval is empty drop out of the joins.
     """
-    meta, c = index.meta, index.c_table
-    pair = lambda at: F.instr(F.lit("ACGT"), F.substring("q", at, F.lit(1))) - 1
-    known = reads.where((F.length("q") > 0) & F.col("q").rlike("^[ACGT]+$"))
-    begin = known.join(meta, "contig_id").where("last is not null").withColumn("left", F.length("q") - F.when(F.length("q") % 2 == 0, 2).otherwise(1))
-    pairs = c.where("sym2 < 16").select("contig_id", "sym2", "c_before", "n")
-    last = meta.select("contig_id", "last")
-    single = pairs.join(last, "contig_id").groupBy("contig_id", F.expr("sym2 div 4").cast("int").alias("x"), "last").agg(F.min("c_before").alias("c0"), F.sum("n").alias("m"))
-    # the row of the lone last symbol stands before its pairs: the first pair's c_before counts it, a single symbol's interval holds it
-    single = single.select("contig_id", "x", (F.col("c0") - F.when(F.col("x") == F.col("last"), 1).otherwise(0)).alias("lo"), (F.col("c0") + F.col("m")).alias("hi"))
-    even = begin.where(F.length("q") % 2 == 0).withColumn("sym2", (4 * pair(F.length("q") - 1) + pair(F.length("q"))).cast("int")).join(pairs, ["contig_id", "sym2"]).select("contig_id", "read_id", "q", "left", F.col("c_before").alias("lo"), (F.col("c_before") + F.col("n")).alias("hi"))
-    odd = begin.where(F.length("q") % 2 == 1).withColumn("x", pair(F.length("q")).cast("int")).join(single, ["contig_id", "x"]).select("contig_id", "read_id", "q", "left", "lo", "hi")
+    symbol = lambda at: F.substring("q", at, F.lit(1))
+    pair = lambda at: pair_code(symbol(at), symbol(at + 1))
+    known = reads.where((F.length("q") > 0) & is_coded(F.col("q")))
+    begin = known.withColumn("left", F.length("q") - F.when(F.length("q") % 2 == 0, 2).otherwise(1))
+    pairs = index.c_table.where("sym2 < 16").select("contig_id", "sym2", "c_before", "n")
+    even = begin.where(F.length("q") % 2 == 0).withColumn("sym2", pair(F.length("q") - 1)).join(pairs, ["contig_id", "sym2"]).select("contig_id", "read_id", "q", "left", F.col("c_before").alias("lo"), (F.col("c_before") + F.col("n")).alias("hi"))
+    odd = begin.where(F.length("q") % 2 == 1).withColumn("x", symbol_code(symbol(F.length("q")))).join(index.firsts, ["contig_id", "x"]).select("contig_id", "read_id", "q", "left", "lo", "hi")
     state = materialize(even.unionByName(odd), "search")
     done = state.where("left = 0 or lo >= hi")
     going = state.where("left > 0 and lo < hi")
     while not going.isEmpty():
-        step = going.withColumn("sym2", (4 * pair(F.col("left") - 1) + pair(F.col("left"))).cast("int")).join(pairs.select("contig_id", "sym2", "c_before"), ["contig_id", "sym2"])
+        step = going.withColumn("sym2", pair(F.col("left") - 1)).join(pairs.select("contig_id", "sym2", "c_before"), ["contig_id", "sym2"])
         for side in ("lo", "hi"):
             blocks = index.occ.select("contig_id", "sym2", F.col("blk").alias("b"), "before", "bitmap")
             step = step.withColumn("b", F.floor(F.col(side) / d)).join(blocks, ["contig_id", "sym2", "b"]).withColumn(side, F.col("c_before") + rank_of(F.col("before"), F.col("bitmap"), F.col(side), d)).drop("b", "before", "bitmap")
@@ -143,4 +201,6 @@ def backward_search(index: Index, reads: DataFrame, d: int = D) -> DataFrame:
         done = done.unionByName(state.where("left = 0 or lo >= hi"))
         going = state.where("left > 0 and lo < hi")
     found = done.select("contig_id", "read_id", (F.greatest(F.col("hi") - F.col("lo"), F.lit(0))).alias("n"))
-    return reads.join(found, ["contig_id", "read_id"], "left").select("contig_id", "read_id", F.when(F.length("q") > 0, F.coalesce("n", F.lit(0))).alias("n"))
+    every = reads.join(index.meta.select("contig_id", "others"), "contig_id", "left")
+    answer = F.when(is_coded(F.col("q")) | ~F.coalesce("others", F.lit(False)), F.coalesce("n", F.lit(0)))
+    return every.join(found, ["contig_id", "read_id"], "left").select("contig_id", "read_id", F.when(F.length("q") > 0, answer).alias("n"))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from motifmill.functions import encode as en
 from motifmill.operators import index as ix
 from motifmill.operators import metrics, search, suffix
-from motifmill.plans.storage import materialize, shared_dir
-from motifmill.sources.sequences import genome, reads_of
+from motifmill.operators.cutting import pieces
+from motifmill.operators.rank_search import rank_counts as count_by_ranks
+from motifmill.plans.storage import materialize, scratch
+from motifmill.sources.sequences import genome, genome_with_unknowns, read_fasta, reads_of, write_fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -136,12 +138,20 @@ def bitpack_words(spark, sf_dir):
 
 
 def suffix_chunks(texts: DataFrame, size: int) -> DataFrame:
-    """contig_id, word_no, part: non-overlapping pieces, cut from larger ones so that long texts stay linear."""
-    big = 64 * size
-    outer = texts.where("length(seq) > 0").select("contig_id", "seq", F.explode(F.expr(f"sequence(0L, (length(seq) - 1) div {big})")).alias("o"))
-    outer = outer.select("contig_id", "o", F.substring("seq", (F.col("o") * big + 1).cast("int"), F.lit(big)).alias("piece"))
-    inner = outer.select("contig_id", "o", "piece", F.explode(F.expr(f"sequence(0L, (length(piece) - 1) div {size})")).alias("w"))
-    return inner.select("contig_id", (F.col("o") * 64 + F.col("w")).alias("word_no"), F.substring("piece", (F.col("w") * size + 1).cast("int"), F.lit(size)).alias("part"))
+    """contig_id, word_no, part: non-overlapping pieces."""
+    return pieces(texts, "contig_id", "seq", size, 0).select(F.col("id").alias("contig_id"), F.expr(f"base div {size}").alias("word_no"), "part")
+
+
+@query(with_base("SELECT contig_id, list_aggregate(list_transform(string_split(seq, ''), lambda c: (instr('ACGT', c) - 1)::VARCHAR), 'string_agg', '') AS codes FROM genome WHERE seq <> ''"))
+def bitunpack_words(spark, sf_dir):
+    """The packed words taken apart again, symbol by symbol; a contig's words are put together in their order."""
+    texts = genome(spark, sf_dir)
+    words = bitpack_words(spark, sf_dir).join(texts.select("contig_id", F.length("seq").alias("n")), "contig_id")
+    codes = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: en.packed_symbol(F.col("word"), j).cast("string"))
+    left = F.least(F.lit(16), F.col("n") - F.col("word_no") * 16).cast("int")
+    held = words.select("contig_id", "word_no", F.array_join(F.slice(codes, F.lit(1), left), "").alias("codes"))
+    rows = held.groupBy("contig_id").agg(F.sort_array(F.collect_list(F.struct("word_no", "codes"))).alias("r"))
+    return rows.select("contig_id", F.concat_ws("", F.transform("r", lambda x: x.codes)).alias("codes"))
 
 
 @query(with_base("""SELECT contig_id, length(seq)::BIGINT + 1 AS n_rows, 2 AS bits, ((length(seq) + 1) * 2 + 7) // 8 AS packed_bytes,
@@ -298,6 +308,23 @@ def run_metrics(spark, sf_dir):
     return metrics.run_metrics(_runs(spark, sf_dir), group="event_type", order=["ts", "event_id"], run="event_id", secs="value")
 
 
+@query("""WITH runs AS (SELECT *, CASE WHEN event_type = 'view' THEN user_id ELSE length(event_type) * 1000000000 END AS ops FROM events),
+every AS (SELECT event_type, min(ops) = max(ops) AS agree, min((ts, event_id)) AS f, max(ops) AS ops, sum(ops)::DOUBLE / sum(value) AS overall FROM runs GROUP BY event_type),
+rest AS (SELECT r.event_type, min(value) AS least, avg(value) AS mean_secs FROM runs r JOIN every e ON e.event_type = r.event_type AND (r.ts, r.event_id) <> e.f GROUP BY r.event_type)
+SELECT event_type, agree, CASE WHEN agree THEN round(overall / 1e9, 9) END AS raw, CASE WHEN agree THEN round(ops / least / 1e9, 9) END AS best, CASE WHEN agree THEN round(ops / mean_secs / 1e9, 9) END AS mean
+FROM every LEFT JOIN rest USING (event_type)""")
+def throughput(spark, sf_dir):
+    """Rates of runs that agree in their operations; one group's do not."""
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ops", F.expr("if(event_type = 'view', user_id, length(event_type) * 1000000000L)"))
+    return metrics.throughput(runs, group="event_type", order=["ts", "event_id"], secs="value", ops="ops")
+
+
+@query("""SELECT round(1000 * ((sum(user_id) FILTER (WHERE event_type = 'error')) // (count(user_id) FILTER (WHERE event_type = 'error')))::DOUBLE
+  / ((sum(user_id) FILTER (WHERE event_type = 'click')) // (count(user_id) FILTER (WHERE event_type = 'click'))), 6) AS ratio FROM events""")
+def counter_ratio(spark, sf_dir):
+    return metrics.per_thousand(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "user_id"), "event_type", "user_id", "error", "click")
+
+
 @query("SELECT event_type, min(value) = max(value) AS consistent FROM events GROUP BY event_type")
 def runs_consistent(spark, sf_dir):
     return metrics.all_equal(_runs(spark, sf_dir), "event_type", "value")
@@ -312,13 +339,85 @@ def counter_avg(spark, sf_dir):
 UNION ALL SELECT 'c_table', count(*), sum(sym2 * 31 + c_before * 7 + n)::BIGINT FROM c"""))
 def index_roundtrip(spark, sf_dir):
     """The index written, read back and summed up."""
-    path = f"{shared_dir(spark)}/motifmill/index-{abs(hash(sf_dir)):x}"
+    path = scratch(spark, "index")
     _index(spark, sf_dir).save(path)
     back = ix.Index.load(spark, path)
     rows = back.bwt.agg(F.lit("bwt").alias("name"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("i") * 31 + F.col("pos") * 7 + F.coalesce("sym2", F.lit(99))).alias("checksum"))
     return rows.unionByName(back.c_table.agg(F.lit("c_table").alias("name"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("sym2") * 31 + F.col("c_before") * 7 + F.col("n")).alias("checksum")))
 
 
+@query(with_base(_SA, _BWT, _PAIRS, """lut AS (SELECT contig_id, k::INTEGER AS k, substr(t, pos + 1, k) AS kmer FROM sa CROSS JOIN (VALUES (5), (6)) v(k) WHERE pos + k < length(t) GROUP BY ALL)
+SELECT g.contig_id, length(g.seq)::BIGINT + 1 AS rows, (length(g.seq) + 1) // 64 + 1 AS blocks, coalesce(p.pairs, 0)::BIGINT AS pairs, coalesce(p.kinds, 0)::BIGINT AS kinds, coalesce(l.entries, 0)::BIGINT AS entries FROM genome g
+LEFT JOIN (SELECT contig_id, sum(n) AS pairs, count(*) AS kinds FROM pairs GROUP BY contig_id) p USING (contig_id) LEFT JOIN (SELECT contig_id, count(*) AS entries FROM lut GROUP BY contig_id) l USING (contig_id)"""))
+def index_summary(spark, sf_dir):
+    return _index(spark, sf_dir).summary()
+
+
+#: Contigs with the letter N for unknown symbols; reads of them that hold none, and one that does.
+_UNKNOWN = """unknown AS (SELECT doc_id AS contig_id, regexp_replace(translate(coalesce(text, ''), 'acgtn', 'ACGTN'), '[^ACGTN]', '', 'g') AS seq FROM documents),
+asked AS (SELECT contig_id, contig_id * 2 + w AS read_id, CASE w WHEN 0 THEN replace(substr(seq, 1 + (contig_id * 31) % greatest(length(seq), 1), 9), 'N', '') ELSE substr(seq, 1 + (contig_id * 17) % greatest(length(seq), 1), 1 + contig_id % 4) END AS q
+  FROM unknown CROSS JOIN (VALUES (0), (1)) v(w) WHERE seq <> '')"""
+
+
+def _unknown(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    texts = genome_with_unknowns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    at = lambda k: (1 + F.col("contig_id") * k % F.greatest(F.length("seq"), F.lit(1))).cast("int")
+    reads = texts.where("seq <> ''").select("contig_id", F.posexplode(F.array(F.replace(F.substring("seq", at(31), F.lit(9)), F.lit("N"), F.lit("")), F.substring("seq", at(17), (1 + F.col("contig_id") % 4).cast("int")))).alias("w", "q"))
+    return texts, reads.select("contig_id", (F.col("contig_id") * 2 + F.col("w")).alias("read_id"), "q")
+
+
+@query("WITH " + _UNKNOWN + """ SELECT a.contig_id, a.read_id, CASE WHEN a.q = '' OR contains(a.q, 'N') THEN NULL ELSE (SELECT count(*) FROM range(1, length(u.seq) + 1) t(p) WHERE substr(u.seq, p, length(a.q)) = a.q) END AS n
+FROM asked a JOIN unknown u USING (contig_id)""")
+def backward_search_unknown(spark, sf_dir):
+    """Backward search in contigs that hold unknown symbols; reads that hold one are not the index's to answer: null."""
+    texts, reads = _unknown(spark, sf_dir)
+    return search.backward_search(ix.Index.build(materialize(texts, "unknown")), materialize(reads, "asked"))
+
+
+@query("WITH " + _UNKNOWN + """, pos AS (SELECT contig_id, seq || '$' AS t, unnest(range(0, length(seq) + 1)) AS pos FROM unknown),
+begins AS (SELECT contig_id, substr(t, pos + 1, 2) AS b FROM pos), codes AS (SELECT s AS sym2, substr('ACGT', (s // 4 + 1)::BIGINT, 1) || substr('ACGT', (s % 4 + 1)::BIGINT, 1) AS pair FROM range(0, 16) t(s))
+SELECT u.contig_id, c.sym2::INTEGER AS sym2, count(*) FILTER (WHERE b = pair) AS n, count(*) FILTER (WHERE b < pair) AS c_before FROM unknown u CROSS JOIN codes c JOIN begins g ON g.contig_id = u.contig_id GROUP BY ALL
+UNION ALL SELECT contig_id, 16, 0, length(seq) + 1 FROM unknown""")
+def c_table_unknown(spark, sf_dir):
+    texts, _ = _unknown(spark, sf_dir)
+    begins = suffix.positions(texts, 2).groupBy("contig_id", F.col("head").alias("begin")).agg(F.count(F.lit(1)).alias("n"))
+    return ix.c_table(ix.meta_table(texts), begins)
+
+
+@query(with_base("SELECT 'r' || read_id || ' a->b>c' AS header, q, length(q)::INTEGER AS len FROM reads"))
+def fasta_roundtrip(spark, sf_dir):
+    """Reads written as FASTA files, with headers that hold '>', and read again; sequences span lines of 7 symbols."""
+    path = scratch(spark, "fasta")
+    lines = F.regexp_replace("q", "(.{7})(?=.)", "$1\n")
+    write_fasta(_reads(spark, sf_dir).select("read_id", F.concat(F.lit("r"), "read_id", F.lit(" a->b>c")).alias("header"), lines.alias("q")), path)
+    return read_fasta(spark, path).select("header", "q", "len")
+
+
+@query("""WITH letters AS (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '')
+SELECT upper(c) AS sym, count(*) AS n, count(*) FILTER (WHERE c = upper(c)) AS exact FROM letters WHERE upper(c) IN ('A', 'C', 'G', 'T') GROUP BY ALL""")
+def folded_composition(spark, sf_dir):
+    """Symbols of the raw texts, blind to case and not."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    sums = docs.agg(*[F.sum(en.count_symbol(en.folded(F.col("text"), how), s)).alias(s + (how or "")) for s in en.ALPHABET for how in ("upper", None)])
+    rows = [F.struct(F.lit(s).alias("sym"), F.coalesce(F.col(s + "upper"), F.lit(0)).alias("n"), F.coalesce(F.col(s), F.lit(0)).alias("exact")) for s in en.ALPHABET]
+    return sums.select(F.explode(F.array(*rows)).alias("e")).select("e.sym", "e.n", "e.exact").where("n > 0")
+
+
+@query(with_base(_COUNT.format(reads="reads"), "SELECT read_id, r.q, coalesce(n, 0) AS n FROM reads r LEFT JOIN counts USING (q)"))
+def rank_counts(spark, sf_dir):
+    """What count_matches gives, by rank searches in step over indexes in memory."""
+    return count_by_ranks(genome(spark, sf_dir), _reads(spark, sf_dir))
+
+
+@query(with_base("""back AS (SELECT read_id, reverse(q) AS q FROM reads),
+starts AS (SELECT read_id, q, unnest(range(1, length(q) + 1)) AS k FROM back),
+kinds AS (SELECT DISTINCT substr(seq, p, k) AS s FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS p FROM genome) CROSS JOIN range(1, 21) t(k) WHERE p + k - 1 <= length(seq))
+SELECT b.read_id, b.q, min(x.k)::INTEGER AS k FROM back b LEFT JOIN (SELECT * FROM starts WHERE substr(q, 1, k) NOT IN (SELECT s FROM kinds)) x ON x.read_id = b.read_id GROUP BY b.read_id, b.q"""))
+def shortest_unmatched(spark, sf_dir):
+    """Reads turned round: their shortest beginning that no contig holds."""
+    return search.shortest_unmatched(genome(spark, sf_dir), _reads(spark, sf_dir).withColumn("q", F.reverse("q")))
+
+
 @query("""SELECT item_id, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT b.item_id,
   CASE WHEN contains(d.text, b.text) THEN len(list_filter(range(1, length(d.text) - length(b.text) + 2), lambda p: substr(d.text, p, length(b.text)) = b.text)) ELSE 0 END AS n
   FROM benchmark b CROSS JOIN documents d WHERE b.text <> '') GROUP BY item_id""")

@@ -51,17 +51,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     shuffle files behind it can go as soon as it is written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/motifmill/{uuid.uuid4().hex}-{label}"
+    path = scratch(spark, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of one's own in the shared folder, deleted like the tables that ``materialize`` makes."""
+    path = f"{shared_dir(spark)}/motifmill/{uuid.uuid4().hex}-{label}"
+    _made.append((spark, path))
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that no later plan reads."""
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.operators import search
-from motifmill.plans.storage import materialize
+from motifmill.plans.storage import materialize, temporary
 
 
 def seed_table(texts: DataFrame, k: int = 12) -> DataFrame:
@@ -22,14 +22,22 @@ def screen(reads: DataFrame, seeds: DataFrame, k: int = 12) -> DataFrame:
     return reads.withColumn("seed", F.substring("q", 1, k)).join(seeds, "seed", "left").select("read_id", "q", F.coalesce("n", F.lit(0)).alias("seeds_found"))
 
 
-def count_stream(reads: DataFrame, texts: DataFrame, path: str, checkpoint: str):
+def count_stream(reads: DataFrame, texts: DataFrame, path: str, checkpoint: str, longest: int = 256):
     """Start a query that counts every micro-batch exactly and appends (read_id, q, n, batch) as Parquet.
 
+    The reference is cut once, for reads of up to ``longest`` symbols, and again only if a
+    longer one comes; what a batch writes on its way goes when the batch is written.
     Batches are independent: no state is kept, and a batch that is run again
     overwrites its own folder.
     """
+    held = search.Texts(texts)
+    held.chunks(longest)
 
     def one(batch: DataFrame, number: int) -> None:
-        search.count_matches(texts, batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        most = batch.agg(F.max(F.length("q"))).first()[0] or 0
+        if most > held.longest:
+            held.chunks(2 * most)
+        with temporary():
+            search.count_matches(held, batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return reads.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from motifmill.functions import encode as en
+from motifmill.operators import cutting, metrics, rank_search, search, suffix
 from motifmill.operators import index as ix
-from motifmill.operators import metrics, search, suffix
 from motifmill.plans import catalog
 from motifmill.sources import sequences as sq
 
@@ -153,3 +154,94 @@ def test_rewritten_documents(spark, tmp_path):
     write("AAAA")
     assert queries["reference_scan"](spark, path).first().seq == "AAAA"
     assert queries["bwt_string"](spark, path).first().b0 == "AAAA$"
+
+
+UNKNOWN = {0: "ACGNTACGTNNGTT", 1: "NNNN", 2: "acgtACGTn", 3: "GATTACAN", 4: "NGATTACA", 5: "XYZ!A CA$A#CG", 6: "éACGé", 7: "ACGT" * 30 + "N" * 70 + "ACGT" * 30, 8: "A", 9: ""}
+
+
+def test_other_symbols(spark):
+    """Texts with symbols outside ACGT, of few and of many kinds: counts, transform and cumulative counts."""
+    texts = texts_of(spark, UNKNOWN)
+    index = ix.Index.build(texts)
+    queries = ["GT", "ACG", "T", "GTT", "TACGT", "A", "CA", "ACGTACGTA", "GATTACA", "C", "ACGA"]
+    rows = [(c, 100 * c + k, q) for c in UNKNOWN for k, q in enumerate(queries)] + [(c, 5000 + c, "NG") for c in UNKNOWN]
+    got = {r.read_id: r.n for r in search.backward_search(index, spark.createDataFrame(rows, "contig_id long, read_id long, q string")).collect()}
+    plain = {c for c, t in UNKNOWN.items() if not set(t) - set("ACGT")}
+    assert got == {i: (naive(UNKNOWN[c], q) if q != "NG" or c in plain else None) for c, i, q in rows}
+    reads = spark.createDataFrame([(k, q) for k, q in enumerate([*queries, "N", "NN", "é", "acg", "$A", "NACGT"])], "read_id long, q string")
+    want = {r.read_id: sum(naive(t, r.q) for t in UNKNOWN.values()) for r in reads.collect()}
+    assert {r.read_id: r.n for r in search.count_matches(texts, reads).collect()} == want
+    assert {r.read_id: r.n for r in rank_search.rank_counts(texts, reads).collect()} == want
+    for r in index.bwt.collect():
+        s = UNKNOWN[r.contig_id] + "$"
+        assert (r.b0, r.b1) == (s[r.pos - 1], s[(r.pos - 2) % len(s)])
+        assert r.sym2 == (4 * "ACGT".index(r.b1) + "ACGT".index(r.b0) if r.b0 in "ACGT" and r.b1 in "ACGT" else None)
+    assert not [k for k in index.lut.collect() if set(k.kmer) - set("ACGT")]
+
+
+def test_codes_of_unknown_symbols(spark):
+    got = spark.createDataFrame([("ACGT",), ("ACN",), ("acg",), ("",), (None,)], "s string").select(en.kmer_code(F.col("s")).alias("k"), en.code_digits(F.col("s")).alias("d"), en.folded(F.col("s"), "upper").alias("u")).collect()
+    assert [r.k for r in got] == [27, None, None, None, None] and [r.d for r in got] == ["0123", None, None, "", None] and got[2].u == "ACG"
+    with pytest.raises(ValueError):
+        en.folded(F.col("s"), "lower")
+
+
+def test_rank_search_of_many_bins(spark, texts, monkeypatch):
+    """Small bins, pieces and blocks: matches across pieces are counted once."""
+    for name, value in (("BIN", 300), ("PIECE", 50), ("READS", 40), ("EVERY", 8)):
+        monkeypatch.setattr(rank_search, name, value)
+    rows = reads_for(texts)
+    reads = spark.createDataFrame([(i, q) for _, i, q in rows], "read_id long, q string")
+    got = {r.read_id: r.n for r in rank_search.rank_counts(texts_of(spark, texts), reads).collect()}
+    assert got == {i: None if not q else sum(naive(t, q) for t in texts.values()) for _, i, q in rows}
+
+
+def test_shortest_unmatched(spark, texts):
+    rows = [(i, q) for _, i, q in reads_for(texts)]
+    got = {r.read_id: r.k for r in search.shortest_unmatched(texts_of(spark, texts), spark.createDataFrame(rows, "read_id long, q string")).collect()}
+    assert got == {i: next((k for k in range(1, len(q or "") + 1) if not any(q[:k] in t for t in texts.values())), None) for i, q in rows}
+
+
+def test_long_texts(spark, monkeypatch):
+    """Pieces of every level, of one-byte symbols and of others; long patterns by sampled places."""
+    rng = random.Random(1)
+    long = "".join(rng.choice("ACGT") for _ in range(100_000))
+    texts = {0: long, 1: "é" + long[:40_000], 2: long[70_000:], 3: long[500:700] * 3}
+    monkeypatch.setattr(cutting, "LEVELS", (30_000, 1000))
+    monkeypatch.setattr(cutting, "SPREAD", 50_000)
+    for size, behind in ((7, 5), (256, 300), (5000, 0)):
+        got = {}
+        for r in cutting.pieces(texts_of(spark, texts), "contig_id", "seq", size, behind).collect():
+            got.setdefault(r.id, {})[r.base] = r.part
+        for c, t in texts.items():
+            bases = sorted(got[c])
+            assert bases == list(range(0, len(t), size))
+            assert all(p == t[b : b + len(p)] and len(p) >= min(len(t) - b, behind + 1) for b, p in got[c].items())
+    patterns = [long[a : a + n] for a, n in ((0, 60), (99_900, 100), (29_990, 48), (999, 90), (70_000, 500), (500, 200), (510, 300))] + ["A" * 60, long[500:700] * 2]
+    reads = spark.createDataFrame(list(enumerate(patterns)), "read_id long, q string")
+    want = {i: sum(naive(t, q) for t in texts.values()) for i, q in enumerate(patterns)}
+    assert {r.read_id: r.n for r in search.count_matches(texts_of(spark, texts), reads).collect()} == want
+    found = {(r.read_id, r.contig_id, r.pos) for r in search.locate(texts_of(spark, texts), reads).collect()}
+    assert found == {(i, c, p) for i, q in enumerate(patterns) for c, t in texts.items() for p in range(len(t)) if t.startswith(q, p)}
+    order = [r.pos for r in suffix.suffix_array(texts_of(spark, {3: texts[3], 4: "A" * 3000})).where("contig_id = 3").orderBy("i").collect()]
+    s = texts[3] + "$"
+    assert order == sorted(range(len(s)), key=lambda p: s[p:])
+
+
+def test_fasta_of_any_kind(spark, tmp_path):
+    """'>' inside headers and lines, CRLF, text before the first header, records without sequence; references with several records."""
+    (tmp_path / "a.fa").write_text(">r1 geneA->geneB\nAC\nGT\n>r2>x\n\n>r3\r\nGA>T\r\nTA\r\n>\nTT\n")
+    (tmp_path / "b.fa").write_text("lost\nlines\n>b1\nACGT\n")
+    (tmp_path / "c.fa").write_text("\n>c1\nnacgt")
+    got = [tuple(r) for r in sq.read_fasta(spark, f"{tmp_path}/*.fa").orderBy("read_id").collect()]
+    assert got == [(0, "r1 geneA->geneB", "ACGT", 4), (1, "r2>x", None, 0), (2, "r3", "GA>TTA", 6), (3, "", "TT", 2), (4, "b1", "ACGT", 4), (5, "c1", "nacgt", 5)]
+    bad = sorted((r.path.rsplit("/", 1)[1], r.header, r.q, r.reason) for r in sq.rejected_fasta(spark, f"{tmp_path}/*.fa").collect())
+    assert bad == [("a.fa", "r2>x", None, "no sequence"), ("b.fa", None, "lostlines", "no header")]
+    assert [tuple(r) for r in sq.read_reference(spark, f"{tmp_path}/a.fa").orderBy("contig_id").collect()] == [(0, "ACGT"), (1, ""), (2, "GA>TTA"), (3, "TT")]
+    assert sq.read_reference(spark, f"{tmp_path}/c.fa", fasta=True, normalize="upper").first().seq == "NACGT"
+
+
+def test_throughput(spark):
+    runs = spark.createDataFrame([("a", 0, 9.0, 10**9), ("a", 1, 2.0, 10**9), ("a", 2, 4.0, 10**9), ("b", 0, 1.0, 5), ("b", 1, 1.0, 6), ("c", 0, 2.0, 10**9)], "g string, run int, secs double, lf long")
+    got = {r.g: (r.agree, r.raw, r.best, r.mean) for r in metrics.throughput(runs, group="g", order=["run"], secs="secs", ops="lf").collect()}
+    assert got == {"a": (True, 0.2, 0.5, pytest.approx(1 / 3)), "b": (False, None, None, None), "c": (True, 0.5, None, None)}

@@ -1,6 +1,9 @@
 """Streams of reads and the command line."""
 
+import pytest
+
 from motifmill import cli
+from motifmill.plans import storage
 from motifmill.streaming import reads as rs
 
 
@@ -30,3 +33,27 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["count", str(tmp_path / "ref.txt"), str(tmp_path / "reads.fa"), "--runs", "2", "--out", str(tmp_path / "counts")]) == 0
     assert "occurrences 3;" in capsys.readouterr().out
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "counts")).collect()) == [0, 1, 2]
+
+
+def test_cli_checks(tmp_path, spark):
+    with pytest.raises(SystemExit):
+        cli.main(["count", str(tmp_path / "no.txt"), str(tmp_path / "no.fa")])
+    with pytest.raises(SystemExit):
+        cli.main(["count", "a", "b", "--threads", "0"])
+    assert [cli.runs(x) for x in ("1", "2", "128", "129")] == [5, 2, 128, 5]
+
+
+def test_stream_of_longer_reads(spark, tmp_path):
+    """A read longer than the cut allows for, and nothing left of what batches wrote on their way."""
+    text = "GATTACACCA" * 60
+    texts = spark.createDataFrame([(0, text)], "contig_id long, seq string")
+    (tmp_path / "in").mkdir()
+    for k, q in enumerate(["GATTACA", text[3:80], "CCAGATT"]):
+        spark.createDataFrame([(k, q)], "read_id long, q string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("read_id long, q string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    before = len(storage._made)
+    query = rs.count_stream(stream, texts, str(tmp_path / "out"), str(tmp_path / "check"), longest=20)
+    query.processAllAvailable()
+    query.stop()
+    assert {r.read_id: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {k: sum(text.startswith(q, i) for i in range(len(text))) for k, q in enumerate(["GATTACA", text[3:80], "CCAGATT"])}
+    assert len(storage._made) <= before + 2
