@@ -1,10 +1,11 @@
 """What the operators on whole corpora share: row keys, parts of the corpus, packed messages.
 
 Facts about windows of text number far more than documents. They travel as packed
-byte blocks, one per producer and hash bucket, instead of as rows of their own: a
-block is a few hundred kilobytes, is dealt by a uniform hash and has been reduced
-by its producer, so that a string that occurs a million times on one executor is
-sent once. Answers go back to the documents in the same way, by part.
+byte blocks, one per flush of a producer and hash bucket, instead of as rows of their
+own, dealt by a uniform hash. Answers go back to the documents in the same way, by
+part. Buckets and parts grow with the input, and so does what a producer holds
+before it flushes, up to a fixed bound (``flush_at``): a block has some kilobytes while
+there are up to 16 384 parts, 64 GB of stored input; beyond, blocks get smaller.
 """
 
 from __future__ import annotations
@@ -59,6 +60,11 @@ def part_of(uid: np.ndarray, parts: int) -> np.ndarray:
     return np.mod(ts.xxhash64_long(uid), parts)
 
 
+def flush_at(parts: int, least: int, each: int, most: int) -> int:
+    """Entries that a producer holds before it flushes: ``each`` for every part, within bounds."""
+    return min(most, max(least, parts * each))
+
+
 BLOCKS = "at int, kind int, payload binary"
 
 

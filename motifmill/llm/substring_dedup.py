@@ -52,7 +52,7 @@ def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.n
 
 def _probes(parts: int, block: int):
     """Arrow function: uid, text -> blocks of rolling hashes (kind 0) and of grid blocks (kind 1) by hash bucket."""
-    shift = U64(64 - (parts.bit_length() - 1))
+    shift, full = U64(64 - (parts.bit_length() - 1)), co.flush_at(parts, FLUSH, 512, 8 * FLUSH)
 
     def flush(rolling: list[np.ndarray], grid: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h = np.concatenate(rolling)
@@ -83,7 +83,7 @@ def _probes(parts: int, block: int):
                 rolling.append(h[ok])
                 grid.append((h[own], uids[lo:hi][doc[own]], (at[own] // block).astype(np.uint32)))
                 held += len(rolling[-1])
-                if held >= FLUSH:
+                if held >= full:
                     yield flush(rolling, grid)
                     rolling, grid, held = [], [], 0
         if rolling:

@@ -103,7 +103,7 @@ def cores(first: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarra
 
 def _describe(parts: int, length: int):
     """Arrow function: uid, text -> descriptions of segments by bucket of their class."""
-    shift = U64(64 - (parts.bit_length() - 1))
+    shift, full = U64(64 - (parts.bit_length() - 1)), co.flush_at(parts, FLUSH, 64, 8 * FLUSH)
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, g, uid, start, n, a = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -123,7 +123,7 @@ def _describe(parts: int, length: int):
                 g = ts.span_hash(data, first, last + length, 1)
                 held.append((h, g, uids[lo:hi][doc], first - offsets[doc], last - first + length, anchor - first))
                 count += len(first)
-                if count >= FLUSH:
+                if count >= full:
                     yield flush(held)
                     held, count = [], 0
         if held:

@@ -22,7 +22,7 @@ _BOUNDARY = re.compile(r"(?<=[^\s▁]) (?=.)", re.DOTALL)
 
 
 def split_safely(text: str, size: int = PIECE_BYTES) -> list[str]:
-    """Cut a text so that the pieces' token counts add up to the text's.
+    """Cut a text into pieces of about ``size`` bytes so that their token counts add up to the text's.
 
     A piece begins behind a single blank that follows a visible character: the
     encoder puts a blank mark before every piece, which stands for the dropped
@@ -30,9 +30,10 @@ def split_safely(text: str, size: int = PIECE_BYTES) -> list[str]:
     (checked by ``_splits``), so that no merge crosses the cut. A text without
     such blanks stays whole.
     """
+    step = max(1, size * len(text) // max(1, len(text.encode())))  # characters of that many bytes, on the text's average
     out, lo = [], 0
-    while len(text) - lo > size:
-        cut = _BOUNDARY.search(text, lo + size)
+    while len(text) - lo > step:
+        cut = _BOUNDARY.search(text, lo + step)
         if not cut:
             break
         out.append(text[lo : cut.start()])
@@ -64,10 +65,11 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each;
-    a null id stays null; other columns of ``docs`` are not read. The plan is one
-    scan without a shuffle: batches hold about BATCH_BYTES of text whatever the
-    number of rows, and texts over PIECE_BYTES are cut where no token can cross.
-    ``model_path`` must exist on every executor.
+    a null id stays null; an empty table gives no rows; other columns of ``docs``,
+    whatever their names, are not read. The plan is one scan without a shuffle: a call
+    of the library gets at most BATCH_BYTES and one text, whatever the number of rows,
+    and a .model's texts over PIECE_BYTES are cut where no token can cross (those of a
+    .json file stay whole). ``model_path`` must exist on every executor.
     """
     ids = docs.schema[id_col].dataType.simpleString()
 
@@ -77,16 +79,18 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             counts = [0] * batch.num_rows
             for lo, hi, _, _ in ts.slices(batch.column(1), BATCH_BYTES):
-                pieces, owner = [], []
+                pieces, owner, held = [], [], 0
                 for i, text in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist(), lo):
                     parts = split_safely(text) if text and splits else [text] if text else []
-                    pieces += parts
-                    owner += [i] * len(parts)
-                    while sum(map(len, pieces)) > 2 * BATCH_BYTES and len(pieces) > 1:  # a long text: its pieces go in several calls
-                        take = pieces[: BATCH_BYTES // PIECE_BYTES]
-                        for o, n in zip(owner, encode(take), strict=False):
-                            counts[o] += n
-                        pieces, owner = pieces[len(take) :], owner[len(take) :]
+                    for part in parts:  # a long text's pieces go in several calls
+                        own = int(sizes[i]) if len(parts) == 1 else len(part.encode())
+                        if pieces and held + own > BATCH_BYTES:
+                            for o, n in zip(owner, encode(pieces), strict=True):
+                                counts[o] += n
+                            pieces, owner, held = [], [], 0
+                        pieces.append(part)
+                        owner.append(i)
+                        held += own
                 for o, n in zip(owner, encode(pieces) if pieces else [], strict=True):
                     counts[o] += n
             n = pa.array(counts, pa.int64())
