@@ -2,6 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that the stage before it kept
 and returns the columns of documents; the last one adds how often the mix takes a row.
+Further columns pass through whatever their names, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,19 +15,19 @@ from motifmill.plans.storage import bounded_batches, materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier rejects go."""
+    """Documents that the weak-label classifier rejects go, and with them null, empty and blank texts; equal texts stay or go alike, null and repeated ids do not matter."""
     bounded_batches(spark)
     return quality.keep_good(docs, labelled=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group that shares 80 % of its five-word shingles."""
+    """One document stays of each group that shares 80 % of its five-word shingles: the one with the smallest id, nulls first; of repeated rows one; null and empty texts all."""
     bounded_batches(spark)
     return near_dedup.keep_one_of_each(docs, percent=80, words=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 and more words stay where they occur first and are cut elsewhere."""
+    """Passages of 20 and more words stay where they occur first and are cut elsewhere; all rows stay, null texts as empty ones, n_chars as long as what is left."""
     bounded_batches(spark)
     cut = substring_dedup.cut_repeats(docs, window=20)
     if "n_chars" in cut.columns:
@@ -35,13 +36,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, within its budget of edits, go."""
+    """Documents that hold a benchmark item, within its budget of edits, go; null and empty texts hold none, repeated rows stay or go alike."""
     bounded_batches(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: mix_copies says how often a document is taken, the others go."""
+    """Sources at their target weights: mix_copies says how often a document is taken, the others go, and with them texts without words; a null source is one, repeated rows are taken alike."""
     return mixing.mix_rows(docs)
 
 
