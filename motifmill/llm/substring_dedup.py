@@ -4,9 +4,11 @@ A run of ``window`` words holds at least one block of the text's own grid of
 non-overlapping blocks of ``window // 2`` words. So of two equal windows each holds
 an indexed block that the other meets with one of its rolling block-sized windows.
 
-1. Index and probe: every text sends its grid blocks and the hashes of all its
-   rolling block-sized windows to hash buckets. A block is an anchor if its hash
-   was probed from anywhere else.
+1. Index and probe: every part of the corpus sends its different grid blocks and the
+   hashes of all its rolling block-sized windows to hash buckets. A block is an anchor
+   if its hash was probed from anywhere else; that is told to each part that has
+   such a block, which finds its places again. So a line that a third of all texts
+   hold costs a bucket one entry a part for each of its blocks.
 2. Extend: from every anchor a text goes on to both sides, one word at a time, as
    far as a window that holds the anchor reaches. What stands there is compared by a
    128-bit BLAKE2 digest of its very words, not by the scan's hashes: a false anchor
@@ -36,7 +38,7 @@ from motifmill.plans.storage import discard, materialize
 
 U64 = np.uint64
 FLUSH = 1 << 20
-_ANCHOR = {"uid": "<i8", "block": "<u4"}
+_GRID = {"h": "<u8", "part": "<u4"}
 _WINDOW = {"h": "<u8", "g": "<u8", "uid": "<i8", "start": "<u4"}
 _PLACE = {"uid": "<i8", "start": "<u4"}
 
@@ -50,8 +52,16 @@ def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.n
     return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
 
 
+def _blocks(data: np.ndarray, offsets: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a slice (starts, ends, first of each text), hashes of all runs of ``block`` words, which of them lie in one text, and those of the texts' own grids."""
+    starts, ends, first = ts.words(data, offsets)
+    h, ok = ts.window_hash(ts.span_hash(data, starts, ends), block), ts.window_ok(first, block)
+    at = np.arange(len(ok)) - np.repeat(first[:-1], np.diff(first))[: len(ok)]
+    return starts, ends, first, h, ok, np.flatnonzero(ok & (at % block == 0))
+
+
 def _probes(parts: int, block: int):
-    """Arrow function: uid, text -> blocks of rolling hashes (kind 0) and of grid blocks (kind 1) by hash bucket."""
+    """Arrow function: uid, text, part, a part's rows in one task -> blocks of rolling hashes (kind 0) and of different grid blocks (kind 1) by hash bucket."""
     shift, full = U64(64 - (parts.bit_length() - 1)), co.flush_at(parts, FLUSH, 512, 8 * FLUSH)
 
     def flush(rolling: list[np.ndarray], grid: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -62,26 +72,25 @@ def _probes(parts: int, block: int):
         h = h[~twice]
         cuts = np.searchsorted(h, np.arange(1, parts, dtype=U64) << shift) if parts > 1 else np.zeros(0, int)
         out = [(i, 0, co.long_to_bytes6(x).tobytes()) for i, x in enumerate(np.split(h, cuts)) if len(x)]
-        gh, uid, b = (np.concatenate(x) for x in zip(*grid, strict=True))
-        for i, x in co.split_by((gh >> shift).astype(np.int64), parts, {"h": gh, "uid": uid, "block": b}):
-            out.append((i, 1, co.pack({"h": x["h"], "uid": x["uid"], "block": x["block"]})))
+        gh, part = (np.concatenate(x) for x in zip(*grid, strict=True))
+        order = np.lexsort((part, gh))
+        gh, part = gh[order], part[order]
+        new = np.append(True, (gh[1:] != gh[:-1]) | (part[1:] != part[:-1]))
+        for i, x in co.split_by((gh[new] >> shift).astype(np.int64), parts, {"h": gh[new], "part": part[new]}):
+            out.append((i, 1, co.pack({k: x[k] for k in _GRID})))
         return co.blocks(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, grid, held = [], [], 0
         for batch in batches:
-            uids = batch.column(0).to_numpy()
+            part = batch.column(2).to_numpy()
             for lo, hi, data, offsets in ts.slices(batch.column(1)):
-                starts, ends, first = ts.words(data, offsets)
-                words = ts.span_hash(data, starts, ends)
-                h, ok = ts.window_hash(words, block), ts.window_ok(first, block)
+                _, _, first, h, ok, own = _blocks(data, offsets, block)
                 if not ok.any():
                     continue
-                doc = np.repeat(np.arange(hi - lo), np.diff(first))[: len(ok)]
-                at = np.arange(len(ok)) - first[:-1][doc]
-                own = np.flatnonzero(ok & (at % block == 0))
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))[own]
                 rolling.append(h[ok])
-                grid.append((h[own], uids[lo:hi][doc[own]], (at[own] // block).astype(np.uint32)))
+                grid.append((h[own], part[lo:hi][doc].astype(np.uint32)))
                 held += len(rolling[-1])
                 if held >= full:
                     yield flush(rolling, grid)
@@ -93,18 +102,18 @@ def _probes(parts: int, block: int):
 
 
 def _anchors(parts: int):
-    """All blocks of a hash bucket -> the grid blocks that were probed from elsewhere too, by part."""
+    """All blocks of a hash bucket -> the hashes of grid blocks that were probed from elsewhere too, by part that has them."""
 
     def run(table: pa.Table) -> pa.Table:
-        own = co.unpack(co.payloads(table, 1), {"h": "<u8", **_ANCHOR})
+        own = co.unpack(co.payloads(table, 1), _GRID)
         low = own["h"] & U64((1 << 48) - 1)
         probed = co.bytes6_to_long(b"".join(co.payloads(table, 0)))
         probed.sort()
         order = np.argsort(low)
         found = np.empty(len(low), bool)
         found[order] = np.searchsorted(probed, low[order], "right") - np.searchsorted(probed, low[order]) > 1
-        uid, block = own["uid"][found], own["block"][found]
-        out = [(i, 0, co.pack(x)) for i, x in co.split_by(co.part_of(uid, parts), parts, {"uid": uid, "block": block})] if len(uid) else []
+        h, part = own["h"][found], own["part"][found].astype(np.int64)
+        out = [(i, 0, co.pack(x)) for i, x in co.split_by(part, parts, {"h": h})] if len(h) else []
         return pa.Table.from_batches([co.blocks(out)])
 
     return run
@@ -121,26 +130,20 @@ def _sorted_places(places: dict[str, np.ndarray], uids: np.ndarray) -> tuple[np.
 def _candidates(parts: int, block: int, window: int):
     """A part's texts and anchors -> windows that hold an anchor, by hash bucket (kind 0); later equal ones of the same part (kind 1)."""
     shift = U64(64 - (parts.bit_length() - 1))
-    part_kind = {"uid": "<i8", "block": "<u4"}
 
     def run(texts: pa.Table, hits: pa.Table) -> pa.Table:
         uids = texts.column("uid").to_numpy()
-        anchors = co.unpack(co.payloads(hits, 0), part_kind)
-        got = np.isin(uids, anchors["uid"]) if len(uids) else np.zeros(0, bool)
-        if not got.any():
+        known = np.unique(co.unpack(co.payloads(hits, 0), {"h": "<u8"})["h"])
+        if not len(known) or not len(uids):
             return pa.Table.from_batches([co.blocks([])])
-        texts, uids = texts.filter(pa.array(got)), uids[got]
-        block_at, low, high = _sorted_places(anchors, uids)
         found = []
         for lo, hi, data, offsets in ts.slices(co.as_array(texts.column("text"), pa.large_string())):
-            starts, ends, first = ts.words(data, offsets)
+            starts, ends, first, h, _, own = _blocks(data, offsets, block)
             ok = ts.window_ok(first, window)
-            if not ok.any():
+            anchor = own[known[np.minimum(np.searchsorted(known, h[own]), len(known) - 1)] == h[own]]
+            if not ok.any() or not len(anchor):
                 continue
-            counts = high[lo:hi] - low[lo:hi]
-            doc = np.repeat(np.arange(hi - lo), counts)
-            rank = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-            anchor = first[:-1][doc] + block_at[low[lo:hi][doc] + rank] * block
+            doc = np.repeat(np.arange(hi - lo), np.diff(first))[anchor]
             # a window at s holds the anchor at a if a - (window - block) <= s <= a
             near = np.zeros(len(starts) + 1, np.int32)
             np.add.at(near, np.maximum(anchor - (window - block), first[:-1][doc]), 1)
@@ -265,7 +268,7 @@ def _rewrite(window: int, columns: list[str], text_at: int):
 def repeated_places(docs: DataFrame, parts: int, window: int) -> DataFrame:
     """Blocks by part with the places (uid, first word) of all windows that occur earlier elsewhere. docs: uid, text, part."""
     block = window // 2
-    probes = docs.select("uid", "text").mapInArrow(_probes(parts, block), co.BLOCKS)
+    probes = docs.select("uid", "text", "part").repartition("part").mapInArrow(_probes(parts, block), co.BLOCKS)
     anchors = materialize(co.group_in_arrow(probes, _anchors(parts), co.BLOCKS), "anchors")
     anchors = anchors.withColumnRenamed("at", "part")
     windows = docs.select("uid", "text", "part").groupBy("part").cogroup(anchors.groupBy("part")).applyInArrow(_candidates(parts, block, window), co.BLOCKS)

@@ -5,10 +5,12 @@
    in the same half of them, are a segment. All windows of a segment hold its core,
    the anchor and 50 bytes on that half's side of it. Anchor and half depend on the
    window's bytes only, so equal windows, wherever they are, lie in segments with
-   equal cores: these are a class. Segments are described by 31 bytes and counted
-   by class: a line that a third of all texts hold in surroundings of their own
-   gives classes of one. Equal segments are one document with a count from here on;
-   a class without a second segment has no repeats.
+   equal cores: these are a class. A part of the corpus describes each of its
+   different segments once, however often it holds it, and equal segments are one
+   document with a count from there on; what is there twice is told to each part that
+   has it, which finds its places again. So a passage that a third of all texts hold
+   costs a class one description a part. A line in surroundings of its own in every
+   text gives classes of one; a class without a second segment has no repeats.
 2. Suffixes. The documents of the other classes get their bytes and are built into a
    collection's Burrows-Wheeler transform and common prefixes, column by column
    (``collection``); their cores, compared byte by byte, are one symbol each. A window
@@ -35,7 +37,8 @@ U64 = np.uint64
 FLUSH, BLOCK = 1 << 17, 1 << 20
 #: Symbols of the classes that are built as one collection; a class that holds more is one of its own.
 COLLECTION = 4 << 20
-_SEGMENT = {"h": "<u8", "g": "<u8", "uid": "<i8", "start": "<u4", "n": "<u2", "a": "u1"}
+_SEGMENT = {"h": "<u8", "g": "<u8", "uid": "<i8", "start": "<u4", "part": "<u4", "n": "<u2", "a": "u1", "many": "u1"}
+_TWICE = {"h": "<u8", "g": "<u8", "n": "<u2"}
 _RANGE = {"uid": "<i8", "start": "<u4", "n": "<u4"}
 _WANTED = {"uid": "<i8", "start": "<u4", "n": "<u2", "h": "<u8", "a": "u1", "known": "u1"}
 
@@ -101,27 +104,38 @@ def cores(first: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarra
     return np.where(late, anchor - cut, anchor), np.where(late, anchor + gram, anchor - cut + 1 + length)
 
 
+def _described(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(class, hash, first window, bytes, place of the anchor) of the segments in a slice."""
+    first, last, anchor = segments(data, offsets, length)
+    if not len(first):
+        return np.zeros(0, U64), np.zeros(0, U64), first, first, first
+    return ts.span_hash(data, *cores(first, anchor, length)), ts.span_hash(data, first, last + length, 1), first, last - first + length, anchor - first
+
+
 def _describe(parts: int, length: int):
-    """Arrow function: uid, text -> descriptions of segments by bucket of their class."""
+    """Arrow function: uid, text, part, a part's rows in one task -> its different segments by bucket of their class; many: there once or more often."""
     shift, full = U64(64 - (parts.bit_length() - 1)), co.flush_at(parts, FLUSH, 64, 8 * FLUSH)
 
-    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, g, uid, start, n, a = (np.concatenate(x) for x in zip(*held, strict=True))
-        rows = co.split_by((h >> shift).astype(np.int64), parts, {"h": h, "g": g, "uid": uid, "start": start.astype(np.uint32), "n": n.astype(np.uint16), "a": a.astype(np.uint8)})
-        return co.blocks([(i, 0, co.pack({k: x[k] for k in _SEGMENT})) for i, x in rows])
+    def flush(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        x = {k: np.concatenate([f[k] for f in held]) for k in held[0]}
+        order = np.argsort(ts.pair(ts.pair(x["h"], x["g"]), x["part"].astype(U64)), kind="stable")
+        x = {k: v[order] for k, v in x.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[k][1:] != x[k][:-1] for k in ("h", "g", "n", "part")])
+        head = np.flatnonzero(new)
+        x = {k: v[head] for k, v in x.items()} | {"many": np.minimum(np.diff(np.append(head, len(order))), 2).astype(np.uint8)}
+        return co.blocks([(i, 0, co.pack({k: f[k] for k in _SEGMENT})) for i, f in co.split_by((x["h"] >> shift).astype(np.int64), parts, x)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            uids = batch.column(0).to_numpy()
+            uids, part = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for lo, hi, data, offsets in ts.slices(batch.column(1)):
-                first, last, anchor = segments(data, offsets, length)
+                h, g, first, n, a = _described(data, offsets, length)
                 if not len(first):
                     continue
                 doc = np.searchsorted(offsets, first, "right") - 1
-                h = ts.span_hash(data, *cores(first, anchor, length))
-                g = ts.span_hash(data, first, last + length, 1)
-                held.append((h, g, uids[lo:hi][doc], first - offsets[doc], last - first + length, anchor - first))
+                held.append({"h": h, "g": g, "uid": uids[lo:hi][doc], "start": (first - offsets[doc]).astype(np.uint32), "part": part[lo:hi][doc].astype(np.uint32), "n": n.astype(np.uint16), "a": a.astype(np.uint8)})
                 count += len(first)
                 if count >= full:
                     yield flush(held)
@@ -133,7 +147,7 @@ def _describe(parts: int, length: int):
 
 
 def _classes(parts: int):
-    """All descriptions of a bucket -> by part, ranges that are repeats as a whole (kind 0) and segments whose bytes are wanted (kind 1)."""
+    """All descriptions of a bucket -> by part, segments that are there twice (kind 2) and places of segments whose bytes are wanted (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
         x = co.unpack(co.payloads(table, 0), _SEGMENT)
@@ -144,18 +158,17 @@ def _classes(parts: int):
         new_kind = new_class.copy()
         new_kind[1:] |= (x["g"][1:] != x["g"][:-1]) | (x["n"][1:] != x["n"][:-1])
         head = np.flatnonzero(new_kind)
-        copies = np.diff(np.append(head, len(order)))
+        copies = np.add.reduceat(x["many"].astype(np.int64), head)
         kind = np.cumsum(new_kind) - 1
         of_class = (np.cumsum(new_class) - 1)[head]
         kinds_in, once_in = np.bincount(of_class), np.bincount(of_class, weights=copies == 1)
-        again = copies[kind] > 1
+        again = np.flatnonzero(copies[kind] > 1)
         wanted = head[(kinds_in[of_class] > 1) & (once_in[of_class] > 0)]
-        out = []
-        ranges = {k: x[k][again].astype(kind) for k, kind in _RANGE.items()}
         asks = {k: x[k][wanted] for k in ("uid", "start", "n", "h", "a")} | {"known": (copies[kind[wanted]] > 1).astype(np.uint8)}
-        for number, fields in enumerate((ranges, asks)):
-            if len(fields["uid"]):
-                out += [(i, number, co.pack(f)) for i, f in co.split_by(co.part_of(fields["uid"], parts), parts, fields)]
+        out = []
+        for number, rows, fields in ((2, again, {k: x[k][again] for k in _TWICE}), (1, wanted, asks)):
+            if len(rows):
+                out += [(i, number, co.pack(f)) for i, f in co.split_by(x["part"][rows].astype(np.int64), parts, fields)]
         return pa.Table.from_batches([co.blocks(out)])
 
     return run
@@ -230,21 +243,31 @@ def _build(parts: int, length: int, folder: str):
     return run
 
 
-def _covered(texts: pa.Table, ranges: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of a part's texts and which of their bytes are covered."""
+def _covered(texts: pa.Table, ranges: pa.Table, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a part's texts and which of their bytes are covered: by given ranges, and by segments that are there twice."""
     x = co.unpack(co.payloads(ranges, 0), _RANGE)
     uids = texts.column("uid").to_numpy()
     order = np.argsort(x["uid"], kind="stable")
     x = {k: v[order].astype(np.int64) for k, v in x.items()}
     low, high = np.searchsorted(x["uid"], uids), np.searchsorted(x["uid"], uids, "right")
+    twice = co.unpack(co.payloads(ranges, 2), _TWICE)
+    key_of = lambda h, g, n: ts.pair(h, g) + n.astype(U64)
+    order = np.argsort(key_of(*twice.values()))
+    twice = {k: v[order] for k, v in twice.items()}
+    keys = key_of(*twice.values())
     for lo, hi, data, offsets in ts.slices(co.as_array(texts.column("text"), pa.large_string())):
         count = high[lo:hi] - low[lo:hi]
         doc = np.repeat(np.arange(hi - lo), count)
         at = np.repeat(low[lo:hi], count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        begin = offsets[doc] + x["start"][at]
+        begin, size = offsets[doc] + x["start"][at], x["n"][at]
+        if len(keys):
+            h, g, first, n, _ = _described(data, offsets, length)
+            k = np.minimum(np.searchsorted(keys, key_of(h, g, n)), len(keys) - 1)
+            hit = (twice["h"][k] == h) & (twice["g"][k] == g) & (twice["n"][k] == n)
+            begin, size = np.concatenate([begin, first[hit]]), np.concatenate([size, n[hit]])
         edge = np.zeros(len(data) + 1, np.int32)
         np.add.at(edge, begin, 1)
-        np.add.at(edge, begin + x["n"][at], -1)
+        np.add.at(edge, begin + size, -1)
         yield lo, hi, data, offsets, np.cumsum(edge)[:-1] > 0
 
 
@@ -256,10 +279,10 @@ def _run_starts(gone: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(gone & ~before)
 
 
-def _digest():
+def _digest(length: int):
     def run(texts: pa.Table, ranges: pa.Table) -> pa.Table:
         size, removed, spans, kept = [], [], [], []
-        for lo, hi, data, offsets, gone in _covered(texts, ranges):
+        for lo, hi, data, offsets, gone in _covered(texts, ranges, length):
             size.append(np.diff(offsets))
             stay = np.concatenate(([0], np.cumsum(~gone)))[offsets]
             removed.append(size[-1] - np.diff(stay))
@@ -273,36 +296,36 @@ def _digest():
     return run
 
 
-def _spans():
+def _spans(length: int):
     def run(texts: pa.Table, ranges: pa.Table) -> pa.Table:
-        rows, start, length = [], [], []
-        for lo, _, _, offsets, gone in _covered(texts, ranges):
+        rows, start, size = [], [], []
+        for lo, _, _, offsets, gone in _covered(texts, ranges, length):
             begins = _run_starts(gone, offsets)
             doc = np.searchsorted(offsets, begins, "right") - 1
             stops = np.append(np.flatnonzero(~gone), len(gone))
             end = np.minimum(stops[np.searchsorted(stops, begins)], offsets[doc + 1])
             rows.append(lo + doc)
             start.append(begins - offsets[doc])
-            length.append(end - begins)
-        rows, start, length = (pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (rows, start, length))
-        return pa.table({"doc_id": texts.column("doc_id").take(rows), "start": start, "length": length})
+            size.append(end - begins)
+        rows, start, size = (pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (rows, start, size))
+        return pa.table({"doc_id": texts.column("doc_id").take(rows), "start": start, "length": size})
 
     return run
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """Texts in parts, and blocks by part with the byte ranges of repeats."""
+    """Texts in parts, and blocks by part with the byte ranges of repeats (kind 0) and the segments that are there twice (kind 2)."""
     if not 2 <= length <= 510:
         raise ValueError("length must be from 2 to 510 bytes")
     held, _ = co.keyed(docs, id_col, text_col)
     parts = co.part_count(docs)
     held = co.in_parts(held, parts)
-    described = held.select("uid", "text").mapInArrow(_describe(parts, length), co.BLOCKS)
+    described = held.select("uid", "text", "part").repartition("part").mapInArrow(_describe(parts, length), co.BLOCKS)
     classes = materialize(co.group_in_arrow(described, _classes(parts), co.BLOCKS), "segment-classes").withColumnRenamed("at", "part")
     fetched = held.select("uid", "text", "part").groupBy("part").cogroup(classes.where("kind = 1").groupBy("part")).applyInArrow(_fetch(parts), co.BLOCKS)
     folder = f"{shared_dir(docs.sparkSession)}/motifmill/columns"
     built = materialize(co.group_in_arrow(fetched, _build(parts, length, folder), co.BLOCKS), "segment-repeats").withColumnRenamed("at", "part")
-    ranges = materialize(classes.where("kind = 0").unionByName(built), "ranges")
+    ranges = materialize(classes.where("kind = 2").unionByName(built), "ranges")
     discard(classes)
     return held, ranges
 
@@ -319,14 +342,14 @@ def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     held, ranges = _repeats(docs, id_col, text_col, length)
     ids = docs.schema[id_col].dataType.simpleString()
-    return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_digest(), f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_digest(length), f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeat_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """doc_id, start, length: the maximal byte ranges that ``dedup_suffixes`` removes, offsets from 0."""
     held, ranges = _repeats(docs, id_col, text_col, length)
     ids = docs.schema[id_col].dataType.simpleString()
-    return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_spans(), f"doc_id {ids}, start long, length long")
+    return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_spans(length), f"doc_id {ids}, start long, length long")
 
 
 #: What dedup_suffixes gives for strings of 200 bytes, over the texts' bytes in hexadecimal.
