@@ -23,15 +23,18 @@ Piece = tuple[np.ndarray, np.ndarray]
 
 
 class Columns:
-    """Symbols and common prefixes in order, replaced as a whole by every round. folder: where files go; None: memory."""
+    """Symbols and common prefixes in order, replaced as a whole by every round. folder: where files go; None, or a file system that pyarrow does not know: memory."""
 
     def __init__(self, folder: str | None = None):
         self._held: list[Piece] = []
         self._fs, self._path = None, ""
         if folder is not None:
-            from pyarrow import fs
+            from pyarrow import ArrowInvalid, ArrowNotImplementedError, fs
 
-            self._fs, base = fs.FileSystem.from_uri(folder)
+            try:
+                self._fs, base = fs.FileSystem.from_uri(folder)
+            except (ArrowInvalid, ArrowNotImplementedError, OSError):
+                return
             self._fs.create_dir(base)
             self._name, self._round = f"{base}/{uuid.uuid4().hex}", 0
 
