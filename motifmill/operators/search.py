@@ -15,7 +15,7 @@ CHUNKS = (64, 256)
 #: Patterns of at least so many symbols, if no shorter one stands beside them, are found by sampled places, with seeds of SAMPLED_SEED symbols.
 SAMPLED, SAMPLED_SEED = 48, 16
 #: Reads of at least so many symbols are found by seeds of that length; shorter ones by themselves.
-SEEDS = (12, 7)
+SEEDS = (12, 8)
 #: Reads of at most so many symbols are counted from the texts' k-mers of that length.
 SHORT = 7
 
