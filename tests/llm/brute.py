@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -185,3 +187,67 @@ def label_model(rows, rounds=500):
         if moved < 1e-9:
             break
     return [b[0] for b in belief]
+
+
+def fingerprint(text, k=4):
+    """64 bits, each set where over half of the k-word shingles' hashes have it."""
+    w = (text or "").encode().translate(FOLD).split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
+    return sum(1 << p for p in range(64) if 2 * sum(h >> p & 1 for h in hashes) > len(hashes))
+
+
+def linked(fingerprints, radius):
+    """The first place that can be reached from every place over links of at most ``radius`` bits."""
+    of = list(range(len(fingerprints)))
+    for i, x in enumerate(fingerprints):
+        for j, y in enumerate(fingerprints[:i]):
+            if (x ^ y).bit_count() <= radius:
+                a, b = of[i], of[j]
+                of = [min(a, b) if c == max(a, b) else c for c in of]
+    return of
+
+
+def hard_negatives(rows, positives=5, negatives=10):
+    """anchor, positive, rank, negative and both scores. rows: id, vector, label."""
+    some = [(k, i, np.floor(256 * np.array(v, float)).astype(np.int64), (y + 1) % 10 if i % 7 == 0 else y) for k, (i, v, y) in enumerate(rows) if i is not None and y is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for k, i, x, label in some:
+        if i % 100:
+            continue
+        dot = lambda z: int(sum(int(a) * int(b) for a, b in zip(x, z, strict=False)))  # noqa: E731, B023
+        scored = sorted(((-dot(z), j, y == label) for m, j, z, y in some if m != k))  # noqa: B023
+        for ps, p, _ in [s for s in scored if s[2]][:positives]:
+            inside = [s for s in scored if not s[2] and 30 * -ps <= 100 * -s[0] <= 90 * -ps][:negatives]
+            out += [(i, p, r, j, -ps, -s) for r, (s, j, _) in enumerate(inside, 1)]
+    return sorted(out)
+
+
+def rebuilt(turns):
+    """id -> list of (role, text): the first h turns of c - c % 100, then the own ones behind the first h."""
+    own = {}
+    for c, t, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append((t is not None, t or 0, hashlib.sha256(f"{len((role or '').encode())}:{role or ''}{text or ''}".encode()).digest()[:16] + len(text or "").to_bytes(4, "big"), (role or "", text or "")))
+    own = {c: [x[-1] for x in sorted(v, key=lambda x: x[:3])] for c, v in own.items()}
+    out = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - (c % 100 if c >= 0 else -(-c % 100)), [])[:h] + v[h:]
+    return out
+
+
+def trie(convs):
+    """Rows of all nodes of id -> list of (role, text)."""
+    members = {}
+    for c in sorted(convs):
+        for d in range(len(convs[c]) + 1):
+            members.setdefault(tuple(convs[c][:d]), []).append(c)
+    out = []
+    for p, m in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        kids = [q for q in below if len(q) == len(p) + 1]
+        leaves = [q for q in below if not any(len(r) == len(q) + 1 and r[: len(q)] == q for r in members)]
+        ends = ",".join(str(c) for c in m if len(convs[c]) == len(p))
+        saved = sum((len(members[q]) - 1) * len(q[-1][1]) for q in below if q)
+        out.append((m[0], len(p), members[p[:-1]][0] if p else None, len(m), len(kids), len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
