@@ -1,7 +1,10 @@
 """Command line: build an index of reference texts, count reads in them.
 
-    python -m motifmill.cli build REFERENCE INDEX_DIR [--threads 8]
+    python -m motifmill.cli build REFERENCE INDEX_DIR [--longest 256] [--threads 8]
     python -m motifmill.cli count REFERENCE READS.fa [--runs 5] [--threads 8] [--search seeds|ranks] [--normalize upper] [--out DIR]
+    python -m motifmill.cli count READS.fa --index INDEX_DIR [...]
+
+With --index the bins that build wrote are searched and no reference is read.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from motifmill.operators import search
 from motifmill.operators.index import Index
-from motifmill.operators.rank_search import rank_counts
+from motifmill.operators.rank_search import RankBins
 from motifmill.sources.sequences import read_fasta, read_reference
 
 
@@ -48,11 +51,13 @@ def main(argv: list[str] | None = None) -> int:
     build = commands.add_parser("build")
     build.add_argument("reference")
     build.add_argument("index")
+    build.add_argument("--longest", type=threads, default=256, help="symbols of the longest read that the index is for")
     count = commands.add_parser("count")
-    count.add_argument("reference")
+    count.add_argument("reference", nargs="?")
     count.add_argument("reads")
     count.add_argument("--runs", type=runs, default=5)
     count.add_argument("--out")
+    count.add_argument("--index", help="what build wrote")
     count.add_argument("--search", choices=("seeds", "ranks"), default="seeds")
     for command in (build, count):
         command.add_argument("--threads", type=threads, help="of a local session; a cluster's own setting holds otherwise")
@@ -60,16 +65,26 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     builder = SparkSession.builder
     spark = (builder.master(f"local[{args.threads}]") if args.threads else builder).getOrCreate()
-    texts = read_reference(spark, there(spark, args.reference), normalize=args.normalize)
+    if args.command == "count" and (args.reference is None) == (args.index is None):
+        parser.error("count takes a reference or --index")
+    if args.command == "build" or args.index is None:
+        texts = read_reference(spark, there(spark, args.reference), normalize=args.normalize)
     if args.command == "build":
         Index.build(texts).save(args.index)
+        RankBins.build(texts, args.longest).save(f"{args.index}/bins")
         return 0
     reads = read_fasta(spark, there(spark, args.reads), normalize=args.normalize).select("read_id", "q")
-    find = search.count_matches if args.search == "seeds" else rank_counts
+    if args.index:
+        find = RankBins.load(spark, there(spark, f"{args.index}/bins")).count
+    elif args.search == "ranks":
+        find = RankBins.build(texts, reads.agg(F.max(F.length("q"))).first()[0] or 1).count
+    else:
+        held = search.Texts(texts)  # cut in the first run
+        find = lambda reads: search.count_matches(held, reads)
     seconds, totals = [], []
     for _ in range(args.runs):
         began = time.perf_counter()
-        counts = find(texts, reads)
+        counts = find(reads)
         totals.append(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         seconds.append(time.perf_counter() - began)
     if len(set(totals)) != 1:

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 #: Places of the pieces of each level above the last one: a substring's cost grows with its distance from its text's beginning.
 LEVELS = (1 << 20, 1 << 14)
 #: Bytes from which on a text's pieces are dealt out to other tasks.
-SPREAD = 4 << 20
+SPREAD = 1 << 20
 
 
 def pieces(texts: DataFrame, id_col: str, text_col: str, size: int, behind: int) -> DataFrame:
     """id, base, part: pieces of ``size`` places and ``behind`` more symbols, from base (0-based) on; a place belongs to the piece in which it lies.
 
     Bases are multiples of ``size``. Texts of one-byte symbols are cut as bytes first,
-    all of them level by level. Where a text is longer than SPREAD, the first level's pieces are dealt out by
-    a hash, so that one large text keeps all tasks busy.
+    all of them level by level. Where a text is longer than SPREAD, the pieces of the last level but the
+    wanted one are dealt out by a hash, so that one large text keeps all tasks busy.
     """
     longest = texts.agg(F.max(F.octet_length(text_col))).first()[0] or 0
     plain = F.octet_length(text_col) == F.length(text_col)
@@ -29,6 +29,6 @@ def pieces(texts: DataFrame, id_col: str, text_col: str, size: int, behind: int)
         if "raw" in out.columns:
             part = F.when(F.col("raw").isNotNull(), F.substring("raw", at + 1, F.lit(step + behind)).cast("string")).otherwise(part)
         out = counted.select("id", (F.col("base") + at).alias("base"), part.alias("part"), F.least(F.lit(step), F.col("places") - at).alias("places"))
-        if longest > SPREAD and levels and step == levels[0]:
+        if longest > SPREAD and levels and step == levels[-1]:
             out = out.repartition(F.col("id"), F.col("base"))
     return out.select("id", "base", "part")

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from motifmill.functions.encode import ALPHABET, is_coded, kmer_code, kmer_text, symbol_code
 from motifmill.operators import suffix
+from motifmill.operators.ranking import running
 from motifmill.plans.storage import materialize
 from motifmill.sources.sequences import input_key
 
 D = 64
-TABLES = ("meta", "bwt", "c_table", "firsts", "occ", "lut")
+#: Rows that one entry of the single symbols' ranks stands for.
+RANGE = 512
+TABLES = ("meta", "bwt", "c_table", "firsts", "occ", "lut", "symbols", "places")
 
 
 def meta_table(genome: DataFrame) -> DataFrame:
@@ -47,15 +50,32 @@ def firsts_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
 def occ_blocks(bwt: DataFrame, meta: DataFrame, d: int = D) -> DataFrame:
     """contig_id, blk, sym2, before (occurrences in the blocks before), bitmap (row offset 0 is the top bit of d).
 
-    Blocks are summed first, so the running sum goes over one row a block and symbol.
+    Blocks are summed first, so the running sum goes over one row a block and symbol, in
+    two levels: no task holds more of a contig than a range of its blocks, or one row for each range.
     """
     if not 1 <= d <= 64:
         raise ValueError("d must be from 1 to 64")
     bits = bwt.where("sym2 is not null").groupBy("contig_id", F.floor(F.col("i") / d).alias("blk"), "sym2").agg(F.count(F.lit(1)).alias("n"), F.bit_or(F.expr(f"shiftleft(1L, {d - 1} - cast(i % {d} as int))")).alias("bitmap"))
     frame = meta.select("contig_id", F.explode(F.expr(f"sequence(0L, len div {d})")).alias("blk")).select("contig_id", "blk", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("sym2"))
     dense = frame.join(bits, ["contig_id", "blk", "sym2"], "left")
-    before = Window.partitionBy("contig_id", "sym2").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    return dense.select("contig_id", "blk", "sym2", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.coalesce("bitmap", F.lit(0)).cast("long").alias("bitmap"))
+    summed = running(dense, ["contig_id", "sym2"], "blk", "n", "before")
+    return summed.select("contig_id", "blk", "sym2", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("bitmap", F.lit(0)).cast("long").alias("bitmap"))
+
+
+def symbols_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
+    """contig_id, symbol, lo, hi: the rows of the suffixes that begin with each symbol, in contigs that hold others than ACGT; a row for each symbol of a contig. The end marker's own suffix, the first of those with '$', is none of them."""
+    firsts = begins.join(meta.where("others").select("contig_id"), "contig_id", "left_semi").groupBy("contig_id", F.substring("begin", 1, 1).alias("symbol")).agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("contig_id").orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
+    lo = F.coalesce(F.sum("n").over(before), F.lit(0))
+    return firsts.select("contig_id", "symbol", (lo + F.when(F.col("symbol") == "$", 1).otherwise(0)).alias("lo"), (lo + F.col("n")).alias("hi"))
+
+
+def places_table(bwt: DataFrame, meta: DataFrame, symbols: DataFrame) -> DataFrame:
+    """contig_id, symbol, rng, before, offsets: rows that a symbol stands in front of (the end marker is none), by ranges of RANGE rows, and how many there are in the ranges before; in contigs that hold others than ACGT."""
+    rows = bwt.where("pos > 0").join(meta.where("others").select("contig_id"), "contig_id", "left_semi").groupBy("contig_id", F.col("b0").alias("symbol"), F.floor(F.col("i") / RANGE).alias("rng")).agg(F.sort_array(F.collect_list((F.col("i") % RANGE).cast("int"))).alias("offsets"))
+    frame = symbols.select("contig_id", "symbol").join(meta.select("contig_id", "len"), "contig_id").select("contig_id", "symbol", F.explode(F.expr(f"sequence(0L, len div {RANGE})")).alias("rng"))
+    dense = frame.join(rows, ["contig_id", "symbol", "rng"], "left").withColumn("offsets", F.coalesce("offsets", F.array().cast("array<int>"))).withColumn("n", F.size("offsets").cast("long"))
+    return running(dense, ["contig_id", "symbol"], "rng", "n", "before").select("contig_id", "symbol", "rng", F.coalesce("before", F.lit(0)).alias("before"), "offsets")
 
 
 def rank_of(before: Column, bitmap: Column, row: Column, d: int = D) -> Column:
@@ -81,16 +101,21 @@ class Index:
     firsts: DataFrame
     occ: DataFrame
     lut: DataFrame
+    symbols: DataFrame
+    places: DataFrame
 
     @classmethod
-    def build(cls, genome: DataFrame, d: int = D, ks: tuple[int, ...] = (5, 6)) -> Index:
-        """The suffixes are sorted once, with the symbols that all tables need at their side. Any symbols may occur; pairs and k-mers are those of ACGT."""
+    def build(cls, genome: DataFrame, d: int = D, ks: tuple[int, ...] = (5, 6), suffixes: DataFrame | None = None) -> Index:
+        """The suffixes are sorted once (or given as sorted), with the symbols that all tables need at their side. Any symbols may occur; pairs and k-mers are those of ACGT."""
         if max(ks) > suffix.HEAD:
             raise ValueError(f"k-mers of at most {suffix.HEAD} symbols")
         meta = materialize(meta_table(genome), "index-meta")
-        bwt = materialize(suffix.bwt(suffix.sorted_suffixes(genome)), "index-bwt")
+        bwt = materialize(suffix.bwt(suffix.sorted_suffixes(genome) if suffixes is None else suffixes), "index-bwt")
         begins = materialize(beginnings(bwt), "index-beginnings")
-        return cls(meta, bwt, materialize(c_table(meta, begins), "index-c"), materialize(firsts_table(meta, begins), "index-firsts"), materialize(occ_blocks(bwt, meta, d), "index-occ"), materialize(lut(bwt, ks), "index-lut"))
+        symbols = materialize(symbols_table(meta, begins), "index-symbols")
+        tables = {"c": c_table(meta, begins), "firsts": firsts_table(meta, begins), "occ": occ_blocks(bwt, meta, d), "lut": lut(bwt, ks)}
+        c, firsts, occ, kmers = (materialize(t, f"index-{name}") for name, t in tables.items())
+        return cls(meta, bwt, c, firsts, occ, kmers, symbols, materialize(places_table(bwt, meta, symbols), "index-places"))
 
     def save(self, path: str) -> None:
         for name in TABLES:
@@ -110,11 +135,20 @@ class Index:
 
 
 _built: dict[tuple, Index] = {}
+_sorted: dict[tuple, DataFrame] = {}
+
+
+def suffixes_of(genome: DataFrame, sf_dir: str) -> DataFrame:
+    """The sorted suffixes of a data directory's derived reference, written once a session and state of its files."""
+    key = input_key(genome.sparkSession, sf_dir)
+    if key not in _sorted:
+        _sorted[key] = suffix.sorted_suffixes(genome)
+    return _sorted[key]
 
 
 def index_of(genome: DataFrame, sf_dir: str) -> Index:
     """The index of a data directory's derived reference, built once a session and state of its files."""
     key = input_key(genome.sparkSession, sf_dir)
     if key not in _built:
-        _built[key] = Index.build(genome)
+        _built[key] = Index.build(genome, suffixes=suffixes_of(genome, sf_dir))
     return _built[key]

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.functions.encode import is_coded, pair_code, symbol_code
 from motifmill.operators.cutting import pieces
-from motifmill.operators.index import D, Index, rank_of
-from motifmill.plans.storage import materialize, small_side
+from motifmill.operators.index import RANGE, D, Index, rank_of
+from motifmill.plans.storage import discard, materialize, small_side
 
 #: Places in a chunk of a text, where patterns are short and where they are long: a substring's cost grows with its distance from the chunk's beginning.
 CHUNKS = (64, 256)
-#: Patterns of at least so many symbols, if no shorter one stands beside them, are found by sampled places, with seeds of SAMPLED_SEED symbols.
-SAMPLED, SAMPLED_SEED = 48, 16
+#: Patterns of at least so many symbols are found by sampled places, with seeds of SAMPLED_SEED symbols, and compared in pieces of VERIFIED places.
+SAMPLED, SAMPLED_SEED, VERIFIED = 48, 16, 1 << 14
 #: Reads of at least so many symbols are found by seeds of that length; shorter ones by themselves.
 SEEDS = (12, 8)
+#: Steps of a backward search whose ended reads stay tables of their own.
+FOLD = 16
 #: Reads of at most so many symbols are counted from the texts' k-mers of that length.
 SHORT = 7
 
@@ -57,65 +62,70 @@ class Texts:
     def chunks(self, longest: int) -> tuple[DataFrame, int]:
         """(chunks, the number of symbols that each holds behind its last place and that place): a wider cut serves shorter patterns."""
         if longest > self.longest or self._held is None:
+            if self._held is not None:
+                discard(self._held)
             self.longest = longest
             self._held = materialize(chunks(self.texts, longest, self.id_col, self.text_col), "chunks")
         return self._held, self.longest
 
 
-def _sampled(held: Texts, patterns: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """id, pos, q of occurrences of patterns of at least ``shortest`` symbols, from every w-th place of the texts.
+def _tier(length: int) -> int:
+    """Tiers of patterns by length: from SAMPLED, twice that, four times that, ... symbols on."""
+    return (length // SAMPLED).bit_length()
+
+
+def _sampled(texts: Texts, patterns: DataFrame, shortest: int) -> DataFrame:
+    """id, pos, q of places where patterns of at least ``shortest`` symbols may occur, from every w-th place of the texts.
 
     A pattern that occurs covers w = shortest - k + 1 places with k symbols behind each
     inside it, one of which is sampled. So the k-mers of a pattern's first w places
-    are joined with the sampled ones, and the whole pattern is compared where it would
-    begin: texts give a row for w places, patterns w rows each.
+    are joined with the sampled ones: texts give a row for w places, patterns w rows each.
     """
     k = SAMPLED_SEED
     w = shortest - k + 1
-    parts, reach = held.chunks(longest)
-    size = chunk_size(reach)
-    samples = pieces(held.texts, held.id_col, held.text_col, w, k - 1).where(F.length("part") >= k).select("id", F.col("base").alias("s"), F.substring("part", 1, k).alias("seed"))
+    samples = pieces(texts.texts, texts.id_col, texts.text_col, w, k - 1).where(F.length("part") >= k).select("id", F.col("base").alias("s"), F.substring("part", 1, k).alias("seed"))
     asked = patterns.select("q", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("o")).select("q", "o", F.substring("q", F.col("o") + 1, F.lit(k)).alias("seed"))
-    placed = samples.join(small_side(materialize(asked, "pattern-seeds")), "seed").select("id", "q", (F.col("s") - F.col("o")).alias("pos")).where("pos >= 0")
-    placed = placed.withColumn("base", F.col("pos") - F.col("pos") % size).withColumn("p", (F.col("pos") - F.col("base") + 1).cast("int"))
-    return placed.join(parts, ["id", "base"]).where(F.substring("part", F.col("p"), F.length("q")) == F.col("q")).select("id", "pos", "q")
+    return samples.join(small_side(materialize(asked, "pattern-seeds")), "seed").select("id", "q", (F.col("s") - F.col("o")).alias("pos")).where("pos >= 0")
+
+
+def _whole(texts: Texts, placed: DataFrame, longest: int) -> DataFrame:
+    """Those of the places where the whole pattern stands. Texts are cut into long pieces, few of which are asked for."""
+    placed = placed.withColumn("base", F.col("pos") - F.col("pos") % VERIFIED).withColumn("p", (F.col("pos") - F.col("base") + 1).cast("int"))
+    parts = pieces(texts.texts, texts.id_col, texts.text_col, VERIFIED, longest - 1)
+    met = parts.join(small_side(materialize(placed, "places")), ["id", "base"])
+    return met.where(F.substring("part", F.col("p"), F.length("q")) == F.col("q")).select("id", "pos", "q")
 
 
 def _matches(held: Texts, patterns: DataFrame) -> DataFrame | None:
     """id, pos (from 0), q for every occurrence of every distinct pattern, overlaps included.
 
-    One equi-join a seed length between the windows of the chunks and the patterns'
-    beginnings, then the whole pattern is compared. Only as many tiers as there are
-    seed lengths in use; patterns are broadcast if their counted rows and bytes allow it.
+    Patterns fall into tiers by length, each with a join of its own. Short ones: between
+    the windows of the chunks and the patterns' beginnings, one for each seed length,
+    then the whole pattern is compared. From SAMPLED symbols on: by sampled places, the
+    further apart the longer a tier's patterns are; the places of all tiers are compared
+    in one pass. Patterns are broadcast if their counted rows and bytes allow it.
     """
     lengths = _lengths(patterns)
-    if not lengths:
-        return None
-    longest = max(lengths)
-    if min(lengths) >= SAMPLED:
-        return _sampled(held, patterns, min(lengths), longest)
-    parts, reach = held.chunks(longest)
-    size, far = chunk_size(reach), longest > CHUNKS[0]
-    out = None
-    for k in sorted({_seed(n) for n in lengths}):
-        tier = [n for n in lengths if _seed(n) == k]
+    out, placed = [], []
+    short, long = [n for n in lengths if n < SAMPLED], [n for n in lengths if n >= SAMPLED]
+    if short:
+        parts, reach = held.chunks(max(short))
+        size = chunk_size(reach)
+    for k in sorted({_seed(n) for n in short}):
+        tier = [n for n in short if _seed(n) == k]
         asked = patterns.where(F.length("q").isin(tier)).select("q", F.substring("q", 1, k).alias("seed"))
-        # where patterns are long, places are made from short chunks, and the few that have a seed meet their long chunk again
-        near = chunks(held.texts, k, held.id_col, held.text_col) if far else parts
-        last = F.least(F.lit(chunk_size(k) if far else size), F.length("part") - k + 1)
-        windows = near.where(F.length("part") >= k).select("id", "base", "part", F.explode(F.sequence(F.lit(1), last)).alias("p"))
-        windows = windows.withColumn("seed", F.substring("part", F.col("p"), F.lit(k)))
-        hit = windows.join(small_side(asked), "seed")
-        whole = F.substring("part", F.col("p"), F.length("q")) == F.col("q")
-        if far:
-            placed = hit.select("id", "q", (F.col("base") + F.col("p") - 1).alias("pos"))
-            placed = placed.withColumn("base", F.col("pos") - F.col("pos") % size).withColumn("p", (F.col("pos") - F.col("base") + 1).cast("int"))
-            hit = placed.join(parts, ["id", "base"]).where(whole)
-        elif max(tier) > k:
-            hit = hit.where(whole)
-        found = hit.select("id", (F.col("base") + F.col("p") - 1).alias("pos"), "q")
-        out = found if out is None else out.unionByName(found)
-    return out
+        last = F.least(F.lit(size), F.length("part") - k + 1)
+        windows = parts.where(F.length("part") >= k).select("id", "base", "part", F.explode(F.sequence(F.lit(1), last)).alias("p"))
+        hit = windows.withColumn("seed", F.substring("part", F.col("p"), F.lit(k))).join(small_side(asked), "seed")
+        if max(tier) > k:
+            hit = hit.where(F.substring("part", F.col("p"), F.length("q")) == F.col("q"))
+        out.append(hit.select("id", (F.col("base") + F.col("p") - 1).alias("pos"), "q"))
+    for tier in sorted({_tier(n) for n in long}):
+        of = [n for n in long if _tier(n) == tier]
+        placed.append(_sampled(held, patterns.where(F.length("q").between(min(of), max(of))), min(of)))
+    if placed:
+        out.append(_whole(held, reduce(DataFrame.unionByName, placed), max(long)))
+    return reduce(DataFrame.unionByName, out) if out else None
 
 
 def _held(texts: DataFrame | Texts, id_col: str, text_col: str) -> Texts:
@@ -174,33 +184,68 @@ def shortest_unmatched(texts: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def backward_search(index: Index, reads: DataFrame, d: int = D) -> DataFrame:
-    """contig_id, read_id, lo, hi, n of every read in the contig that it names, two symbols a step from the end.
+    """contig_id, read_id, n of every read in the contig that it names.
 
-    reads: contig_id, read_id, q. Intervals are exact at the end marker, at block ends
-    and where the contig holds symbols outside ACGT. A read that holds such a symbol
-    itself has 0 occurrences in a contig of ACGT; in others the index cannot tell: null.
-    Each step is two equi-joins on (contig, block, pair) and is written out, so the
-    plan stays short; reads whose interval is empty drop out of the joins.
+    reads: contig_id, read_id, q. Reads of ACGT go two symbols a step from the end, over
+    the pairs' ranks; reads that hold other symbols one symbol a step, over the ranks of
+    single symbols, which the index has for contigs that hold others too. Intervals
+    are exact at the end marker and at block ends. Null and empty reads give null, reads
+    that name no contig 0.
     """
-    symbol = lambda at: F.substring("q", at, F.lit(1))
-    pair = lambda at: pair_code(symbol(at), symbol(at + 1))
-    known = reads.where((F.length("q") > 0) & is_coded(F.col("q")))
-    begin = known.withColumn("left", F.length("q") - F.when(F.length("q") % 2 == 0, 2).otherwise(1))
+    known = reads.where(F.length("q") > 0)
+    pure = is_coded(F.col("q"))
+    found = _by_pairs(index, known.where(pure), d).unionByName(_by_symbols(index, known.where(~pure)))
+    return reads.join(found, ["contig_id", "read_id"], "left").select("contig_id", "read_id", F.when(F.length("q") > 0, F.coalesce("n", F.lit(0))).alias("n"))
+
+
+def _symbol(at) -> Column:
+    return F.substring("q", at, F.lit(1))
+
+
+def _steps(state: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """contig_id, read_id, n of intervals (contig_id, read_id, q, left, lo, hi) after ``step`` was taken until no symbols are left; each step is written out, so the plan stays short. Reads whose interval is empty drop out of the joins."""
+    ends = []
+    state = materialize(state, "search")
+    while True:
+        ends.append(state.where("left = 0 and lo < hi"))
+        going = state.where("left > 0 and lo < hi")
+        if going.isEmpty():
+            break
+        if len(ends) == FOLD:  # one table stands for what many steps have ended
+            ends = [materialize(reduce(DataFrame.unionByName, ends), "search-ends")]
+        state = materialize(step(going).select("contig_id", "read_id", "q", "left", "lo", "hi"), "search")
+    return reduce(DataFrame.unionByName, ends).select("contig_id", "read_id", (F.col("hi") - F.col("lo")).alias("n"))
+
+
+def _by_pairs(index: Index, reads: DataFrame, d: int) -> DataFrame:
+    """Two symbols a step: each is two equi-joins on (contig, block, pair)."""
+    pair = lambda at: pair_code(_symbol(at), _symbol(at + 1))
+    begin = reads.withColumn("left", F.length("q") - F.when(F.length("q") % 2 == 0, 2).otherwise(1))
     pairs = index.c_table.where("sym2 < 16").select("contig_id", "sym2", "c_before", "n")
     even = begin.where(F.length("q") % 2 == 0).withColumn("sym2", pair(F.length("q") - 1)).join(pairs, ["contig_id", "sym2"]).select("contig_id", "read_id", "q", "left", F.col("c_before").alias("lo"), (F.col("c_before") + F.col("n")).alias("hi"))
-    odd = begin.where(F.length("q") % 2 == 1).withColumn("x", symbol_code(symbol(F.length("q")))).join(index.firsts, ["contig_id", "x"]).select("contig_id", "read_id", "q", "left", "lo", "hi")
-    state = materialize(even.unionByName(odd), "search")
-    done = state.where("left = 0 or lo >= hi")
-    going = state.where("left > 0 and lo < hi")
-    while not going.isEmpty():
-        step = going.withColumn("sym2", pair(F.col("left") - 1)).join(pairs.select("contig_id", "sym2", "c_before"), ["contig_id", "sym2"])
+    odd = begin.where(F.length("q") % 2 == 1).withColumn("x", symbol_code(_symbol(F.length("q")))).join(index.firsts, ["contig_id", "x"]).select("contig_id", "read_id", "q", "left", "lo", "hi")
+    blocks = index.occ.select("contig_id", "sym2", F.col("blk").alias("b"), "before", "bitmap")
+
+    def step(going: DataFrame) -> DataFrame:
+        out = going.withColumn("sym2", pair(F.col("left") - 1)).join(pairs.select("contig_id", "sym2", "c_before"), ["contig_id", "sym2"])
         for side in ("lo", "hi"):
-            blocks = index.occ.select("contig_id", "sym2", F.col("blk").alias("b"), "before", "bitmap")
-            step = step.withColumn("b", F.floor(F.col(side) / d)).join(blocks, ["contig_id", "sym2", "b"]).withColumn(side, F.col("c_before") + rank_of(F.col("before"), F.col("bitmap"), F.col(side), d)).drop("b", "before", "bitmap")
-        state = materialize(step.select("contig_id", "read_id", "q", (F.col("left") - 2).alias("left"), "lo", "hi"), "search")
-        done = done.unionByName(state.where("left = 0 or lo >= hi"))
-        going = state.where("left > 0 and lo < hi")
-    found = done.select("contig_id", "read_id", (F.greatest(F.col("hi") - F.col("lo"), F.lit(0))).alias("n"))
-    every = reads.join(index.meta.select("contig_id", "others"), "contig_id", "left")
-    answer = F.when(is_coded(F.col("q")) | ~F.coalesce("others", F.lit(False)), F.coalesce("n", F.lit(0)))
-    return every.join(found, ["contig_id", "read_id"], "left").select("contig_id", "read_id", F.when(F.length("q") > 0, answer).alias("n"))
+            out = out.withColumn("b", F.floor(F.col(side) / d)).join(blocks, ["contig_id", "sym2", "b"]).withColumn(side, F.col("c_before") + rank_of(F.col("before"), F.col("bitmap"), F.col(side), d)).drop("b", "before", "bitmap")
+        return out.withColumn("left", F.col("left") - 2)
+
+    return _steps(even.unionByName(odd), step)
+
+
+def _by_symbols(index: Index, reads: DataFrame) -> DataFrame:
+    """One symbol a step: each is two equi-joins on (contig, symbol, range of rows)."""
+    firsts = index.symbols.select("contig_id", "symbol", F.col("lo").alias("first"), F.col("hi").alias("end"))
+    ranges = index.places.select("contig_id", "symbol", F.col("rng").alias("b"), "before", "offsets")
+    begin = reads.withColumn("symbol", _symbol(F.length("q"))).join(firsts, ["contig_id", "symbol"]).select("contig_id", "read_id", "q", (F.length("q") - 1).alias("left"), F.col("first").alias("lo"), F.col("end").alias("hi"))
+
+    def step(going: DataFrame) -> DataFrame:
+        out = going.withColumn("symbol", _symbol(F.col("left"))).join(firsts, ["contig_id", "symbol"])
+        for side in ("lo", "hi"):
+            inside = F.size(F.filter("offsets", lambda x: x < F.col(side) % RANGE))  # noqa: B023  built at once
+            out = out.withColumn("b", F.floor(F.col(side) / RANGE)).join(ranges, ["contig_id", "symbol", "b"]).withColumn(side, F.col("first") + F.col("before") + inside).drop("b", "before", "offsets")
+        return out.withColumn("left", F.col("left") - 1)
+
+    return _steps(begin, step)

@@ -12,6 +12,7 @@ from motifmill.functions import encode as en
 from motifmill.operators import index as ix
 from motifmill.operators import metrics, search, suffix
 from motifmill.operators.cutting import pieces
+from motifmill.operators.rank_search import RankBins
 from motifmill.operators.rank_search import rank_counts as count_by_ranks
 from motifmill.plans.storage import materialize, scratch
 from motifmill.sources.sequences import genome, genome_with_unknowns, read_fasta, reads_of, write_fasta
@@ -164,7 +165,7 @@ def compression_ratio(spark, sf_dir):
 
 @query(with_base(_SA, "SELECT contig_id, i, pos FROM sa"))
 def suffix_array(spark, sf_dir):
-    return suffix.suffix_array(genome(spark, sf_dir))
+    return ix.suffixes_of(genome(spark, sf_dir), sf_dir).select("contig_id", "i", "pos")
 
 
 def _index(spark, sf_dir) -> ix.Index:
@@ -366,14 +367,47 @@ def _unknown(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return texts, reads.select("contig_id", (F.col("contig_id") * 2 + F.col("w")).alias("read_id"), "q")
 
 
-@query("WITH " + _UNKNOWN + """ SELECT a.contig_id, a.read_id, CASE WHEN a.q = '' OR contains(a.q, 'N') THEN NULL ELSE (SELECT count(*) FROM range(1, length(u.seq) + 1) t(p) WHERE substr(u.seq, p, length(a.q)) = a.q) END AS n
+@query("WITH " + _UNKNOWN + """ SELECT a.contig_id, a.read_id, CASE WHEN a.q = '' THEN NULL ELSE (SELECT count(*) FROM range(1, length(u.seq) + 1) t(p) WHERE substr(u.seq, p, length(a.q)) = a.q) END AS n
 FROM asked a JOIN unknown u USING (contig_id)""")
 def backward_search_unknown(spark, sf_dir):
-    """Backward search in contigs that hold unknown symbols; reads that hold one are not the index's to answer: null."""
+    """Backward search in contigs that hold unknown symbols, reads that hold one among them."""
     texts, reads = _unknown(spark, sf_dir)
     return search.backward_search(ix.Index.build(materialize(texts, "unknown")), materialize(reads, "asked"))
 
 
+#: Contigs as they stand, small and capital letters apart, and two reads of each.
+_MIXED = """mixed AS (SELECT doc_id AS contig_id, regexp_replace(coalesce(text, ''), '[^ACGTNacgtn]', '', 'g') AS seq FROM documents),
+asked AS (SELECT contig_id, contig_id * 2 + w AS read_id, substr(seq, 1 + (contig_id * (CASE w WHEN 0 THEN 31 ELSE 17 END)) % greatest(length(seq), 1), 1 + (contig_id + w) % 11) AS q
+  FROM mixed CROSS JOIN (VALUES (0), (1)) v(w) WHERE seq <> '')"""
+
+
+def _mixed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = docs.select(F.col("doc_id").alias("contig_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTNacgtn]", "").alias("seq"))
+    begin = (1 + F.col("contig_id") * F.when(F.col("w") == 0, 31).otherwise(17) % F.greatest(F.length("seq"), F.lit(1))).cast("int")
+    reads = texts.where("seq <> ''").withColumn("w", F.explode(F.array(F.lit(0), F.lit(1))))
+    return texts, reads.select("contig_id", (F.col("contig_id") * 2 + F.col("w")).alias("read_id"), F.substring("seq", begin, (1 + (F.col("contig_id") + F.col("w")) % 11).cast("int")).alias("q"))
+
+
+@query("WITH " + _MIXED + """ SELECT a.contig_id, a.read_id, (SELECT count(*) FROM range(1, length(u.seq) + 1) t(p) WHERE substr(u.seq, p, length(a.q)) = a.q) AS n
+FROM asked a JOIN mixed u USING (contig_id)""")
+def backward_search_mixed(spark, sf_dir):
+    """Backward search for reads of small and capital letters and N, each in its own contig."""
+    texts, reads = _mixed(spark, sf_dir)
+    return search.backward_search(ix.Index.build(materialize(texts, "mixed")), materialize(reads, "mixed-asked"))
+
+
+@query("WITH " + _MIXED + """, w AS (SELECT seq, unnest(range(1, length(seq) + 1)) AS p FROM mixed), kinds AS (SELECT DISTINCT q, length(q) AS k FROM asked),
+counts AS (SELECT r.q, count(*) AS n FROM (SELECT k, substr(seq, p, k) AS s FROM w CROSS JOIN (SELECT DISTINCT k FROM kinds)) x JOIN kinds r ON r.k = x.k AND r.q = x.s GROUP BY r.q)
+SELECT read_id, q, coalesce(n, 0) AS n FROM asked LEFT JOIN counts USING (q)""")
+def rank_counts_saved(spark, sf_dir):
+    """Reads of any letters in all contigs, by rank searches over bins that were written and loaded again."""
+    texts, reads = _mixed(spark, sf_dir)
+    path = scratch(spark, "bins")
+    RankBins.build(texts, 32).save(path)
+    return RankBins.load(spark, path).count(materialize(reads.select("read_id", "q"), "mixed-reads"))
+
+
 @query("WITH " + _UNKNOWN + """, pos AS (SELECT contig_id, seq || '$' AS t, unnest(range(0, length(seq) + 1)) AS pos FROM unknown),
 begins AS (SELECT contig_id, substr(t, pos + 1, 2) AS b FROM pos), codes AS (SELECT s AS sym2, substr('ACGT', (s // 4 + 1)::BIGINT, 1) || substr('ACGT', (s % 4 + 1)::BIGINT, 1) AS pair FROM range(0, 16) t(s))
 SELECT u.contig_id, c.sym2::INTEGER AS sym2, count(*) FILTER (WHERE b = pair) AS n, count(*) FILTER (WHERE b < pair) AS c_before FROM unknown u CROSS JOIN codes c JOIN begins g ON g.contig_id = u.contig_id GROUP BY ALL
@@ -428,6 +462,17 @@ def passage_count(spark, sf_dir):
     return search.count_matches(docs, items, id_col="doc_id", text_col="text").select(F.col("read_id").alias("item_id"), "n")
 
 
+@query("""WITH items AS (SELECT item_id, substr(text, 1, 8 + (item_id * 37 % 393)::INTEGER) AS q FROM benchmark WHERE text <> '')
+SELECT item_id, length(q)::INTEGER AS len, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT b.item_id, b.q,
+  CASE WHEN contains(d.text, b.q) THEN len(list_filter(range(1, length(d.text) - length(b.q) + 2), lambda p: substr(d.text, p, length(b.q)) = b.q)) ELSE 0 END AS n
+  FROM items b CROSS JOIN documents d) GROUP BY item_id, q""")
+def mixed_passages(spark, sf_dir):
+    """Passages of 8 to 400 symbols in the raw texts, counted together: each falls into the tier of its length."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text <> ''").select(F.col("item_id").alias("read_id"), F.substring("text", F.lit(1), (8 + F.col("item_id") * 37 % 393).cast("int")).alias("q"))
+    return search.count_matches(docs, items, id_col="doc_id", text_col="text").select(F.col("read_id").alias("item_id"), F.length("q").alias("len"), "n")
+
+
 def _kmers(texts: DataFrame, k: int) -> DataFrame:
     return suffix.positions(texts, k).where(~F.col("head").contains("$") & (F.length("head") == k)).select("contig_id", F.col("head").alias("kmer"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.operators import search
+from motifmill.operators.rank_search import RankBins
 from motifmill.plans.storage import materialize, temporary
 
 
@@ -22,22 +23,27 @@ def screen(reads: DataFrame, seeds: DataFrame, k: int = 12) -> DataFrame:
     return reads.withColumn("seed", F.substring("q", 1, k)).join(seeds, "seed", "left").select("read_id", "q", F.coalesce("n", F.lit(0)).alias("seeds_found"))
 
 
-def count_stream(reads: DataFrame, texts: DataFrame, path: str, checkpoint: str, longest: int = 256):
+def count_stream(reads: DataFrame, texts: DataFrame | RankBins, path: str, checkpoint: str, longest: int = search.SAMPLED - 1):
     """Start a query that counts every micro-batch exactly and appends (read_id, q, n, batch) as Parquet.
 
-    The reference is cut once, for reads of up to ``longest`` symbols, and again only if a
-    longer one comes; what a batch writes on its way goes when the batch is written.
+    texts: the reference, or bins that were built (or loaded) for it, which every batch
+    searches as they are. A reference is cut once, for reads of up to ``longest``
+    symbols, and once more if others come that are below search.SAMPLED symbols; longer ones
+    need no cut. What a batch writes on its way goes when the batch is written.
     Batches are independent: no state is kept, and a batch that is run again
     overwrites its own folder.
     """
-    held = search.Texts(texts)
-    held.chunks(longest)
+    held = texts if isinstance(texts, RankBins) else search.Texts(texts)
+    if isinstance(held, search.Texts):
+        held.chunks(min(longest, search.SAMPLED - 1))
 
     def one(batch: DataFrame, number: int) -> None:
-        most = batch.agg(F.max(F.length("q"))).first()[0] or 0
-        if most > held.longest:
-            held.chunks(2 * most)
+        if isinstance(held, search.Texts):
+            most = batch.where(F.length("q") < search.SAMPLED).agg(F.max(F.length("q"))).first()[0] or 0
+            if most > held.longest:
+                held.chunks(search.SAMPLED - 1)
         with temporary():
-            search.count_matches(held, batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            counts = held.count(batch) if isinstance(held, RankBins) else search.count_matches(held, batch)
+            counts.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return reads.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()

@@ -3,6 +3,7 @@
 import pytest
 
 from motifmill import cli
+from motifmill.operators.rank_search import RankBins
 from motifmill.plans import storage
 from motifmill.streaming import reads as rs
 
@@ -35,6 +36,30 @@ def test_cli(spark, tmp_path, capsys):
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "counts")).collect()) == [0, 1, 2]
 
 
+def test_cli_counts_in_what_it_built(spark, tmp_path, capsys):
+    (tmp_path / "ref.txt").write_text("GATTACAGATTNCA\n")
+    (tmp_path / "reads.fa").write_text(">a\nATTA\n>b\nTNC\n>c\nGAT\n")
+    assert cli.main(["build", str(tmp_path / "ref.txt"), str(tmp_path / "index"), "--longest", "20"]) == 0
+    (tmp_path / "ref.txt").unlink()
+    assert cli.main(["count", str(tmp_path / "reads.fa"), "--index", str(tmp_path / "index"), "--runs", "2", "--out", str(tmp_path / "counts")]) == 0
+    assert "occurrences 4;" in capsys.readouterr().out
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "counts")).collect()) == [1, 1, 2]
+    with pytest.raises(SystemExit):
+        cli.main(["count", str(tmp_path / "reads.fa")])
+
+
+def test_stream_over_bins(spark, tmp_path):
+    texts = spark.createDataFrame([(0, "GATTACAGATTACAGATTACA")], "contig_id long, seq string")
+    bins = RankBins.build(texts, 20)
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(1, "GATTACA"), (2, "TTTT"), (3, None)], "read_id long, q string").coalesce(1).write.parquet(str(tmp_path / "in/a"))
+    stream = spark.readStream.schema("read_id long, q string").parquet(str(tmp_path / "in/*"))
+    query = rs.count_stream(stream, bins, str(tmp_path / "out"), str(tmp_path / "check"))
+    query.processAllAvailable()
+    query.stop()
+    assert {r.read_id: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: 3, 2: 0, 3: None}
+
+
 def test_cli_checks(tmp_path, spark):
     with pytest.raises(SystemExit):
         cli.main(["count", str(tmp_path / "no.txt"), str(tmp_path / "no.fa")])
