@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.functions.encode import is_coded, pair_code, symbol_code
-from motifmill.operators.cutting import pieces
+from motifmill.operators.cutting import most_bytes, pieces
 from motifmill.operators.index import RANGE, D, Index, rank_of
 from motifmill.plans.storage import discard, materialize, small_side
 
@@ -57,7 +57,12 @@ class Texts:
 
     def __init__(self, texts: DataFrame, id_col: str = "contig_id", text_col: str = "seq"):
         self.texts, self.id_col, self.text_col = texts, id_col, text_col
-        self.longest, self._held = 0, None
+        self.longest, self._held, self._most = 0, None, None
+
+    def most_bytes(self) -> int:
+        if self._most is None:
+            self._most = most_bytes(self.texts, self.text_col)
+        return self._most
 
     def chunks(self, longest: int) -> tuple[DataFrame, int]:
         """(chunks, the number of symbols that each holds behind its last place and that place): a wider cut serves shorter patterns."""
@@ -65,7 +70,7 @@ class Texts:
             if self._held is not None:
                 discard(self._held)
             self.longest = longest
-            self._held = materialize(chunks(self.texts, longest, self.id_col, self.text_col), "chunks")
+            self._held = materialize(pieces(self.texts, self.id_col, self.text_col, chunk_size(longest), longest - 1, self.most_bytes()), "chunks")
         return self._held, self.longest
 
 
@@ -74,24 +79,28 @@ def _tier(length: int) -> int:
     return (length // SAMPLED).bit_length()
 
 
-def _sampled(texts: Texts, patterns: DataFrame, shortest: int) -> DataFrame:
-    """id, pos, q of places where patterns of at least ``shortest`` symbols may occur, from every w-th place of the texts.
+def _sampled(held: Texts, patterns: DataFrame, tiers: dict[int, tuple[int, int]]) -> DataFrame:
+    """id, pos, q of places where patterns may occur, tier by tier (its shortest and longest pattern) from every w-th place of the texts.
 
     A pattern that occurs covers w = shortest - k + 1 places with k symbols behind each
     inside it, one of which is sampled. So the k-mers of a pattern's first w places
     are joined with the sampled ones: texts give a row for w places, patterns w rows each.
     """
     k = SAMPLED_SEED
-    w = shortest - k + 1
-    samples = pieces(texts.texts, texts.id_col, texts.text_col, w, k - 1).where(F.length("part") >= k).select("id", F.col("base").alias("s"), F.substring("part", 1, k).alias("seed"))
-    asked = patterns.select("q", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("o")).select("q", "o", F.substring("q", F.col("o") + 1, F.lit(k)).alias("seed"))
-    return samples.join(small_side(materialize(asked, "pattern-seeds")), "seed").select("id", "q", (F.col("s") - F.col("o")).alias("pos")).where("pos >= 0")
+    samples, asked = [], []
+    for tier, (least, most) in tiers.items():
+        w = least - k + 1
+        name = F.lit(tier).alias("tier")
+        samples.append(pieces(held.texts, held.id_col, held.text_col, w, k - 1, held.most_bytes()).where(F.length("part") >= k).select(name, "id", F.col("base").alias("s"), F.substring("part", 1, k).alias("seed")))
+        asked.append(patterns.where(F.length("q").between(least, most)).select(name, "q", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("o")).select("tier", "q", "o", F.substring("q", F.col("o") + 1, F.lit(k)).alias("seed")))
+    side = small_side(materialize(reduce(DataFrame.unionByName, asked), "pattern-seeds"))
+    return reduce(DataFrame.unionByName, samples).join(side, ["tier", "seed"]).select("id", "q", (F.col("s") - F.col("o")).alias("pos")).where("pos >= 0")
 
 
-def _whole(texts: Texts, placed: DataFrame, longest: int) -> DataFrame:
+def _whole(held: Texts, placed: DataFrame, longest: int) -> DataFrame:
     """Those of the places where the whole pattern stands. Texts are cut into long pieces, few of which are asked for."""
     placed = placed.withColumn("base", F.col("pos") - F.col("pos") % VERIFIED).withColumn("p", (F.col("pos") - F.col("base") + 1).cast("int"))
-    parts = pieces(texts.texts, texts.id_col, texts.text_col, VERIFIED, longest - 1)
+    parts = pieces(held.texts, held.id_col, held.text_col, VERIFIED, longest - 1, held.most_bytes())
     met = parts.join(small_side(materialize(placed, "places")), ["id", "base"])
     return met.where(F.substring("part", F.col("p"), F.length("q")) == F.col("q")).select("id", "pos", "q")
 
@@ -106,7 +115,7 @@ def _matches(held: Texts, patterns: DataFrame) -> DataFrame | None:
     in one pass. Patterns are broadcast if their counted rows and bytes allow it.
     """
     lengths = _lengths(patterns)
-    out, placed = [], []
+    out = []
     short, long = [n for n in lengths if n < SAMPLED], [n for n in lengths if n >= SAMPLED]
     if short:
         parts, reach = held.chunks(max(short))
@@ -120,11 +129,9 @@ def _matches(held: Texts, patterns: DataFrame) -> DataFrame | None:
         if max(tier) > k:
             hit = hit.where(F.substring("part", F.col("p"), F.length("q")) == F.col("q"))
         out.append(hit.select("id", (F.col("base") + F.col("p") - 1).alias("pos"), "q"))
-    for tier in sorted({_tier(n) for n in long}):
-        of = [n for n in long if _tier(n) == tier]
-        placed.append(_sampled(held, patterns.where(F.length("q").between(min(of), max(of))), min(of)))
-    if placed:
-        out.append(_whole(held, reduce(DataFrame.unionByName, placed), max(long)))
+    if long:
+        tiers = {t: (min(of), max(of)) for t in sorted({_tier(n) for n in long}) if (of := [n for n in long if _tier(n) == t])}
+        out.append(_whole(held, _sampled(held, patterns, tiers), max(long)))
     return reduce(DataFrame.unionByName, out) if out else None
 
 
