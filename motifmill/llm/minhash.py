@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from motifmill.llm import textscan as ts
@@ -12,29 +14,65 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each text's k-word shingles, ascending within a text, and their offsets.
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in small letters (A-Z), each run of white space one blank: equal bytes are equal words."""
+    return ts.squeezed(data, offsets, FOLD)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sketches: hashes of each text's k-word shingles, distinct and ascending within a text, their offsets, and how many different shingles a text has. data: as ``folded``.
 
-    Words are lower-cased (A-Z) and cut at ASCII white space. A text of fewer words has
-    its whole sequence as its only shingle; a text without words has none.
+    A text of fewer words has its whole sequence as its only shingle; a text without
+    words has none. The hashes are quick and can be made to collide, so shingles of
+    one text that share a hash are compared byte by byte before they are counted once.
     """
-    data = FOLD[data]
     starts, ends, first = ts.words(data, offsets)
     words = ts.span_hash(data, starts, ends)
     counts = np.diff(first)
     ok = ts.window_ok(first, k)
-    h = ts.window_hash(words, k)[ok]
+    h, place = ts.window_hash(words, k)[ok], np.flatnonzero(ok)
     doc = np.repeat(np.arange(len(counts)), counts)[: len(ok)][ok]
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
         whole = np.array([ts.window_hash(words[first[i] : first[i + 1]], int(counts[i]))[0] ^ U64(counts[i]) for i in short], U64)
-        h, doc = np.concatenate([h, whole]), np.concatenate([doc, short])
+        h, doc, place = np.concatenate([h, whole]), np.concatenate([doc, short]), np.concatenate([place, np.full(len(short), -1)])
+    order = np.lexsort((h, doc))
+    h, doc, place = h[order], doc[order], place[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.searchsorted(doc[new], np.arange(len(counts) + 1))
+    size = np.diff(at)
+    again = np.flatnonzero(~new)
+    if len(again):
+        raw = data.tobytes()
+        shingle = lambda i: raw[starts[place[i]] : ends[place[i] + k - 1]]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))[again]
+        more: dict[int, set[bytes]] = {}
+        for i, j in zip(again.tolist(), head.tolist(), strict=True):
+            if (x := shingle(i)) != shingle(j):
+                more.setdefault(j, set()).add(x)
+        for j, others in more.items():
+            size[doc[j]] += len(others)
+    return h[new], at, size
+
+
+def exact_sets(data: np.ndarray, offsets: np.ndarray, k: int, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's k-word shingles as BLAKE2b digests of their words under a secret key, distinct and ascending within a text, and their offsets. data: as ``folded``."""
+    starts, ends, first = ts.words(data, offsets)
+    counts = np.diff(first)
+    n = np.where(counts > 0, np.maximum(counts - k + 1, 1), 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    word = np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(len(doc))
+    begin, end = starts[word], ends[np.minimum(word + k, first[1:][doc]) - 1]
+    raw, h = data.tobytes(), np.empty(len(doc), U64)
+    for lo in range(0, len(doc), 1 << 16):
+        part = [hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(begin[lo : lo + (1 << 16)].tolist(), end[lo : lo + (1 << 16)].tolist(), strict=True)]
+        h[lo : lo + len(part)] = np.frombuffer(b"".join(part), U64)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
-    return h, np.searchsorted(doc, np.arange(len(counts) + 1))
+    return h[new], np.searchsorted(doc[new], np.arange(len(counts) + 1))
 
 
 _coefficients: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -1,15 +1,16 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. Sketch: one scan computes every document's set of word shingles, its size, a
-   128-bit hash of the set and its MinHash signature. Documents with equal sets are
-   one class; only the class's first document goes on.
+1. Sketch: one scan computes every document's number of different word shingles, the
+   MinHash signature of their hashes and a BLAKE2b digest of its words. Documents with equal
+   words are one class; only the class's first document goes on.
 2. Candidates: classes that share a band of the signature. In every bucket all are
    compared with one leader, the member that has most company in its other buckets:
    in a group of near copies that is the text that the others come from, and it
    resolves most of the group with one pair a member.
 3. Verification: signatures are compared in batches. After each batch a pair goes if
    the posterior probability that its similarity reaches the threshold is below
-   ``miss``. What is left is verified on the full sets.
+   ``miss``. What is left is verified on the full sets, whose shingles are BLAKE2b digests
+   of their words under a key of the run; the quick hashes of the sketches decide no link.
 4. What the leaders did not connect: in a bucket that holds several components, the
    members outside the largest one are compared with all members of other
    components, block against block, and verified alike, by the executor that holds
@@ -19,6 +20,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil, comb, log
@@ -99,28 +102,27 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
-    """uid, doc_id, n_shingles, h1, h2 (hash of the set), sig, keys (one bucket key a band); sig and keys are null without shingles. docs: uid, doc_id, text."""
+    """uid, doc_id, n_shingles, digest (of the words in their order), sig, keys (one bucket key a band); sig and keys are null without shingles. docs: uid, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, h1, h2, sigs, keys = [], [], [], [], []
+            size, digests, sigs, keys = [], [], [], []
             for lo, hi, data, offsets in ts.slices(batch.column(2)):
-                h, at = mh.shingle_sets(data, offsets, words)
-                again = ts.mix(h * U64(0x9FB21C651E98DF25))
-                size.append(np.diff(at))
-                total = [np.concatenate((np.zeros(1, U64), np.cumsum(x, dtype=U64))) for x in (h, again)]
-                for out, x in zip((h1, h2), total, strict=True):
-                    out.append((x[at[1:]] - x[at[:-1]]).view(np.int64))
-                some = np.flatnonzero(size[-1])
+                data, offsets = mh.folded(data, offsets)
+                h, at, n = mh.shingle_sets(data, offsets, words)
+                size.append(n)
+                raw = data.tobytes()
+                digests += [hashlib.blake2b(raw[offsets[i] : offsets[i + 1]].rstrip(b" "), digest_size=16).digest() for i in range(hi - lo)]
+                some = np.flatnonzero(n)
                 sig = np.stack([mh.signature(h[at[i] : at[i + 1]], rows * bands) for i in some]) if len(some) else np.zeros((0, rows * bands), np.uint32)
                 of, key = dict(zip(some.tolist(), range(len(some)), strict=True)), band_keys(sig, rows)
                 sigs += [sig[of[i]].tobytes() if i in of else None for i in range(hi - lo)]
                 keys += [key[of[i]] if i in of else None for i in range(hi - lo)]
-            size, h1, h2 = (pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (size, h1, h2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, h1, h2, pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "doc_id", "n_shingles", "h1", "h2", "sig", "keys"])
+            size = pa.array(np.concatenate(size) if size else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "doc_id", "n_shingles", "digest", "sig", "keys"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {ids}, n_shingles long, h1 long, h2 long, sig binary, keys array<long>")
+    return docs.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {ids}, n_shingles long, digest binary, sig binary, keys array<long>")
 
 
 def _prune(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float, width: int) -> DataFrame:
@@ -136,19 +138,19 @@ def _prune(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float, width:
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _shingles(docs: DataFrame, words: int) -> DataFrame:
-    """uid and the set as packed 64-bit hashes, of every row."""
+def _shingles(docs: DataFrame, words: int, key: bytes) -> DataFrame:
+    """uid and the set as packed digests, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in ts.slices(batch.column(1)):
-                h, at = mh.shingle_sets(data, offsets, words)
+                h, at = mh.exact_sets(*mh.folded(data, offsets), words, key)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["uid", "shingles"])
 
     return docs.select("uid", "text").mapInArrow(run, "uid long, shingles binary")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int, key: bytes) -> DataFrame:
     """Links: the pairs (a, b) whose full sets reach the threshold. Sets are built again for the documents in pairs only."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Data
 
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "pair-ends")
     texts = docs.select("uid", "text").join(small_side(needed), "uid", "left_semi")
-    held = materialize(_shingles(texts, words), "pair-sets")
+    held = materialize(_shingles(texts, words, key), "pair-sets")
     joined = pairs.join(held.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
     links = materialize(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "pair-links")
     discard(held)
@@ -226,7 +228,7 @@ def _rest_of_block(percent: int, miss: float, width: int, rows: int):
     return run
 
 
-def _rest(members: DataFrame, reps: DataFrame, docs: DataFrame, comps: DataFrame, percent: int, words: int, miss: float, width: int, rows: int) -> DataFrame:
+def _rest(members: DataFrame, reps: DataFrame, docs: DataFrame, comps: DataFrame, percent: int, words: int, key: bytes, miss: float, width: int, rows: int) -> DataFrame:
     """Links that join components, among the pairs of one bucket that lie in different components and have not been compared with its leader.
 
     The members outside a bucket's largest component ask; all are asked whose sets
@@ -247,7 +249,7 @@ def _rest(members: DataFrame, reps: DataFrame, docs: DataFrame, comps: DataFrame
     asked = met.groupBy("key").agg(blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("asked"))
     met = met.join(asked, "key")
     texts = docs.select("uid", "text").join(small_side(materialize(met.select("uid").distinct(), "open-uids")), "uid", "left_semi")
-    sets = materialize(_shingles(texts, words).join(reps.select("uid", "sig"), "uid"), "open-sets")
+    sets = materialize(_shingles(texts, words, key).join(reps.select("uid", "sig"), "uid"), "open-sets")
     deal = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     both = met.where("comp <> large").withColumn("i", deal("asking")).withColumn("j", every("asked")).withColumn("asks", F.lit(True))
@@ -261,11 +263,11 @@ def _rest(members: DataFrame, reps: DataFrame, docs: DataFrame, comps: DataFrame
 def near_groups(docs: DataFrame, *, percent: int, words: int = 5, miss: float = MISS) -> DataFrame:
     """uid, doc_id, n_shingles, comp (the smallest uid of the group). docs: uid, doc_id, text."""
     rows, bands = banding(percent)
+    key = os.urandom(16)  # of this run: no text can be made to fit it
     sketch = materialize(sketches(docs, words, rows, bands), "sketches")
     sized = sketch.where("n_shingles > 0")
-    whole = ["n_shingles", "h1", "h2"]
-    copies = materialize(sized.groupBy(*whole).agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
-    classed = materialize(sized.select("uid", *whole).join(small_side(copies), whole, "left").select("uid", F.coalesce("rep", "uid").alias("rep")), "classes")
+    copies = materialize(sized.groupBy("digest").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
+    classed = materialize(sized.select("uid", "digest").join(small_side(copies), "digest", "left").select("uid", F.coalesce("rep", "uid").alias("rep")), "classes")
     discard(copies)
     reps = sized.join(materialize(classed.where("uid = rep").select("uid"), "class-heads"), "uid", "left_semi")
     entries = reps.select("uid", F.posexplode("keys").alias("band", "key"))
@@ -279,10 +281,10 @@ def near_groups(docs: DataFrame, *, percent: int, words: int = 5, miss: float =
     sigs = reps.select("uid", "sig")
     pairs = led.where("uid <> lead").select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
     pairs = materialize(_prune(pairs, sigs, percent, miss, rows * bands), "led-pairs")
-    links = _verify(pairs, docs, percent, words)
+    links = _verify(pairs, docs, percent, words, key)
     discard(pairs)
     first = materialize(components(links), "led-components")
-    more = _rest(led, reps, docs, first, percent, words, miss, rows * bands, rows)
+    more = _rest(led, reps, docs, first, percent, words, key, miss, rows * bands, rows)
     discard(led)
     if not more.isEmpty():
         first = materialize(components(links.unionByName(more)), "all-components")

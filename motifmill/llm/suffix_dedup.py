@@ -22,6 +22,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,15 +105,22 @@ def cores(first: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarra
     return np.where(late, anchor - cut, anchor), np.where(late, anchor + gram, anchor - cut + 1 + length)
 
 
-def _described(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(class, hash, first window, bytes, place of the anchor) of the segments in a slice."""
+def _described(data: np.ndarray, offsets: np.ndarray, length: int, key: bytes) -> tuple[np.ndarray, ...]:
+    """(class, digest, first window, bytes, place of the anchor) of the segments in a slice.
+
+    Segments of a class with equal digests and sizes count as equal, so digests are
+    BLAKE2b under a secret key of the run: no text can be made to fit them. Classes are
+    quick hashes: those that meet by mischance or malice are told apart in the build, by their bytes.
+    """
     first, last, anchor = segments(data, offsets, length)
     if not len(first):
         return np.zeros(0, U64), np.zeros(0, U64), first, first, first
-    return ts.span_hash(data, *cores(first, anchor, length)), ts.span_hash(data, first, last + length, 1), first, last - first + length, anchor - first
+    raw = data.tobytes()
+    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(first.tolist(), (last + length).tolist(), strict=True))
+    return ts.span_hash(data, *cores(first, anchor, length)), np.frombuffer(digests, U64), first, last - first + length, anchor - first
 
 
-def _describe(parts: int, length: int):
+def _describe(parts: int, length: int, key: bytes):
     """Arrow function: uid, text, part, a part's rows in one task -> its different segments by bucket of their class; many: there once or more often."""
     shift, full = U64(64 - (parts.bit_length() - 1)), co.flush_at(parts, FLUSH, 64, 8 * FLUSH)
 
@@ -131,7 +139,7 @@ def _describe(parts: int, length: int):
         for batch in batches:
             uids, part = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for lo, hi, data, offsets in ts.slices(batch.column(1)):
-                h, g, first, n, a = _described(data, offsets, length)
+                h, g, first, n, a = _described(data, offsets, length, key)
                 if not len(first):
                     continue
                 doc = np.searchsorted(offsets, first, "right") - 1
@@ -243,7 +251,7 @@ def _build(parts: int, length: int, folder: str):
     return run
 
 
-def _covered(texts: pa.Table, ranges: pa.Table, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _covered(texts: pa.Table, ranges: pa.Table, length: int, key: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of a part's texts and which of their bytes are covered: by given ranges, and by segments that are there twice."""
     x = co.unpack(co.payloads(ranges, 0), _RANGE)
     uids = texts.column("uid").to_numpy()
@@ -261,7 +269,7 @@ def _covered(texts: pa.Table, ranges: pa.Table, length: int) -> Iterator[tuple[i
         at = np.repeat(low[lo:hi], count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         begin, size = offsets[doc] + x["start"][at], x["n"][at]
         if len(keys):
-            h, g, first, n, _ = _described(data, offsets, length)
+            h, g, first, n, _ = _described(data, offsets, length, key)
             k = np.minimum(np.searchsorted(keys, key_of(h, g, n)), len(keys) - 1)
             hit = (twice["h"][k] == h) & (twice["g"][k] == g) & (twice["n"][k] == n)
             begin, size = np.concatenate([begin, first[hit]]), np.concatenate([size, n[hit]])
@@ -279,10 +287,10 @@ def _run_starts(gone: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(gone & ~before)
 
 
-def _digest(length: int):
+def _digest(length: int, key: bytes):
     def run(texts: pa.Table, ranges: pa.Table) -> pa.Table:
         size, removed, spans, kept = [], [], [], []
-        for lo, hi, data, offsets, gone in _covered(texts, ranges, length):
+        for lo, hi, data, offsets, gone in _covered(texts, ranges, length, key):
             size.append(np.diff(offsets))
             stay = np.concatenate(([0], np.cumsum(~gone)))[offsets]
             removed.append(size[-1] - np.diff(stay))
@@ -296,10 +304,10 @@ def _digest(length: int):
     return run
 
 
-def _spans(length: int):
+def _spans(length: int, key: bytes):
     def run(texts: pa.Table, ranges: pa.Table) -> pa.Table:
         rows, start, size = [], [], []
-        for lo, _, _, offsets, gone in _covered(texts, ranges, length):
+        for lo, _, _, offsets, gone in _covered(texts, ranges, length, key):
             begins = _run_starts(gone, offsets)
             doc = np.searchsorted(offsets, begins, "right") - 1
             stops = np.append(np.flatnonzero(~gone), len(gone))
@@ -313,14 +321,14 @@ def _spans(length: int):
     return run
 
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, key: bytes) -> tuple[DataFrame, DataFrame]:
     """Texts in parts, and blocks by part with the byte ranges of repeats (kind 0) and the segments that are there twice (kind 2)."""
     if not 2 <= length <= 510:
         raise ValueError("length must be from 2 to 510 bytes")
     held, _ = co.keyed(docs, id_col, text_col)
     parts = co.part_count(docs)
     held = co.in_parts(held, parts)
-    described = held.select("uid", "text", "part").repartition("part").mapInArrow(_describe(parts, length), co.BLOCKS)
+    described = held.select("uid", "text", "part").repartition("part").mapInArrow(_describe(parts, length, key), co.BLOCKS)
     classes = materialize(co.group_in_arrow(described, _classes(parts), co.BLOCKS), "segment-classes").withColumnRenamed("at", "part")
     fetched = held.select("uid", "text", "part").groupBy("part").cogroup(classes.where("kind = 1").groupBy("part")).applyInArrow(_fetch(parts), co.BLOCKS)
     folder = f"{shared_dir(docs.sparkSession)}/motifmill/columns"
@@ -340,16 +348,18 @@ def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ``corpus.keyed`` has it. An empty table gives no rows; other columns, whatever
     their names, are not read.
     """
-    held, ranges = _repeats(docs, id_col, text_col, length)
+    key = os.urandom(16)
+    held, ranges = _repeats(docs, id_col, text_col, length, key)
     ids = docs.schema[id_col].dataType.simpleString()
-    return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_digest(length), f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_digest(length, key), f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeat_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """doc_id, start, length: the maximal byte ranges that ``dedup_suffixes`` removes, offsets from 0."""
-    held, ranges = _repeats(docs, id_col, text_col, length)
+    key = os.urandom(16)
+    held, ranges = _repeats(docs, id_col, text_col, length, key)
     ids = docs.schema[id_col].dataType.simpleString()
-    return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_spans(length), f"doc_id {ids}, start long, length long")
+    return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_spans(length, key), f"doc_id {ids}, start long, length long")
 
 
 #: What dedup_suffixes gives for strings of 200 bytes, over the texts' bytes in hexadecimal.

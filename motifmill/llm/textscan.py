@@ -94,7 +94,8 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int
     """64-bit hash of data[start:end], in time linear in the spans' bytes.
 
     Eight bytes a step are multiplied and folded into the state, which mixes it
-    between steps: no sum or polynomial that texts made of two words can balance.
+    between steps, so that ordinary texts do not meet. Each step can be undone, so texts
+    can be made to collide: for sketches and for finding candidates, not for equality.
     """
     size = np.asarray(ends, np.int64) - starts
     h = mix(size.astype(U64) * _LANE[salt] + _SALT[salt])
