@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": suffix_dedup.SUFFIX_SQL, "op7_near_dedup": near_dedup.NEAR_SQL, "op8_substring_dedup": substring_dedup.SUBSTRING_SQL, "op9_mixing": mixing.MIX_SQL, "op10_url_filter": url_filter.URL_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL, "op12_conversation_trie": prefix_trie.TRIE_SQL}
+    return {"op2_suffix_dedup": suffix_dedup.SUFFIX_SQL, "op7_near_dedup": near_dedup.NEAR_SQL, "op8_substring_dedup": substring_dedup.SUBSTRING_SQL, "op9_mixing": mixing.MIX_SQL, "op10_url_filter": url_filter.URL_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL, "op12_conversation_trie": prefix_trie.TRIE_SQL, "op13_simhash_dedup": simhash.SIMHASH_SQL}

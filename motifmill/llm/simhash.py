@@ -310,3 +310,50 @@ def dedup_simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return out.select("doc_id", digits, F.col("head").cast(prints.schema["doc_id"].dataType).alias("component_id"))
     names = prints.select(F.col("uid").alias("head"), F.col("doc_id").alias("component_id"))
     return out.join(names, "head").select("doc_id", digits, "component_id")
+
+
+def _simhash_sql() -> str:
+    """XXH64 in 128-bit arithmetic modulo 2**64, over the shingles' bytes in hexadecimal."""
+    p1, p2, p3, p4, p5 = (int(p) for p in (_P1, _P2, _P3, _P4, _P5))
+    seed, whole = 42, 1 << 64
+    big = lambda x: f"{x}::UHUGEINT"
+    mod = lambda x: f"(({x}) % {big(whole)})"
+    mul = lambda x, p: mod(f"({x}) * {big(p)}")
+    turn = lambda x, r: f"({mod(f'({x}) * {big(1 << r)}')} + ({x}) // {big(1 << 64 - r)})"
+    step = lambda acc, lane: mul(turn(mod(f"{acc} + {mul(lane, p2)}"), 31), p1)
+    read = lambda first, n: f"('0x' || {' || '.join(f'substr(x, 2 * ({first}) + {2 * k + 1}, 2)' for k in reversed(range(n)))})::UBIGINT::UHUGEINT"
+    starts = [(seed + p1 + p2) % whole, (seed + p2) % whole, seed, (seed - p1) % whole]
+    accumulators = ", ".join(f"list_reduce(list_transform(range(0, n // 32), lambda t: lanes[4 * t + {k + 1}]), lambda a, b: {step('a', 'b')}, {big(v)}) AS v{k}" for k, v in enumerate(starts))
+    merged = mod(" + ".join(turn(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))))
+    for k in range(4):
+        merged = mod(f"{mul(f'xor({merged}, {step(big(0), f"v{k}")})', p1)} + {big(p4)}")
+    eight = mod(f"{mul(turn(f'xor(a, {step(big(0), "b")})', 27), p1)} + {big(p4)}")
+    four = mod(f"{mul(turn(f'xor(h, {mul(read('n // 8 * 8', 4), p1)})', 23), p2)} + {big(p3)}")
+    one = mul(turn(f"xor(a, {mul('b', p5)})", 11), p1)
+    counts = ", ".join(f"sum((h >> {p}) & 1) AS b{p}" for p in range(BITS))
+    bits = " + ".join(f"CASE WHEN 2 * b{p} > n THEN {1 << p}::UBIGINT ELSE 0::UBIGINT END" for p in range(BITS))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda s: array_to_string(ws[s:s + 3], ' ')) END) AS s FROM w),
+x AS MATERIALIZED (SELECT s, hex(encode(s)) AS x, octet_length(encode(s))::BIGINT AS n FROM (SELECT DISTINCT s FROM sh)),
+l AS MATERIALIZED (SELECT s, x, n, list_transform(range(0, n // 8), lambda i: {read('8 * i', 8)}) AS lanes FROM x),
+v AS MATERIALIZED (SELECT s, x, n, lanes, {accumulators} FROM l),
+m AS MATERIALIZED (SELECT s, x, n, lanes, {mod(f"CASE WHEN n >= 32 THEN {merged} ELSE {big((seed + p5) % whole)} END + n::UHUGEINT")} AS h FROM v),
+e AS MATERIALIZED (SELECT s, x, n, list_reduce(lanes[4 * (n // 32) + 1:], lambda a, b: {eight}, h) AS h FROM m),
+f AS MATERIALIZED (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM e),
+o AS MATERIALIZED (SELECT s, list_reduce(list_transform(range(n - n % 4, n), lambda i: {read('i', 1)}), lambda a, b: {one}, h) AS h FROM f),
+y AS MATERIALIZED (SELECT s, {mul(f'xor(h, h // {big(1 << 33)})', p2)} AS h FROM o),
+z AS MATERIALIZED (SELECT s, {mul(f'xor(h, h // {big(1 << 29)})', p3)} AS h FROM y),
+hashes AS MATERIALIZED (SELECT s, xor(h, h // {big(1 << 32)})::UBIGINT AS h FROM z),
+sums AS (SELECT doc_id, count(*) AS n, {counts} FROM sh JOIN hashes USING (s) GROUP BY doc_id),
+prints AS MATERIALIZED (SELECT d.doc_id, coalesce(p.fp, 0::UBIGINT) AS fp FROM documents d LEFT JOIN (SELECT doc_id, {bits} AS fp FROM sums) p USING (doc_id)),
+kinds AS MATERIALIZED (SELECT fp, min(doc_id) AS first FROM prints GROUP BY fp),
+links AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM kinds a JOIN kinds b ON bit_count(xor(a.fp, b.fp)) <= 4),
+reach(a, b) AS (SELECT fp, fp FROM kinds UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+comps AS (SELECT r.a AS fp, min(k.first) AS component_id FROM reach r JOIN kinds k ON k.fp = r.b GROUP BY r.a)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN comps USING (fp)
+"""
+
+
+#: What dedup_simhash gives at radius 4 and four words.
+SIMHASH_SQL = _simhash_sql()

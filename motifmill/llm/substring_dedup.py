@@ -9,12 +9,11 @@ an indexed block that the other meets with one of its rolling block-sized window
    if its hash was probed from anywhere else; that is told to each part that has
    such a block, which finds its places again. So a line that a third of all texts
    hold costs a bucket one entry a part for each of its blocks.
-2. Extend: from every anchor a text goes on to both sides, one word at a time, as
-   far as a window that holds the anchor reaches. What stands there is compared by a
-   128-bit BLAKE2 digest of its very words, not by the scan's hashes: a false anchor
-   ends here, and texts made to collide in a fast hash do not pass for equal. Equal
-   windows in a row are a maximal exact repeat; those that are not the first of
-   their kind cover words to remove.
+2. Extend: of every anchor all windows that hold it, up to ``window`` - block words to
+   both sides, are looked up by a 128-bit BLAKE2 digest of their very words, not by the
+   scan's hashes: a false anchor ends here, and texts made to collide in a fast hash do
+   not pass for equal. Windows that are not the first of their kind cover words to
+   remove; those in a row make up a maximal exact repeat.
 3. Cut: the covered words leave the texts.
 
 Rolling hashes are sent as 6 bytes each and at most twice by a producer, so that a
