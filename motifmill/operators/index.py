@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from motifmill.functions.encode import ALPHABET, is_coded, kmer_code, kmer_text, symbol_code
 from motifmill.operators import suffix
 from motifmill.operators.ranking import running
-from motifmill.plans.storage import materialize
+from motifmill.plans.storage import bucket_count, bucketed, materialize
 from motifmill.sources.sequences import input_key
 
 D = 64
 #: Rows that one entry of the single symbols' ranks stands for.
 RANGE = 512
+#: Stored bytes of a rank table that one bucket stands for.
+BUCKET_BYTES = 64 << 20
 TABLES = ("meta", "bwt", "c_table", "firsts", "occ", "lut", "symbols", "places")
 
 
@@ -125,6 +127,27 @@ class Index:
     def load(cls, spark: SparkSession, path: str) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
 
+    def bucketed(self, buckets: int | None = None) -> Index:
+        """The same index, its rank tables dealt into buckets by the keys of a search step: for many or large searches, whose steps then shuffle only the reads."""
+        deal = lambda table, label, keys: bucketed(table, label, keys, buckets or bucket_count(table, BUCKET_BYTES))
+        return replace(self, occ=deal(self.occ.withColumnRenamed("blk", "b"), "index-occ", ["contig_id", "sym2", "b"]).withColumnRenamed("b", "blk"), places=deal(self.places, "index-places", ["contig_id", "symbol", "rng"]))
+
+    def extended(self, genome: DataFrame) -> Index:
+        """With the contigs of ``genome``, which alone are sorted: every table is keyed by contig, so the result is what a build of all gives. A contig_id that the index has already is an error."""
+        if not (twice := self.meta.join(genome.select("contig_id"), "contig_id", "left_semi").limit(1)).isEmpty():
+            raise ValueError(f"the index has contig {twice.first()[0]} already")
+        more = Index.build(genome)
+        return Index(*(getattr(self, name).unionByName(getattr(more, name)) for name in TABLES))
+
+    @staticmethod
+    def append(genome: DataFrame, path: str) -> None:
+        """Add contigs to a saved index: only their rows are built and written."""
+        if not (twice := Index.load(genome.sparkSession, path).meta.join(genome.select("contig_id"), "contig_id", "left_semi").limit(1)).isEmpty():
+            raise ValueError(f"the index has contig {twice.first()[0]} already")
+        more = Index.build(genome)
+        for name in TABLES:
+            getattr(more, name).write.mode("append").parquet(f"{path}/{name}")
+
     def summary(self) -> DataFrame:
         """contig_id, rows, blocks, pairs, kinds, entries: rows of the suffix array, blocks of the rank table, pairs counted in it, pairs that occur and k-mers that have an interval."""
         blocks = self.occ.groupBy("contig_id").agg(F.count_distinct("blk").alias("blocks"), F.sum(F.bit_count("bitmap")).alias("pairs"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from motifmill.plans.storage import small_side
@@ -66,3 +66,12 @@ def ntile_blocks(df: DataFrame, order: str, tiles: int) -> DataFrame:
     cut = r * (q + 1)
     row = F.col("row")
     return numbered.select(order, (F.when(row < cut, F.floor(row / (q + 1))).otherwise(r + F.floor((row - cut) / max(q, 1))) + 1).cast("int").alias("block"))
+
+
+def written_counts(counts: DataFrame, path: str) -> dict[str, int]:
+    """Write counts (read_id, q, n) and say, from the same job, how many reads and symbols it saw and how many occurrences it counted: n_reads, bases, total."""
+    seen = Observation("counts")
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    watched = counts.observe(seen, F.count(F.lit(1)).alias("n_reads"), whole(F.length("q")).alias("bases"), whole("n").alias("total"))
+    watched.write.mode("overwrite").parquet(path)
+    return seen.get

@@ -19,6 +19,8 @@ CHUNKS = (64, 256)
 SAMPLED, SAMPLED_SEED, VERIFIED = 48, 16, 1 << 14
 #: Reads of at least so many symbols are found by seeds of that length; shorter ones by themselves.
 SEEDS = (12, 8)
+#: Rows of the suffix array in a bin of a range join.
+BINNED = 256
 #: Steps of a backward search whose ended reads stay tables of their own.
 FOLD = 16
 #: Reads of at most so many symbols are counted from the texts' k-mers of that length.
@@ -199,10 +201,28 @@ def backward_search(index: Index, reads: DataFrame, d: int = D) -> DataFrame:
     are exact at the end marker and at block ends. Null and empty reads give null, reads
     that name no contig 0.
     """
+    found = intervals(index, reads, d).select("contig_id", "read_id", (F.col("hi") - F.col("lo")).alias("n"))
+    return reads.join(found, ["contig_id", "read_id"], "left").select("contig_id", "read_id", F.when(F.length("q") > 0, F.coalesce("n", F.lit(0))).alias("n"))
+
+
+def intervals(index: Index, reads: DataFrame, d: int = D) -> DataFrame:
+    """contig_id, read_id, lo, hi: the rows of the suffix array that begin with the read, of every read that occurs in the contig that it names."""
     known = reads.where(F.length("q") > 0)
     pure = is_coded(F.col("q"))
-    found = _by_pairs(index, known.where(pure), d).unionByName(_by_symbols(index, known.where(~pure)))
-    return reads.join(found, ["contig_id", "read_id"], "left").select("contig_id", "read_id", F.when(F.length("q") > 0, F.coalesce("n", F.lit(0))).alias("n"))
+    return _by_pairs(index, known.where(pure), d).unionByName(_by_symbols(index, known.where(~pure)))
+
+
+def locate_by_index(index: Index, reads: DataFrame, d: int = D) -> DataFrame:
+    """contig_id, read_id, pos (from 0) of every occurrence of every read in the contig that it names; only the index is read.
+
+    A range join of intervals with the rows of the suffix array: rows lie in bins of
+    BINNED, and an interval asks each bin that it touches. So what is joined is what is
+    found, and at most two bins beside it, however wide an interval is.
+    """
+    bins = F.expr(f"sequence(lo div {BINNED}, (hi - 1) div {BINNED})")
+    asked = intervals(index, reads, d).withColumn("bin", F.explode(bins))
+    rows = index.bwt.select("contig_id", "i", "pos", F.expr(f"i div {BINNED}").alias("bin"))
+    return rows.join(asked, ["contig_id", "bin"]).where("i >= lo and i < hi").select("contig_id", "read_id", "pos")
 
 
 def _symbol(at) -> Column:
@@ -210,7 +230,7 @@ def _symbol(at) -> Column:
 
 
 def _steps(state: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """contig_id, read_id, n of intervals (contig_id, read_id, q, left, lo, hi) after ``step`` was taken until no symbols are left; each step is written out, so the plan stays short. Reads whose interval is empty drop out of the joins."""
+    """contig_id, read_id, lo, hi of intervals (with q, left) after ``step`` was taken until no symbols are left; each step is written out, so the plan stays short. Reads whose interval is empty drop out of the joins."""
     ends = []
     state = materialize(state, "search")
     while True:
@@ -221,7 +241,7 @@ def _steps(state: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFram
         if len(ends) == FOLD:  # one table stands for what many steps have ended
             ends = [materialize(reduce(DataFrame.unionByName, ends), "search-ends")]
         state = materialize(step(going).select("contig_id", "read_id", "q", "left", "lo", "hi"), "search")
-    return reduce(DataFrame.unionByName, ends).select("contig_id", "read_id", (F.col("hi") - F.col("lo")).alias("n"))
+    return reduce(DataFrame.unionByName, ends).select("contig_id", "read_id", "lo", "hi")
 
 
 def _by_pairs(index: Index, reads: DataFrame, d: int) -> DataFrame:

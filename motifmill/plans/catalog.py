@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from motifmill.functions import encode as en
 from motifmill.operators import index as ix
-from motifmill.operators import metrics, search, suffix
+from motifmill.operators import metrics, rollups, search, suffix
 from motifmill.operators.cutting import pieces
 from motifmill.operators.rank_search import RankBins
 from motifmill.operators.rank_search import rank_counts as count_by_ranks
 from motifmill.plans.storage import materialize, scratch
+from motifmill.sources.fasta_source import register
 from motifmill.sources.sequences import genome, genome_with_unknowns, read_fasta, reads_of, write_fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,11 +123,15 @@ def kmer_decode(spark, sf_dir):
     return coded.select("read_id", "code", F.when(F.col("k") == 6, en.kmer_text(F.col("code"), 6)).otherwise(en.kmer_text(F.col("code"), 5)).alias("kmer"))
 
 
-@query("""SELECT k, code, (SELECT string_agg(substr('ACGT', ((code // (4 ** (k - j))::BIGINT) % 4 + 1)::BIGINT, 1), '' ORDER BY j) FROM range(1, k + 1) t(j)) AS kmer
-FROM (SELECT 5 AS k, unnest(range(0, 1024)) AS code UNION ALL SELECT 6, unnest(range(0, 4096)))""")
+@query(with_base("""every AS (SELECT k, code, (SELECT string_agg(substr('ACGT', ((code // (4 ** (k - j))::BIGINT) % 4 + 1)::BIGINT, 1), '' ORDER BY j) FROM range(1, k + 1) t(j)) AS kmer
+FROM (SELECT 5 AS k, unnest(range(0, 1024)) AS code UNION ALL SELECT 6, unnest(range(0, 4096)))),
+met AS (SELECT substr(seq, p, k) AS kmer, count(*) AS n FROM (SELECT seq, k, unnest(range(1, length(seq) - k + 2)) AS p FROM genome CROSS JOIN (VALUES (5), (6)) v(k)) GROUP BY 1)
+SELECT k, code, kmer, coalesce(n, 0) AS n FROM every LEFT JOIN met USING (kmer)"""))
 def kmer_universe(spark, sf_dir):
+    """Every k-mer of five and six symbols, and how often the texts hold it: the alphabet bounds both sides of the join."""
     parts = [spark.range(4**k).select(F.lit(k).alias("k"), F.col("id").alias("code"), en.kmer_text(F.col("id"), k).alias("kmer")) for k in (5, 6)]
-    return parts[0].unionByName(parts[1])
+    met = [_kmers(genome(spark, sf_dir), k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")) for k in (5, 6)]
+    return parts[0].unionByName(parts[1]).join(met[0].unionByName(met[1]), "kmer", "left").select("k", "code", "kmer", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(with_base("""SELECT contig_id, w AS word_no, sum((instr('ACGT', substr(seq, (w * 16 + j)::BIGINT, 1)) - 1)::BIGINT * (4 ** (16 - j))::BIGINT)::BIGINT AS word
@@ -253,6 +258,14 @@ def backward_search(spark, sf_dir):
     return search.backward_search(_index(spark, sf_dir), _reads(spark, sf_dir).withColumn("contig_id", F.col("read_id")))
 
 
+@query(with_base("""SELECT r.read_id AS contig_id, r.read_id, (SELECT count(*) FROM range(1, length(g.seq) + 1) t(p) WHERE substr(g.seq, p, length(r.q)) = r.q) AS n
+FROM (SELECT read_id, reverse(q) AS q FROM reads) r JOIN genome g ON g.contig_id = r.read_id"""))
+def backward_search_bucketed(spark, sf_dir):
+    """Reads turned round, each in its own contig, over rank tables in buckets that no step shuffles."""
+    reads = _reads(spark, sf_dir).select(F.col("read_id").alias("contig_id"), "read_id", F.reverse("q").alias("q"))
+    return search.backward_search(_index(spark, sf_dir).bucketed(), reads)
+
+
 @query(with_base(_COUNT.format(reads="reads"), "SELECT read_id, r.q, coalesce(n, 0) AS n FROM reads r LEFT JOIN counts USING (q)"))
 def count_matches(spark, sf_dir):
     return search.count_matches(genome(spark, sf_dir), _reads(spark, sf_dir))
@@ -285,6 +298,13 @@ def locate(spark, sf_dir):
     return search.locate(genome(spark, sf_dir), _reads(spark, sf_dir))
 
 
+@query(with_base("""SELECT g.contig_id, r.read_id, unnest(list_filter(range(1, length(g.seq) - length(r.q) + 2), lambda p: substr(g.seq, p, length(r.q)) = r.q)) - 1 AS pos
+FROM reads r JOIN genome g ON g.contig_id = r.read_id"""))
+def locate_by_index(spark, sf_dir):
+    """Where every read occurs in its own contig, from the rank index and the suffix array alone."""
+    return search.locate_by_index(_index(spark, sf_dir), _reads(spark, sf_dir).withColumn("contig_id", F.col("read_id")))
+
+
 @query(with_base("SELECT read_id, ntile(8) OVER (ORDER BY read_id)::INTEGER AS block FROM reads"))
 def read_partitions(spark, sf_dir):
     return metrics.ntile_blocks(_reads(spark, sf_dir), "read_id", 8)
@@ -342,11 +362,25 @@ def index_roundtrip(spark, sf_dir):
     """The index written, read back and summed up."""
     path = scratch(spark, "index")
     _index(spark, sf_dir).save(path)
-    back = ix.Index.load(spark, path)
+    return _checksums(ix.Index.load(spark, path))
+
+
+def _checksums(back: ix.Index) -> DataFrame:
     rows = back.bwt.agg(F.lit("bwt").alias("name"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("i") * 31 + F.col("pos") * 7 + F.coalesce("sym2", F.lit(99))).alias("checksum"))
     return rows.unionByName(back.c_table.agg(F.lit("c_table").alias("name"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("sym2") * 31 + F.col("c_before") * 7 + F.col("n")).alias("checksum")))
 
 
+@query(with_base(_SA, _BWT, _PAIRS, _C, """SELECT 'bwt' AS name, count(*) AS n_rows, sum(i * 31 + pos * 7 + coalesce(sym2, 99))::BIGINT AS checksum FROM bwt
+UNION ALL SELECT 'c_table', count(*), sum(sym2 * 31 + c_before * 7 + n)::BIGINT FROM c"""))
+def index_extended(spark, sf_dir):
+    """An index of some contigs, saved, to which the others are added later without sorting the first ones again."""
+    texts = genome(spark, sf_dir)
+    path = scratch(spark, "index-extended")
+    ix.Index.build(texts.where("contig_id % 3 > 0")).save(path)
+    ix.Index.append(texts.where("contig_id % 3 = 0"), path)
+    return _checksums(ix.Index.load(spark, path))
+
+
 @query(with_base(_SA, _BWT, _PAIRS, """lut AS (SELECT contig_id, k::INTEGER AS k, substr(t, pos + 1, k) AS kmer FROM sa CROSS JOIN (VALUES (5), (6)) v(k) WHERE pos + k < length(t) GROUP BY ALL)
 SELECT g.contig_id, length(g.seq)::BIGINT + 1 AS rows, (length(g.seq) + 1) // 64 + 1 AS blocks, coalesce(p.pairs, 0)::BIGINT AS pairs, coalesce(p.kinds, 0)::BIGINT AS kinds, coalesce(l.entries, 0)::BIGINT AS entries FROM genome g
 LEFT JOIN (SELECT contig_id, sum(n) AS pairs, count(*) AS kinds FROM pairs GROUP BY contig_id) p USING (contig_id) LEFT JOIN (SELECT contig_id, count(*) AS entries FROM lut GROUP BY contig_id) l USING (contig_id)"""))
@@ -427,6 +461,16 @@ def fasta_roundtrip(spark, sf_dir):
     return read_fasta(spark, path).select("header", "q", "len")
 
 
+@query(with_base("SELECT 's' || read_id || ' x>y' AS header, q, length(q)::INTEGER AS len FROM reads"))
+def fasta_source(spark, sf_dir):
+    """Reads written as FASTA files and read by the data source in ranges of two kilobytes, whose ends cut records."""
+    path = scratch(spark, "fasta-source")
+    lines = F.regexp_replace("q", "(.{5})(?=.)", "$1\n")
+    write_fasta(_reads(spark, sf_dir).select("read_id", F.concat(F.lit("s"), "read_id", F.lit(" x>y")).alias("header"), lines.alias("q")), path)
+    register(spark)
+    return spark.read.format("fasta").option("rangeBytes", 2048).load(path).select("header", "q", F.length("q").alias("len"))
+
+
 @query("""WITH letters AS (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '')
 SELECT upper(c) AS sym, count(*) AS n, count(*) FILTER (WHERE c = upper(c)) AS exact FROM letters WHERE upper(c) IN ('A', 'C', 'G', 'T') GROUP BY ALL""")
 def folded_composition(spark, sf_dir):
@@ -484,6 +528,34 @@ def top_kmers(spark, sf_dir):
     return _kmers(genome(spark, sf_dir), 6).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kmer").limit(20)
 
 
+_GROUPED = """k AS (SELECT source, lang, substr(seq, p, 2) AS kmer FROM (SELECT contig_id, seq, unnest(range(1, length(seq))) AS p FROM genome) JOIN documents ON doc_id = contig_id)
+SELECT source, lang, kmer, grouping(source, lang, kmer)::INTEGER AS level, count(*) AS n FROM k GROUP BY """
+
+
+def _pairs_by(spark, sf_dir) -> DataFrame:
+    groups = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("contig_id"), "source", "lang")
+    return rollups.kmer_counts_by(genome(spark, sf_dir), groups, ["source", "lang"])
+
+
+@query(with_base(_GROUPED + "ROLLUP (source, lang, kmer)"))
+def pair_rollup(spark, sf_dir):
+    """How often each pair of symbols stands in the texts of each source and language, with totals by source and language, by source, and of all."""
+    return rollups.rolled_up(_pairs_by(spark, sf_dir), ["source", "lang", "kmer"])
+
+
+@query(with_base(_GROUPED + "CUBE (source, lang, kmer)"))
+def pair_cube(spark, sf_dir):
+    """The same with totals over every choice of the three."""
+    return rollups.rolled_up(_pairs_by(spark, sf_dir), ["source", "lang", "kmer"], every=True)
+
+
+@query(with_base(_COUNT.format(reads="reads"), "SELECT count(*) AS n_reads, coalesce(sum(length(r.q)), 0)::BIGINT AS bases, coalesce(sum(n), 0)::BIGINT AS total FROM reads r LEFT JOIN counts USING (q)"))
+def observed_counters(spark, sf_dir):
+    """Reads, symbols and occurrences, observed while the job that counts writes its rows."""
+    seen = metrics.written_counts(search.count_matches(genome(spark, sf_dir), _reads(spark, sf_dir)), scratch(spark, "observed"))
+    return spark.createDataFrame([(seen["n_reads"], seen["bases"], seen["total"])], "n_reads long, bases long, total long")
+
+
 @query(with_base("""k AS (SELECT DISTINCT lang, substr(seq, p, 6) AS kmer FROM (SELECT lang, seq, unnest(range(1, length(seq) - 4)) AS p FROM genome JOIN documents ON doc_id = contig_id))
 SELECT kmer FROM k WHERE lang = 'en' INTERSECT SELECT kmer FROM k WHERE lang = 'de'"""))
 def kmer_intersect(spark, sf_dir):

@@ -22,6 +22,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
 UNKNOWN_BYTES = 1 << 50
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,6 +69,17 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def bucketed(df: DataFrame, label: str, columns: list[str], buckets: int) -> DataFrame:
+    """Write ``df`` as a table in the shared folder whose rows are dealt into buckets by ``columns`` and sorted by them: joins on just these columns do not shuffle it again."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    name = f"motifmill_{uuid.uuid4().hex}"
+    # a task writes one bucket, else each task writes a file for every bucket
+    df.repartition(buckets, *columns).write.format("parquet").bucketBy(buckets, *columns).sortBy(*columns).option("path", path).saveAsTable(name)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that no later plan reads."""
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
@@ -96,6 +108,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clear() -> None:
+    for spark, name in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001, S112  the session may have ended
+            continue
     for spark, path in _made:
         try:
             _delete(spark, path)

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifmill.functions import encode as en
-from motifmill.operators import cutting, metrics, rank_search, ranking, search, suffix
+from motifmill.operators import cutting, metrics, rank_search, ranking, rollups, search, suffix
 from motifmill.operators import index as ix
 from motifmill.plans import catalog
+from motifmill.sources import fasta_source
 from motifmill.sources import sequences as sq
 
 D1 = "CCGGAGCCCAGC"
@@ -157,13 +158,17 @@ def test_rewritten_documents(spark, tmp_path):
     assert queries["bwt_string"](spark, path).first().b0 == "AAAA$"
 
 
-UNKNOWN = {0: "ACGNTACGTNNGTT", 1: "NNNN", 2: "acgtACGTn", 3: "GATTACAN", 4: "NGATTACA", 5: "XYZ!A CA$A#CG", 6: "éACGé", 7: "ACGT" * 30 + "N" * 70 + "ACGT" * 30, 8: "A", 9: ""}
+UNKNOWN = {0: "ACGNTACGTNNGTT", 1: "NNNN", 2: "acgtACGTn", 3: "GATTACAN", 4: "NGATTACA", 5: "XYZ!A CA$A#CG", 6: "éACGé", 7: "ACGT" * 30 + "N" * 70 + "ACGT" * 30, 8: "A", 9: "", 20: "T" * 700, 21: "GATTACA" * 90}
 
 
-def test_other_symbols(spark):
+@pytest.fixture(scope="module")
+def unknown(spark):
+    return ix.Index.build(texts_of(spark, UNKNOWN))
+
+
+def test_other_symbols(spark, unknown):
     """Texts with symbols outside ACGT, of few and of many kinds: counts, transform and cumulative counts."""
-    texts = texts_of(spark, UNKNOWN)
-    index = ix.Index.build(texts)
+    texts, index = texts_of(spark, UNKNOWN), unknown
     queries = ["GT", "ACG", "T", "GTT", "TACGT", "A", "CA", "ACGTACGTA", "GATTACA", "C", "ACGA"]
     others = ["N", "NG", "NNN", "GNNT", "acg", "tACG", "é", "éAC", "Gé", "!A C", "$", "A$", "$A", "A$A", "G$", "N$", "$G", "CNA", "x"]
     rows = [(c, 100 * c + k, q) for c in UNKNOWN for k, q in enumerate(queries + others)] + [(99, 9900, "N"), (99, 9901, "A"), (0, 9902, ""), (0, 9903, None)]
@@ -358,3 +363,95 @@ def test_patterns_of_all_lengths(spark):
     reads = spark.createDataFrame(list(enumerate(patterns)), "read_id long, q string")
     got = {r.read_id: r.n for r in search.count_matches(texts_of(spark, texts), reads).collect()}
     assert got == {i: sum(naive(t, q) for t in texts.values()) for i, q in enumerate(patterns)}
+
+
+def test_fasta_data_source(spark, tmp_path, monkeypatch):
+    """Ranges that end anywhere in a record, blocks that end anywhere in a line."""
+    rng = random.Random(3)
+    want, text = [], "lost\n"
+    for k in range(60):
+        q = "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 7, 60, 400])))
+        want.append((len(text), f"r{k} >x{'y' * rng.randrange(9)}", q or None))
+        text += f">{want[-1][1]}" + rng.choice(["\n", "\r\n"])
+        while q:
+            n = rng.randint(1, 90)
+            text += q[:n] + rng.choice(["\n", "\r\n", "\n\n"])
+            q = q[n:]
+    (tmp_path / "a.fa").write_bytes(text.encode())
+    for block in (1, 7, 1 << 20):
+        monkeypatch.setattr(fasta_source, "BLOCK_BYTES", block)
+        for size in (1, 13, 500, 10**6):
+            with open(tmp_path / "a.fa", "rb") as file:
+                got = [r for lo in range(0, len(text), size) for r in fasta_source.records(file, lo, min(lo + size, len(text)))]
+            assert got == want
+    (tmp_path / "b.fa").write_text(">only\nAC\nGT")
+    (tmp_path / "_hidden").write_text(">no\nA\n")
+    fasta_source.register(spark)
+    load = lambda path, size=100: [(r.header, r.q) for r in spark.read.format("fasta").option("rangeBytes", size).load(path).collect()]
+    both = sorted([(h, q) for _, h, q in want] + [("only", "ACGT")], key=lambda r: r[0])
+    assert sorted(load(str(tmp_path)), key=lambda r: r[0]) == both == sorted(load(f"file://{tmp_path}/*.fa"), key=lambda r: r[0])
+    assert load(str(tmp_path / "b.fa"), 3) == [("only", "ACGT")]
+    (tmp_path / "none").mkdir()
+    assert load(str(tmp_path / "none")) == []
+
+
+def test_located_by_the_index(spark, unknown, monkeypatch):
+    """Intervals of any width, over one bin and many, in contigs of all kinds."""
+    texts, index = UNKNOWN, unknown
+    queries = ["T", "TTTT", "GATTACA", "A", "N", "NG", "acg", "CA", "GTTGCATT", "zz", "", None, "T" * 700]
+    rows = [(c, 100 * c + k, q) for c in texts for k, q in enumerate(queries)] + [(77, 1, "A")]
+    reads = spark.createDataFrame(rows, "contig_id long, read_id long, q string")
+    want = sorted((c, i, p) for c, i, q in rows if q for p in range(len(texts.get(c, ""))) if texts[c].startswith(q, p))
+    for binned in (search.BINNED, 7):
+        monkeypatch.setattr(search, "BINNED", binned)
+        assert sorted((r.contig_id, r.read_id, r.pos) for r in search.locate_by_index(index, reads).collect()) == want
+
+
+def test_rollups(spark):
+    """Groups whose own value is null are told from totals."""
+    texts = {0: "AAAC", 1: "ACG", 2: "", 3: "A", 4: "CC"}
+    groups = spark.createDataFrame([(0, "x", "u"), (1, None, "u"), (2, "x", "u"), (3, "y", "u"), (4, None, None)], "contig_id long, a string, b string")
+    counts = rollups.kmer_counts_by(texts_of(spark, texts), groups, ["a", "b"])
+    rolled = {(r.a, r.b, r.kmer, r.level): r.n for r in rollups.rolled_up(counts, ["a", "b", "kmer"]).collect()}
+    assert rolled[None, None, None, 7] == 6 and rolled["x", None, None, 3] == 3 and rolled[None, None, None, 3] == 3
+    assert rolled[None, "u", None, 1] == 2 and rolled[None, None, None, 1] == 1 and rolled["x", "u", "AA", 0] == 2
+    cubed = {(r.a, r.b, r.kmer, r.level): r.n for r in rollups.rolled_up(counts, ["a", "b", "kmer"], every=True).collect()}
+    assert rolled.items() <= cubed.items() and cubed[None, None, "AC", 6] == 2 and cubed[None, "u", None, 5] == 5
+
+
+def test_counts_say_what_they_saw(spark, tmp_path):
+    reads = spark.createDataFrame([(0, "ATTA"), (1, None), (2, "GG"), (3, "")], "read_id long, q string")
+    counts = search.count_matches(texts_of(spark, {0: "GATTACATTA"}), reads)
+    assert metrics.written_counts(counts, str(tmp_path / "out")) == {"n_reads": 4, "bases": 6, "total": 2}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_buckets_are_not_shuffled(spark, unknown):
+    """A search step over rank tables in buckets has an exchange on the reads' side only, and finds the same."""
+    index = unknown.bucketed(4)
+    queries = ["GT", "ACG", "GATTACA", "N", "NG", "acg", "ACGTACGTA"]
+    rows = [(c, 100 * c + k, q) for c in UNKNOWN for k, q in enumerate(queries)]
+    reads = spark.createDataFrame(rows, "contig_id long, read_id long, q string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.read_id: r.n for r in search.backward_search(index, reads).collect()} == {i: naive(UNKNOWN[c], q) for c, i, q in rows}
+        blocks = index.occ.select("contig_id", "sym2", F.col("blk").alias("b"), "before")
+        asked = spark.range(100).selectExpr("id AS contig_id", "CAST(id % 16 AS INT) AS sym2", "id % 3 AS b")
+        plan = asked.join(blocks, ["contig_id", "sym2", "b"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_contigs_added_later(spark, unknown, tmp_path):
+    first, more = {k: t for k, t in UNKNOWN.items() if k < 5}, {k: t for k, t in UNKNOWN.items() if k >= 5}
+    index = ix.Index.build(texts_of(spark, first))
+    index.save(str(tmp_path / "index"))
+    ix.Index.append(texts_of(spark, more), str(tmp_path / "index"))
+    saved, held = ix.Index.load(spark, str(tmp_path / "index")), index.extended(texts_of(spark, more))
+    for name in ix.TABLES:
+        want = sorted(map(repr, getattr(unknown, name).collect()))
+        assert want == sorted(map(repr, getattr(saved, name).collect())) == sorted(map(repr, getattr(held, name).collect()))
+    with pytest.raises(ValueError, match="contig 3 already"):
+        held.extended(texts_of(spark, {3: "A"}))
