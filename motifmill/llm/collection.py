@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Suffixes in a piece of the columns, and symbols of a collection from which on its columns lie in files.
-PIECE, EXTERNAL = 1 << 18, 16 << 20
+PIECE, EXTERNAL = 1 << 18, 4 << 20
 _FAR = np.int16(32767)
 Piece = tuple[np.ndarray, np.ndarray]
 

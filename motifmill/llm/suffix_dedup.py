@@ -11,6 +11,12 @@
    has it, which finds its places again. So a passage that a third of all texts hold
    costs a class one description a part. A line in surroundings of its own in every
    text gives classes of one; a class without a second segment has no repeats.
+   Where the different segments of a class hold more than ``class_bytes``, as those of a
+   line in very many surroundings do, its windows are dealt to eight new classes by how
+   many of their bytes stand in front of the core, each with a longer core, namely all
+   that its windows have in common around the old one. Equal windows go the same way. A
+   class that is still too large is dealt again, until a core is a whole window: twice
+   for 200 bytes.
 2. Suffixes. The documents of the other classes get their bytes and are built into a
    collection's Burrows-Wheeler transform and common prefixes, column by column
    (``collection``); their cores, compared byte by byte, are one symbol each. A window
@@ -24,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +39,21 @@ from pyspark.sql import DataFrame
 from motifmill.llm import corpus as co
 from motifmill.llm import textscan as ts
 from motifmill.llm.collection import repeated_windows
-from motifmill.plans.storage import discard, materialize, shared_dir
+from motifmill.plans.storage import discard, materialize, scratch
 
 U64 = np.uint64
 FLUSH, BLOCK = 1 << 17, 1 << 20
 #: Symbols of the classes that are built as one collection; a class that holds more is one of its own.
 COLLECTION = 4 << 20
+#: Bytes of a class's different segments from which on it is split.
+CLASS = 16 << 20
+SHARES = 8
 _SEGMENT = {"h": "<u8", "g": "<u8", "uid": "<i8", "start": "<u4", "part": "<u4", "n": "<u2", "a": "u1", "many": "u1"}
+#: A part of a segment: its core is the ``k`` bytes from byte ``c`` on.
+_SHARE = {"h": "<u8", "g": "<u8", "uid": "<i8", "start": "<u4", "part": "<u4", "n": "<u2", "c": "<u2", "k": "<u2", "many": "u1"}
 _TWICE = {"h": "<u8", "g": "<u8", "n": "<u2"}
 _RANGE = {"uid": "<i8", "start": "<u4", "n": "<u4"}
-_WANTED = {"uid": "<i8", "start": "<u4", "n": "<u2", "h": "<u8", "a": "u1", "known": "u1"}
+_WANTED = {"uid": "<i8", "start": "<u4", "n": "<u2", "h": "<u8", "c": "<u2", "k": "<u2", "known": "u1"}
 
 
 def window_minima(key: np.ndarray, w: int) -> np.ndarray:
@@ -154,13 +166,21 @@ def _describe(parts: int, length: int, key: bytes):
     return run
 
 
-def _classes(parts: int):
-    """All descriptions of a bucket -> by part, segments that are there twice (kind 2) and places of segments whose bytes are wanted (kind 1)."""
+def _classes(parts: int, length: int, class_bytes: int, shares: bool = False):
+    """All descriptions of a bucket, of segments or of shares of them -> answers by part.
+
+    Kind 1: places of segments whose bytes are wanted; kind 3: of those whose class is to be
+    split. What is there twice is told at once: whole segments, which each part finds
+    again (kind 2), or the ranges of shares (kind 0).
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        x = co.unpack(co.payloads(table, 0), _SEGMENT)
+        x = co.unpack(co.payloads(table, 0), _SHARE if shares else _SEGMENT)
         order = np.lexsort((x["start"], x["uid"], x["g"], x["h"]))
         x = {k: v[order] for k, v in x.items()}
+        if not shares:
+            core, end = cores(np.zeros(len(order), np.int64), x["a"].astype(np.int64), length)
+            x |= {"c": core.astype(np.uint16), "k": (end - core).astype(np.uint16)}
         new_class = np.ones(len(order), bool)
         new_class[1:] = x["h"][1:] != x["h"][:-1]
         new_kind = new_class.copy()
@@ -170,13 +190,68 @@ def _classes(parts: int):
         kind = np.cumsum(new_kind) - 1
         of_class = (np.cumsum(new_class) - 1)[head]
         kinds_in, once_in = np.bincount(of_class), np.bincount(of_class, weights=copies == 1)
-        again = np.flatnonzero(copies[kind] > 1)
-        wanted = head[(kinds_in[of_class] > 1) & (once_in[of_class] > 0)]
-        asks = {k: x[k][wanted] for k in ("uid", "start", "n", "h", "a")} | {"known": (copies[kind[wanted]] > 1).astype(np.uint8)}
+        large = np.bincount(of_class, weights=x["n"][head]) > class_bytes
+        needed = (kinds_in[of_class] > 1) & (once_in[of_class] > 0)
+        split = needed & large[of_class] & (x["k"][head] < length)
+        asks = {k: x[k][head] for k in ("uid", "start", "n", "h", "c", "k")} | {"known": (copies > 1).astype(np.uint8)}
+        if shares:
+            again = np.flatnonzero((copies[kind] > 1) & (x["many"] == 1))
+            told = (0, {k: x[k][again].astype(v) for k, v in _RANGE.items()}, x["part"][again])
+        else:
+            again = np.flatnonzero(copies[kind] > 1)
+            told = (2, {k: x[k][again] for k in _TWICE}, x["part"][again])
         out = []
-        for number, rows, fields in ((2, again, {k: x[k][again] for k in _TWICE}), (1, wanted, asks)):
-            if len(rows):
-                out += [(i, number, co.pack(f)) for i, f in co.split_by(x["part"][rows].astype(np.int64), parts, fields)]
+        for number, fields, part in (told, *((i, {k: v[rows] for k, v in asks.items()}, x["part"][head[rows]]) for i, rows in ((1, needed & ~split), (3, split)))):
+            if len(part):
+                out += [(i, number, co.pack(f)) for i, f in co.split_by(part.astype(np.int64), parts, fields)]
+        return pa.Table.from_batches([co.blocks(out)])
+
+    return run
+
+
+def _asked(texts: pa.Table, x: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """Slices of a part's texts with the segments ``x`` that lie in them and where these begin (``at``)."""
+    uids = texts.column("uid").to_numpy()
+    got = np.isin(uids, x["uid"])
+    texts, uids = texts.filter(pa.array(got)), uids[got]
+    place = np.argsort(uids)
+    row = place[np.searchsorted(uids, x["uid"], sorter=place)]
+    order = np.lexsort((x["start"], row))
+    x, row = {k: v[order] for k, v in x.items()}, row[order]
+    for lo, hi, data, offsets in ts.slices(co.as_array(texts.column("text"), pa.large_string())):
+        i, j = np.searchsorted(row, (lo, hi))
+        if i < j:
+            yield data, {k: v[i:j] for k, v in x.items()} | {"at": offsets[row[i:j] - lo] + x["start"][i:j]}
+
+
+def _shares(x: dict[str, np.ndarray], length: int) -> Iterator[dict[str, np.ndarray]]:
+    """The windows of segments in ``SHARES`` shares by how many of their bytes stand in front of the core: each with what its windows have in common as a longer core. Empty shares are left out."""
+    at, start, n, c, k = (x[f].astype(np.int64) for f in ("at", "start", "n", "c", "k"))
+    beside = length - k
+    width = beside // SHARES + 1
+    least, most = np.maximum(0, beside - (n - c - k)), np.minimum(beside, c)  # over all windows of the segment
+    for j in range(SHARES):
+        front, last = j * width, np.minimum((j + 1) * width - 1, beside)
+        low, high = np.maximum(least, front), np.minimum(most, last)
+        share = {"at": at + c - high, "start": start + c - high, "n": high - low + length, "c": high - front, "k": k + front + beside - last}
+        some = low <= high
+        yield {f: v[some] for f, v in (x | share).items()}
+
+
+def _split(parts: int, length: int, key: bytes):
+    """A part's texts and segments of classes to be split -> descriptions of their shares by bucket of the new classes."""
+    shift = U64(64 - (parts.bit_length() - 1))
+
+    def run(texts: pa.Table, asks: pa.Table) -> pa.Table:
+        x, out = co.unpack(co.payloads(asks, 3), _WANTED), []
+        for data, segment in _asked(texts, x) if len(x["uid"]) else ():
+            raw = data.tobytes()
+            for f in _shares(segment, length):
+                digests = b"".join(hashlib.blake2b(raw[a : a + n], digest_size=8, key=key).digest() for a, n in zip(f["at"].tolist(), f["n"].tolist(), strict=True))
+                core = f["at"] + f["c"]
+                f |= {"h": ts.span_hash(data, core, core + f["k"]), "g": np.frombuffer(digests, U64), "many": 1 + f["known"]}
+                f["part"] = np.full(len(core), asks.column("part")[0].as_py())
+                out += [(i, 0, co.pack({k: v[k].astype(kind) for k, kind in _SHARE.items()})) for i, v in co.split_by((f["h"] >> shift).astype(np.int64), parts, f)]
         return pa.Table.from_batches([co.blocks(out)])
 
     return run
@@ -190,20 +265,13 @@ def _fetch(parts: int):
         x = co.unpack(co.payloads(asks, 1), _WANTED)
         if not len(x["uid"]):
             return pa.Table.from_batches([co.blocks([])])
-        uids = texts.column("uid").to_numpy()
-        got = np.isin(uids, x["uid"])
-        texts, uids = texts.filter(pa.array(got)), uids[got]
-        place = np.argsort(uids)
-        row = place[np.searchsorted(uids, x["uid"], sorter=place)]
-        column = co.as_array(texts.column("text"), pa.large_string())
-        order = np.lexsort((x["start"], row))
-        x, row = {k: v[order] for k, v in x.items()}, row[order]
         pieces: list[bytes] = []
-        for lo, hi, data, offsets in ts.slices(column):
+        found = []
+        for data, f in _asked(texts, x):
             raw = data.tobytes()
-            i, j = np.searchsorted(row, (lo, hi))
-            begin = offsets[row[i:j] - lo] + x["start"][i:j]
-            pieces += [raw[a:b] for a, b in zip(begin.tolist(), (begin + x["n"][i:j]).tolist(), strict=True)]
+            pieces += [raw[a : a + n] for a, n in zip(f.pop("at").tolist(), f["n"].tolist(), strict=True)]
+            found.append(f)
+        x = {k: np.concatenate([f[k] for f in found]) for k in x}
         key = (x["h"] >> shift).astype(np.int64)
         out = []
         for i, f in co.split_by(key, parts, x | {"at": np.arange(len(key))}):
@@ -234,8 +302,7 @@ def _build(parts: int, length: int, folder: str):
             e = max(c + 1, int(np.searchsorted(weight[heads], weight[heads[c]] + COLLECTION, "right")) - 1)
             lo, hi = int(heads[c]), int(heads[min(e, len(heads) - 1)])
             c = e
-            core, end = cores(np.zeros(hi - lo, np.int64), x["a"][lo:hi].astype(np.int64), length)
-            for i, at in enumerate(repeated_windows(pieces[lo:hi], core, end - core, length, folder), lo):
+            for i, at in enumerate(repeated_windows(pieces[lo:hi], x["c"][lo:hi], x["k"][lo:hi], length, folder), lo):
                 if x["known"][i] or not len(at):
                     continue
                 begins = np.flatnonzero(np.append(True, np.diff(at) > 1))
@@ -321,7 +388,7 @@ def _spans(length: int, key: bytes):
     return run
 
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, key: bytes) -> tuple[DataFrame, DataFrame]:
+def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, key: bytes, class_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Texts in parts, and blocks by part with the byte ranges of repeats (kind 0) and the segments that are there twice (kind 2)."""
     if not 2 <= length <= 510:
         raise ValueError("length must be from 2 to 510 bytes")
@@ -329,16 +396,20 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, key: byte
     parts = co.part_count(docs)
     held = co.in_parts(held, parts)
     described = held.select("uid", "text", "part").repartition("part").mapInArrow(_describe(parts, length, key), co.BLOCKS)
-    classes = materialize(co.group_in_arrow(described, _classes(parts), co.BLOCKS), "segment-classes").withColumnRenamed("at", "part")
-    fetched = held.select("uid", "text", "part").groupBy("part").cogroup(classes.where("kind = 1").groupBy("part")).applyInArrow(_fetch(parts), co.BLOCKS)
-    folder = f"{shared_dir(docs.sparkSession)}/motifmill/columns"
-    built = materialize(co.group_in_arrow(fetched, _build(parts, length, folder), co.BLOCKS), "segment-repeats").withColumnRenamed("at", "part")
-    ranges = materialize(classes.where("kind = 2").unionByName(built), "ranges")
+    texts = held.select("uid", "text", "part")
+    levels = [materialize(co.group_in_arrow(described, _classes(parts, length, class_bytes), co.BLOCKS), "segment-classes").withColumnRenamed("at", "part")]
+    while not (large := levels[-1].where("kind = 3")).isEmpty():
+        shares = texts.groupBy("part").cogroup(large.groupBy("part")).applyInArrow(_split(parts, length, key), co.BLOCKS)
+        levels.append(materialize(co.group_in_arrow(shares, _classes(parts, length, class_bytes, True), co.BLOCKS), "segment-classes").withColumnRenamed("at", "part"))
+    classes = reduce(DataFrame.unionByName, levels)
+    fetched = texts.groupBy("part").cogroup(classes.where("kind = 1").groupBy("part")).applyInArrow(_fetch(parts), co.BLOCKS)
+    built = materialize(co.group_in_arrow(fetched, _build(parts, length, scratch(docs.sparkSession, "columns")), co.BLOCKS), "segment-repeats").withColumnRenamed("at", "part")
+    ranges = materialize(classes.where("kind in (0, 2)").unionByName(built), "ranges")
     discard(classes)
     return held, ranges
 
 
-def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, class_bytes: int = CLASS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
     Each byte goes that is covered by a string of ``length`` bytes (UTF-8) that also
@@ -346,18 +417,19 @@ def dedup_suffixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Shorter, empty and null texts keep all bytes. Repeated rows are documents of their
     own, so they repeat each other; null and repeated ids are numbered as
     ``corpus.keyed`` has it. An empty table gives no rows; other columns, whatever
-    their names, are not read.
+    their names, are not read. class_bytes: what the different segments of a class may hold
+    before it is split; the result does not depend on it.
     """
     key = os.urandom(16)
-    held, ranges = _repeats(docs, id_col, text_col, length, key)
+    held, ranges = _repeats(docs, id_col, text_col, length, key, class_bytes)
     ids = docs.schema[id_col].dataType.simpleString()
     return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_digest(length, key), f"doc_id {ids}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeat_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def repeat_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, class_bytes: int = CLASS) -> DataFrame:
     """doc_id, start, length: the maximal byte ranges that ``dedup_suffixes`` removes, offsets from 0."""
     key = os.urandom(16)
-    held, ranges = _repeats(docs, id_col, text_col, length, key)
+    held, ranges = _repeats(docs, id_col, text_col, length, key, class_bytes)
     ids = docs.schema[id_col].dataType.simpleString()
     return held.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_spans(length, key), f"doc_id {ids}, start long, length long")
 

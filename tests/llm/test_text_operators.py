@@ -193,6 +193,32 @@ def test_one_string_in_many_surroundings(spark):
     assert sum(r[2] > 0 for r in got) > 1400
 
 
+@pytest.mark.parametrize("class_bytes", [0, 900, 20_000])
+def test_large_classes_are_split(spark, class_bytes):
+    """Classes of any size give the same rows: lines in surroundings that are partly shared, on one side, on both or by a few bytes, and texts of one letter."""
+    rng = random.Random(class_bytes)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    lines, sides = [say(n) for n in (120, 165, 196, 230)], [say(n) for n in (1, 3, 9, 25, 45, 80)]
+    rows = [(0, "a" * 900), (1, "b" + "a" * 300), (2, "a" * 199 + "b")]
+    for i in range(3, 300):
+        left, right = (rng.choice(sides) for _ in range(2))
+        rows.append((i, say(rng.choice([0, 2, 90])) + left + rng.choice(lines) + right + say(rng.choice([0, 2, 90]))))
+    for length in (200, 61):
+        want = [(i, *d) for (i, _), d in zip(rows, brute.suffix_digest([t for _, t in rows], length), strict=True)]
+        got = [tuple(r) for r in suffix_dedup.dedup_suffixes(table(spark, rows, False), length=length, class_bytes=class_bytes).collect()]
+        same(got, want)
+
+
+def test_a_line_in_a_hundred_thousand_surroundings(spark):
+    """No 200-byte string stands twice; in two texts of all the line has the same 60 bytes behind it."""
+    line = prose(random.Random(3), 60).encode()[:170].decode("utf-8", "ignore")
+    df = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    own = lambda salt: F.sha2(F.concat(F.lit(salt), F.when(F.col("doc_id").isin(5, 77_777), 5).otherwise(F.col("doc_id")).cast("string")), 256)
+    df = df.withColumn("text", F.concat(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(line), own("r")))
+    got = suffix_dedup.dedup_suffixes(df).where("n_removed > 0").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_removed, r.n_spans) for r in got] == [(i, len(line.encode()) + 64, 1) for i in (5, 77_777)]
+
+
 @pytest.mark.parametrize("external", [False, True])
 def test_collections(tmp_path, monkeypatch, external):
     """Repeated windows of random collections, their columns in pieces of a few suffixes, in memory or in files that are gone afterwards."""
