@@ -37,6 +37,8 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 #: Identifiers, and the beginnings of identifiers, that let a reader use the text freely.
 FREE = {"mit", "mit-0", "isc", "zlib", "unlicense", "wtfpl", "0bsd", "bsl-1.0", "ncsa", "postgresql"}
 FREE_FAMILIES = ("apache-", "bsd-", "cc0-", "cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4", "python-", "psf-")
+#: Beginnings of other identifiers that are known as such.
+KNOWN_FAMILIES = FREE_FAMILIES + ("gpl-", "lgpl-", "agpl-", "gfdl-", "mpl-", "epl-", "eupl-", "cddl-", "cecill-", "artistic-", "ofl-", "osl-", "ms-", "busl-", "cc-by-", "licenseref-")
 
 #: What a find adds to the certainty that a text states a licence.
 CERTAIN = {"free tag": 0.9, "tag": 0.8, "base": 0.75, "more": 0.5}
@@ -49,61 +51,82 @@ def is_free(identifier: str) -> bool:
     return identifier in FREE or identifier.startswith(FREE_FAMILIES)
 
 
+def is_known(identifier: str) -> bool:
+    return identifier in FREE or identifier.startswith(KNOWN_FAMILIES)
+
+
+def longest_expression(text: str) -> list[str]:
+    """Tokens of the longest well-formed beginning; none if there is none.
+
+    ``with`` stands between two identifiers. Behind ``and`` or ``or`` in small letters,
+    which prose uses too, only identifiers that are known are operands.
+    """
+    tokens = _TOKEN.findall(text)
+    operand, depth, prose, whole, linked = True, 0, False, 0, ""
+    for i, token in enumerate(tokens):
+        low = token.lower()
+        if low in _RANK:
+            if operand or low == "with" and (tokens[i - 1] == ")" or linked == "with"):
+                break
+            operand, linked, prose = True, low, low != "with" and token == low
+        elif token == "(":
+            if not operand or linked == "with":
+                break
+            depth, linked = depth + 1, ""
+        elif token == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        else:
+            if not operand or prose and not is_known(low):
+                break
+            operand, prose = False, False
+        if not operand and not depth:
+            whole = i + 1
+    return tokens[:whole]
+
+
 def parse_expression(text: str) -> tuple[set[str], bool] | None:
-    """(labels, free?) of a licence expression; None if it is not well formed.
+    """(labels, free?) of the longest well-formed beginning of a licence expression; None if there is none.
 
     Shunting-yard over ``or`` < ``and`` < ``with`` and parentheses. An identifier is its
     own label, and free as ``is_free`` has it. ``and`` binds to both sides: all their
     labels, free if both are. ``or`` lets the reader choose: of a free side and one
-    that is not, the free one's labels; else both sides'. ``with`` stands between two
-    identifiers, which are one label, as free as the first. What follows the longest
-    well-formed beginning, such as the end of a comment, is left. Labels are at most as
-    many as identifiers.
+    that is not, the free one's labels; else both sides'. Two identifiers with ``with``
+    between them are one label, as free as the first. What follows the longest
+    well-formed beginning, such as the end of a comment, an operator without a second
+    side or an open parenthesis, is left. Labels are at most as many as identifiers.
     """
-    queue, stack, operand, tokens = [], [], True, _TOKEN.findall(text)
-    for token in tokens:
+    queue, stack = [], []
+    for token in longest_expression(text):
         low = token.lower()
         if low in _RANK:
-            if operand:
-                return None
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 queue.append(stack.pop())
             stack.append(low)
-            operand = True
         elif token == "(":
-            if not operand:
-                break
             stack.append(token)
         elif token == ")":
-            if operand or "(" not in stack:
-                break
             while stack[-1] != "(":
                 queue.append(stack.pop())
             stack.pop()
         else:
-            if not operand:
-                break
             queue.append((low,))
-            operand = False
-    if operand or "(" in stack:
-        return None
-    values: list[tuple[set[str], bool, bool]] = []  # labels, free?, a lone identifier?
+    values: list[tuple[set[str], bool]] = []  # labels, free?
     for item in [*queue, *reversed(stack)]:
         if isinstance(item, tuple):
-            values.append(({item[0]}, is_free(item[0]), True))
+            values.append(({item[0]}, is_free(item[0])))
             continue
-        (right, right_free, right_lone), (left, left_free, left_lone) = values.pop(), values.pop()
+        (right, right_free), (left, left_free) = values.pop(), values.pop()
         if item == "with":
-            if not (left_lone and right_lone):
-                return None
-            values.append(({f"{left.pop()} with {right.pop()}"}, left_free, False))
+            values.append(({f"{left.pop()} with {right.pop()}"}, left_free))
         elif item == "or" and left_free != right_free:
-            values.append((left if left_free else right, True, False))
+            values.append((left if left_free else right, True))
         else:
             large, small = (left, right) if len(left) >= len(right) else (right, left)
             large |= small
-            values.append((large, left_free and right_free, False))
-    return values[0][:2]
+            values.append((large, left_free and right_free))
+    return values[0] if values else None
 
 
 def tagged_expressions(raw: bytes, folded: bytes, ends: list[int]) -> Iterator[str]:

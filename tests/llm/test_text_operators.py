@@ -343,13 +343,17 @@ def test_licences(spark, rows):
 
 def test_licence_expressions(spark):
     p = licences.parse_expression
-    assert p("MIT") == ({"mit"}, True) and p("A and (b or C)") == ({"a", "b", "c"}, False)
+    assert p("MIT") == ({"mit"}, True) and p("A AND (b OR C)") == ({"a", "b", "c"}, False)
     assert p("GPL-2.0+ WITH x AND mit") == ({"gpl-2.0+ with x", "mit"}, False)
-    assert p("") is None and p("and") is None and p("(MIT") is None and p("MIT OR") is None and p("MIT */ done") == ({"mit"}, True)
+    assert p("") is None and p("and") is None and p("(MIT") is None and p("MIT */ done") == ({"mit"}, True)
     # a choice goes to the free side; a demand does not
     assert p("GPL-2.0 OR MIT") == ({"mit"}, True) and p("GPL-2.0 AND MIT") == ({"gpl-2.0", "mit"}, False)
     assert p("GPL-2.0 OR MIT AND agpl-3.0") == ({"gpl-2.0", "mit", "agpl-3.0"}, False) and p("(GPL-2.0 OR MIT) AND ISC") == ({"mit", "isc"}, True)
-    assert p("MIT OR ISC") == ({"mit", "isc"}, True) and p("(a or b) with c") is None and p("a with b with c") is None
+    assert p("MIT OR ISC") == ({"mit", "isc"}, True)
+    # the longest well-formed beginning
+    for text, beginning in {"MIT OR": "MIT", "MIT or (": "MIT", "(MIT OR Apache-2.0) and": "(MIT OR Apache-2.0)", "MIT AND (ISC OR": "MIT", "MIT) AND ISC": "MIT", "(a OR b) with c": "(a OR b)", "a with b with c": "a with b", "a OR OR b": "a", "MIT with (b)": "MIT", "MIT with": "MIT"}.items():
+        assert p(text) == p(beginning) is not None
+    assert p("MIT and all other parts") == ({"mit"}, True) == p("MIT or (at your choice)") and p("GPL-2.0-only and MIT") == ({"gpl-2.0-only", "mit"}, False)
     many = " OR ".join(f"(L{i} with e{i})" for i in range(4000))
     labels, free = p(many)
     assert len(labels) == 4000 and not free and p("(" * 5000 + "MIT" + ")" * 5000) == ({"mit"}, True)
