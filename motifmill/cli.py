@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from motifmill.operators import search
-from motifmill.operators.index import Index
+from motifmill.operators.index import DUMP, Index, dumped
 from motifmill.operators.metrics import written_counts
 from motifmill.operators.rank_search import RankBins
 from motifmill.sources.sequences import read_fasta, read_reference
@@ -60,14 +60,23 @@ def main(argv: list[str] | None = None) -> int:
     count.add_argument("--out")
     count.add_argument("--index", help="what build wrote")
     count.add_argument("--search", choices=("seeds", "ranks"), default="seeds")
-    for command in (build, count):
+    dump = commands.add_parser("dump", help="the transform's columns in pieces, sorted by contig and piece")
+    dump.add_argument("index")
+    dump.add_argument("out")
+    dump.add_argument("--symbols", type=threads, default=DUMP, help="of a piece")
+    for command in (build, count, dump):
         command.add_argument("--threads", type=threads, help="of a local session; a cluster's own setting holds otherwise")
+    for command in (build, count):
         command.add_argument("--normalize", choices=("upper",))
     args = parser.parse_args(argv)
     builder = SparkSession.builder
     spark = (builder.master(f"local[{args.threads}]") if args.threads else builder).getOrCreate()
     if args.command == "count" and (args.reference is None) == (args.index is None):
         parser.error("count takes a reference or --index")
+    if args.command == "dump":
+        pieces = dumped(Index.load(spark, there(spark, args.index)).bwt, args.symbols)
+        pieces.repartitionByRange("contig_id", "piece").sortWithinPartitions("contig_id", "piece").write.parquet(args.out)
+        return 0
     if args.command == "build" or args.index is None:
         texts = read_reference(spark, there(spark, args.reference), normalize=args.normalize)
     if args.command == "build":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHABET = "ACGT"
@@ -45,6 +45,20 @@ def packed_symbol(word: Column, place: Column, bits: int = 2, word_bits: int = 3
     return F.call_function("shiftrightunsigned", word.cast("long"), shift.cast("int")).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
+def unpacked(words: DataFrame, lengths: DataFrame, size: int) -> DataFrame:
+    """contig_id, piece, codes: digits of ``size`` symbols (a multiple of 16) a row out of words of 16 symbols. words: contig_id, word_no, word; lengths: contig_id, n.
+
+    Words meet in groups of ``size`` symbols and know by their number alone which piece
+    they belong to; only the last one of a contig needs its length.
+    """
+    if size < 16 or size % 16:
+        raise ValueError("size must be a multiple of 16")
+    n, first = F.col("n"), F.col("piece") * size
+    digits = F.aggregate(F.sort_array("r"), F.lit(""), lambda all_, x: F.concat(all_, F.lpad(F.conv(x["word"].cast("string"), 10, 4), 16, "0")))
+    held = words.groupBy("contig_id", F.expr(f"word_no div {size // 16}").alias("piece")).agg(F.collect_list(F.struct("word_no", "word")).alias("r"))
+    return held.join(lengths, "contig_id").select("contig_id", "piece", F.substring(digits, F.lit(1), F.least(F.lit(size), n - first).cast("int")).alias("codes"))
+
+
 def folded(seq: Column, normalize: str | None = None) -> Column:
     """``normalize`` = 'upper' makes matching blind to case; None leaves symbols as they are."""
     if normalize not in (None, "upper"):

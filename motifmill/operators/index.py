@@ -16,6 +16,8 @@ from motifmill.sources.sequences import input_key
 D = 64
 #: Rows that one entry of the single symbols' ranks stands for.
 RANGE = 512
+#: Symbols in a piece of a dump.
+DUMP = 1 << 16
 #: Stored bytes of a rank table that one bucket stands for.
 BUCKET_BYTES = 64 << 20
 TABLES = ("meta", "bwt", "c_table", "firsts", "occ", "lut", "symbols", "places")
@@ -93,6 +95,12 @@ def lut(suffixes: DataFrame, ks: tuple[int, ...] = (5, 6)) -> DataFrame:
     return rows.select("contig_id", "k", "kmer", kmer_code(F.col("kmer")).alias("code"), "lo", "hi")
 
 
+def dumped(bwt: DataFrame, size: int = DUMP) -> DataFrame:
+    """contig_id, piece, b0, b1: the two columns of the transform as strings of ``size`` symbols each, the last one shorter. No row or group grows with a contig."""
+    rows = bwt.groupBy("contig_id", F.expr(f"i div {size}").alias("piece")).agg(F.sort_array(F.collect_list(F.struct((F.col("i") % size).alias("at"), "b0", "b1"))).alias("r"))
+    return rows.select("contig_id", "piece", *[F.array_join(f"r.{c}", "").alias(c) for c in ("b0", "b1")])
+
+
 @dataclass
 class Index:
     """Tables of a built index."""

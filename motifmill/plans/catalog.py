@@ -160,6 +160,13 @@ def bitunpack_words(spark, sf_dir):
     return rows.select("contig_id", F.concat_ws("", F.transform("r", lambda x: x.codes)).alias("codes"))
 
 
+@query(with_base("""SELECT contig_id, p AS piece, translate(substr(seq, p * 256 + 1, 256), 'ACGT', '0123') AS codes
+FROM (SELECT contig_id, seq, unnest(range(0, (length(seq) + 255) // 256)) AS p FROM genome)"""))
+def bitunpack_pieces(spark, sf_dir):
+    """The packed words taken apart again in pieces of 256 symbols, so that no row or group grows with a contig."""
+    return en.unpacked(bitpack_words(spark, sf_dir), genome(spark, sf_dir).select("contig_id", F.length("seq").alias("n")), 256)
+
+
 @query(with_base("""SELECT contig_id, length(seq)::BIGINT + 1 AS n_rows, 2 AS bits, ((length(seq) + 1) * 2 + 7) // 8 AS packed_bytes,
 round((length(seq) + 1) / (((length(seq) + 1) * 2 + 7) // 8)::DOUBLE, 6) AS ratio FROM genome"""))
 def compression_ratio(spark, sf_dir):
@@ -189,6 +196,12 @@ def bwt_string(spark, sf_dir):
     return rows.select("contig_id", F.concat_ws("", F.transform("r", lambda x: x.b0)).alias("b0"), F.concat_ws("", F.transform("r", lambda x: x.b1)).alias("b1"))
 
 
+@query(with_base(_SA, _BWT, "SELECT contig_id, i // 256 AS piece, string_agg(b0, '' ORDER BY i) AS b0, string_agg(b1, '' ORDER BY i) AS b1 FROM bwt GROUP BY ALL"))
+def bwt_pieces(spark, sf_dir):
+    """The transform's columns as strings of 256 symbols."""
+    return ix.dumped(_index(spark, sf_dir).bwt, 256)
+
+
 _PAIRS = "pairs AS (SELECT contig_id, sym2, count(*) AS n FROM bwt WHERE sym2 IS NOT NULL GROUP BY contig_id, sym2)"
 
 

@@ -52,6 +52,30 @@ def test_suffix_array_and_transform(spark, texts, index):
         assert {r.pos for r in rows if r.sym2 is None} == ({0, 1} if t else {0})
 
 
+def test_dumps_in_pieces(spark, texts, index):
+    """Pieces, put one behind the other, are the whole columns and the whole texts, at sizes that contigs fill exactly and do not."""
+    for size in (1, 64, 1 << 16):
+        for column in ("b0", "b1"):
+            whole, got = {}, {}
+            for r in index.bwt.orderBy("contig_id", "i").collect():
+                whole[r.contig_id] = whole.get(r.contig_id, "") + r[column]
+            for r in ix.dumped(index.bwt, size).orderBy("contig_id", "piece").collect():
+                assert len(r.b0) == len(r.b1) == min(size, len(texts[r.contig_id]) + 1 - size * r.piece)
+                got[r.contig_id] = got.get(r.contig_id, "") + r[column]
+            assert got == whole
+    words = [(c, w, int(t[16 * w : 16 * w + 16].translate(str.maketrans("ACGT", "0123")).ljust(16, "0"), 4)) for c, t in texts.items() for w in range(-(-len(t) // 16))]
+    packed = spark.createDataFrame(words, "contig_id long, word_no long, word long").repartition(5)
+    lengths = spark.createDataFrame([(c, len(t)) for c, t in texts.items()], "contig_id long, n int")
+    for size in (16, 64, 1 << 16):
+        got = {}
+        for r in en.unpacked(packed, lengths, size).orderBy("contig_id", "piece").collect():
+            got[r.contig_id] = got.get(r.contig_id, "") + r.codes
+        assert got == {c: t.translate(str.maketrans("ACGT", "0123")) for c, t in texts.items() if t}
+    assert en.unpacked(packed.limit(0), lengths, 16).count() == ix.dumped(index.bwt.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="multiple of 16"):
+        en.unpacked(packed, lengths, 24)
+
+
 def test_known_facts(index):
     rows = sorted((r.i, r.pos, r.b0, r.b1) for r in index.bwt.where("contig_id = 0").collect())
     assert [r[1] for r in rows] == [7, 6, 4, 1, 5, 0, 3, 2]

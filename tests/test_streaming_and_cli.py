@@ -46,6 +46,11 @@ def test_cli_counts_in_what_it_built(spark, tmp_path, capsys):
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "counts")).collect()) == [1, 1, 2]
     with pytest.raises(SystemExit):
         cli.main(["count", str(tmp_path / "reads.fa")])
+    assert cli.main(["dump", str(tmp_path / "index"), str(tmp_path / "dump"), "--symbols", "4"]) == 0
+    pieces = spark.read.parquet(str(tmp_path / "dump")).orderBy("contig_id", "piece").collect()
+    text = "GATTACAGATTNCA$"
+    order = sorted(range(len(text)), key=lambda p: text[p:])
+    assert "".join(r.b0 for r in pieces) == "".join(text[p - 1] for p in order) and [len(r.b1) for r in pieces] == [4, 4, 4, 3]
 
 
 def test_stream_over_bins(spark, tmp_path):
