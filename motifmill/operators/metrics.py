@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from motifmill.plans.storage import small_side
 from motifmill.sources.sequences import global_index
 
 
+def quotient(x: Column, y: Column) -> Column:
+    """x / y as floating point has it: infinite, or no number for 0 / 0, where y is 0, which Spark takes for an error."""
+    x, y = x.cast("double"), y.cast("double")
+    return F.when(y != 0, x / y).when(y == 0, F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).when(x == 0, F.lit(float("nan"))).otherwise(x))
+
+
 def run_metrics(runs: DataFrame, *, group: str, order: list[str], run: str, secs: str) -> DataFrame:
     """Per group, without its first run (the warm-up): runs, least, mean and most seconds, the first run with the least and the most, spread.
 
@@ -27,19 +33,19 @@ def run_metrics(runs: DataFrame, *, group: str, order: list[str], run: str, secs
         F.min(F.struct((-F.col(secs)).alias("s"), *order, F.col(run).alias("_which")))["_which"].alias("most_run"),
         F.stddev_pop(secs).alias("sd"),
     )
-    return out.select(group, "runs", F.round("least", 6).alias("least"), F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"), "least_run", "most_run", F.round(100 * F.col("sd") / F.col("mean"), 4).alias("spread"))
+    return out.select(group, "runs", F.round("least", 6).alias("least"), F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"), "least_run", "most_run", F.round(quotient(100 * F.col("sd"), F.col("mean")), 4).alias("spread"))
 
 
 def throughput(runs: DataFrame, *, group: str, order: list[str], secs: str, ops: str) -> DataFrame:
     """Per group: agree (did all runs do the same operations?), raw (all operations by all seconds), best and mean (one run's operations by the least and the mean seconds, without the first run).
 
-    In thousands of millions a second. Runs that disagree have no rates: null.
+    In thousands of millions a second; infinite for no seconds. Runs that disagree have no rates: null.
     """
     key = F.struct(*order)
-    every = runs.groupBy(group).agg((F.min(ops) == F.max(ops)).alias("agree"), F.min(key).alias("warm_up"), F.max(ops).alias("ops"), (F.sum(ops) / F.sum(secs)).alias("all"))
+    every = runs.groupBy(group).agg((F.min(ops) == F.max(ops)).alias("agree"), F.min(key).alias("warm_up"), F.max(ops).alias("ops"), quotient(F.sum(ops), F.sum(secs)).alias("all"))
     rest = runs.join(small_side(every.select(group, "warm_up")), group).where(key != F.col("warm_up")).groupBy(group).agg(F.min(secs).alias("least"), F.avg(secs).alias("mean_secs"))
     rate = lambda x: F.when(F.col("agree"), F.round(x / 1e9, 9))
-    return every.join(rest, group, "left").select(group, "agree", rate(F.col("all")).alias("raw"), rate(F.col("ops") / F.col("least")).alias("best"), rate(F.col("ops") / F.col("mean_secs")).alias("mean"))
+    return every.join(rest, group, "left").select(group, "agree", rate(F.col("all")).alias("raw"), rate(quotient(F.col("ops"), F.col("least"))).alias("best"), rate(quotient(F.col("ops"), F.col("mean_secs"))).alias("mean"))
 
 
 def all_equal(runs: DataFrame, group: str, value: str) -> DataFrame:

@@ -479,3 +479,14 @@ def test_contigs_added_later(spark, unknown, tmp_path):
         assert want == sorted(map(repr, getattr(saved, name).collect())) == sorted(map(repr, getattr(held, name).collect()))
     with pytest.raises(ValueError, match="contig 3 already"):
         held.extended(texts_of(spark, {3: "A"}))
+
+
+def test_rates_of_no_seconds(spark):
+    """Runs of zero seconds have infinite rates, as in the SQL; no seconds and no operations give no number."""
+    rows = [("a", 1, 1, 2.0, 10), ("a", 2, 2, 0.0, 10), ("b", 1, 3, 0.0, 10), ("b", 2, 4, 0.0, 10), ("c", 1, 5, 0.0, 0), ("c", 2, 6, 0.0, 0), ("d", 1, 7, 0.0, 1), ("d", 2, 8, 1.0, 2)]
+    runs = spark.createDataFrame(rows, "g string, ts long, id long, secs double, ops long")
+    got = {r.g: (r.raw, r.best, r.mean) for r in metrics.throughput(runs, group="g", order=["ts", "id"], secs="secs", ops="ops").collect()}
+    inf = float("inf")
+    assert got["a"] == (round(10e-9, 9), inf, inf) and got["b"] == (inf,) * 3 and all(x != x for x in got["c"]) and got["d"] == (None,) * 3
+    spread = {r.g: r.spread for r in metrics.run_metrics(runs, group="g", order=["ts", "id"], run="id", secs="secs").collect()}
+    assert spread["d"] == 0 and spread["b"] != spread["b"]
