@@ -1,6 +1,6 @@
 """FASTA as a data source: ``spark.read.format("fasta").load(path)`` after ``register(spark)``.
 
-Files are read in byte ranges, a task for each; a record belongs to the range in which
+Files are read in byte ranges, a task for each, or for many where they are small; a record belongs to the range in which
 its header begins, and is read on beyond the range's end. A task holds one record and a
 block of its file at a time. Paths are what pyarrow's file systems open (local and
 shared folders, HDFS, object stores), a file, a folder or a pattern; for a store that only
@@ -12,6 +12,7 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -19,15 +20,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a range, of a block that is read at a time, and of the records of one batch.
 RANGE_BYTES, BLOCK_BYTES, BATCH_BYTES = 64 << 20, 1 << 20, 4 << 20
+#: Bytes that a task reads if its ranges are smaller, and what opening a file counts as.
+TASK_BYTES, OPEN_BYTES = 1 << 20, 1 << 14
 SCHEMA = "path string, offset long, header string, q string"
 _ARROW = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("header", pa.string()), ("q", pa.string())])
 
 
 @dataclass
-class ByteRange(InputPartition):
-    path: str
-    start: int
-    end: int
+class ByteRanges(InputPartition):
+    """(path, start, end) of the ranges that one task reads."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 def _opened(path: str):
@@ -55,12 +58,12 @@ def _files(path: str) -> list[tuple[str, int]]:
     return sorted((scheme + i.path, i.size) for i in found if i.type == fs.FileType.File)
 
 
-def _lines(file, at: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, line without its end) from ``at`` on, where a line begins."""
+def _lines(file, at: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, line without its end) from ``at`` on, where a line begins; ``size`` bytes are read at a time."""
     held: list[bytes] = []  # of a line that goes over blocks
     begin = at
     file.seek(at)
-    while block := file.read(BLOCK_BYTES):
+    while block := file.read(size):
         lo = 0
         while (hi := block.find(b"\n", lo)) >= 0:
             yield begin, b"".join([*held, block[lo:hi]])
@@ -73,13 +76,13 @@ def _lines(file, at: int) -> Iterator[tuple[int, bytes]]:
 
 def records(file, start: int, end: int) -> Iterator[tuple[int, str, str | None]]:
     """(offset, header, symbols or None) of the records whose header begins from ``start`` to ``end`` - 1; headers are lines that begin with '>'."""
-    at = start
+    at, size = start, min(BLOCK_BYTES, max(end - start, 1 << 12))  # a small range reads little beyond its end
     if start:  # a line that begins before the range is the range before's
-        at = next((o + len(line) + 1 for o, line in _lines(file, start - 1)), start)
+        at = next((o + len(line) + 1 for o, line in _lines(file, start - 1, size)), start)
     header: tuple[int, str] | None = None
     parts: list[bytes] = []
     whole = lambda: (*header, "".join(b"".join(parts).decode("utf-8", "replace").split()) or None)
-    for offset, line in _lines(file, at):
+    for offset, line in _lines(file, at, size):
         if line.startswith(b">"):
             if header is not None:
                 yield whole()
@@ -99,22 +102,34 @@ class FastaReader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int):
         self.path, self.range_bytes = path, range_bytes
 
-    def partitions(self) -> list[ByteRange]:
-        ranges = [ByteRange(path, lo, min(lo + self.range_bytes, size)) for path, size in _files(self.path) for lo in range(0, size, self.range_bytes)]
-        return ranges or [ByteRange("", 0, 0)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[ByteRanges]:
+        """Ranges of TASK_BYTES in all, or one larger range, are a task: tasks do not grow in number as ranges get small."""
+        tasks: list[list[tuple[str, int, int]]] = [[]]
+        held = 0
+        for path, size in _files(self.path):
+            held += OPEN_BYTES
+            for lo in range(0, size, self.range_bytes):
+                one = path, lo, min(lo + self.range_bytes, size)
+                if tasks[-1] and held + one[2] - lo > TASK_BYTES:
+                    tasks.append([])
+                    held = OPEN_BYTES
+                tasks[-1].append(one)
+                held += one[2] - lo
+        return [ByteRanges(t) for t in tasks]
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        if partition.path:
-            system, name = _opened(partition.path)
+        for path, ranges in groupby(partition.ranges, key=lambda r: r[0]):
+            system, name = _opened(path)
             with system.open_input_file(name) as file:
-                for offset, header, q in records(file, partition.start, partition.end):
-                    rows.append((partition.path, offset, header, q))
-                    held += len(header) + len(q or "")
-                    if held >= BATCH_BYTES:
-                        yield _batch(rows)
-                        rows, held = [], 0
+                for _, start, end in ranges:
+                    for offset, header, q in records(file, start, end):
+                        rows.append((path, offset, header, q))
+                        held += len(header) + len(q or "")
+                        if held >= BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, held = [], 0
         yield _batch(rows)
 
 

@@ -490,3 +490,32 @@ def test_rates_of_no_seconds(spark):
     assert got["a"] == (round(10e-9, 9), inf, inf) and got["b"] == (inf,) * 3 and all(x != x for x in got["c"]) and got["d"] == (None,) * 3
     spread = {r.g: r.spread for r in metrics.run_metrics(runs, group="g", order=["ts", "id"], run="id", secs="secs").collect()}
     assert spread["d"] == 0 and spread["b"] != spread["b"]
+
+
+def test_fasta_of_many_small_ranges_is_few_tasks(tmp_path):
+    """Ranges of two kilobytes of a file of two megabytes are three tasks, and each range reads little beyond itself."""
+    from motifmill.sources import fasta_source as fs
+
+    lines = [f">r{k}\n{'ACGT' * (k % 40)}\n" for k in range(24_000)]
+    (tmp_path / "a.fa").write_text("".join(lines))
+    size = (tmp_path / "a.fa").stat().st_size
+    reader = fs.FastaReader(str(tmp_path), 2048)
+    tasks = reader.partitions()
+    assert len(tasks) == 3 and sum(len(t.ranges) for t in tasks) == -(-size // 2048)
+    got = [h for t in tasks for b in reader.read(t) for h in b.column("header").to_pylist()]
+    assert got == [f"r{k}" for k in range(24_000)]
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.read_bytes = file, 0
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            self.read_bytes += len(out := self.file.read(n))
+            return out
+
+    with open(tmp_path / "a.fa", "rb") as file:
+        counted = Counted(file)
+        assert list(fs.records(counted, 1 << 20, (1 << 20) + 2048)) and counted.read_bytes < 1 << 16
