@@ -574,7 +574,10 @@ SELECT kmer FROM k WHERE lang = 'en' INTERSECT SELECT kmer FROM k WHERE lang = '
 def kmer_intersect(spark, sf_dir):
     """6-mers that English and German texts share."""
     langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("contig_id"), "lang").where("lang in ('en', 'de')")
-    kinds = materialize(_kmers(genome(spark, sf_dir), 6).join(langs, "contig_id").select("lang", "kmer").distinct(), "kmers-by-lang")
+    # languages meet texts, not places: a row for each place is many times what its estimate says, by which a side is broadcast
+    texts = genome(spark, sf_dir).join(langs, "contig_id")
+    of = lambda lang: _kmers(texts.where(F.col("lang") == lang), 6).select(F.lit(lang).alias("lang"), "kmer")
+    kinds = materialize(of("en").unionByName(of("de")).distinct(), "kmers-by-lang")
     return kinds.where("lang = 'en'").select("kmer").intersect(kinds.where("lang = 'de'").select("kmer"))
 
 

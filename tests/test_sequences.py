@@ -1,6 +1,8 @@
 """The sequence engine against naive counting and known facts."""
 
+import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -519,3 +521,21 @@ def test_fasta_of_many_small_ranges_is_few_tasks(tmp_path):
     with open(tmp_path / "a.fa", "rb") as file:
         counted = Counted(file)
         assert list(fs.records(counted, 1 << 20, (1 << 20) + 2048)) and counted.read_bytes < 1 << 16
+
+
+def test_shared_kmers_join_texts_not_places(spark):
+    """Languages meet texts before a text has a row for each place, whose number no estimate knows."""
+    plans = []
+    keep = catalog.materialize
+    try:
+        catalog.materialize = lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, label)
+        catalog.queries()["kmer_intersect"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        catalog.materialize = keep
+    deep = lambda line: re.search(r"[A-Za-z]", line).start()
+    lines = [line for plan in plans for line in plan.splitlines()]
+    joins = [k for k, line in enumerate(lines) if "Join" in line.split("[")[0]]
+    assert joins
+    for k in joins:
+        below = itertools.takewhile(lambda line: deep(line) > deep(lines[k]), lines[k + 1 :])  # noqa: B023
+        assert not any("Generate" in line for line in below)
