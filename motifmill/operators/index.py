@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from functools import cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motifmill.functions.encode import ALPHABET, is_coded, kmer_code, kmer_text, symbol_code
+from motifmill.functions.encode import ALPHABET, is_coded, kmer_code, symbol_code
 from motifmill.operators import suffix
-from motifmill.operators.ranking import running
+from motifmill.operators.ranking import FAN, running
 from motifmill.plans.storage import bucket_count, bucketed, materialize
 from motifmill.sources.sequences import input_key
 
@@ -38,32 +39,49 @@ def beginnings(bwt: DataFrame) -> DataFrame:
 
 
 def c_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
-    """contig_id, sym2 (0 to 16), n, c_before: suffixes that begin with the pair, and those that come before; symbols outside ACGT have their place among them."""
-    every = meta.select("contig_id", "len", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("sym2")).withColumn("pair", F.when(F.col("sym2") < 16, kmer_text(F.col("sym2"), 2)))
-    met = every.join(begins, "contig_id").groupBy("contig_id", "sym2", "len").agg(F.sum(F.when(F.col("begin") == F.col("pair"), F.col("n"))).alias("n"), F.sum(F.when(F.col("begin") < F.col("pair"), F.col("n"))).alias("c_before"))
-    return met.select("contig_id", "sym2", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("sym2") == 16, F.col("len")).otherwise(F.coalesce("c_before", F.lit(0))).cast("long").alias("c_before"))
+    """contig_id, sym2 (0 to 16), n, c_before: suffixes that begin with the pair, and those that come before; symbols outside ACGT have their place among them.
+
+    A contig is one row until the last join is done: no side of a join is larger than its estimate, by which sides are broadcast.
+    """
+    of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long")
+    begin = F.col("begin")
+    each = [F.struct(F.lit(k).alias("sym2"), of(begin == pair).alias("n"), of(begin < pair).alias("c_before")) for k, pair in enumerate(a + b for a in ALPHABET for b in ALPHABET)]
+    met = begins.groupBy("contig_id").agg(F.array(*each).alias("pairs")).join(meta.select("contig_id", "len"), "contig_id")
+    end = F.array(F.struct(F.lit(16).alias("sym2"), F.lit(0).cast("long").alias("n"), F.col("len").alias("c_before")))
+    return met.select("contig_id", F.explode(F.concat("pairs", end)).alias("e")).select("contig_id", "e.sym2", "e.n", "e.c_before")
 
 
 def firsts_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
     """contig_id, x, lo, hi: the rows of the suffixes that begin with each symbol of ACGT."""
-    every = meta.select("contig_id", F.explode(F.array(*[F.struct(F.lit(k).alias("x"), F.lit(c).alias("symbol")) for k, c in enumerate(ALPHABET)])).alias("e")).select("contig_id", "e.*")
-    met = every.join(begins, "contig_id").groupBy("contig_id", "x").agg(F.sum(F.when(F.col("begin") < F.col("symbol"), F.col("n"))).alias("lo"), F.sum(F.when(F.col("begin").startswith(F.col("symbol")), F.col("n"))).alias("n"))
-    return met.select("contig_id", "x", F.coalesce("lo", F.lit(0)).cast("long").alias("lo"), (F.coalesce("lo", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("hi"))
+    of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long")
+    begin = F.col("begin")
+    each = [F.struct(F.lit(k).alias("x"), of(begin < c).alias("lo"), of(begin.startswith(c)).alias("n")) for k, c in enumerate(ALPHABET)]
+    met = begins.groupBy("contig_id").agg(F.array(*each).alias("symbols")).join(meta.select("contig_id"), "contig_id", "left_semi")
+    return met.select("contig_id", F.explode("symbols").alias("e")).select("contig_id", "e.x", "e.lo", (F.col("e.lo") + F.col("e.n")).alias("hi"))
 
 
 def occ_blocks(bwt: DataFrame, meta: DataFrame, d: int = D) -> DataFrame:
     """contig_id, blk, sym2, before (occurrences in the blocks before), bitmap (row offset 0 is the top bit of d).
 
-    Blocks are summed first, so the running sum goes over one row a block and symbol, in
+    A block is one row with the bitmaps of all pairs until its running sums are known, which go in
     two levels: no task holds more of a contig than a range of its blocks, or one row for each range.
     """
     if not 1 <= d <= 64:
         raise ValueError("d must be from 1 to 64")
-    bits = bwt.where("sym2 is not null").groupBy("contig_id", F.floor(F.col("i") / d).alias("blk"), "sym2").agg(F.count(F.lit(1)).alias("n"), F.bit_or(F.expr(f"shiftleft(1L, {d - 1} - cast(i % {d} as int))")).alias("bitmap"))
-    frame = meta.select("contig_id", F.explode(F.expr(f"sequence(0L, len div {d})")).alias("blk")).select("contig_id", "blk", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("sym2"))
-    dense = frame.join(bits, ["contig_id", "blk", "sym2"], "left")
-    summed = running(dense, ["contig_id", "sym2"], "blk", "n", "before")
-    return summed.select("contig_id", "blk", "sym2", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("bitmap", F.lit(0)).cast("long").alias("bitmap"))
+    # the row behind a contig's last one makes the block in which it lies, which may hold no other
+    rows = bwt.select("contig_id", "i", "sym2").unionByName(meta.where("len is not null").select("contig_id", F.col("len").alias("i"), F.lit(None).cast("int").alias("sym2")))
+    bit = F.expr(f"shiftleft(1L, {d - 1} - cast(i % {d} as int))")
+    maps, counts = [f"m{k}" for k in range(16)], [f"n{k}" for k in range(16)]
+    blocks = rows.groupBy("contig_id", F.expr(f"i div {d}").alias("blk")).agg(*[F.coalesce(F.bit_or(F.when(F.col("sym2") == k, bit)), F.lit(0).cast("long")).alias(m) for k, m in enumerate(maps)])
+    ranged = blocks.withColumn("_range", F.expr(f"blk div {FAN}"))
+    before = Window.partitionBy("contig_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("contig_id", "_range").agg(*[F.sum(F.bit_count(m)).alias(n) for m, n in zip(maps, counts, strict=True)])
+    # what the first range of a contig carries is nothing: only long contigs have others
+    carried = totals.select("contig_id", "_range", F.array(*[F.sum(n).over(before) for n in counts]).alias("_carry")).where("_range > 0")
+    inside = Window.partitionBy("contig_id", "_range").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.select("*", *[F.coalesce(F.sum(F.bit_count(m)).over(inside), F.lit(0)).alias(n) for m, n in zip(maps, counts, strict=True)]).join(carried, ["contig_id", "_range"], "left")
+    each = [F.struct(F.lit(k).alias("sym2"), (F.col(n) + F.coalesce(F.col("_carry")[k], F.lit(0))).alias("before"), F.col(m).alias("bitmap")) for k, (m, n) in enumerate(zip(maps, counts, strict=True))]
+    return summed.select("contig_id", "blk", F.explode(F.array(*each)).alias("e")).select("contig_id", "blk", "e.sym2", "e.before", "e.bitmap")
 
 
 def symbols_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
@@ -101,31 +119,38 @@ def dumped(bwt: DataFrame, size: int = DUMP) -> DataFrame:
     return rows.select("contig_id", "piece", *[F.array_join(f"r.{c}", "").alias(c) for c in ("b0", "b1")])
 
 
-@dataclass
 class Index:
-    """Tables of a built index."""
+    """Tables of an index, by the names of TABLES: a table, or what makes it, which is called when the table is first asked for."""
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        if set(tables) != set(TABLES):
+            raise TypeError(f"an index has the tables {', '.join(TABLES)}")
+        self._tables, self._dealt = tables, False
 
-    meta: DataFrame
-    bwt: DataFrame
-    c_table: DataFrame
-    firsts: DataFrame
-    occ: DataFrame
-    lut: DataFrame
-    symbols: DataFrame
-    places: DataFrame
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        if callable(made := self._tables[name]):
+            self._tables[name] = made()
+        return self._tables[name]
 
     @classmethod
     def build(cls, genome: DataFrame, d: int = D, ks: tuple[int, ...] = (5, 6), suffixes: DataFrame | None = None) -> Index:
-        """The suffixes are sorted once (or given as sorted), with the symbols that all tables need at their side. Any symbols may occur; pairs and k-mers are those of ACGT."""
+        """The suffixes are sorted once (or given as sorted and written), with the symbols that all tables need at their side. Any symbols may occur; pairs and k-mers are those of ACGT."""
         if max(ks) > suffix.HEAD:
             raise ValueError(f"k-mers of at most {suffix.HEAD} symbols")
         meta = materialize(meta_table(genome), "index-meta")
-        bwt = materialize(suffix.bwt(suffix.sorted_suffixes(genome) if suffixes is None else suffixes), "index-bwt")
-        begins = materialize(beginnings(bwt), "index-beginnings")
-        symbols = materialize(symbols_table(meta, begins), "index-symbols")
-        tables = {"c": c_table(meta, begins), "firsts": firsts_table(meta, begins), "occ": occ_blocks(bwt, meta, d), "lut": lut(bwt, ks)}
-        c, firsts, occ, kmers = (materialize(t, f"index-{name}") for name, t in tables.items())
-        return cls(meta, bwt, c, firsts, occ, kmers, symbols, materialize(places_table(bwt, meta, symbols), "index-places"))
+        bwt = suffix.bwt(suffix.sorted_suffixes(genome) if suffixes is None else suffixes)
+        begins = cache(lambda: materialize(beginnings(bwt), "index-beginnings"))
+        made = {
+            "c_table": lambda: c_table(meta, begins()),
+            "firsts": lambda: firsts_table(meta, begins()),
+            "occ": lambda: occ_blocks(bwt, meta, d),
+            "lut": lambda: lut(bwt, ks),
+            "symbols": lambda: symbols_table(meta, begins()),
+        }
+        index = cls(meta=meta, bwt=bwt, places=lambda: materialize(places_table(bwt, meta, index.symbols), "index-places"), **{name: partial(_written, make, name) for name, make in made.items()})
+        return index
 
     def save(self, path: str) -> None:
         for name in TABLES:
@@ -133,19 +158,28 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
+        return cls(**{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
 
     def bucketed(self, buckets: int | None = None) -> Index:
         """The same index, its rank tables dealt into buckets by the keys of a search step: for many or large searches, whose steps then shuffle only the reads."""
+        if self._dealt:
+            return self
         deal = lambda table, label, keys: bucketed(table, label, keys, buckets or bucket_count(table, BUCKET_BYTES))
-        return replace(self, occ=deal(self.occ.withColumnRenamed("blk", "b"), "index-occ", ["contig_id", "sym2", "b"]).withColumnRenamed("b", "blk"), places=deal(self.places, "index-places", ["contig_id", "symbol", "rng"]))
+        dealt = {
+            "occ": lambda: deal(self.occ.withColumnRenamed("blk", "b"), "index-occ", ["contig_id", "sym2", "b"]).withColumnRenamed("b", "blk"),
+            "places": lambda: deal(self.places, "index-places", ["contig_id", "symbol", "rng"]),
+        }
+        out = Index(**{name: dealt.get(name, partial(getattr, self, name)) for name in TABLES})
+        out._dealt = True
+        return out
 
     def extended(self, genome: DataFrame) -> Index:
         """With the contigs of ``genome``, which alone are sorted: every table is keyed by contig, so the result is what a build of all gives. A contig_id that the index has already is an error."""
         if not (twice := self.meta.join(genome.select("contig_id"), "contig_id", "left_semi").limit(1)).isEmpty():
             raise ValueError(f"the index has contig {twice.first()[0]} already")
         more = Index.build(genome)
-        return Index(*(getattr(self, name).unionByName(getattr(more, name)) for name in TABLES))
+        both = lambda name: getattr(self, name).unionByName(getattr(more, name))
+        return Index(**{name: partial(both, name) for name in TABLES})
 
     @staticmethod
     def append(genome: DataFrame, path: str) -> None:
@@ -165,6 +199,10 @@ class Index:
         return out.select("contig_id", F.col("len").alias("rows"), "blocks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pairs", "kinds", "entries")])
 
 
+def _written(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    return materialize(make(), f"index-{name}")
+
+
 _built: dict[tuple, Index] = {}
 _sorted: dict[tuple, DataFrame] = {}
 

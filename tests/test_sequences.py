@@ -539,3 +539,33 @@ def test_shared_kmers_join_texts_not_places(spark):
     for k in joins:
         below = itertools.takewhile(lambda line: deep(line) > deep(lines[k]), lines[k + 1 :])  # noqa: B023
         assert not any("Generate" in line for line in below)
+
+
+def test_short_contigs_are_sorted_in_their_task(spark, monkeypatch):
+    """No suffix of a contig of up to WHOLE symbols is shuffled; the order is that of the sort by ranges, for any symbols, copies of contigs and both sides of the limit."""
+    rng = random.Random(11)
+    texts = UNKNOWN | {50: "\0A\0", 51: "", 52: "AB" * 400, 53: "AB" * 400, 54: "\U0001F600a" * 9} | {60 + k: "".join(rng.choice("ACGTN$ é"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 400))) for k in range(40)}
+
+    def columns():
+        return sorted(tuple(r) for r in suffix.sorted_suffixes(texts_of(spark, texts).repartition(3)).select("contig_id", "i", "pos", "front", "head").collect())
+
+    with monkeypatch.context() as m:
+        m.setattr(suffix, "ranked", None)
+        here = columns()
+    assert {r[:2]: r[2] for r in here} == in_order(texts)
+    for c, _, pos, front, head in here:
+        s = texts[c] + "$"
+        assert (front, head) == (s[(pos - 2) % len(s)] + s[pos - 1], s[pos : pos + suffix.HEAD])
+    for limit in (0, 300):
+        monkeypatch.setattr(suffix, "WHOLE", limit)
+        assert columns() == here
+
+
+def test_index_tables_broadcast_no_exploded_side(spark, unknown):
+    """Contigs with a row for each pair are many times what their estimate says: they are made behind the joins, which would broadcast them. Tables that nobody asks for are not made."""
+    meta, begins = unknown.meta, unknown.meta.select("contig_id", F.lit("AC").alias("begin"), F.lit(1).cast("long").alias("n"))
+    for table in (ix.c_table(meta, begins), ix.firsts_table(meta, begins)):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("Join")
+    index = ix.Index.build(texts_of(spark, {0: "ACGT"}))
+    assert index.bwt.count() == 5 and callable(index._tables["occ"]) and callable(index._tables["lut"])
