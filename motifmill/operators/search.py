@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from motifmill.functions.encode import is_coded, pair_code, symbol_code
 from motifmill.operators.cutting import most_bytes, pieces
 from motifmill.operators.index import RANGE, D, Index, rank_of
+from motifmill.operators.rank_search import RankBins
 from motifmill.plans.storage import BROADCAST_ROWS, discard, materialize, small_side
 
 #: Places in a chunk of a text, where patterns are short and where they are long: a substring's cost grows with its distance from the chunk's beginning.
@@ -59,7 +60,7 @@ class Texts:
 
     def __init__(self, texts: DataFrame, id_col: str = "contig_id", text_col: str = "seq"):
         self.texts, self.id_col, self.text_col = texts, id_col, text_col
-        self.longest, self._held, self._most = 0, None, None
+        self.longest, self._held, self._most, self._bins = 0, None, None, None
 
     def most_bytes(self) -> int:
         if self._most is None:
@@ -76,6 +77,19 @@ class Texts:
         return self._held, self.longest
 
 
+    def has_bins(self, longest: int) -> bool:
+        return self._bins is not None and self._bins.longest >= longest
+
+    def bins(self, longest: int, keep: bool = False) -> RankBins:
+        """The texts sorted in bins, for patterns of up to ``longest`` symbols; kept ones serve what asks for no longer patterns."""
+        if self.has_bins(longest):
+            return self._bins
+        built = RankBins.build(self.texts, longest, id_col=self.id_col, text_col=self.text_col)
+        if keep:
+            self._bins = built
+        return built
+
+
 def _tier(length: int) -> int:
     """Tiers of patterns by length: from SAMPLED, twice that, four times that, ... symbols on."""
     return (length // SAMPLED).bit_length()
@@ -151,18 +165,32 @@ def locate(texts: DataFrame | Texts, reads: DataFrame, *, id_col: str = "contig_
 
 
 def count_matches(texts: DataFrame | Texts, reads: DataFrame, *, id_col: str = "contig_id", text_col: str = "seq") -> DataFrame:
-    """read_id, q, n: exact overlapping occurrences over all texts. 0 for absent reads, null for null and empty ones."""
+    """read_id, q, n: exact overlapping occurrences over all texts. 0 for absent reads, null for null and empty ones.
+
+    More patterns of middle length than may be broadcast are searched in sorted bins of the
+    texts: joined by their beginnings, each place would meet all patterns that share
+    its own, whose number grows with the reads, and all places would be shuffled.
+    """
     patterns = materialize(reads.select("q").where(F.length("q") > 0).distinct(), "patterns")
     empty = F.when(F.length("q") > 0, F.lit(0).cast("long"))
-    short = [n for n in _lengths(patterns) if n <= SHORT]
+    lengths = _lengths(patterns)
+    short, middle = [n for n in lengths if n <= SHORT], [n for n in lengths if SHORT < n < SAMPLED]
     held = _held(texts, id_col, text_col)
-    found = _matches(held, patterns.where(F.length("q") > SHORT))
-    counts = [] if found is None else [found.groupBy("q").agg(F.count(F.lit(1)).alias("n"))]
+    between = F.length("q").between(SHORT + 1, SAMPLED - 1)
+    counts = []
+    rest = patterns.where(F.length("q") > SHORT)
+    if middle and (held.has_bins(max(middle)) or patterns.where(between).count() > BROADCAST_ROWS):
+        asked = patterns.where(between).select(F.lit(0).alias("read_id"), "q")
+        counts.append(held.bins(max(middle)).count(asked).where("n > 0").select("q", "n"))
+        rest = patterns.where(F.length("q") >= SAMPLED)
+    found = _matches(held, rest)
+    if found is not None:
+        counts.append(found.groupBy("q").agg(F.count(F.lit(1)).alias("n")))
     if short:
         counts.append(_short_counts(held.texts, patterns.where(F.length("q") <= SHORT), short, held.id_col, held.text_col))
     if not counts:
         return reads.select("read_id", "q", empty.alias("n"))
-    counts = counts[0] if len(counts) == 1 else counts[0].unionByName(counts[1])
+    counts = reduce(DataFrame.unionByName, counts)
     return reads.join(counts, "q", "left").select("read_id", "q", F.coalesce("n", empty).alias("n"))
 
 
@@ -179,9 +207,12 @@ def shortest_unmatched(texts: DataFrame, reads: DataFrame) -> DataFrame:
 
     A beginning of a beginning that occurs occurs too, so each round asks for the middle
     one of the lengths that are left: rounds grow with the logarithm of the longest
-    read, and every round is one count of distinct patterns over the same chunks.
+    read, and every round is one count of distinct patterns over the same chunks, or over the same bins where patterns are many.
     """
     held = Texts(texts)
+    asks = reads.where(F.length("q") > SHORT).agg(F.count_distinct("q"), F.max(F.length("q"))).first()
+    if asks[0] > BROADCAST_ROWS:
+        held.bins(min(asks[1], SAMPLED - 1), keep=True)
     known = materialize(reads.where(F.length("q") > 0).select("q").distinct().select("q", F.lit(0).alias("lo"), (F.length("q") + 1).alias("hi")), "prefixes")
     while not (open_ := known.where("hi - lo > 1")).isEmpty():
         middle = F.expr("(lo + hi) div 2").cast("int")

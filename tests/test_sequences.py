@@ -569,3 +569,24 @@ def test_index_tables_broadcast_no_exploded_side(spark, unknown):
         assert plan.index("Generate") < plan.index("Join")
     index = ix.Index.build(texts_of(spark, {0: "ACGT"}))
     assert index.bwt.count() == 5 and callable(index._tables["occ"]) and callable(index._tables["lut"])
+
+
+def test_many_patterns_are_searched_in_bins(spark, monkeypatch):
+    """More patterns than may be broadcast are counted in sorted bins, with shorter and longer ones beside them; none is joined with all places that begin alike."""
+    rng = random.Random(12)
+    texts = {k: "".join(rng.choice("ACGT" if k % 2 else "Aé") for _ in range(400)) for k in range(12)}
+    cut = lambda t: (lambda at, n: t[at : at + n])(rng.randrange(300), rng.choice([1, 3, 7, 8, 11, 12, 20, 47, 48, 90]))
+    reads = {k: cut(texts[k % 12]) for k in range(150)} | {200: "ACGTACGTACGTT", 201: "", 202: None, 203: "T" * 60}
+    df = spark.createDataFrame(list(reads.items()), "read_id long, q string")
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 20)
+    joined = []
+    keep = search._matches
+    monkeypatch.setattr(search, "_matches", lambda held, patterns: joined.extend(r.q for r in patterns.collect()) or keep(held, patterns))
+    got = {r.read_id: r.n for r in search.count_matches(texts_of(spark, texts), df).collect()}
+    assert got == {i: None if not q else sum(naive(t, q) for t in texts.values()) for i, q in reads.items()}
+    assert joined and all(len(q) >= search.SAMPLED for q in joined)
+    back = df.select("read_id", F.reverse("q").alias("q")).where("read_id % 3 = 0")
+    for r in search.shortest_unmatched(texts_of(spark, texts), back).collect():
+        q = r.q or ""
+        assert r.k == next((k for k in range(1, len(q) + 1) if not any(q[:k] in t for t in texts.values())), None)
+    assert all(len(q) >= search.SAMPLED or len(q) <= search.SHORT for q in joined)
