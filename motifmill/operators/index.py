@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from motifmill.functions.encode import ALPHABET, is_coded, kmer_code, symbol_code
 from motifmill.operators import suffix
 from motifmill.operators.ranking import FAN, running
-from motifmill.plans.storage import bucket_count, bucketed, materialize
+from motifmill.plans.storage import bucket_count, bucketed, counted_side, materialize, shuffled_side
 from motifmill.sources.sequences import input_key
 
 D = 64
@@ -21,6 +21,8 @@ RANGE = 512
 DUMP = 1 << 16
 #: Stored bytes of a rank table that one bucket stands for.
 BUCKET_BYTES = 64 << 20
+#: Contigs whose bare ids may be broadcast, and rows of a table of some rows a contig that may be.
+IDS, ENTRIES = 1 << 20, 1 << 18
 TABLES = ("meta", "bwt", "c_table", "firsts", "occ", "lut", "symbols", "places")
 
 
@@ -41,12 +43,12 @@ def beginnings(bwt: DataFrame) -> DataFrame:
 def c_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
     """contig_id, sym2 (0 to 16), n, c_before: suffixes that begin with the pair, and those that come before; symbols outside ACGT have their place among them.
 
-    A contig is one row until the last join is done: no side of a join is larger than its estimate, by which sides are broadcast.
+    A contig is one row until the last join is done, which is by shuffle: rows of few bytes are many under a broadcast's limit of written bytes.
     """
     of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long")
     begin = F.col("begin")
     each = [F.struct(F.lit(k).alias("sym2"), of(begin == pair).alias("n"), of(begin < pair).alias("c_before")) for k, pair in enumerate(a + b for a in ALPHABET for b in ALPHABET)]
-    met = begins.groupBy("contig_id").agg(F.array(*each).alias("pairs")).join(meta.select("contig_id", "len"), "contig_id")
+    met = begins.groupBy("contig_id").agg(F.array(*each).alias("pairs")).join(shuffled_side(meta.select("contig_id", "len")), "contig_id")
     end = F.array(F.struct(F.lit(16).alias("sym2"), F.lit(0).cast("long").alias("n"), F.col("len").alias("c_before")))
     return met.select("contig_id", F.explode(F.concat("pairs", end)).alias("e")).select("contig_id", "e.sym2", "e.n", "e.c_before")
 
@@ -56,7 +58,7 @@ def firsts_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
     of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long")
     begin = F.col("begin")
     each = [F.struct(F.lit(k).alias("x"), of(begin < c).alias("lo"), of(begin.startswith(c)).alias("n")) for k, c in enumerate(ALPHABET)]
-    met = begins.groupBy("contig_id").agg(F.array(*each).alias("symbols")).join(meta.select("contig_id"), "contig_id", "left_semi")
+    met = begins.groupBy("contig_id").agg(F.array(*each).alias("symbols")).join(shuffled_side(meta.select("contig_id")), "contig_id", "left_semi")
     return met.select("contig_id", F.explode("symbols").alias("e")).select("contig_id", "e.x", "e.lo", (F.col("e.lo") + F.col("e.n")).alias("hi"))
 
 
@@ -86,7 +88,7 @@ def occ_blocks(bwt: DataFrame, meta: DataFrame, d: int = D) -> DataFrame:
 
 def symbols_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
     """contig_id, symbol, lo, hi: the rows of the suffixes that begin with each symbol, in contigs that hold others than ACGT; a row for each symbol of a contig. The end marker's own suffix, the first of those with '$', is none of them."""
-    firsts = begins.join(meta.where("others").select("contig_id"), "contig_id", "left_semi").groupBy("contig_id", F.substring("begin", 1, 1).alias("symbol")).agg(F.sum("n").alias("n"))
+    firsts = begins.join(shuffled_side(meta.where("others").select("contig_id")), "contig_id", "left_semi").groupBy("contig_id", F.substring("begin", 1, 1).alias("symbol")).agg(F.sum("n").alias("n"))
     before = Window.partitionBy("contig_id").orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
     lo = F.coalesce(F.sum("n").over(before), F.lit(0))
     return firsts.select("contig_id", "symbol", (lo + F.when(F.col("symbol") == "$", 1).otherwise(0)).alias("lo"), (lo + F.col("n")).alias("hi"))
@@ -94,8 +96,9 @@ def symbols_table(meta: DataFrame, begins: DataFrame) -> DataFrame:
 
 def places_table(bwt: DataFrame, meta: DataFrame, symbols: DataFrame) -> DataFrame:
     """contig_id, symbol, rng, before, offsets: rows that a symbol stands in front of (the end marker is none), by ranges of RANGE rows, and how many there are in the ranges before; in contigs that hold others than ACGT."""
-    rows = bwt.where("pos > 0").join(meta.where("others").select("contig_id"), "contig_id", "left_semi").groupBy("contig_id", F.col("b0").alias("symbol"), F.floor(F.col("i") / RANGE).alias("rng")).agg(F.sort_array(F.collect_list((F.col("i") % RANGE).cast("int"))).alias("offsets"))
-    frame = symbols.select("contig_id", "symbol").join(meta.select("contig_id", "len"), "contig_id").select("contig_id", "symbol", F.explode(F.expr(f"sequence(0L, len div {RANGE})")).alias("rng"))
+    held = counted_side(meta.where("others").select("contig_id"), rows=IDS)
+    rows = bwt.where("pos > 0").join(held, "contig_id", "left_semi").groupBy("contig_id", F.col("b0").alias("symbol"), F.floor(F.col("i") / RANGE).alias("rng")).agg(F.sort_array(F.collect_list((F.col("i") % RANGE).cast("int"))).alias("offsets"))
+    frame = symbols.select("contig_id", "symbol").join(shuffled_side(meta.select("contig_id", "len")), "contig_id").select("contig_id", "symbol", F.explode(F.expr(f"sequence(0L, len div {RANGE})")).alias("rng"))
     dense = frame.join(rows, ["contig_id", "symbol", "rng"], "left").withColumn("offsets", F.coalesce("offsets", F.array().cast("array<int>"))).withColumn("n", F.size("offsets").cast("long"))
     return running(dense, ["contig_id", "symbol"], "rng", "n", "before").select("contig_id", "symbol", "rng", F.coalesce("before", F.lit(0)).alias("before"), "offsets")
 
