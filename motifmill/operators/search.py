@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifmill.functions.encode import is_coded, pair_code, symbol_code
+from motifmill.operators.bulk_count import PIECE, count_few, count_many
 from motifmill.operators.cutting import most_bytes, pieces
 from motifmill.operators.index import ENTRIES, RANGE, D, Index, rank_of
 from motifmill.operators.rank_search import RankBins
-from motifmill.plans.storage import BROADCAST_ROWS, counted_side, discard, materialize, shuffled_side, small_side
+from motifmill.plans.storage import BROADCAST_ROWS, counted_side, discard, is_small, materialize, shuffled_side, small_side
 
 #: Places in a chunk of a text, where patterns are short and where they are long: a substring's cost grows with its distance from the chunk's beginning.
 CHUNKS = (64, 256)
@@ -24,6 +25,8 @@ SEEDS = (12, 8)
 BINNED = 256
 #: Steps of a backward search whose ended reads stay tables of their own.
 FOLD = 16
+#: Patterns of middle length from which on places are dealt by their first symbols.
+MANY = 4096
 #: Reads of at most so many symbols are counted from the texts' k-mers of that length.
 SHORT = 7
 
@@ -167,9 +170,9 @@ def locate(texts: DataFrame | Texts, reads: DataFrame, *, id_col: str = "contig_
 def count_matches(texts: DataFrame | Texts, reads: DataFrame, *, id_col: str = "contig_id", text_col: str = "seq") -> DataFrame:
     """read_id, q, n: exact overlapping occurrences over all texts. 0 for absent reads, null for null and empty ones.
 
-    More patterns of middle length than may be broadcast are searched in sorted bins of the
-    texts: joined by their beginnings, each place would meet all patterns that share
-    its own, whose number grows with the reads, and all places would be shuffled.
+    Patterns of over SHORT symbols that may be broadcast are looked up by every task. More than MANY
+    of middle length are counted in buckets of packed windows, whose work grows with texts and patterns,
+    or, where their alphabet is too large to pack and they may not be broadcast, in sorted bins of the texts.
     """
     patterns = materialize(reads.select("q").where(F.length("q") > 0).distinct(), "patterns")
     empty = F.when(F.length("q") > 0, F.lit(0).cast("long"))
@@ -178,14 +181,21 @@ def count_matches(texts: DataFrame | Texts, reads: DataFrame, *, id_col: str = "
     held = _held(texts, id_col, text_col)
     between = F.length("q").between(SHORT + 1, SAMPLED - 1)
     counts = []
-    rest = patterns.where(F.length("q") > SHORT)
-    if middle and (held.has_bins(max(middle)) or patterns.where(between).count() > BROADCAST_ROWS):
-        asked = patterns.where(between).select(F.lit(0).alias("read_id"), "q")
-        counts.append(held.bins(max(middle)).count(asked).where("n > 0").select("q", "n"))
-        rest = patterns.where(F.length("q") >= SAMPLED)
-    found = _matches(held, rest)
-    if found is not None:
-        counts.append(found.groupBy("q").agg(F.count(F.lit(1)).alias("n")))
+    rest, left = patterns.where(F.length("q") > SHORT), [n for n in lengths if n > SHORT]
+    names = {"id_col": held.id_col, "text_col": held.text_col}
+    if middle:
+        many, binned = patterns.where(between).count(), held.has_bins(max(middle))
+        dealt = None if binned or many <= MANY else count_many(held.texts, patterns.where(between), longest_text=held.most_bytes(), **names)
+        if dealt is None and (binned or many > BROADCAST_ROWS):
+            asked = patterns.where(between).select(F.lit(0).alias("read_id"), "q")
+            dealt = held.bins(max(middle)).count(asked).where("n > 0").select("q", "n")
+        if dealt is not None:
+            counts.append(dealt)
+            rest, left = patterns.where(F.length("q") >= SAMPLED), [n for n in left if n >= SAMPLED]
+    if left and max(left) <= PIECE >> 4 and is_small(rest):
+        counts.append(count_few(held.texts, rest, longest_text=held.most_bytes(), **names))
+    elif left:
+        counts.append(_matches(held, rest).groupBy("q").agg(F.count(F.lit(1)).alias("n")))
     if short:
         counts.append(_short_counts(held.texts, patterns.where(F.length("q") <= SHORT), short, held.id_col, held.text_col))
     if not counts:

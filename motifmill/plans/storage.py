@@ -133,15 +133,16 @@ def file_state(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a materialised dimension for broadcast if its counted rows and bytes allow it; else leave the join to shuffle."""
-    return F.broadcast(df) if _is_small(df, rows, size) else df
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def counted_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """As ``small_side``, but a larger side is not broadcast whatever Catalyst estimates."""
-    return F.broadcast(df) if _is_small(df, rows, size) else shuffled_side(df)
+    return F.broadcast(df) if is_small(df, rows, size) else shuffled_side(df)
 
 
-def _is_small(df: DataFrame, rows: int, size: int) -> bool:
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Do the counted rows and bytes of ``df`` allow a broadcast?"""
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
     return n <= rows and total <= size
 
