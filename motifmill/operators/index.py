@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import cache, partial
+from collections.abc import Callable, Iterator
+from functools import cache, partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motifmill.functions.encode import ALPHABET, is_coded, kmer_code, symbol_code
+from motifmill.functions.encode import ALPHABET, is_coded, symbol_code
 from motifmill.operators import suffix
 from motifmill.operators.ranking import FAN, running
-from motifmill.plans.storage import bucket_count, bucketed, counted_side, materialize, shuffled_side
+from motifmill.plans.storage import bounded_batches, bucket_count, bucketed, counted_side, materialize, shuffled_side
 from motifmill.sources.sequences import input_key
 
 D = 64
@@ -110,18 +113,97 @@ def rank_of(before: Column, bitmap: Column, row: Column, d: int = D) -> Column:
 
 
 def lut(suffixes: DataFrame, ks: tuple[int, ...] = (5, 6)) -> DataFrame:
-    """contig_id, k, kmer, code, lo, hi: half-open row interval of every k-mer over ACGT that occurs, from one pass. Input: contig_id, i, head."""
-    kmers = suffixes.select("contig_id", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.length("head") >= k, F.substring("head", 1, k)).alias("kmer")) for k in ks])).alias("e")).select("contig_id", "i", "e.*")
-    rows = kmers.where(is_coded(F.col("kmer"))).groupBy("contig_id", "k", "kmer").agg(F.min("i").alias("lo"), (F.max("i") + 1).alias("hi"))
-    return rows.select("contig_id", "k", "kmer", kmer_code(F.col("kmer")).alias("code"), "lo", "hi")
+    """contig_id, k, kmer, code, lo, hi: half-open row interval of every k-mer over ACGT that occurs, from one pass. Input: contig_id, i, head.
+
+    Rows that stand together and share contig and k-mer are one interval before anything is shuffled, and
+    a contig's intervals go as arrays; rows in any other order give more intervals, but the same table.
+    """
+    bounded_batches(suffixes.sparkSession)
+    ids = suffixes.schema["contig_id"].dataType.simpleString()
+    arrays = ("kmers", "los", "his")
+    met = suffixes.select("contig_id", F.col("i").cast("long").alias("i"), "head").mapInArrow(_kmer_runs(ks), f"contig_id {ids}, kmers array<int>, los array<long>, his array<long>")
+    # dealt by contig, so that no row for each k-mer is shuffled
+    each = met.repartition("contig_id").select("contig_id", F.explode(F.arrays_zip(*arrays)).alias("e")).select("contig_id", *[f"e.{c}" for c in arrays])
+    rows = each.groupBy("contig_id", "kmers").agg(F.min("los").alias("lo"), F.max("his").alias("hi"))
+    of = lambda value: reduce(lambda rest, k: F.when(F.col("kmers").between(4**k, 2 * 4**k - 1), value(k)).otherwise(rest), ks, F.lit(None))
+    symbol = lambda back: F.substring(F.lit(ALPHABET), F.shiftright("kmers", 2 * back).bitwiseAND(3) + 1, F.lit(1))
+    kmer = of(lambda k: F.concat(*[symbol(back) for back in reversed(range(k))]))
+    return rows.select("contig_id", of(F.lit).alias("k"), kmer.alias("kmer"), of(lambda k: F.col("kmers").cast("long") - 4**k).alias("code"), "lo", "hi")
+
+
+def _kmer_runs(ks: tuple[int, ...]):
+    """Arrow function: contig_id, i, head -> contig_id, kmers (4^k and the code), los, his: a row for each run of rows of a contig, with the interval of each run of a k-mer in it."""
+    digits = np.full(256, -1, np.int32)
+    digits[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+    most = max(ks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, i = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            offsets, octets = _octets(batch.column(2))
+            # a symbol of several bytes has none of ACGT, so up to the first such symbol bytes are symbols
+            place = offsets[:-1, None] + np.arange(most)
+            codes = np.where(place < offsets[1:, None], digits[np.append(octets, np.zeros(most, np.uint8))[place]], -1)
+            apart = _changes(ids)
+            found = []
+            for k in ks:
+                kmer = np.where((codes[:, :k] >= 0).all(axis=1), 4**k + codes[:, :k] @ 4 ** np.arange(k - 1, -1, -1), 0)
+                first = np.flatnonzero(apart | np.append(True, kmer[1:] != kmer[:-1]))
+                lo, hi = np.minimum.reduceat(i, first), np.maximum.reduceat(i, first) + 1
+                held = kmer[first] > 0
+                found.append((first[held], kmer[first][held], lo[held], hi[held]))
+            at, kmers, los, his = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(at, kind="stable")
+            begins = np.flatnonzero(apart)
+            bounds = np.append(np.searchsorted(at[order], begins), len(order)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order], kind)) for x, kind in ((kmers, pa.int32()), (los, pa.int64()), (his, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(begins)), *lists], ["contig_id", "kmers", "los", "his"])
+
+    return run
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Does a row differ from the one before? The first does; nulls are alike."""
+    now, last = column.slice(1), column.slice(0, len(column) - 1)
+    differs = pc.or_(pc.fill_null(pc.not_equal(now, last), False), pc.xor(pc.is_null(now), pc.is_null(last)))
+    return np.append(True, np.asarray(differs.to_numpy(zero_copy_only=False), bool))
+
+
+def _octets(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of the strings and of their end, bytes) of an array without nulls."""
+    _, offsets, octets = strings.buffers()
+    return np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1], np.frombuffer(octets or b"", np.uint8)
 
 
 def dumped(bwt: DataFrame, size: int = DUMP) -> DataFrame:
-    """contig_id, piece, b0, b1: the two columns of the transform as strings of ``size`` symbols each, the last one shorter. No row or group grows with a contig."""
-    rows = bwt.groupBy("contig_id", F.expr(f"i div {size}").alias("piece")).agg(F.sort_array(F.collect_list(F.struct((F.col("i") % size).alias("at"), "b0", "b1"))).alias("r"))
+    """contig_id, piece, b0, b1: the two columns of the transform as strings of ``size`` symbols each, the last one shorter. No row or group grows with a contig.
+
+    Rows that stand together in rank order are joined before anything is shuffled; rows in any other order give shorter parts, but the same pieces.
+    """
+    bounded_batches(bwt.sparkSession)
+    ids = bwt.schema["contig_id"].dataType.simpleString()
+    parts = bwt.select("contig_id", F.expr(f"i div {size}").alias("piece"), (F.col("i") % size).cast("long").alias("at"), "b0", "b1").mapInArrow(_piece_parts, f"contig_id {ids}, piece long, at long, b0 string, b1 string")
+    rows = parts.groupBy("contig_id", "piece").agg(F.sort_array(F.collect_list(F.struct("at", "b0", "b1"))).alias("r"))
     return rows.select("contig_id", "piece", *[F.array_join(f"r.{c}", "").alias(c) for c in ("b0", "b1")])
 
 
+def _piece_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """contig_id, piece, at, b0, b1 -> the same, the symbols of rows of one piece that follow each other in one row, at the first one's place."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = batch.column(2).to_numpy(zero_copy_only=False)
+        apart = _changes(batch.column(0)) | _changes(batch.column(1)) | np.append(True, at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(apart)
+        joined = []
+        for column in batch.columns[3:]:
+            offsets, octets = _octets(column)
+            joined.append(pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(offsets[first], offsets[-1]).astype(np.int32)), pa.py_buffer(octets)))
+        yield pa.RecordBatch.from_arrays([*[c.take(pa.array(first)) for c in batch.columns[:3]], *joined], batch.schema.names)
+
+
 class Index:
     """Tables of an index, by the names of TABLES: a table, or what makes it, which is called when the table is first asked for."""
 
@@ -195,10 +277,11 @@ class Index:
 
     def summary(self) -> DataFrame:
         """contig_id, rows, blocks, pairs, kinds, entries: rows of the suffix array, blocks of the rank table, pairs counted in it, pairs that occur and k-mers that have an interval."""
-        blocks = self.occ.groupBy("contig_id").agg(F.count_distinct("blk").alias("blocks"), F.sum(F.bit_count("bitmap")).alias("pairs"))
+        # each block has a row for each pair; rows of a contig meet by shuffle, however few bytes they have
+        blocks = self.occ.groupBy("contig_id").agg(F.count_if(F.col("sym2") == 0).alias("blocks"), F.sum(F.bit_count("bitmap")).alias("pairs"))
         kinds = self.c_table.where("sym2 < 16 and n > 0").groupBy("contig_id").agg(F.count(F.lit(1)).alias("kinds"))
         entries = self.lut.groupBy("contig_id").agg(F.count(F.lit(1)).alias("entries"))
-        out = self.meta.join(blocks, "contig_id", "left").join(kinds, "contig_id", "left").join(entries, "contig_id", "left")
+        out = reduce(lambda all_, more: all_.join(shuffled_side(more), "contig_id", "left"), (blocks, kinds, entries), self.meta)
         return out.select("contig_id", F.col("len").alias("rows"), "blocks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pairs", "kinds", "entries")])
 
 

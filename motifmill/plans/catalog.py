@@ -191,9 +191,9 @@ def bwt(spark, sf_dir):
 
 @query(with_base(_SA, _BWT, "SELECT contig_id, string_agg(b0, '' ORDER BY i) AS b0, string_agg(b1, '' ORDER BY i) AS b1 FROM bwt GROUP BY contig_id"))
 def bwt_string(spark, sf_dir):
-    """One string a contig: as long as the contig itself."""
-    rows = _index(spark, sf_dir).bwt.groupBy("contig_id").agg(F.sort_array(F.collect_list(F.struct("i", "b0", "b1"))).alias("r"))
-    return rows.select("contig_id", F.concat_ws("", F.transform("r", lambda x: x.b0)).alias("b0"), F.concat_ws("", F.transform("r", lambda x: x.b1)).alias("b1"))
+    """One string a contig: as long as the contig itself, joined from pieces."""
+    rows = ix.dumped(_index(spark, sf_dir).bwt).groupBy("contig_id").agg(F.sort_array(F.collect_list(F.struct("piece", "b0", "b1"))).alias("r"))
+    return rows.select("contig_id", *[F.array_join(f"r.{c}", "").alias(c) for c in ("b0", "b1")])
 
 
 @query(with_base(_SA, _BWT, "SELECT contig_id, i // 256 AS piece, string_agg(b0, '' ORDER BY i) AS b0, string_agg(b1, '' ORDER BY i) AS b1 FROM bwt GROUP BY ALL"))

@@ -638,3 +638,67 @@ def test_many_reads_are_counted_without_a_row_for_each_place(spark):
         assert {r.q: r.n for r in got.collect()} == {r.q: sum(naive(t, r.q) if r.q in t else 0 for t in held) for r in reads.collect()}
         plan = got._jdf.queryExecution().analyzed().toString()
         assert "mapinarrow" in plan.lower() or "flatmapcogroups" in plan.lower()
+
+
+def shuffled_rows(df):
+    """Rows that each exchange of a plan has written, the query being run for it."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    out = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if node.nodeName() == "Exchange":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(plan)
+    return out
+
+
+def test_dumps_and_kmers_shuffle_no_row_for_each_suffix(spark, texts, index):
+    """Rows of a contig that stand together are joined in the task that reads them; what a task was given in any other order gives the same tables."""
+    suffixes = index.bwt.count()
+    pieces = ix.dumped(index.bwt, 256)
+    intervals = ix.lut(index.bwt)
+    assert suffixes > 2000
+    assert max(shuffled_rows(pieces)) < suffixes / 20
+    assert max(shuffled_rows(intervals)) < suffixes / 20
+    mixed = materialize(index.bwt.orderBy("pos", "contig_id"), "mixed")
+    for one, other in ((pieces, ix.dumped(mixed, 256)), (intervals, ix.lut(mixed))):
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, other.collect()))
+
+
+def test_kmers_and_dumps_of_any_symbols(spark):
+    """Symbols of several bytes, contigs shorter than a k-mer, null ids: against naive counting."""
+    texts = {0: "ACGTACGTé", 1: "éACGTAC", 2: "", None: "ACGTACN", 3: "ACGT\u4e2dACGTAA", 4: "ACGTAC", 5: "ACGTAC"}
+    genome = texts_of(spark, texts)
+    bwt = suffix.bwt(suffix.sorted_suffixes(genome))
+    got = {(r.contig_id, r.k, r.kmer, r.code, r.lo, r.hi) for r in ix.lut(bwt).collect()}
+    want, strings = set(), {}
+    for c, text in texts.items():
+        order = sorted(range(len(text) + 1), key=lambda p: (text + "$")[p:])
+        t = text + "$"
+        strings[c] = "".join(t[p - 1] for p in order), "".join(t[(p - 2) % len(t)] for p in order)
+        for k in (5, 6):
+            for kmer in {t[p : p + k] for p in range(len(t) - k) if not set(t[p : p + k]) - set("ACGT")}:
+                rows = [i for i, p in enumerate(order) if t.startswith(kmer, p)]
+                want.add((c, k, kmer, int("".join(str("ACGT".index(x)) for x in kmer), 4), rows[0], rows[-1] + 1))
+    assert got == want
+    assert {r.contig_id: (r.b0, r.b1) for r in ix.dumped(bwt).collect()} == strings
+
+
+def test_summary_broadcasts_no_row_a_contig(spark, index):
+    """Rows of few bytes are many under a broadcast's limit."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        made = index.summary()
+        made.collect()
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
