@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from motifmill.functions import encode as en
 from motifmill.operators import bulk_count, cutting, metrics, rank_search, ranking, rollups, search, suffix
 from motifmill.operators import index as ix
-from motifmill.plans import catalog
+from motifmill.plans import catalog, storage
 from motifmill.plans.storage import BROADCAST_ROWS, materialize
 from motifmill.sources import fasta_source
 from motifmill.sources import sequences as sq
@@ -702,3 +703,28 @@ def test_summary_broadcasts_no_row_a_contig(spark, index):
         assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_copies_of_reads_are_listed_without_a_shuffle(spark, monkeypatch, small):
+    """Equal reads, null ids among them, go with their pattern into the joins that find it: what is found meets no table again. The same rows where patterns are too many to be broadcast."""
+    rng = random.Random(15)
+    texts = {i: "".join(rng.choice("AACé") for _ in range(n)) for i, n in enumerate([0, 1, 63, 64, 65, 400])} | {9: "ACGTTGCA" * 30}
+    asked = ["A", "AC", "é", "CAA", "ACGTTGC", "ACGTTGCAA", "ACGTTGCAACG", "CAACGTTGCAACGT", ("TGCAACGT" * 8)[:50], ("ACGTTGCA" * 20)[:130], "G" * 60, "GGG", "", None]
+    reads = [(i, q) for i, q in enumerate(asked * 3)] + [(i % 3, "A") for i in range(40)] + [(None, "CAA"), (None, "A"), (None, "A")]
+    monkeypatch.setattr(search, "NAMED", 4, raising=False)
+    monkeypatch.setattr(search, "LISTED", 64, raising=False)
+    if not small:
+        monkeypatch.setattr(search, "small_side", lambda df: df)
+        monkeypatch.setattr(search, "counted_side", storage.shuffled_side)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.locate(texts_of(spark, texts), spark.createDataFrame(reads, "read_id long, q string"))
+        got = Counter((r.read_id, r.contig_id, r.pos) for r in found.collect())
+        assert got == Counter((i, c, p) for i, q in reads if q for c, t in texts.items() for p in range(len(t)) if t.startswith(q, p))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) != small
+        assert "Generate explode(read_ids" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
