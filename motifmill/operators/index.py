@@ -146,7 +146,7 @@ def _kmer_runs(ks: tuple[int, ...]):
             # a symbol of several bytes has none of ACGT, so up to the first such symbol bytes are symbols
             place = offsets[:-1, None] + np.arange(most)
             codes = np.where(place < offsets[1:, None], digits[np.append(octets, np.zeros(most, np.uint8))[place]], -1)
-            apart = _changes(ids)
+            apart = changes(ids)
             found = []
             for k in ks:
                 kmer = np.where((codes[:, :k] >= 0).all(axis=1), 4**k + codes[:, :k] @ 4 ** np.arange(k - 1, -1, -1), 0)
@@ -164,7 +164,7 @@ def _kmer_runs(ks: tuple[int, ...]):
     return run
 
 
-def _changes(column: pa.Array) -> np.ndarray:
+def changes(column: pa.Array) -> np.ndarray:
     """Does a row differ from the one before? The first does; nulls are alike."""
     now, last = column.slice(1), column.slice(0, len(column) - 1)
     differs = pc.or_(pc.fill_null(pc.not_equal(now, last), False), pc.xor(pc.is_null(now), pc.is_null(last)))
@@ -195,7 +195,7 @@ def _piece_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         at = batch.column(2).to_numpy(zero_copy_only=False)
-        apart = _changes(batch.column(0)) | _changes(batch.column(1)) | np.append(True, at[1:] != at[:-1] + 1)
+        apart = changes(batch.column(0)) | changes(batch.column(1)) | np.append(True, at[1:] != at[:-1] + 1)
         first = np.flatnonzero(apart)
         joined = []
         for column in batch.columns[3:]:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from motifmill.functions.encode import is_coded, pair_code, symbol_code
 from motifmill.operators.bulk_count import PIECE, count_few, count_many
+from motifmill.operators.contig_search import count_in_contigs
 from motifmill.operators.cutting import most_bytes, pieces
 from motifmill.operators.index import ENTRIES, RANGE, D, Index, rank_of
 from motifmill.operators.rank_search import RankBins
+from motifmill.operators.suffix import WHOLE
 from motifmill.plans.storage import BROADCAST_ROWS, counted_side, discard, is_small, materialize, shuffled_side, small_side
 
 #: Places in a chunk of a text, where patterns are short and where they are long: a substring's cost grows with its distance from the chunk's beginning.
@@ -262,6 +264,17 @@ def backward_search(index: Index, reads: DataFrame, d: int = D) -> DataFrame:
     return reads.join(shuffled_side(found), ["contig_id", "read_id"], "left").select("contig_id", "read_id", F.when(F.length("q") > 0, F.coalesce("n", F.lit(0))).alias("n"))
 
 
+def backward_search_of(texts: DataFrame, reads: DataFrame, d: int = D) -> DataFrame:
+    """As ``backward_search``, where no index is kept: contigs of fewer than WHOLE symbols are sorted in the task that their reads go to, longer ones have an index built."""
+    longer = materialize(texts.where(F.length("seq") >= WHOLE).select("contig_id").distinct(), "long-contigs")
+    if longer.isEmpty():
+        return count_in_contigs(texts, reads)
+    side = counted_side(longer)
+    of = lambda df, how: df.join(side, "contig_id", how)
+    found = backward_search(Index.build(of(texts, "left_semi"), d), of(reads, "left_semi"), d)
+    return count_in_contigs(of(texts, "left_anti"), of(reads, "left_anti")).unionByName(found)
+
+
 def intervals(index: Index, reads: DataFrame, d: int = D) -> DataFrame:
     """contig_id, read_id, lo, hi: the rows of the suffix array that begin with the read, of every read that occurs in the contig that it names."""
     known = reads.where(F.length("q") > 0)

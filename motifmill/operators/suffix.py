@@ -123,18 +123,18 @@ def _with_head(placed: DataFrame, before: int) -> DataFrame:
     return placed.withColumn("pos", F.col("base") + F.col("p") - 1).withColumn("front", part(F.col("p"), before)).withColumn("head", part(F.col("p") + before, FIRST))
 
 
-def text_order(points: np.ndarray, size: np.ndarray) -> np.ndarray:
+def text_order(points: np.ndarray, size: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Places of texts, which stand behind each other and have ``size`` symbols each, by text and then by suffix; a suffix that ends first comes first.
 
     Prefix doubling: a key is the text's number and as many symbols as have room beside
-    it, then only what is still tied is sorted by the rank as far on as it agrees.
+    it, then only what is still tied is sorted by the rank as far on as it agrees. depth: suffixes that share so many symbols may stay tied, in any order.
     """
     n = len(points)
     seen = np.zeros(int(points.max()) + 1, np.int64)
     seen[points] = 1
     codes = np.cumsum(seen)[points]  # from 1; 0 is the end
     bits = int(codes.max()).bit_length()
-    width = max(1, (62 - (len(size) - 1).bit_length()) // bits)
+    width = max(1, min((62 - (len(size) - 1).bit_length()) // bits, depth or 62))
     left = np.repeat(np.cumsum(size), size) - np.arange(n)
     key = np.repeat(np.arange(len(size)), size)
     padded = np.append(codes, np.zeros(width, np.int64))
@@ -144,7 +144,7 @@ def text_order(points: np.ndarray, size: np.ndarray) -> np.ndarray:
     at = np.arange(n)  # places in the order that are still tied
     key = key[order]
     rank = np.empty(n, np.int64)
-    while len(at):
+    while len(at) and not (depth and width >= depth):
         new = np.append(True, key[1:] != key[:-1])
         rank[order[at]] = np.maximum.accumulate(np.where(new, at, 0))
         at = at[~new | ~np.append(new[1:], True)]

@@ -430,7 +430,7 @@ asked AS (SELECT contig_id, contig_id * 2 + w AS read_id, substr(seq, 1 + (conti
 
 def _mixed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    texts = docs.select(F.col("doc_id").alias("contig_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTNacgtn]", "").alias("seq"))
+    texts = materialize(docs.select(F.col("doc_id").alias("contig_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTNacgtn]+", "").alias("seq")), "mixed")
     begin = (1 + F.col("contig_id") * F.when(F.col("w") == 0, 31).otherwise(17) % F.greatest(F.length("seq"), F.lit(1))).cast("int")
     reads = texts.where("seq <> ''").withColumn("w", F.explode(F.array(F.lit(0), F.lit(1))))
     return texts, reads.select("contig_id", (F.col("contig_id") * 2 + F.col("w")).alias("read_id"), F.substring("seq", begin, (1 + (F.col("contig_id") + F.col("w")) % 11).cast("int")).alias("q"))
@@ -441,7 +441,7 @@ FROM asked a JOIN mixed u USING (contig_id)""")
 def backward_search_mixed(spark, sf_dir):
     """Backward search for reads of small and capital letters and N, each in its own contig."""
     texts, reads = _mixed(spark, sf_dir)
-    return search.backward_search(ix.Index.build(materialize(texts, "mixed")), materialize(reads, "mixed-asked"))
+    return search.backward_search_of(texts, reads)
 
 
 @query("WITH " + _MIXED + """, w AS (SELECT seq, unnest(range(1, length(seq) + 1)) AS p FROM mixed), kinds AS (SELECT DISTINCT q, length(q) AS k FROM asked),
