@@ -408,7 +408,7 @@ asked AS (SELECT contig_id, contig_id * 2 + w AS read_id, CASE w WHEN 0 THEN rep
 
 
 def _unknown(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    texts = genome_with_unknowns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    texts = materialize(genome_with_unknowns(spark.read.parquet(f"{sf_dir}/documents.parquet")), "unknown")
     at = lambda k: (1 + F.col("contig_id") * k % F.greatest(F.length("seq"), F.lit(1))).cast("int")
     reads = texts.where("seq <> ''").select("contig_id", F.posexplode(F.array(F.replace(F.substring("seq", at(31), F.lit(9)), F.lit("N"), F.lit("")), F.substring("seq", at(17), (1 + F.col("contig_id") % 4).cast("int")))).alias("w", "q"))
     return texts, reads.select("contig_id", (F.col("contig_id") * 2 + F.col("w")).alias("read_id"), "q")
@@ -419,7 +419,7 @@ FROM asked a JOIN unknown u USING (contig_id)""")
 def backward_search_unknown(spark, sf_dir):
     """Backward search in contigs that hold unknown symbols, reads that hold one among them."""
     texts, reads = _unknown(spark, sf_dir)
-    return search.backward_search(ix.Index.build(materialize(texts, "unknown")), materialize(reads, "asked"))
+    return search.backward_search_of(texts, reads)
 
 
 #: Contigs as they stand, small and capital letters apart, and two reads of each.

@@ -89,7 +89,7 @@ def genome_of(documents: DataFrame) -> DataFrame:
 def genome_with_unknowns(documents: DataFrame) -> DataFrame:
     """contig_id, seq: as ``genome_of``, with the letter N, which stands for an unknown symbol, kept too."""
     letters = F.translate(F.coalesce("text", F.lit("")), "acgtn", ALPHABET + "N")
-    return documents.select(F.col("doc_id").alias("contig_id"), F.regexp_replace(letters, "[^ACGTN]", "").alias("seq"))
+    return documents.select(F.col("doc_id").alias("contig_id"), F.regexp_replace(letters, "[^ACGTN]+", "").alias("seq"))
 
 
 def reads_of(genome: DataFrame) -> DataFrame:
