@@ -210,7 +210,7 @@ def count_matches(texts: DataFrame | Texts, reads: DataFrame, *, id_col: str = "
         if dealt is not None:
             counts.append(dealt)
             rest, left = patterns.where(F.length("q") >= SAMPLED), [n for n in left if n >= SAMPLED]
-    if left and max(left) <= PIECE >> 4 and is_small(rest):
+    if left and max(left) <= PIECE >> 4 and is_small(rest, BROADCAST_ROWS):
         counts.append(count_few(held.texts, rest, longest_text=held.most_bytes(), **names))
     elif left:
         counts.append(_matches(held, rest).groupBy("q").agg(F.count(F.lit(1)).alias("n")))
